@@ -1,0 +1,458 @@
+"""Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
+
+The patterns find e-mail addresses, IPv4 addresses, payment cards and international telephone numbers.
+The CRF adds what they miss: cards in other notations, national telephone numbers, identity numbers and
+secrets.  It is trained here, by gradient descent on the likelihood of TRAINING_LINES with their digits
+and hex digits varied, and decoded by Viterbi in numpy batches.  Labels other than O are allowed on
+tokens that hold a digit or '@' and on brackets and dashes only; runs of such tokens are therefore
+independent of each other given the words around them, and decoding run by run is exact.
+
+Spans are code points, end exclusive.  Defined results: null and empty texts have no spans; a CRF span
+that overlaps one of a pattern is dropped; repeated rows are treated alike; an empty table gives an
+empty table.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import prepare, table, texts_of
+
+#: Kinds in the order in which spans that start together are listed.
+KINDS = ("email", "ip", "card", "phone", "id", "secret")
+BASE_KINDS = KINDS[:4]
+
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+# a digit run's first digit starts the leftmost match or none does, which keeps long runs linear
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_DIGIT = re.compile(r"[0-9]")
+_NOT_DIGIT = re.compile(r"[^0-9]+")
+
+Span = tuple[int, int, str]
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of local@domain; from each '@' the local part is read backwards."""
+    last, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        found = _DOMAIN.match(text, at) if start < at else None
+        if found:
+            last = found.end()
+            yield start, last
+        at = text.find("@", max(at + 1, last))
+
+
+def base_spans(text: str) -> list[Span]:
+    """What the fixed patterns find, by start, then kind."""
+    out: list[Span] = [(a, b, "email") for a, b in emails(text)]
+    if _DIGIT.search(text):
+        out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split(".") if len(p.lstrip("0")) < 4) and all(len(p.lstrip("0")) < 4 for p in m[0].split("."))]
+        for m in _CARD.finditer(text):
+            digits = _NOT_DIGIT.sub("", m[0])
+            if 12 <= len(digits) <= 19 and luhn(digits):
+                out.append((m.start(), m.end(), "card"))
+        if "+" in text:
+            out += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text) if 9 <= len(_NOT_DIGIT.sub("", m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
+
+
+def joined(spans: list[Span]) -> str:
+    return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
+
+
+# --- the CRF -------------------------------------------------------------------------------------
+
+#: The labelled table: one line of text a row, its spans marked up.
+TRAINING_LINES = """
+call me at <phone>(212) 555-0143</phone> after five
+phone: <phone>212-555-0188</phone> or write
+tel <phone>020 7946 0958</phone> in the office
+telephone <phone>(030) 901820-11</phone> bitte
+mobile <phone>555.867.5309</phone> thanks
+fax <phone>(089) 636-48018</phone> nur werktags
+the number is <phone>(415) 555-2671</phone> ext nine
+reach us on <phone>(646) 555-3890</phone> today
+ring <phone>(01632) 960-001</phone> for a table
+write to <email>ana.lopez@mail.example.com</email> soon
+mail <email>j_doe99@example.org</email> please
+the host <ip>10.20.30.40</ip> was down
+ip <ip>192.168.17.4</ip> logged in
+card <card>4111 1111 1111 1111</card> was used
+card number <card>5500000000000004</card> expires
+visa <card>4012888888881881</card> on file
+paid with <card>4222.2222.2222.2</card> yesterday
+pay by <card>4111/1111/1111/1111</card> now
+credit card <card>4111.1111.1111.1111</card> declined
+ssn <id>078-05-1120</id> on the form
+social security <id>219-09-9999</id> was leaked
+ssn: <id>457-55-5462</id> confirmed
+national id <id>123-45-6789</id> issued
+the insured <id>321-54-9876</id> moved
+token = " <secret>04dbebab91ab85687d33eeaaf9ac699e1188f962</secret> "
+token = " <secret>cb1a9fee807a05366fcb8b6c95c7c565ede51a72</secret> "
+api_key = <secret>9b0b3c6a43eb78aa99cbd7049c572391524f37a8</secret> end
+password: <secret>f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda</secret>
+secret " <secret>908038b7daaf91e730d2f64001c52934</secret> " rotated
+the key <secret>ede43f42c939b6405768150e0411590525cf889e</secret> leaked
+in 1998 there were 120 pages and 14 plates
+the sum of 3.50 and 12.75 is 16.25
+version 2.0 of 2004 replaces 1.1
+order 20231105 of item 993-2 shipped
+chapter 12 verse 3-4 and 17
+page 212 to 555 of volume 0143
+from 9:30 to 17:45 on 12/05/1998
+isbn 978-3-16-148410-0 was reprinted
+number 9807915762804491 is not a card
+the id 7536784127813051 was skipped
+build 10.2.300.4 of the tool
+serial 2669109448945251 on the box
+room (12) and (14) are free
+score 3-2 and 555-2 in 2010
+about 1,200 or 3,400,000 words
+the 2nd and the 3rd of 10
+area (100 - 200) was tiled
+ratio 16:9 at 1920x1080 and 60hz
+year 2011-12-05 and 05.12.2011
+lot 123-456-78 and part 12-3456-7
+commit f00d and face and 1e10 of 100
+color #ff8800 and 0x1f and b2b
+""".strip().splitlines()
+#: Copies of each line with other digits.
+VARIANTS = 6
+
+_MARK = re.compile(r"<(/?)(" + "|".join(KINDS) + r")>")
+_EDGE = r"\s\"'()<>\[\],;"
+_TOKEN = re.compile(rf"[^{_EDGE}.:!?]+(?:[.:!?]+[^{_EDGE}.:!?]+)*+|\S")
+_ALLOWED = re.compile(r"[0-9@]|^[()\[\]-]$")
+_LINE = re.compile(r"[^\n]*[0-9@][^\n]*")
+LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+_HEX = re.compile(r"[0-9a-f]{24,}|[0-9A-F]{24,}")
+CUES = frozenset("call phone tel telephone mobile fax ring reach on number card visa pay paid credit ssn social security national id insured token key api_key password secret mail write ip host the = : \"".split())
+
+
+def shape(token: str) -> str:
+    """Digits by the length of their run, letters by case, once a run; other characters stay."""
+    out = []
+    for run in re.findall(r"[0-9]+|[a-z]+|[A-Z]+|[^0-9a-zA-Z]", token[:64]):
+        out.append(f"d{min(len(run), 20)}" if run[0].isdigit() and run.isascii() else "a" if run.isascii() and run.islower() else "A" if run.isascii() and run.isupper() else run)
+    return "".join(out)[:32]
+
+
+def _kind_of(token: str) -> list[str]:
+    digits = _NOT_DIGIT.sub("", token)
+    n = len(digits)
+    out = ["digits:" + ("0" if not n else "1-6" if n < 7 else "7-8" if n < 9 else "9" if n == 9 else "10-11" if n < 12 else "12-19" if n < 20 else "20+")]
+    if 12 <= n <= 19 and n + token.count(".") + token.count("/") + token.count("-") == len(token):
+        out.append("luhn" if luhn(digits) else "no-luhn")
+    if _HEX.fullmatch(token) and not token.isdigit():
+        out.append("hex")
+    if "@" in token:
+        out.append("at")
+    return out
+
+
+def features(tokens: list[str], i: int) -> list[str]:
+    token = tokens[i]
+    out = ["bias", "s=" + shape(token), *_kind_of(token)]
+    for off in (-3, -2, -1, 1, 2):
+        j = i + off
+        word = tokens[j].lower() if 0 <= j < len(tokens) else "^"
+        if off > -3 and (not word[0].isalpha() or not word.isascii()):
+            out.append(f"s{off}=" + shape(word))
+        if word in CUES:
+            out.append(("cue<" if off < 0 else "cue>") + word)
+    return out
+
+
+class Crf:
+    """Weights by feature and label, and transitions; label 0 is O and stands at both ends of a run."""
+
+    def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray):
+        self.index, self.weights, self.moves = index, weights, moves
+
+    def scores(self, rows: list[list[str]], allowed: list[bool]) -> np.ndarray:
+        out = np.zeros((len(rows), len(LABELS)))
+        for i, (row, ok) in enumerate(zip(rows, allowed, strict=True)):
+            out[i] = self.weights[[self.index[f] for f in row if f in self.index]].sum(axis=0)
+            if not ok:
+                out[i, 1:] = -1e6
+        return out
+
+    def viterbi(self, runs: list[np.ndarray]) -> list[np.ndarray]:
+        """Best labels of each run of scores; runs of similar length go together."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(runs)
+        order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
+        at = 0
+        while at < len(order):
+            longest = max(8, 2 * len(runs[order[at]]))
+            to = at
+            while to < len(order) and len(runs[order[to]]) <= longest:
+                to += 1
+            self._viterbi(runs, order[at:to], out)
+            at = to
+        return out
+
+    def _viterbi(self, runs: list[np.ndarray], which: list[int], out: list[np.ndarray]) -> None:
+        lengths = np.array([len(runs[i]) for i in which])
+        steps, n, k = int(lengths.max(initial=0)), len(which), len(LABELS)
+        score = np.zeros((n, steps, k))
+        for row, i in enumerate(which):
+            score[row, : len(runs[i])] = runs[i]
+        best = self.moves[0] + score[:, 0] if steps else np.zeros((n, k))
+        back = np.zeros((n, steps, k), np.int8)
+        final = best.copy()
+        for t in range(1, steps):
+            paths = best[:, :, None] + self.moves[None]
+            back[:, t] = paths.argmax(axis=1)
+            best = paths.max(axis=1) + score[:, t]
+            live = lengths > t
+            final[live] = best[live]
+        label = (final + self.moves[:, 0]).argmax(axis=1)
+        for row, i in enumerate(which):
+            path = np.zeros(lengths[row], np.int64)
+            y = int(label[row])
+            for t in range(lengths[row] - 1, -1, -1):
+                path[t] = y
+                y = int(back[row, t, y])
+            out[i] = path
+
+
+def _blocked() -> np.ndarray:
+    moves = np.zeros((len(LABELS), len(LABELS)))
+    for j, label in enumerate(LABELS):
+        if label[0] == "I":
+            moves[[i for i, before in enumerate(LABELS) if before[2:] != label[2:]], j] = -1e4
+    return moves
+
+
+def labelled_lines(lines: list[str] = TRAINING_LINES, variants: int = VARIANTS) -> Iterator[tuple[list[str], list[int]]]:
+    """Tokens and labels of the table and of its variants."""
+    rng = np.random.default_rng(7)
+    for line in lines:
+        spans, text, at, begin = [], "", 0, 0
+        for m in _MARK.finditer(line):
+            text += line[at : m.start()]
+            if m[1]:
+                spans.append((begin, len(text), m[2]))
+            begin, at = len(text), m.end()
+        text += line[at:]
+        for v in range(variants + 1):
+            chars = list(text)
+            for i in range(len(chars) if v else 0):
+                inside = next((s[2] for s in spans if s[0] <= i < s[1]), "")
+                if inside == "secret" and chars[i] in "0123456789abcdef":
+                    chars[i] = "0123456789abcdef"[rng.integers(16)]
+                elif chars[i].isdigit() and inside not in ("card", "ip") and "card" not in text:
+                    chars[i] = str(rng.integers(1, 10))
+            own = "".join(chars)
+            tokens, labels = [], []
+            for m in _TOKEN.finditer(own):
+                s = next((s for s in spans if s[0] <= m.start() < s[1]), None)
+                tokens.append(m[0])
+                labels.append(0 if s is None else LABELS.index(("B-" if m.start() == s[0] or not labels or LABELS[labels[-1]][2:] != s[2] else "I-") + s[2]))
+            yield tokens, labels
+
+
+def train(lines: list[str] = TRAINING_LINES, variants: int = VARIANTS, steps: int = 150, ridge: float = 3e-3) -> Crf:
+    """Maximum likelihood by Adam; forward and backward sums run over all lines at once."""
+    rows = list(labelled_lines(lines, variants))
+    index: dict[str, int] = {}
+    flat: list[tuple[int, int]] = []
+    n, steps_t, k = len(rows), max(len(t) for t, _ in rows), len(LABELS)
+    gold = np.zeros((n, steps_t), np.int64)
+    mask = np.zeros((n, steps_t), bool)
+    closed = np.zeros((n, steps_t, k))
+    for r, (tokens, labels) in enumerate(rows):
+        gold[r, : len(labels)], mask[r, : len(labels)] = labels, True
+        for i, token in enumerate(tokens):
+            flat += [(r * steps_t + i, index.setdefault(f, len(index))) for f in features(tokens, i)]
+            if not _ALLOWED.search(token):
+                closed[r, i, 1:] = -1e6
+    cell, feature = np.array(flat).T
+    lengths = mask.sum(axis=1)
+    fixed = _blocked()
+    weights, moves = np.zeros((len(index), k)), np.zeros((k, k))
+    state = [(np.zeros_like(x), np.zeros_like(x)) for x in (weights, moves)]
+    cells = np.flatnonzero(mask.ravel())
+    one_hot = np.zeros((n * steps_t, k))
+    one_hot[cells, gold.ravel()[cells]] = 1
+    observed = np.zeros((k, k))
+    for r in range(n):
+        path = [0, *gold[r, : lengths[r]], 0]
+        np.add.at(observed, (path[:-1], path[1:]), 1)
+
+    def lse(x: np.ndarray, axis: int) -> np.ndarray:
+        top = x.max(axis=axis, keepdims=True)
+        return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
+
+    for step in range(1, steps + 1):
+        score = np.zeros((n * steps_t, k))
+        np.add.at(score, cell, weights[feature])
+        score = score.reshape(n, steps_t, k) + closed
+        m = moves + fixed
+        forward = np.zeros((n, steps_t, k))
+        backward = np.zeros((n, steps_t, k))
+        forward[:, 0] = m[0] + score[:, 0]
+        for t in range(1, steps_t):
+            forward[:, t] = lse(forward[:, t - 1, :, None] + m[None], 1) + score[:, t]
+        for t in range(steps_t - 1, -1, -1):
+            last = lengths - 1 == t
+            if t + 1 < steps_t:
+                backward[:, t] = lse(m[None] + (score[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
+            backward[last, t] = m[:, 0]
+        end = np.arange(n), lengths - 1
+        total = lse(forward[end] + m[:, 0], 1)
+        belief = np.exp(forward + backward - total[:, None, None]).reshape(-1, k)
+        belief[~mask.ravel()] = 0
+        expected = np.zeros((k, k))
+        expected[0] += np.exp(forward[:, 0] + backward[:, 0] - total[:, None]).sum(axis=0)
+        for t in range(1, steps_t):
+            live = mask[:, t]
+            pair = forward[live, t - 1, :, None] + m[None] + (score[live, t] + backward[live, t])[:, None, :] - total[live, None, None]
+            expected += np.exp(pair).sum(axis=0)
+        expected[:, 0] += np.exp(forward[end] + m[:, 0] - total[:, None]).sum(axis=0)
+        difference = (belief - one_hot) / n
+        grad = np.zeros_like(weights)
+        np.add.at(grad, feature, difference[cell])
+        grads = (grad + ridge * weights / 10, (expected - observed) / n + ridge * moves / 10)
+        for x, g, (a, b) in zip((weights, moves), grads, state, strict=True):
+            a *= 0.9
+            a += 0.1 * g
+            b *= 0.99
+            b += 0.01 * g * g
+            x -= 0.1 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-9)
+    return Crf(index, weights, moves + fixed)
+
+
+def _plausible(text: str, kind: str) -> bool:
+    """The last word on a CRF span: counts and check digits that any value of its kind has."""
+    digits = _NOT_DIGIT.sub("", text)
+    if kind == "card":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone":
+        return 9 <= len(digits) <= 15
+    if kind == "id":
+        return len(digits) == 9
+    if kind == "secret":
+        return bool(_HEX.fullmatch(text))
+    return False  # e-mail and IP addresses are the patterns' own
+
+
+def crf_spans(texts: list[str], crf: Crf) -> list[list[Span]]:
+    """Spans the CRF finds in each text; all texts' runs are decoded together."""
+    out: list[list[Span]] = [[] for _ in texts]
+    runs: list[np.ndarray] = []
+    where: list[tuple[int, list[tuple[int, int]]]] = []
+    for n, text in enumerate(texts):
+        for line in _LINE.finditer(text):
+            found = [(m.start(), m.end()) for m in _TOKEN.finditer(text, line.start(), line.end())]
+            tokens = [text[a:b] for a, b in found]
+            allowed = [bool(_ALLOWED.search(t)) for t in tokens]
+            i = 0
+            while i < len(tokens):
+                j = i
+                while j < len(tokens) and allowed[j]:
+                    j += 1
+                if j > i and any(_DIGIT.search(t) for t in tokens[i:j]):
+                    runs.append(crf.scores([features(tokens, x) for x in range(i, j)], [True] * (j - i)))
+                    where.append((n, found[i:j]))
+                i = j + 1
+    for (n, spans), path in zip(where, crf.viterbi(runs), strict=True):
+        at = 0
+        while at < len(path):
+            kind = LABELS[path[at]][2:]
+            to = at + 1
+            if kind:
+                while to < len(path) and LABELS[path[to]] == f"I-{kind}":
+                    to += 1
+                begin, end = spans[at][0], spans[to - 1][1]
+                if _plausible(texts[n][begin:end], kind):
+                    out[n].append((begin, end, kind))
+            at = to
+    return out
+
+
+def spans_of(texts: list[str], crf: Crf) -> list[tuple[list[Span], list[Span]]]:
+    """Per text: the patterns' spans, and all spans."""
+    out = []
+    for base, more in zip([base_spans(t) for t in texts], crf_spans(texts, crf), strict=True):
+        extra = [s for s in more if not any(s[0] < b[1] and b[0] < s[1] for b in base)]
+        out.append((base, sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2])))))
+    return out
+
+
+SPANS = "array<struct<start: int, end: int, kind: string>>"
+_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+
+
+def find_pii(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
+    """doc_id, base and spans: the patterns' spans and all spans, as arrays of (start, end, kind)."""
+    prepare(docs.sparkSession)
+    crf = crf or train()
+
+    def find(batches):
+        for batch in batches:
+            found = spans_of(batch["text"].to_pylist(), crf)
+            lists = [pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in row[i]] for row in found], _SPAN_TYPE) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *lists], names=["doc_id", "base", "spans"])
+
+    return texts_of(docs).mapInArrow(find, f"doc_id long, base {SPANS}, spans {SPANS}")
+
+
+def masked(text: str, spans: list[Span]) -> str:
+    """The text with each span, or overlapping spans together, replaced by the first one's kind."""
+    out, at = [], 0
+    for begin, end, kind in spans:
+        if begin >= at:
+            out += [text[at:begin], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]]) if spans else text
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: personal data is masked in the texts, and n_chars follows."""
+    prepare(spark)
+    crf = train()
+
+    @F.arrow_udf("string")
+    def mask(texts: pa.Array) -> pa.Array:
+        own = texts.to_pylist()
+        found = spans_of([t or "" for t in own], crf)
+        return pa.array([t and masked(t, spans) for t, (_, spans) in zip(own, found, strict=True)], pa.string())
+
+    out = docs.withColumn("text", mask("text"))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the personal data of every document."""
+    found = find_pii(table(spark, sf_dir, "documents"))
+
+    def written(column: str):
+        return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+__all__ = ["Crf", "base_spans", "crf_spans", "find_pii", "joined", "masked", "op3_pii_crf", "spans_of", "stage", "train"]
