@@ -144,7 +144,7 @@ _MARK = re.compile(r"<(/?)(" + "|".join(KINDS) + r")>")
 _EDGE = r"\s\"'()<>\[\],;"
 _TOKEN = re.compile(rf"[^{_EDGE}.:!?]+(?:[.:!?]+[^{_EDGE}.:!?]+)*+|\S")
 _ALLOWED = re.compile(r"[0-9@]|^[()\[\]-]$")
-_LINE = re.compile(r"[^\n]*[0-9@][^\n]*")
+_LIKELY = re.compile(r"[0-9@]")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 _HEX = re.compile(r"[0-9a-f]{24,}|[0-9A-F]{24,}")
 CUES = frozenset("call phone tel telephone mobile fax ring reach on number card visa pay paid credit ssn social security national id insured token key api_key password secret mail write ip host the = : \"".split())
@@ -358,14 +358,24 @@ def _plausible(text: str, kind: str) -> bool:
     return False  # e-mail and IP addresses are the patterns' own
 
 
+def likely_lines(text: str) -> Iterator[tuple[int, int]]:
+    """The lines that hold a digit or '@'; all labels of other lines are O."""
+    hit = _LIKELY.search(text)
+    while hit:
+        end = text.find("\n", hit.start())
+        end = len(text) if end < 0 else end
+        yield text.rfind("\n", 0, hit.start()) + 1, end
+        hit = _LIKELY.search(text, end)
+
+
 def crf_spans(texts: list[str], crf: Crf) -> list[list[Span]]:
     """Spans the CRF finds in each text; all texts' runs are decoded together."""
     out: list[list[Span]] = [[] for _ in texts]
     runs: list[np.ndarray] = []
     where: list[tuple[int, list[tuple[int, int]]]] = []
     for n, text in enumerate(texts):
-        for line in _LINE.finditer(text):
-            found = [(m.start(), m.end()) for m in _TOKEN.finditer(text, line.start(), line.end())]
+        for begin, end in likely_lines(text):
+            found = [(m.start(), m.end()) for m in _TOKEN.finditer(text, begin, end)]
             tokens = [text[a:b] for a, b in found]
             allowed = [bool(_ALLOWED.search(t)) for t in tokens]
             i = 0

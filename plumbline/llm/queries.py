@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op5_decontaminate
+from .near_dedup import op8_near_dedup
+from .pii import op3_pii_crf
 from .quality import op10_quality_bayes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii_crf": op3_pii_crf,
+    "op5_decontaminate": op5_decontaminate,
+    "op8_near_dedup": op8_near_dedup,
     "op10_quality_bayes": op10_quality_bayes,
 }
 
