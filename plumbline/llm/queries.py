@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op7_bpe
 from .decontaminate import op5_decontaminate
+from .licenses import op2_license_scan
 from .near_dedup import op8_near_dedup
 from .pii import op3_pii_crf
 from .quality import op10_quality_bayes
+from .token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
     "op3_pii_crf": op3_pii_crf,
+    "op4_token_counts": op4_token_counts,
     "op5_decontaminate": op5_decontaminate,
+    "op7_bpe": op7_bpe,
     "op8_near_dedup": op8_near_dedup,
     "op10_quality_bayes": op10_quality_bayes,
 }
