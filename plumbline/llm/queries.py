@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import warc_zip
 from .bpe import op7_bpe
 from .decontaminate import op5_decontaminate
+from .kd_shards import op9_kd_shards
 from .licenses import op2_license_scan
 from .near_dedup import op8_near_dedup
 from .pii import op3_pii_crf
@@ -19,9 +21,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii_crf": op3_pii_crf,
     "op4_token_counts": op4_token_counts,
     "op5_decontaminate": op5_decontaminate,
+    "op6_warc_zip": warc_zip.op6_warc_zip,
     "op7_bpe": op7_bpe,
     "op8_near_dedup": op8_near_dedup,
+    "op9_kd_shards": op9_kd_shards,
     "op10_quality_bayes": op10_quality_bayes,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_zip": warc_zip.SQL,
+}
