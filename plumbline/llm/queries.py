@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc_zip
+from . import topk_search, warc_zip
 from .bpe import op7_bpe
 from .decontaminate import op5_decontaminate
 from .kd_shards import op9_kd_shards
@@ -17,6 +17,7 @@ from .quality import op10_quality_bayes
 from .token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": topk_search.op1_topk_search,
     "op2_license_scan": op2_license_scan,
     "op3_pii_crf": op3_pii_crf,
     "op4_token_counts": op4_token_counts,
@@ -29,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_topk_search": topk_search.SQL,
     "op6_warc_zip": warc_zip.SQL,
 }
