@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import quality
+from plumbline.llm import bpe, decontaminate, near_dedup, pii, quality
 from plumbline.llm.common import staged, table
 
 STAGES = [
     ("quality classifier", quality.stage),
+    ("near-duplicates", near_dedup.stage),
+    ("benchmark decontamination", decontaminate.stage),
+    ("personal data", pii.stage),
+    ("BPE", bpe.stage),
 ]
 
 #: Trained models and hashing decide; SQL cannot express the stages.
