@@ -1,0 +1,23 @@
+"""URL resolution for which Spark has no expression."""
+
+from __future__ import annotations
+
+from urllib.parse import urldefrag, urljoin
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+
+@F.pandas_udf("string")
+def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
+    """RFC 3986 resolution without the fragment; null where either is null or no URL comes of it."""
+
+    def one(b: str | None, h: str | None) -> str | None:
+        if b is None or h is None:
+            return None
+        try:
+            return urldefrag(urljoin(b, h))[0]
+        except ValueError:
+            return None
+
+    return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)], dtype=object)

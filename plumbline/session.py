@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -43,3 +44,20 @@ def ship(spark: SparkSession) -> None:
             archive.write(file, f"{root.name}/{file.relative_to(root).as_posix()}")
     sc.addPyFile(str(path))
     _shipped.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one is set only where the session has none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Write a table to the shared folder and read it back, so that loops keep a short lineage that
+    survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/plumbline/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
