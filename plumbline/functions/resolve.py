@@ -6,9 +6,10 @@ from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     """RFC 3986 resolution without the fragment; null where either is null or no URL comes of it."""
 
