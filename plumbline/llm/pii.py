@@ -461,7 +461,10 @@ def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     def written(column: str):
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(k) for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
