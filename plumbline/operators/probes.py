@@ -97,11 +97,15 @@ def suppressed_probes(probes: DataFrame, baselines: DataFrame) -> DataFrame:
 def blocklist_verdict(zone: Column, addresses: Column) -> Column:
     """clean, refused, advisory or listed; null addresses were never read; odd answers are no listing."""
     chain = F.when(addresses.isNull(), F.lit(None).cast("string")).when(F.size(addresses) == 0, "clean")
+
+    def answered(pattern: str) -> Column:
+        return F.exists(addresses, lambda a: a.rlike(pattern))
+
     for name, listed, advisory, refused in ZONES:
-        chain = chain.when((zone == name) & F.exists(addresses, lambda a, p=refused: a.rlike(p)), "refused")
+        chain = chain.when((zone == name) & answered(refused), "refused")
         if advisory:
-            chain = chain.when((zone == name) & F.exists(addresses, lambda a, p=advisory: a.rlike(p)), "advisory")
-        chain = chain.when((zone == name) & F.exists(addresses, lambda a, p=listed: a.rlike(p)), "listed")
+            chain = chain.when((zone == name) & answered(advisory), "advisory")
+        chain = chain.when((zone == name) & answered(listed), "listed")
     return chain.otherwise("refused")
 
 

@@ -71,6 +71,11 @@ def elements(html: Column, tag: str) -> Column:
     return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>"), F.lit(0))
 
 
+def insecure(html: Column, tag: str, name: str) -> Column:
+    """Values of an attribute that load something by plain http."""
+    return F.filter(F.transform(elements(html, tag), lambda e: attribute(e, name)), lambda v: F.coalesce(v, F.lit("")).startswith("http://"))
+
+
 def word_count(text: Column) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, " ")))
 
@@ -84,9 +89,7 @@ def page_records(pages: DataFrame) -> DataFrame:
     anchors = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*>.*?</a>"), F.lit(0)), lambda e: F.struct(attribute(e, "href").alias("href"), F.trim(F.regexp_replace(F.regexp_replace(e, r"(?s)<[^>]*>", ""), r"\s+", " ")).alias("anchor"), F.coalesce(attribute(e, "aria-label"), attribute(e, "title")).alias("label")))
     hrefs = F.transform(elements(html, "a"), lambda e: attribute(e, "href"))
     tel = F.filter(hrefs, lambda h: F.coalesce(h, F.lit("")).startswith("tel:"))
-    mixed = F.concat(
-        *[F.filter(F.transform(elements(html, t), lambda e, a=a: attribute(e, a)), lambda v: F.coalesce(v, F.lit("")).startswith("http://")) for t, a in (("img", "src"), ("script", "src"), ("iframe", "src"), ("link", "href"))]
-    )
+    mixed = F.concat(*[insecure(html, t, a) for t, a in (("img", "src"), ("script", "src"), ("iframe", "src"), ("link", "href"))])
     page = pages.select(
         F.col("site") if "site" in pages.columns else urls.bare_host(F.col("url")).alias("site"),
         F.col("page_id"),
