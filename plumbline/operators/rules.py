@@ -8,7 +8,7 @@ never the same as clean.  Hits: site, finding, severity, category, url, detail.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import urls
 from plumbline.functions.copy import copy_signals
 from plumbline.operators import links as L
+from plumbline.session import cut
 
 # Fixed values.
 TITLE_MIN, TITLE_MAX, DESC_MIN, DESC_MAX, THIN_WORDS, SLOW_MS, IMAGE_MAX_KB, OVERSIZED = 15, 60, 70, 160, 300, 1500, 180, 2.0
@@ -56,6 +57,11 @@ class Frames:
     expect_noindex: bool = False
     extra: dict[str, DataFrame] = field(default_factory=dict)
 
+    def staged(self) -> Frames:
+        """The same frames, written once and read by all rules."""
+        own = {f.name: getattr(self, f.name) for f in fields(self)}
+        return Frames(**{k: cut(v.drop("html"), k) if isinstance(v, DataFrame) else v for k, v in own.items()})
+
     @property
     def pages(self) -> DataFrame:
         return self.records.filter("is_page")

@@ -142,7 +142,7 @@ def all_findings(spark: SparkSession, d: str) -> DataFrame:
     f = rules.Frames(records, signals=signals, links=X.link_pages(spark, d), graph=g, link_status=links.with_verdicts(X.link_status(spark, d)), vitals=X.vitals(spark, d), images=X.images(spark, d), mail=mail.mail_records(X.mail_domains(spark, d), X.dns_answers(spark, d)), reputation=probes.reputation_grade(X.listings(spark, d)))
     f.schema_issues = structured.schema_issues(structured.jsonld_nodes(X.jsonld_records(spark, d)), structured.vocabulary(spark))
     f.robots = probes.robots_summary(X.robots_bodies(spark, d))
-    return rules.findings(rules.run(f))
+    return rules.findings(rules.run(f.staged()))
 
 
 # --- copy ------------------------------------------------------------------------------------------
