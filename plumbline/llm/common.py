@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from plumbline.session import ship
 
 #: Bytes of text that one numpy pass works on (its temporaries are some 30 times as large).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Bytes of one Arrow batch that Spark hands to Python; Spark's own default is 256 MB.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 8 << 20
 
 _U64 = np.uint64
 _BASE = _U64(0x9E3779B97F4A7C15)
