@@ -25,10 +25,10 @@ def text_feed(spark: SparkSession, path: str) -> DataFrame:
 
 def robots_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole robots.txt files: path, body, sitemaps."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"), sitemap_lines(F.col("value")).alias("sitemaps"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"), sitemap_lines(F.col("value")).alias("sitemaps"))
 
 
 def sitemap_files(spark: SparkSession, path: str) -> DataFrame:
     """Sitemaps, a file each: path, urls; an index's are further sitemaps."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").rlike(r"(?is)<(\w+:)?sitemapindex").alias("is_index"), sitemap_urls(F.col("value")).alias("urls"))
