@@ -1,0 +1,426 @@
+"""Each operator against brute force, the library it stands for, or planted cases, on small tables."""
+
+import hashlib
+import itertools
+import math
+import re
+import unicodedata
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from plumbline.llm import bpe, common, decontaminate, kd_shards, licenses, near_dedup, pii, quality, token_counts, topk_search, warc_zip
+
+DATA = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [(1, None, "en", None, None), (2, "", None, "a", 0), (3, "one", "en", "a", 3), (3, "one", "en", "a", 3), (4, "x " * 30_000, "en", "b", 60_000), (None, "no id here", "en", "b", 10), (5, "%%% ***", "en", "b", 7)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows, and columns that clash with those operators add."""
+    return spark.createDataFrame(ODD, DOCS).withColumns({c: F.lit("clash") for c in ("_verdict", "_e", "shard", "content", "class_id", "n_quality")})
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# --- words -----------------------------------------------------------------------------------------
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aB9é日 _-.\n😀", max_size=12), max_size=8), st.integers(1, 20))
+def test_word_law_and_hashes(texts, most):
+    law = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    want = [[w.encode() for w in law.findall(t.translate(fold))] for t in texts]
+    assert [common.words_of(t) for t in texts] == want
+    got = []
+    for _, _, raw, offsets in common.text_slices(pa.array(texts, pa.string()), most):
+        hashes, first = common.word_hashes(raw, offsets)
+        got += [hashes[a:b].tolist() for a, b in itertools.pairwise(first)]
+    assert got == [[common.hash_word(w) for w in words] for words in want]
+
+
+# --- 1 top-k ---------------------------------------------------------------------------------------
+
+
+def brute_bm25(docs, queries, k):
+    tf = [(i, Counter(common.words_of(t))) for i, t in docs]
+    n, mean = len(tf), sum(sum(c.values()) for _, c in tf) / max(len(tf), 1)
+    df = Counter(w for _, c in tf for w in c)
+    out = []
+    for q, text in queries:
+        words = sorted(set(common.words_of(text)))
+        scored = []
+        for i, c in tf:
+            s = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in words if w in c)
+            if s:
+                scored.append((-round(s, 6), i))
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k])]
+    return out
+
+
+def test_topk_matches_brute_force(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    asked = docs.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in topk_search.search(docs, asked).collect())
+    want = sorted(brute_bm25(rows, [(i, t) for i, t in rows if i % 50 == 0], 10))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert max(abs(g[3] - w[3]) for g, w in zip(got, want, strict=True)) < 2e-6
+
+
+def test_topk_odd(spark, odd, empty):
+    asked = odd.select(F.col("doc_id").alias("query_id"), "text")
+    assert {r.query_id for r in topk_search.search(odd, asked).collect()} == {3, 4}
+    assert topk_search.search(empty, asked).count() == 0
+    assert topk_search.search(odd, asked.limit(0)).count() == 0
+
+
+# --- 2 licenses ------------------------------------------------------------------------------------
+
+
+def test_license_templates():
+    scan = licenses.Scanner().scan
+    assert scan("Released under the MIT License.") == (5, [(1, 5, "mit")], [])
+    assert licenses.label_list(scan("This work is licensed under the GNU General Public License, version 3.")[2]) == "gpl-3"
+    assert licenses.label_list(scan("GNU General Public License as published by the Free Software Foundation, either version 2")[2]) == "gpl-2"
+    assert scan("GNU General Private License, version 3")[2] == []
+    assert licenses.label_list(scan("Copyright (c) 2020 Ana Lopez. All rights reserved.")[2]) == "all-rights-reserved"
+    assert scan("Copyright 1 2 3 4 5 6 7 8 all rights reserved")[2] == []
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c", "x"]), max_size=12))
+def test_automaton_against_regex(words):
+    template, pattern = "a <<optional>>b<<end>> <<any:2>> c", re.compile(r"a( b)?( \w){0,2} c(?= |$)")
+    automaton = licenses.compile_template("t", template)
+    coded = [w.encode() for w in words]
+    for i in range(len(words)):
+        text = " ".join(words[i:])
+        ends = [len(text[: m].split()) for m in range(1, len(text) + 1) if pattern.fullmatch(text[:m])]
+        assert automaton.longest(coded, i) == (i + max(ends) if ends else -1)
+
+
+def test_licenses_odd(odd, empty):
+    rows = licenses.scan_licenses(odd).collect()
+    assert len(rows) == len(ODD) and all(r.labels == "" and r.first_word is None for r in rows)
+    assert sorted(r.n_words for r in rows) == [0, 0, 0, 1, 1, 3, 30_000]
+    assert licenses.scan_licenses(empty).count() == 0
+
+
+# --- 3 personal data -------------------------------------------------------------------------------
+
+
+def plain_spans(text):
+    out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for kind, pattern, low, high in (("card", r"[0-9]([\x20-]?[0-9])+", 12, 19), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 9, 15)):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if low <= len(digits) <= high and (kind == "phone" or pii.luhn(digits)):
+                out.append((m.start(), m.end(), kind))
+    return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="0123456789.-+ ()@abé,", max_size=40))
+def test_patterns_match_plain_regexes(text):
+    assert pii.base_spans(text) == plain_spans(text)
+
+
+@pytest.fixture(scope="module")
+def crf():
+    return pii.train()
+
+
+def test_crf_held_out(crf):
+    cases = {"my ssn is 321-12-1234 ok": "id", "call (212) 555-9876 now": "phone", 'token = "cb1a9fee807a05366fcb8b6c95c7c565ede51a72" x': "secret", "paid with 4111.1111.1111.1111 yes": "card"}
+    for text, kind in cases.items():
+        assert [s[2] for s in pii.crf_spans([text], crf)[0]] == [kind], text
+    for clean in ("in 1999 (12) 300 pages", "number 9807915762804491 x", "12 (3) - 4", "no digits at all"):
+        assert pii.crf_spans([clean], crf)[0] == []
+
+
+def test_viterbi_is_the_best_path(crf):
+    rng = np.random.default_rng(1)
+    k = len(pii.LABELS)
+    runs = [rng.normal(size=(n, k)) * 3 for n in (1, 2, 3, 3)]
+    for run, path in zip(runs, crf.viterbi(runs), strict=True):
+
+        def value(p, run=run):
+            steps = [0, *p, 0]
+            return sum(crf.moves[a, b] for a, b in itertools.pairwise(steps)) + sum(run[i, y] for i, y in enumerate(p))
+
+        assert value(path) == pytest.approx(max(value(p) for p in itertools.product(range(k), repeat=len(run))))
+
+
+def test_pii_query_and_mask(spark, docs, odd, empty):
+    rows = {r.doc_id: r for r in pii.op3_pii_crf(spark, DATA).collect()}
+    for r in docs.collect():
+        base = plain_spans(r.text)
+        assert rows[r.doc_id].n_card == sum(s[2] == "card" for s in base)
+        assert rows[r.doc_id].base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        assert {f"{k}:{a}:{b}" for a, b, k in base} <= set(rows[r.doc_id].spans.split(","))
+    assert pii.masked("mail a@b.cd now", [(5, 11, "email")]) == "mail [EMAIL] now"
+    assert pii.find_pii(odd).count() == len(ODD) and pii.find_pii(empty).count() == 0
+
+
+# --- 4 token counts --------------------------------------------------------------------------------
+
+
+def test_token_counts_and_cache(spark, docs, odd, empty, tmp_path):
+    path, folder = token_counts.public_tokenizers.path(token_counts.PIECE_TOKENIZER), f"file://{tmp_path}/cache"
+    rows = {r.doc_id: r for r in token_counts.token_counts(docs, cache_path=folder).collect()}
+    texts = docs.collect()
+    assert [rows[r.doc_id].n_tokens for r in texts] == token_counts.count_tokens(path, [r.text for r in texts])
+    assert all(rows[r.doc_id].n_bytes == len(r.text.encode()) for r in texts)
+    before = spark.read.parquet(folder).count()
+    assert before == len({r.text for r in texts})
+    token_counts.token_counts(docs, cache_path=folder)
+    assert spark.read.parquet(folder).count() == before
+    assert Counter(r.n_tokens for r in token_counts.token_counts(odd).collect())[0] == 2
+    assert token_counts.token_counts(empty).count() == 0
+
+
+# --- 5 decontamination -----------------------------------------------------------------------------
+
+
+def test_masks_find_every_window():
+    for pair in itertools.combinations(range(decontaminate.WINDOW), 2):
+        assert any(all(at + i not in pair for i, used in enumerate(mask) if used == "1") for mask in decontaminate.MASKS for at in range(decontaminate.WINDOW - len(mask) + 1)), pair
+
+
+def brute_leaks(docs, items):
+    out = set()
+    for (d, text), (i, item) in itertools.product(docs, items):
+        a, b = common.words_of((text or "").lower()), common.words_of((item or "").lower())
+        width = min(13, len(b))
+        least = width if len(b) < 13 else 11
+        if len(b) >= 8 and any(sum(x == y for x, y in zip(a[p : p + width], b[q : q + width], strict=False)) >= least for q in range(len(b) - width + 1) for p in range(len(a) - width + 1)):
+            out.add((d, i))
+    return out
+
+
+def test_leaks_match_brute_force(spark, docs):
+    rng = np.random.default_rng(5)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 400, n))) for i, n in enumerate((40, 25, 13, 9, 5))]
+    rows = [(100 + i, f"before {t} after") for i, t in items]
+    for i, t in items:
+        words = t.split()
+        for n, wrong in enumerate(rng.integers(0, len(words), (6, 3))):
+            rows.append((1000 + 10 * i + n, "lead in " + " ".join("zzz" if j in wrong[: 1 + n % 3] else w for j, w in enumerate(words)) + " lead out"))
+    frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(rows, items)
+    for seeds in (10**6, 0):
+        got = decontaminate.leaks(frame, bench, seeds).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want
+    assert len(want) > 12
+
+
+def test_leaks_odd(spark, odd, empty):
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 20), (None, "x " * 20)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(odd, bench).collect()} == {(4, 3)}
+    assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(odd, bench.limit(0)).count() == 0
+
+
+# --- 6 WARC ----------------------------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "u", None), (None, "v", "x" * 2000), (3, "w", "x" * 2000), (4, None, "x" * 2000), (4, None, "x" * 2000), (5, "z", "é" * 10), (6, "z", "é" * 10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    got = warc_zip.read_packages(warc_zip.write_packages(pages)).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == Counter({(1, "response", None): 1, (None, "revisit", 4): 1, (3, "revisit", 4): 1, (4, "response", None): 2, (5, "response", None): 1, (6, "response", None): 1})
+    assert all(bytes(r.payload).decode() == next(h or "" for i, _, h in rows if i == r.page_id) for r in got if r.payload is not None)
+    assert warc_zip.read_packages(warc_zip.write_packages(pages.limit(0))).count() == 0
+
+
+def test_zip64_directory(tmp_path):
+    import io
+    import struct
+    import zipfile
+
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/a", b"payload")
+        z.writestr(zipfile.ZipInfo("deflated"), b"x" * 100, zipfile.ZIP_DEFLATED)
+    raw = body.getvalue()
+    end = raw.rfind(b"PK\x05\x06")
+    count, length, at = struct.unpack_from("<HII", raw, end + 10)
+    wide = struct.pack("<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, count, count, length, at) + struct.pack("<4sIQI", b"PK\x06\x07", 0, end, 1)
+    raw64 = raw[:end] + wide + raw[end : end + 8] + struct.pack("<HHII", 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF) + raw[end + 20 :]
+    for data in (raw, raw64):
+        found = warc_zip.members(io.BytesIO(data), len(data))
+        assert list(found) == ["archive/a"]
+        begin, size = found["archive/a"]
+        assert data[begin : begin + size] == b"payload"
+
+
+# --- 7 BPE -----------------------------------------------------------------------------------------
+
+
+def test_bpe_matches_the_library(docs):
+    from tokenizers import Tokenizer
+
+    path = bpe.tokenizer_path(bpe.WORD_TOKENIZER)
+    mine, library = bpe.word_bpe(path), Tokenizer.from_file(path)
+    texts = [r.text for r in docs.limit(60).collect()] + ["", "Hello <|endoftext|>it's", "ΑΣ ΣΑΣ İstanbul ẞ", "a\x1cb\x85c", "²Ⅷ 12", "don't 'S", "x" * 300, "ab" * 3000, "日本語", "<|endof", "é", unicodedata.normalize("NFD", "éàü")]
+    ids, ends = mine.encode(texts)
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+    for own, text, want in zip(lists.to_pylist(), mine.decode(lists).to_pylist(), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own == want.ids and text == library.decode(want.ids, skip_special_tokens=False)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abcdeinorst", min_size=1, max_size=90))
+def test_array_and_heap_agree(word):
+    own = bpe.word_bpe(bpe.tokenizer_path(bpe.WORD_TOKENIZER))
+    parts = [*(own.inner[b] for b in word.encode()[:-1]), own.final[word.encode()[-1]]]
+    assert own._by_array(list(parts)) == own._by_heap(list(parts))
+
+
+def test_bpe_odd(odd, empty):
+    assert sorted(r.n_tokens for r in bpe.digests(bpe.encode_documents(odd)).collect())[:2] == [0, 0]
+    assert bpe.encode_documents(empty).count() == 0
+
+
+# --- 8 near-duplicates -----------------------------------------------------------------------------
+
+
+def brute_classes(rows):
+    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if (w := common.words_of(t)) else frozenset() for i, t in rows}
+    owner = {i: i for i in sets}
+
+    def root(x):
+        while owner[x] != x:
+            x = owner[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        x, y = sets[a], sets[b]
+        if x and y and len(x & y) >= 0.8 * len(x | y) and root(a) != root(b):
+            owner[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in sets}
+
+
+def test_classes_match_brute_force(spark, docs):
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    for n in range(40):  # a group around one text, near and far
+        words = list(base)
+        for j in rng.integers(0, len(words), n % 8):
+            words[j] = f"n{n}x{j}"
+        rows.append((10_000 + n, " ".join(words)))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_probminhash_estimates_probability_jaccard():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(1, 2**63, 300, dtype=np.uint64)
+    a, b = dict(zip(ids[:200].tolist(), rng.uniform(1, 4, 200), strict=True)), dict(zip(ids[60:300].tolist(), rng.uniform(1, 4, 240), strict=True))
+    element = np.array([*a, *b], np.uint64)
+    doc, weight = np.repeat([0, 1], [len(a), len(b)]), np.array([*a.values(), *b.values()])
+    signatures = near_dedup.probminhash(element, doc, weight, 2, 4096)
+    exact = sum(1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in {*a, *b}) for d in a.keys() & b.keys())
+    assert (signatures[0] == signatures[1]).mean() == pytest.approx(exact, abs=0.04)
+
+
+def test_near_duplicates_odd(odd, empty):
+    got = Counter((r.doc_id, r.class_id) for r in near_dedup.near_duplicates(odd).collect())
+    assert got == Counter({(1, 1): 1, (2, 2): 1, (3, 3): 2, (4, 4): 1, (5, 5): 1, (None, None): 1})
+    assert near_dedup.near_duplicates(empty).count() == 0
+    kept = near_dedup.stage(odd.sparkSession, odd, DATA)
+    assert kept.count() == 6 and kept.columns == odd.columns
+
+
+# --- 9 shards --------------------------------------------------------------------------------------
+
+
+def test_shards_are_even_and_gapless(spark, docs):
+    many = docs.crossJoin(spark.range(6)).select((F.col("doc_id") * 6 + F.col("id")).alias("doc_id"), "text", "lang")  # copies, a sixth of a group each
+    rows = kd_shards.kd_shards(many).collect()
+    size = defaultdict(int)
+    slots = defaultdict(list)
+    for r in rows:
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    mean = sum(size.values()) / 24
+    assert len(size) == 24 and max(size.values()) - mean <= max(r.size for r in rows)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    texts = {r.doc_id: r.text for r in many.collect()}
+    assert all(r.size == len(texts[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
+
+
+def test_shards_odd(odd, empty):
+    rows = kd_shards.kd_shards(odd, 3).collect()
+    assert len(rows) == len(ODD) and Counter(r.size for r in rows)[8] == 2
+    assert kd_shards.kd_shards(empty, 3).count() == 0
+
+
+# --- 10 quality ------------------------------------------------------------------------------------
+
+
+def test_quality_held_out(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = quality.classify(docs, labels.filter("doc_id % 2 = 0")).select("doc_id", "_verdict.keep").join(labels.filter("doc_id % 2 = 1"), "doc_id").toPandas()
+    good = (got.quality == 1) & (got.toxic == 0)
+    assert got.keep[good].mean() > 0.99 and got.keep[~good].mean() < 0.1
+
+
+def test_quality_odd(spark, odd, empty):
+    labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int")
+    own = odd.drop("_verdict", "_e")
+    assert quality.classify(own, labels).count() == len(ODD) and quality.classify(own, labels.limit(0)).count() == len(ODD)
+    assert quality.classify(empty, labels).count() == 0
+
+
+def test_sparse_sites_shrink_to_the_prior(spark):
+    rows = [("big", "p", 0.05, 0.5)] * 400 + [("good", "p", 0.9, 0.5)] * 400 + [("tiny", "p", 0.05, 0.5)]
+    got = {r._host: r for r in quality.site_posteriors(spark.createDataFrame(rows, "_host string, _path string, p_quality double, p_toxic double")).collect()}
+    assert got["big"].site_quality < 0.1 < got["tiny"].site_quality
+    assert got["tiny"].shift_quality > got["big"].shift_quality
+
+
+# --- pipeline --------------------------------------------------------------------------------------
+
+
+def test_pipeline_decisions(spark, docs):
+    import corpus_pipeline
+
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    out = docs
+    names = []
+    for name, stage in corpus_pipeline.STAGES:
+        before = out
+        out = common.staged(stage(spark, out, DATA), "test")
+        names.append(name)
+        assert {r.doc_id for r in out.select("doc_id").collect()} <= {r.doc_id for r in before.select("doc_id").collect()}
+        if name != names[-1] or len(names) < len(corpus_pipeline.STAGES):
+            assert out.columns == docs.columns
+        if name == "near-duplicates":
+            kept = [r.text for r in out.collect()]
+            assert len(kept) == len(set(kept)) == len({c for i, c in brute_classes([(r.doc_id, r.text) for r in before.collect()]).items()})
+        if name == "benchmark decontamination":
+            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+            assert brute_leaks([(r.doc_id, r.text) for r in out.collect()], items) == set()
+        if name == "personal data":
+            assert all(not pii.base_spans(r.text) for r in out.collect())
+    assert len(names) == 5 and set(out.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+    assert rows
