@@ -11,7 +11,7 @@ from plumbline.functions import images as I
 from plumbline.functions import scoring as S
 from plumbline.functions import urls as U
 from plumbline.functions.copy import copy_signals
-from plumbline.operators import blocks, corpus, graph, links, mail, probes, rules, scores, structured
+from plumbline.operators import blocks, corpus, crawl, graph, links, mail, probes, rules, scores, structured
 from plumbline.operators import vitals as lab
 from plumbline.operators.records import page_links
 from plumbline.plans import frames as X
@@ -496,3 +496,44 @@ def anti_join_targets(spark: SparkSession, d: str) -> DataFrame:
     """Targets that were not read yet."""
     seen = parquet(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("custkey"))
     return parquet(spark, d, "orders").select(F.col("o_custkey").alias("custkey")).distinct().join(seen, "custkey", "left_anti")
+
+
+# --- crawl -----------------------------------------------------------------------------------------
+
+
+@query(_BFS + ", inb AS (SELECT nodes.url, count(dst) AS inbound FROM nodes LEFT JOIN pairs ON dst = nodes.url GROUP BY ALL), r AS (SELECT url, row_number() OVER (ORDER BY url = (SELECT url FROM home) DESC, inbound DESC, url) AS rank FROM inb) SELECT url, rank FROM r WHERE rank <= 6")
+def picked_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Home page and the most linked pages."""
+    counts = graph.inbound_counts(X.graph_nodes(spark, d), X.graph_edges(spark, d))
+    return crawl.pick_pages(counts, X.graph_home(spark, d)).select("url", F.col("rank").cast("long").alias("rank"))
+
+
+@query(_BFS + " SELECT url, CASE WHEN depth = 0 THEN 'sitemap' ELSE 'link' END AS found, depth AS round FROM depths")
+def frontier_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Crawl loop: pages found by links, round by round; no site reaches the limit here."""
+    out = crawl.expand_frontier(X.graph_home(spark, d), X.graph_nodes(spark, d), X.graph_edges(spark, d), max_pages=1_000_000_000)
+    return out.select("url", "found", F.col("round").cast("long").alias("round"))
+
+
+@query("WITH {edges}, p AS (SELECT DISTINCT src, dst, anchor = 'N' AS body FROM edges WHERE src <> dst) SELECT dst AS url, count(DISTINCT src) AS inbound_all FROM p GROUP BY ALL HAVING count(*) FILTER (body) = 0")
+def nav_only_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that menus alone link to; the anchor column tells body from chrome."""
+    edges = X.graph_edges(spark, d).withColumn("region", F.when(F.col("anchor") == "N", "body").otherwise("chrome"))
+    return crawl.nav_only(edges).select("url", "inbound_all")
+
+
+@query("SELECT l_orderkey AS page, round(sum(l_extendedprice), 4) AS total, round(sum(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END), 4) AS a FROM lineitem GROUP BY ALL")
+def resource_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of a page by resource type."""
+    rows = parquet(spark, d, "lineitem").select(F.lit("s").alias("site"), F.col("l_orderkey").alias("url"), F.col("l_returnflag").alias("type"), F.col("l_extendedprice").alias("bytes"))
+    return crawl.resource_bytes(rows).select(F.col("url").alias("page"), F.round("total", 4).alias("total"), F.round(F.col("by_type")["A"], 4).alias("a"))
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'https://e.com/author/u' || event_id || '/' ELSE 'https://e.com/' END AS final_url, CASE WHEN event_id % 5 = 0 THEN 404 ELSE 200 END AS status, coalesce(value, 0) * 100 AS bytes FROM events)
+SELECT event_id, CASE WHEN final_url LIKE '%/author/%' THEN 'confirmed' WHEN status = 200 AND NOT (bytes > 0 AND abs(bytes - 3000) <= 512) THEN 'unclear' ELSE 'no evidence' END AS verdict FROM e""")
+def author_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """User-enumeration probes."""
+    e = F.col("event_id")
+    final = F.when(e % 3 == 0, F.concat(F.lit("https://e.com/author/u"), e.cast("string"), F.lit("/"))).otherwise("https://e.com/")
+    verdict = crawl.author_verdict(F.when(e % 5 == 0, 404).otherwise(200), final, F.coalesce("value", F.lit(0.0)) * 100, F.lit(""), F.lit(3000.0), F.lit("Home"))
+    return parquet(spark, d, "events").select("event_id", verdict.alias("verdict"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import copy, images, scoring, urls
-from plumbline.operators import blocks, graph, links, mail, probes, rules, scores, structured, vitals
+from plumbline.operators import blocks, crawl, graph, links, mail, probes, rules, scores, structured, vitals
 from plumbline.operators.records import page_records
 from plumbline.plans import catalog
 from plumbline.sources import sinks, tables
@@ -157,6 +157,18 @@ def test_streaming(spark, tmp_path):
     assert found.count(("MET-01", "https://e.com/b")) == 1 and found.count(("CNT-09", "https://e.com/a")) == 1
 
 
+def test_crawl(spark):
+    seeds, pages = (spark.createDataFrame([("s", u) for u in us], "site string, url string") for us in (["https://s/a/"], [f"https://s/{c}/" for c in "abcd"]))
+    edges = spark.createDataFrame([("s", f"https://s/{a}/", f"https://s/{b}/") for a, b in ("ab", "bc", "cd", "ax")], "site string, src string, dst string")
+    got = {(r.url[-2], r.found, r["round"]) for r in crawl.expand_frontier(seeds, pages, edges, max_pages=3).collect()}
+    assert got == {("a", "sitemap", 0), ("b", "link", 1), ("c", "link", 2)}
+    records = spark.createDataFrame([("s", None, None, n) for n in (True, True, True)] + [("t", 200, True, n) for n in (True, True, False)], "site string, status int, is_html boolean, noindex boolean")
+    assert [r.site for r in crawl.staging_sites(records).collect()] == ["s"]
+    body = '{"data":{"attributes":{"last_analysis_stats":{"malicious":1},"last_analysis_results":{"B":{"category":"malicious","result":"x"},"A":{"category":"harmless","result":"clean"}},"reputation":-3}}}'
+    r = crawl.vendor_report(spark.createDataFrame([("h", 200, body), ("g", 404, None)], "host string, status int, body string")).filter("host = 'h'").first()
+    assert (r.engines, r.malicious, [v.vendor for v in r.verdicts], r.reputation) == (2, 1, ["B"], -3)
+
+
 def test_first_wins_and_round_robin(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "g string, n int")
     assert sorted(r.n for r in links.first_wins(rows, ["g"], ["n"]).collect()) == [1, 3]
