@@ -8,9 +8,11 @@ latest kept one.  Two documents agree in a component with their probability Jacc
 Documents of equal words are one class from the start, and only one of them goes on.  Bands of equal
 components make buckets.  Every member of a bucket is first verified against the bucket's smallest
 document, so a group of copies costs its size and not its square; connected components of these links
-are the first classes.  Only pairs of a bucket that still lie in different classes are then verified
-one by one, so that no link of a bucket is lost.  A link is a Jaccard similarity of the sets of
-shingles of at least the threshold.
+are the first classes.  Pairs of a bucket that still lie in different classes are then compared by all
+components of their signatures (four bits each, within the join), and those whose estimate is not far
+below the threshold are verified one by one, each pair once.  A link is a Jaccard similarity of the
+sets of shingles of at least the threshold; at a similarity of 0.8 the estimate turns a pair away with
+a chance of 2e-5.
 
 Defined results: a text of one to four words is one shingle; texts without words are classes of equal
 texts; null and empty texts are each a class of their own; rows that share a doc_id share a class;
@@ -23,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mix, prepare, staged, table, text_slices, texts_of, windows_of, word_hashes
@@ -33,6 +35,11 @@ THRESHOLD = 0.8
 #: At a similarity of 0.8 a pair shares none of 28 bands of 5 with a chance of 1.5e-5.
 BANDS = 28
 BAND_ROWS = 5
+#: Components of a signature; the bands use the first of them, the estimate all.
+COMPONENTS = 288
+#: Pairs with a lower estimate are not verified.
+LEAST_ESTIMATE = 0.7
+_PER_LONG = 16
 
 _U64 = np.uint64
 _STEP = _U64(0xD1B54A32D192ED03)
@@ -84,16 +91,34 @@ def bands_of(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def prints_of(signatures: np.ndarray) -> np.ndarray:
+    """Four bits of each component, sixteen components to a long."""
+    bits = (mix(signatures) >> _U64(60)).reshape(len(signatures), signatures.shape[1] // _PER_LONG, _PER_LONG)
+    return np.bitwise_or.reduce(bits << (_U64(4) * np.arange(_PER_LONG, dtype=_U64)), axis=2)
+
+
+def differing(left: str, right: str, longs: int) -> Column:
+    """How many components two arrays of prints tell apart."""
+    total = F.lit(0)
+    for i in range(longs):
+        x = F.col(left)[i].bitwiseXOR(F.col(right)[i])
+        y = x.bitwiseOR(F.shiftright(x, 1))
+        total += F.bit_count(y.bitwiseOR(F.shiftright(y, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
 def sketches(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
-    """doc_id, word_key (equal for equal words; null for empty texts), buckets (none without words)."""
+    """doc_id, word_key (equal for equal words; null for empty texts), buckets and prints (none without
+    words)."""
 
     def make(batches):
         for batch in batches:
             for at, to, raw, offsets in text_slices(batch["text"]):
                 hashes, first = word_hashes(raw, offsets)
                 element, doc, weight = weighted_shingles(hashes, first, k)
-                buckets = bands_of(probminhash(element, doc, weight, to - at, bands * rows), bands, rows).view(np.int64)
+                signatures = probminhash(element, doc, weight, to - at, COMPONENTS)
                 n_words = np.diff(first)
+                signatures = signatures[n_words > 0]
                 keys: list[bytes | None] = []
                 for i in range(to - at):
                     if n_words[i]:
@@ -102,11 +127,13 @@ def sketches(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
                         keys.append(hashlib.blake2b(raw[offsets[i] : offsets[i + 1]].tobytes(), digest_size=15).digest())
                     else:
                         keys.append(None)
-                ends = np.concatenate([[0], np.cumsum(np.where(n_words > 0, bands, 0))])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(buckets[n_words > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][at:to], pa.array(keys, pa.binary()), lists], names=["doc_id", "word_key", "buckets"])
+                lists = []
+                for values in (bands_of(signatures, bands, rows), prints_of(signatures)):
+                    ends = np.concatenate([[0], np.cumsum(np.where(n_words > 0, values.shape[1], 0))])
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64).ravel())))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][at:to], pa.array(keys, pa.binary()), *lists], names=["doc_id", "word_key", "buckets", "prints"])
 
-    return docs.mapInArrow(make, "doc_id long, word_key binary, buckets array<long>")
+    return docs.mapInArrow(make, "doc_id long, word_key binary, buckets array<long>, prints array<long>")
 
 
 def jaccard(left: pa.Array, right: pa.Array, k: int) -> np.ndarray:
@@ -178,9 +205,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
 
     placed = members.join(classes.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("class", "doc_id").alias("class"))
     split = placed.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most").select("bucket")
-    placed = staged(placed.join(split, "bucket", "left_semi").distinct(), "placed")
-    other = placed.select("bucket", F.col("doc_id").alias("b"), F.col("class").alias("class_b"))
-    rest = placed.select("bucket", F.col("doc_id").alias("a"), F.col("class").alias("class_a")).join(other, "bucket").filter("class_a <> class_b and a < b").select("a", "b").distinct()
+    placed = staged(placed.join(split, "bucket", "left_semi").distinct().join(keyed.select("doc_id", "buckets", "prints"), "doc_id"), "placed")
+    left, right = (placed.select("bucket", F.col("doc_id").alias(n), F.col("class").alias(f"class_{n}"), F.col("buckets").alias(f"buckets_{n}"), F.col("prints").alias(f"prints_{n}")) for n in "ab")
+    # 15 of 16 components that differ show it in their bits; of a pair's buckets the least one decides
+    most = int(COMPONENTS * (1 - LEAST_ESTIMATE * threshold / THRESHOLD) * 15 / 16)
+    near = (F.col("class_a") != F.col("class_b")) & (F.col("a") < F.col("b")) & (differing("prints_a", "prints_b", COMPONENTS // _PER_LONG) <= most)
+    first = left["bucket"] == F.array_min(F.array_intersect("buckets_a", "buckets_b"))
+    rest = left.join(right, (left["bucket"] == right["bucket"]) & near & first).select("a", "b").distinct()
     rest = staged(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     more = staged(verified(rest, texts, threshold, k), "rest-links")
     if not more.isEmpty():
@@ -189,7 +220,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     if not same_id.isEmpty():  # one doc_id with several texts
         one = links.union(more).union(copies.filter("doc_id <> owner").select("owner", "doc_id"))
         classes = components(one, "classes")
-    return copies.join(classes.withColumnRenamed("doc", "owner"), "owner", "left").select("doc_id", F.coalesce("class", "owner").alias("class_id"))
+    return copies.join(classes.withColumnRenamed("doc", "owner"), "owner", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "owner")).alias("class_id"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
