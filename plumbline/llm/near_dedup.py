@@ -227,9 +227,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the document with the smallest doc_id of each class stays; of rows that repeat
     a doc_id one stays; rows without doc_id stay."""
     gone = staged(near_duplicates(docs).filter("doc_id <> class_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1 or doc_id is null").select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one_each = kept.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*columns)
+    return one_each.unionByName(docs.filter("doc_id is null").select(*columns))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
