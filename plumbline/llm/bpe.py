@@ -19,6 +19,7 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 from functools import cache
 
 import numpy as np
@@ -28,12 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, prepare, table, texts_of
+from .common import SLICE_BYTES, prepare, table, texts_of, trim
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 SHORT_WORD = 64
 #: Distinct words a task remembers before it starts anew.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 150_000
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _NONE = sys.maxsize
 # Letters, numbers and lower-case forms that the tokenizers library's Unicode version has
@@ -74,10 +75,10 @@ class WordIndex(dict):
 
     def __init__(self, encode):
         super().__init__()
-        self._encode, self._ids, self._ends, self._arrays = encode, [], [0], None
+        self._encode, self._ids, self._ends, self._arrays = encode, array("i"), array("q", [0]), None
 
     def __missing__(self, word: str) -> int:
-        self._ids += self._encode(word)
+        self._ids.extend(self._encode(word))
         self._ends.append(len(self._ids))
         self[word] = n = len(self._ends) - 2
         self._arrays = None
@@ -232,6 +233,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, decode: bool = Tr
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 decoded = bpe.decode(lists) if decode else pa.nulls(to - at, pa.string())
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][at:to], lists, decoded], names=["doc_id", "ids", "decoded"])
+            trim()
 
     return texts_of(docs).mapInArrow(encode, "doc_id long, ids array<int>, decoded string")
 

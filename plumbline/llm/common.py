@@ -7,6 +7,8 @@ code points from U+0080 on.  The law works on UTF-8 bytes, since every byte of s
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -202,6 +204,14 @@ def _fold(hashes: np.ndarray) -> int:
     return int(value[0])
 
 
+def trim() -> None:
+    """Give memory that a task or batch no longer needs back to the system: Python workers live on
+    beside the executor's heap and serve later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def local_path(uri: str) -> str:
     """file:// URI -> path, for files that a parameter names (tokenizers)."""
     return uri.removeprefix("file://") if uri.startswith("file:") else os.fspath(uri)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, prepare, staged, table, text_slices, texts_of, word_hashes
+from .common import mix, prepare, staged, table, text_slices, texts_of, trim, word_hashes
 
 MASKS = ("11110111", "11001001111", "11111101")
 SHORT_MASK = "11111111"
@@ -219,6 +219,7 @@ def leaking(index: _Index) -> Column:
         out = np.zeros(len(texts), bool)
         for row in index.matches(texts.fill_null("")):
             out[row[0]] = True
+        trim()
         return pa.array(out)
 
     return flag(F.lower("text"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, prepare, staged, table, text_slices, texts_of, windows_of, word_hashes
+from .common import mix, prepare, staged, table, text_slices, texts_of, trim, windows_of, word_hashes
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -132,6 +132,7 @@ def sketches(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
                     ends = np.concatenate([[0], np.cumsum(np.where(n_words > 0, values.shape[1], 0))])
                     lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64).ravel())))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][at:to], pa.array(keys, pa.binary()), *lists], names=["doc_id", "word_key", "buckets", "prints"])
+            trim()
 
     return docs.mapInArrow(make, "doc_id long, word_key binary, buckets array<long>, prints array<long>")
 
@@ -161,7 +162,9 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, k: int) -> Dat
 
     @F.arrow_udf("double")
     def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
-        return pa.array(jaccard(left, right, k))
+        out = pa.array(jaccard(left, right, k))
+        trim()
+        return out
 
     joined = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("_left")), "a").join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("_right")), "b")
     return joined.filter(similarity("_left", "_right") >= threshold).select("a", "b").distinct()

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import WORD_BYTE, mix, power_tables, prepare, staged, table, text_slices, texts_of, word_hashes, word_spans
+from .common import WORD_BYTE, mix, power_tables, prepare, staged, table, text_slices, texts_of, trim, word_hashes, word_spans
 
 #: Hashed word features; the shape measures follow them.
 BUCKETS = 1 << 17
@@ -121,7 +121,7 @@ def _association(feature: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndar
     n, pos = len(y), y.sum()
     size = BUCKETS * len(LEVELS)
     seen = np.bincount(feature, minlength=size).astype(float)
-    hit = np.bincount(feature, weights=y[doc], minlength=size)
+    hit = np.bincount(feature[(y > 0)[doc]], minlength=size).astype(float)
 
     def part(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-9) / np.maximum(expected, 1e-9)), 0)
@@ -141,10 +141,10 @@ def fit_head(doc: np.ndarray, feature: np.ndarray, shapes: np.ndarray, y: np.nda
     chosen = np.argsort(-g, kind="stable")[:MAX_FEATURES]
     chosen = np.sort(chosen[g[chosen] > 10])
     x = np.zeros((n, len(chosen) + SHAPES + 1), np.float32)
-    at = np.minimum(np.searchsorted(chosen, feature), max(len(chosen) - 1, 0))
-    if len(chosen):
-        hit = chosen[at] == feature
-        x[doc[hit], at[hit]] = 1
+    column = np.full(BUCKETS * len(LEVELS), -1, np.int16)
+    column[chosen] = np.arange(len(chosen))
+    at = column[feature]
+    x[doc[at >= 0], at[at >= 0]] = 1
     x[:, len(chosen) : -1], x[:, -1] = shapes, 1
     w = np.zeros(x.shape[1])
     w[-1] = bias
@@ -169,6 +169,7 @@ def log_odds(texts: pa.Array, heads: tuple[Head, ...]) -> list[np.ndarray]:
         doc, feature = word_levels(raw, offsets, wanted)
         for o, h in zip(out, heads, strict=True):
             o[at:to] = h.log_odds(doc, feature, shapes)
+    trim()
     return out
 
 
@@ -203,10 +204,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     if not n:
         none = np.zeros(0, np.int64)
         return tuple(fit_head(none, none, np.zeros((0, SHAPES)), np.zeros(0)) for _ in range(2))
-    doc = np.repeat(np.arange(n), [len(x) for x in rows["feature"]])
-    bucket = np.asarray(rows["feature"].combine_chunks().flatten())
+    lists = rows["feature"].combine_chunks()
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(lists.offsets))
+    feature = np.asarray(lists.flatten())
     shapes = np.asarray(rows["shapes"].combine_chunks().flatten()).reshape(n, SHAPES)
-    return tuple(fit_head(doc, bucket, shapes, np.nan_to_num(np.asarray(rows[y].to_numpy(), float))) for y in ("quality", "toxic"))
+    return tuple(fit_head(doc, feature, shapes, np.nan_to_num(np.asarray(rows[y].to_numpy(), float))) for y in ("quality", "toxic"))
 
 
 def evidence(heads: tuple[Head, Head]):
