@@ -1,6 +1,8 @@
 """Near-duplicates by ProbMinHash.
 
-A document is the weighted set of its shingles (five words; weight 1 + ln(times found)).  ProbMinHash
+A document is the set of its shingles (five words).  A link is defined over sets, so every shingle weighs
+1 however often it is found: the probability Jaccard similarity that ProbMinHash estimates is then the
+Jaccard similarity itself, and copies that repeat passages unequally are candidates like any.  ProbMinHash
 lets every shingle arrive by a Poisson process of its weight, each arrival at a random component; a
 component keeps its earliest shingle, and a shingle is done once its next arrival comes after the
 latest kept one.  Two documents agree in a component with their probability Jaccard similarity.
@@ -45,11 +47,11 @@ _U64 = np.uint64
 _STEP = _U64(0xD1B54A32D192ED03)
 
 
-def weighted_shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles: hash, text, weight."""
+def distinct_shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles: hash, text."""
     shingle, doc = windows_of(hashes, first, k)
-    _, at, count = np.unique(mix(shingle + doc.astype(_U64) * _STEP), return_index=True, return_counts=True)
-    return shingle[at], doc[at], 1 + np.log(count)
+    _, at = np.unique(mix(shingle + doc.astype(_U64) * _STEP), return_index=True)
+    return shingle[at], doc[at]
 
 
 def probminhash(element: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -115,8 +117,8 @@ def sketches(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
         for batch in batches:
             for at, to, raw, offsets in text_slices(batch["text"]):
                 hashes, first = word_hashes(raw, offsets)
-                element, doc, weight = weighted_shingles(hashes, first, k)
-                signatures = probminhash(element, doc, weight, to - at, COMPONENTS)
+                element, doc = distinct_shingles(hashes, first, k)
+                signatures = probminhash(element, doc, np.ones(len(element)), to - at, COMPONENTS)
                 n_words = np.diff(first)
                 signatures = signatures[n_words > 0]
                 keys: list[bytes | None] = []
@@ -143,7 +145,7 @@ def jaccard(left: pa.Array, right: pa.Array, k: int) -> np.ndarray:
     for texts in (left, right):
         own: list[np.ndarray] = []
         for at, to, raw, offsets in text_slices(texts):
-            shingle, doc, _ = weighted_shingles(*word_hashes(raw, offsets), k)
+            shingle, doc = distinct_shingles(*word_hashes(raw, offsets), k)
             order = np.lexsort((shingle, doc))
             own += np.split(shingle[order], np.searchsorted(doc[order], np.arange(1, to - at)))
         sets.append(own)

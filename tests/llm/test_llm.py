@@ -330,6 +330,18 @@ def test_classes_match_brute_force(spark, docs):
     assert got == brute_classes(rows)
 
 
+def test_near_copies_that_repeat_a_passage_unequally(spark):
+    rows = []
+    for n in range(60):  # a quarter of the shingles stand once in one text and a hundred times in the other
+        words = [f"d{n}x{j}" for j in range(200)]
+        changed = [f"new{n}" if j in (40, 90) else w for j, w in enumerate(words)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(changed + words[150:] * 99))]
+    want = {i: i - i % 2 for i, _ in rows}
+    assert brute_classes(rows) == want
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(2)
     ids = rng.integers(1, 2**63, 300, dtype=np.uint64)
