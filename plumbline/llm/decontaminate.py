@@ -6,8 +6,11 @@ word by word on that alignment.  A document leaks an item if some window of WIND
 the item meets at least SIMILARITY of equal words.  The masks find every such window: each way to
 substitute two of 13 words leaves one placement of one mask whole (a test goes through all 78).
 
-Items of 8 to 12 words have to stand in the document as they are; shorter items cannot be told from
-chance and are left out.
+Items of 8 to 12 words are one window of their own length and need the same share of equal words: one
+substitution for 8 and 9 words, two for 10 to 12.  Their masks cut the item into two blocks more than it
+may have substitutions and use two whole blocks, so some mask is always left whole.  Items of fewer than 8
+words have to stand as they are.  The query and the stage judge items so (short=True); leaks() by itself
+takes items of 8 to 12 words as they are and leaves shorter ones out.
 
 The seeds of a benchmark of at most BROADCAST_SEEDS go to all tasks (their number is counted first) and
 are looked up in one pass over the texts.  Beyond that both sides' seeds are shuffled and joined.
@@ -19,6 +22,8 @@ give repeated rows; an empty table on either side gives an empty table.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,10 +32,10 @@ from pyspark.sql import functions as F
 from .common import mix, prepare, staged, table, text_slices, texts_of, trim, word_hashes
 
 MASKS = ("11110111", "11001001111", "11111101")
-SHORT_MASK = "11111111"
 WINDOW = 13
 SIMILARITY = 0.8
-LEAST_WORDS = len(SHORT_MASK)
+#: Shorter items have to stand as they are.
+LEAST_WORDS = 8
 #: At 24 bytes each 12 MB at most.
 BROADCAST_SEEDS = 500_000
 
@@ -39,6 +44,32 @@ _STEP = _U64(0xA24BAED4963EE407)
 _SIEVE_BITS = 22
 
 
+def least_equal(n: int, short: bool = True) -> int:
+    """How many words of a window of n have to be equal."""
+    exact = n < (LEAST_WORDS if short else WINDOW)
+    return n if exact else int(np.ceil(SIMILARITY * n))
+
+
+def short_masks(n: int) -> tuple[str, ...]:
+    """Masks of an item of n words, fewer than a window's."""
+    blocks = n - least_equal(n) + 2
+    block = np.arange(n) * blocks // n
+    return tuple(dict.fromkeys("".join("01"[b in kept] for b in block) for kept in combinations(range(blocks), 2)) if blocks > 2 else ("1" * n,))
+
+
+#: All masks by number: those of a window, then those of items of 1, 2, .. words.
+_BY_LENGTH = [(), *(short_masks(n) for n in range(1, WINDOW))]
+ALL_MASKS = (*MASKS, *(m for masks in _BY_LENGTH for m in masks))
+
+
+def masks_for(n: int) -> range:
+    """The numbers of the masks of an item of n words."""
+    if n >= WINDOW:
+        return range(len(MASKS))
+    begin = len(MASKS) + sum(map(len, _BY_LENGTH[:n]))
+    return range(begin, begin + len(_BY_LENGTH[n]))
+
+
 def seeds_of(hashes: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """Seeds of one mask at all places where it lies within one text: hash, first word."""
     span = len(mask)
@@ -55,16 +86,14 @@ def seeds_of(hashes: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarr
 
 def _item_seeds(hashes: np.ndarray) -> list[tuple[int, int, int]]:
     """(mask, seed, first word) of one item."""
-    short = len(hashes) < WINDOW
     out = []
-    for m, mask in enumerate((*MASKS, SHORT_MASK)):
-        if (mask is SHORT_MASK) == short:
-            value, at = seeds_of(hashes, np.array([0, len(hashes)]), mask)
-            out += [(m, int(v), int(a)) for v, a in zip(value, at, strict=True)][: 1 if short else None]
+    for m in masks_for(len(hashes)):
+        value, at = seeds_of(hashes, np.array([0, len(hashes)]), ALL_MASKS[m])
+        out += [(m, int(v), int(a)) for v, a in zip(value, at, strict=True)]
     return out
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
+def overlap(doc: np.ndarray, item: np.ndarray, shift: int, short: bool = True) -> tuple[int, int, int]:
     """Best window of the item laid over the document with item word 0 at document word `shift`:
     equal words, item word it begins with, words compared.  0 equal words: no window fits the rule."""
     low, high = max(0, -shift), min(len(item), len(doc) - shift)
@@ -74,30 +103,27 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, in
     total = np.concatenate([[0], np.cumsum(item[low:high] == doc[low + shift : high + shift])])
     equal = total[width:] - total[:-width]
     best = int(equal.argmax())
-    least = width if len(item) < WINDOW else int(np.ceil(SIMILARITY * width))
-    return (int(equal[best]), low + best, width) if equal[best] >= least else (0, 0, width)
+    return (int(equal[best]), low + best, width) if equal[best] >= least_equal(width, short) else (0, 0, width)
 
 
 class _Index:
     """Seeds of all items, sorted, with a sieve of bits before the search."""
 
-    def __init__(self, ids: list[int], items: list[np.ndarray]):
-        self.ids, self.items = ids, items
+    def __init__(self, ids: list[int], items: list[np.ndarray], short: bool = True):
+        self.ids, self.items, self.short = ids, items, short
         rows = [(m, seed, i, at) for i, words in enumerate(items) for m, seed, at in _item_seeds(words)]
         self.by_mask = []
-        for m in range(len(MASKS) + 1):
+        for m in sorted({r[0] for r in rows}):
             own = sorted(r[1:] for r in rows if r[0] == m)
             seed = np.array([r[0] for r in own], _U64)
             sieve = np.zeros(1 << _SIEVE_BITS, bool)
             sieve[(seed >> _U64(64 - _SIEVE_BITS)).astype(np.int64)] = True
-            self.by_mask.append((seed, np.array([r[1] for r in own], np.int64), np.array([r[2] for r in own], np.int64), sieve))
+            self.by_mask.append((ALL_MASKS[m], seed, np.array([r[1] for r in own], np.int64), np.array([r[2] for r in own], np.int64), sieve))
 
     def hits(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Distinct (text, item, shift) alignments of a slice that share a seed."""
         found = []
-        for mask, (seed, item, at, sieve) in zip((*MASKS, SHORT_MASK), self.by_mask, strict=True):
-            if not len(seed):
-                continue
+        for mask, seed, item, at, sieve in self.by_mask:
             value, place = seeds_of(hashes, first, mask)
             near = sieve[(value >> _U64(64 - _SIEVE_BITS)).astype(np.int64)]
             value, place = value[near], place[near]
@@ -115,7 +141,7 @@ class _Index:
             hashes, first = word_hashes(raw, offsets)
             best: dict[tuple[int, int], tuple] = {}
             for doc, item, shift in self.hits(hashes, first).tolist():
-                equal, at, width = overlap(hashes[first[doc] : first[doc + 1]], self.items[item], shift)
+                equal, at, width = overlap(hashes[first[doc] : first[doc + 1]], self.items[item], shift, self.short)
                 if equal:
                     key, own = (doc, self.ids[item]), (-equal, at + shift, at, width)
                     best[key] = min(best.get(key, own), own)
@@ -123,7 +149,7 @@ class _Index:
                 yield begin + doc, item, -equal, word, at, width
 
 
-def _item_hashes(benchmark: DataFrame) -> DataFrame:
+def _item_hashes(benchmark: DataFrame, short: bool = True) -> DataFrame:
     @F.arrow_udf("array<long>")
     def hashes_of(texts: pa.Array) -> pa.Array:
         parts, ends = [], [0]
@@ -134,7 +160,7 @@ def _item_hashes(benchmark: DataFrame) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).filter("item_id is not null").distinct()
-    return items.select("item_id", hashes_of("text").alias("words")).filter(F.size("words") >= LEAST_WORDS)
+    return items.select("item_id", hashes_of("text").alias("words")).filter(F.size("words") >= (1 if short else LEAST_WORDS))
 
 
 def _lowered(docs: DataFrame) -> DataFrame:
@@ -145,16 +171,17 @@ def _lowered(docs: DataFrame) -> DataFrame:
 MATCH = "item_id long, n_equal int, doc_word int, item_word int, n_compared int"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS, short: bool = False) -> DataFrame:
     """A row for each document and item it leaks: doc_id, item_id, and the best window: n_equal of
-    n_compared words, from doc_word of the document and item_word of the item."""
+    n_compared words, from doc_word of the document and item_word of the item.  short: items of 8 to 12
+    words may differ by SIMILARITY too, and shorter ones are looked for as they are."""
     prepare(docs.sparkSession)
-    items = staged(_item_hashes(benchmark), "items")
+    items = staged(_item_hashes(benchmark, short), "items")
     docs = _lowered(docs)
-    n_seeds = items.agg(F.sum(F.size("words") * len(MASKS))).first()[0] or 0
+    n_seeds = _seeds_at_most(items)
     if n_seeds > broadcast_seeds:
-        return _leaks_by_join(docs, items)
-    index = _small_index(items)
+        return _leaks_by_join(docs, items, short)
+    index = _small_index(items, short)
 
     def find(batches):
         for batch in batches:
@@ -166,20 +193,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAS
     return docs.mapInArrow(find, "doc_id long, " + MATCH)
 
 
-def _small_index(items: DataFrame) -> _Index:
+def _seeds_at_most(items: DataFrame) -> int:
+    return items.agg(F.sum(F.size("words") * len(MASKS))).first()[0] or 0
+
+
+def _small_index(items: DataFrame, short: bool = True) -> _Index:
     rows = sorted((r.item_id, r.words) for r in items.toLocalIterator())
-    return _Index([r[0] for r in rows], [np.array(r[1], np.int64).view(_U64) for r in rows])
+    return _Index([r[0] for r in rows], [np.array(r[1], np.int64).view(_U64) for r in rows], short)
 
 
-def _leaks_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _leaks_by_join(docs: DataFrame, items: DataFrame, short: bool = True) -> DataFrame:
     """The same for benchmarks of any size: seeds of both sides are shuffled and joined."""
+    lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(WINDOW))).distinct().collect()]
+    used = sorted({m for n in lengths for m in masks_for(n)})
 
     def seeds(batches):
         for batch in batches:
             for begin, _, raw, offsets in text_slices(batch["text"]):
                 hashes, first = word_hashes(raw, offsets)
-                for m, mask in enumerate((*MASKS, SHORT_MASK)):
-                    value, place = seeds_of(hashes, first, mask)
+                for m in used:
+                    value, place = seeds_of(hashes, first, ALL_MASKS[m])
                     doc = np.searchsorted(first, place, "right") - 1
                     yield pa.RecordBatch.from_arrays(
                         [batch["doc_id"].take(pa.array(begin + doc)), pa.array(np.full(len(value), m, np.int32)), pa.array(value.view(np.int64)), pa.array((place - first[doc]).astype(np.int32))],
@@ -200,7 +233,7 @@ def _leaks_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
         for begin, to, raw, offsets in text_slices(texts):
             hashes, first = word_hashes(raw, offsets)
             for i in range(begin, to):
-                equal, at, width = overlap(hashes[first[i - begin] : first[i - begin + 1]], np.array(words[i].as_py(), np.int64).view(_U64), s := shift[i].as_py())
+                equal, at, width = overlap(hashes[first[i - begin] : first[i - begin + 1]], np.array(words[i].as_py(), np.int64).view(_U64), s := shift[i].as_py(), short)
                 out.append({"n_equal": equal, "doc_word": at + s, "item_word": at, "n_compared": width})
         return pa.array(out, pa.struct([("n_equal", pa.int32()), ("doc_word", pa.int32()), ("item_word", pa.int32()), ("n_compared", pa.int32())]))
 
@@ -229,7 +262,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that leak an item go."""
     prepare(spark)
     items = staged(_item_hashes(table(spark, sf_dir, "benchmark")), "items")
-    n_seeds = items.agg(F.sum(F.size("words") * len(MASKS))).first()[0] or 0
+    n_seeds = _seeds_at_most(items)
     if n_seeds <= BROADCAST_SEEDS:
         return docs.filter(~leaking(_small_index(items)))
     gone = _leaks_by_join(_lowered(docs), items).select("doc_id").distinct()
@@ -238,4 +271,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that leak benchmark items, with the items and where."""
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)

@@ -231,6 +231,33 @@ def test_leaks_match_brute_force(spark, docs):
     assert len(want) > 12
 
 
+def test_short_masks_find_every_window():
+    for n in range(1, decontaminate.WINDOW):
+        wrong = n - decontaminate.least_equal(n)
+        assert wrong == (0 if n < 8 else n // 5)
+        for lost in itertools.combinations(range(n), wrong):
+            assert any(all(mask[i] == "0" for i in lost) for mask in decontaminate.short_masks(n)), (n, lost)
+
+
+def test_short_items_leak(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    items = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in (1, 3, 7, 8, 9, 10, 11, 12, 13)]
+    rows, want = [], set()
+    for n, text in items:
+        for wrong in range(4):
+            lost = rng.choice(n, wrong, replace=False) if wrong <= n else range(n)
+            rows.append((10 * n + wrong, "lead in " + " ".join("zzz" if j in lost else w for j, w in enumerate(text.split())) + " lead out"))
+            if wrong == 0 or (n >= 8 and (n - wrong) >= 0.8 * n):
+                want.add((10 * n + wrong, n))
+    frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for seeds in (10**6, 0):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, bench, seeds, short=True).collect()} == want
+    frame.write.parquet(f"file://{tmp_path}/documents.parquet")
+    bench.write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.op5_decontaminate(spark, f"file://{tmp_path}").collect()} == want
+    assert {r.doc_id for r in decontaminate.stage(spark, frame, f"file://{tmp_path}").collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
 def test_leaks_odd(spark, odd, empty):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 20), (None, "x " * 20)], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(odd, bench).collect()} == {(4, 3)}
