@@ -180,7 +180,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAS
     docs = _lowered(docs)
     n_seeds = _seeds_at_most(items)
     if n_seeds > broadcast_seeds:
-        return _leaks_by_join(docs, items, short)
+        # a match belongs to the text; every row of that text has it, whatever its doc_id
+        keyed = docs.select("doc_id", _text_key("text").alias("key"))
+        return keyed.join(_matches_by_join(docs.select("text"), items, short), "key").drop("key")
     index = _small_index(items, short)
 
     def find(batches):
@@ -202,8 +204,14 @@ def _small_index(items: DataFrame, short: bool = True) -> _Index:
     return _Index([r[0] for r in rows], [np.array(r[1], np.int64).view(_U64) for r in rows], short)
 
 
-def _leaks_by_join(docs: DataFrame, items: DataFrame, short: bool = True) -> DataFrame:
-    """The same for benchmarks of any size: seeds of both sides are shuffled and joined."""
+def _text_key(text: str | Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _matches_by_join(texts: DataFrame, items: DataFrame, short: bool = True) -> DataFrame:
+    """The same for benchmarks of any size, a row for each distinct text (by its digest, `key`) and item:
+    seeds of both sides are shuffled and joined."""
+    docs = texts.groupBy(_text_key("text").alias("key")).agg(F.first("text").alias("text"))
     lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(WINDOW))).distinct().collect()]
     used = sorted({m for n in lengths for m in masks_for(n)})
 
@@ -215,8 +223,8 @@ def _leaks_by_join(docs: DataFrame, items: DataFrame, short: bool = True) -> Dat
                     value, place = seeds_of(hashes, first, ALL_MASKS[m])
                     doc = np.searchsorted(first, place, "right") - 1
                     yield pa.RecordBatch.from_arrays(
-                        [batch["doc_id"].take(pa.array(begin + doc)), pa.array(np.full(len(value), m, np.int32)), pa.array(value.view(np.int64)), pa.array((place - first[doc]).astype(np.int32))],
-                        names=["doc_id", "mask", "seed", "doc_word"],
+                        [batch["key"].take(pa.array(begin + doc)), pa.array(np.full(len(value), m, np.int32)), pa.array(value.view(np.int64)), pa.array((place - first[doc]).astype(np.int32))],
+                        names=["key", "mask", "seed", "doc_word"],
                     )
 
     def item_seeds(batches):
@@ -237,13 +245,13 @@ def _leaks_by_join(docs: DataFrame, items: DataFrame, short: bool = True) -> Dat
                 out.append({"n_equal": equal, "doc_word": at + s, "item_word": at, "n_compared": width})
         return pa.array(out, pa.struct([("n_equal", pa.int32()), ("doc_word", pa.int32()), ("item_word", pa.int32()), ("n_compared", pa.int32())]))
 
-    left = docs.select("doc_id", "text").mapInArrow(seeds, "doc_id long, mask int, seed long, doc_word int")
+    left = docs.mapInArrow(seeds, "key binary, mask int, seed long, doc_word int")
     right = items.mapInArrow(item_seeds, "item_id long, mask int, seed long, item_word int")
-    hits = left.join(right, ["mask", "seed"]).select("doc_id", "item_id", (F.col("doc_word") - F.col("item_word")).alias("shift")).distinct()
-    rows = hits.join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", F.xxhash64("text").alias("_text"), compare("text", "words", "shift").alias("m")).filter("m.n_equal > 0")
-    order = Window.partitionBy("doc_id", "_text", "item_id").orderBy(F.desc("m.n_equal"), "m.doc_word", "m.item_word")
+    hits = left.join(right, ["mask", "seed"]).select("key", "item_id", (F.col("doc_word") - F.col("item_word")).alias("shift")).distinct()
+    rows = hits.join(docs, "key").join(items, "item_id").select("key", "item_id", compare("text", "words", "shift").alias("m")).filter("m.n_equal > 0")
+    order = Window.partitionBy("key", "item_id").orderBy(F.desc("m.n_equal"), "m.doc_word", "m.item_word")
     best = rows.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
-    return best.select("doc_id", "item_id", "m.n_equal", "m.doc_word", "m.item_word", "m.n_compared")
+    return best.select("key", "item_id", "m.n_equal", "m.doc_word", "m.item_word", "m.n_compared")
 
 
 def leaking(index: _Index) -> Column:
@@ -265,8 +273,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n_seeds = _seeds_at_most(items)
     if n_seeds <= BROADCAST_SEEDS:
         return docs.filter(~leaking(_small_index(items)))
-    gone = _leaks_by_join(_lowered(docs), items).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # by the text, not by doc_id: that may be null or stand for several texts
+    text = F.lower("text")
+    gone = _matches_by_join(docs.filter("text is not null").select(text.alias("text")), items).select(F.col("key").alias("_leaking_key")).distinct()
+    return docs.join(gone, _text_key(text) == F.col("_leaking_key"), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -258,6 +258,23 @@ def test_short_items_leak(spark, tmp_path):
     assert {r.doc_id for r in decontaminate.stage(spark, frame, f"file://{tmp_path}").collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_both_paths_agree_on_odd_rows(spark, odd, tmp_path, monkeypatch):
+    item = " ".join(f"q{j}" for j in range(20))
+    more = [(9, f"a {item}"), (9, f"a {item}"), (9, "clean"), (9, f"{item} and again {item}"), (None, f"b {item}"), (None, None)]
+    docs = odd.unionByName(spark.createDataFrame([(*r, "en", "b", 1) for r in more], DOCS).withColumns({c: F.lit("clash") for c in odd.columns[5:]}))
+    bench = spark.createDataFrame([(1, item), (1, item + " z"), (4, f"Q1 {item[6:]}")], "item_id long, text string")
+    bench.write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    by_path, kept = [], []
+    for seeds in (10**6, 0):
+        by_path.append(Counter(map(tuple, decontaminate.leaks(docs, bench, seeds).collect())))
+        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", seeds)
+        left = decontaminate.stage(spark, docs, f"file://{tmp_path}")
+        assert left.columns == docs.columns
+        kept.append(Counter((r.doc_id, r.text) for r in left.collect()))
+    assert by_path[0] == by_path[1] and sum(n for r, n in by_path[0].items() if r[:2] == (9, 1)) == 3
+    assert kept[0] == kept[1] == Counter([r[:2] for r in ODD] + [(9, "clean"), (None, None)])
+
+
 def test_leaks_odd(spark, odd, empty):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 20), (None, "x " * 20)], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(odd, bench).collect()} == {(4, 3)}
