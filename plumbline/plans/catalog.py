@@ -193,15 +193,22 @@ def phone_histogram(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("site", "phone").agg(F.count(F.lit(1)).alias("documents"))
 
 
+#: Words of at least this share of the documents are the dictionary, at any size of the corpus.
+DICTIONARY_SHARE = 0.01
+
+
+def _dictionary(words: DataFrame, docs: DataFrame) -> DataFrame:
+    counted = words.groupBy("word").agg(F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("documents"))
+    total = docs.agg(F.count_distinct("site", "url").alias("total"))
+    return counted.crossJoin(F.broadcast(total)).filter(F.col("documents") >= DICTIONARY_SHARE * F.col("total")).select("word", "frequency")
+
+
 @query()
 def spelling_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    """Words of documents with a frequent word one edit away; frequent words are the dictionary."""
+    """Words of documents outside the dictionary with a dictionary word one edit away."""
     docs = X.documents_as_records(spark, d).withColumn("region", F.lit("body"))
     words = blocks.page_words(docs)
-    counted = words.groupBy("word").agg(F.sum("n").alias("frequency"), F.count(F.lit(1)).alias("documents"))
-    dictionary = counted.filter("documents >= 100 and length(word) >= 5").select("word", "frequency")
-    rare = words.join(counted.filter("documents <= 2 and length(word) >= 5").select("word"), "word", "left_semi")
-    return blocks.spelling(rare, dictionary)
+    return blocks.spelling(words, _dictionary(words, docs))
 
 
 # --- graph -----------------------------------------------------------------------------------------

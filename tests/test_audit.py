@@ -137,6 +137,14 @@ def test_spelling(spark):
     assert {r.word: r.suggestions for r in blocks.spelling(words, dictionary).collect()} == {"teh": ["the", "ten"]}
 
 
+def test_spelling_judges_every_word_outside_the_dictionary(spark, tmp_path):
+    for copies in (1, 20):  # the same shares give the same words at every size
+        texts = (["they receive the parcel"] * 5 + ["they recieve teh parcel"] + ["other words here"] * 194) * copies
+        spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"file://{tmp_path}/{copies}/documents.parquet")
+        got = catalog.spelling_suggestions(spark, f"file://{tmp_path}/{copies}").collect()
+        assert {r.word: r.suggestions for r in got} == {"recieve": ["receive"], "teh": ["the"]} and len(got) == 2 * copies
+
+
 def test_sinks_and_sources(spark, tmp_path):
     path = f"file://{tmp_path}/runs"
     for value in (1, 2):
