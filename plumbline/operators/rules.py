@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import urls
-from plumbline.functions.copy import copy_signals
+from plumbline.operators import blocks
 from plumbline.operators import links as L
 from plumbline.session import cut
 
@@ -392,9 +392,9 @@ reputation_rule("REP-03", "low", ("feed", "unknown"))
 
 
 def page_signals(records: DataFrame) -> DataFrame:
-    """site, url, kind, detail of copy rules over each page's text and of mixed content."""
-    mixed = F.transform("mixed_content", lambda u: F.struct(F.lit("mixed-content").alias("kind"), u.alias("detail")))
-    return records.select("site", "url", F.explode(F.concat(copy_signals(F.col("text")), mixed)).alias("s")).select("site", "url", "s.kind", "s.detail")
+    """site, url, kind, detail of copy rules over each text block of a page and of mixed content."""
+    mixed = records.select("site", "url", F.lit("mixed-content").alias("kind"), F.explode("mixed_content").alias("detail"))
+    return blocks.block_signals(blocks.text_blocks(records)).select("site", "url", "kind", "detail").unionByName(mixed)
 
 
 def run(frames: Frames, only: list[str] | None = None) -> DataFrame:

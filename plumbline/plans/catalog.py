@@ -135,9 +135,10 @@ def page_rule_findings(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def all_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Rule engine: every rule over every frame the tables give, a row a finding and site."""
+    """Rule engine: every rule over every frame the tables give, a row a finding and site.  No table gives
+    probes, runtime or sitemaps, so their rules are silent."""
     records = X.records(spark, d)
-    signals = rules.page_signals(records).unionByName(_document_signals(spark, d))
+    signals = rules.page_signals(records).unionByName(_document_signals(spark, d)).unionByName(_spelling_signals(spark, d, records))
     g = _classified(spark, d)
     f = rules.Frames(records, signals=signals, links=X.link_pages(spark, d), graph=g, link_status=links.with_verdicts(X.link_status(spark, d)), vitals=X.vitals(spark, d), images=X.images(spark, d), mail=mail.mail_records(X.mail_domains(spark, d), X.dns_answers(spark, d)), reputation=probes.reputation_grade(X.listings(spark, d)))
     f.schema_issues = structured.schema_issues(structured.jsonld_nodes(X.jsonld_records(spark, d)), structured.vocabulary(spark))
@@ -149,7 +150,17 @@ def all_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _document_signals(spark: SparkSession, d: str) -> DataFrame:
-    return X.documents_as_records(spark, d).select("site", "url", F.explode(copy_signals(F.col("text"))).alias("s")).select("site", "url", "s.kind", "s.detail")
+    """Copy faults of each line of a document, once a document for each kind and detail."""
+    lines = X.documents_as_records(spark, d).select("site", "url", F.explode(F.split("text", r"\R")).alias("line"))
+    return lines.select("site", "url", F.explode(copy_signals(F.col("line"))).alias("s")).select("site", "url", "s.kind", "s.detail").distinct()
+
+
+def _spelling_signals(spark: SparkSession, d: str, records: DataFrame) -> DataFrame:
+    """Words of pages and documents one edit from a word of the documents' dictionary."""
+    docs = X.documents_as_records(spark, d).withColumn("region", F.lit("body"))
+    words = blocks.page_words(docs)
+    asked = words.unionByName(blocks.page_words(blocks.text_blocks(records)))
+    return blocks.spelling(asked, _dictionary(words, docs)).select("site", "url", F.lit("spelling").alias("kind"), F.col("word").alias("detail"))
 
 
 @query()

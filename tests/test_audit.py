@@ -145,6 +145,19 @@ def test_spelling_judges_every_word_outside_the_dictionary(spark, tmp_path):
         assert {r.word: r.suggestions for r in got} == {"recieve": ["receive"], "teh": ["the"]} and len(got) == 2 * copies
 
 
+def test_copy_rules_look_at_blocks(spark, tmp_path):
+    html = "<html><body><h1>EVERYTHING ABOUT OUR DELIVERY SERVICE</h1><p>We bring (parcels to you.</p><p>They arrive) in a day.</p></body></html>"
+    page = page_records(spark.createDataFrame([(1, "https://e.com/", html)], "page_id long, url string, html string"))
+    assert {r.kind for r in rules.page_signals(page).collect()} == {"style", "punctuation"}
+    text = "EVERYTHING ABOUT OUR DELIVERY SERVICE\nWe bring (parcels to you.\nThey arrive) in a day."
+    spark.createDataFrame([(1, text, "s"), *((i, "they arrive", "s") for i in range(2, 50)), (50, "they arive", "s")], "doc_id long, text string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert {r.kind for r in catalog.copy_signal_counts(spark, f"file://{tmp_path}").collect()} == {"style", "punctuation"}
+    # one in fifty documents puts a word into the dictionary, so the fault is put on the page
+    page = page_records(spark.createDataFrame([(1, "https://e.com/", "<p>all arrve today</p>")], "page_id long, url string, html string"))
+    found = catalog._spelling_signals(spark, f"file://{tmp_path}", page).collect()
+    assert [(r.site, r.kind, r.detail) for r in found] == [("e.com", "spelling", "arrve")]
+
+
 def test_sinks_and_sources(spark, tmp_path):
     path = f"file://{tmp_path}/runs"
     for value in (1, 2):
