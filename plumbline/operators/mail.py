@@ -22,7 +22,7 @@ def unquoted(value: Column) -> Column:
 
 
 def _txt(answers: DataFrame) -> DataFrame:
-    return answers.filter("rtype = 'TXT'").select(F.lower("name").alias("name"), "values")
+    return answers.filter("rtype = 'TXT'").select(F.lower("name").alias("name"), F.transform("values", unquoted).alias("values"))
 
 
 def _spf_of(values: Column) -> Column:

@@ -1,7 +1,7 @@
-"""Page records: what one page says about itself, as one row of native expressions over its HTML.
+"""Page records: what one page says about itself, as one row of expressions over its HTML.
 
-Only `site`, `page_id`, `url` and `html` have to be there; columns that a crawler measures (status,
-elapsed_ms, final_url, ...) are taken over where they exist and stay null otherwise: unmeasured is never
+Only `site`, `page_id`, `url` and `html` have to be there; columns measured while fetching (status,
+elapsed_ms, final_url, ...) pass through where they exist and stay null otherwise: unmeasured is never
 the same as measured and false.
 """
 
@@ -14,7 +14,7 @@ from plumbline.functions import urls
 
 SCRIPTS = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-#: Columns a crawl measures, with the type they get where they are missing.
+#: Columns measured while fetching, with the type they get where they are missing.
 MEASURED = {
     "status": "int",
     "is_html": "boolean",
@@ -133,7 +133,7 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 
 def page_links(records: DataFrame) -> DataFrame:
-    """A row per followable link, first anchor of a target first: site, src, href, target, anchor, pos,
+    """A row per link that leads somewhere, first anchor of a target first: site, src, href, target, anchor, pos,
     internal, page.  Root-relative and absolute hrefs are resolved natively; others by the UDF in
     functions.resolve."""
     from plumbline.functions.resolve import resolve

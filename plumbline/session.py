@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_local_dirs: dict[str, str] = {}
 
 
 def session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -47,12 +48,18 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, spark.checkpoint.dir.  Where the session names none
+    (tests), a session on this machine alone gets a folder of its own; a cluster has to name one, as no
+    folder of one machine would do."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or _local_dirs.get(sc.applicationId)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        found = _local_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+        sc.setCheckpointDir(found)
+    path = sc._jvm.org.apache.hadoop.fs.Path(found)
+    return str(path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path)).rstrip("/")
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -61,3 +68,10 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/plumbline/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For costly work a row: rows of fewer partitions than there are cores are dealt over all of them.
+    Tables of many files keep their partitions and pay no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
