@@ -10,16 +10,16 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.session import ship
+from plumbline.session import shared_dir, ship
 
 #: Bytes of text that one numpy pass works on (its temporaries are some 30 times as large).
 SLICE_BYTES = 1 << 19
@@ -50,16 +50,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(SPLIT_TABLE).split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Only where the session names none (tests), a
-    local one is made and set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
-    return str(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path)).rstrip("/")
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI in the shared folder, and the path in it."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
 
 
 def staged_path(spark: SparkSession, label: str) -> str:
@@ -93,6 +88,34 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: A key is hot if more than one in so many rows has it; there are fewer hot keys than that.
+HOT_PARTS = 1_000
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
+def keyed_join(rows: DataFrame, key: Column, table: DataFrame, values: list[str]) -> DataFrame:
+    """rows and, by a left join, values of table (key: string, n: how many rows have it, values).  Hot keys
+    are joined by a broadcast of at most HOT_PARTS rows, and their rows, like those without a key, are
+    dealt out evenly in the shuffled join of the others: no key gathers in one task."""
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > total / HOT_PARTS
+    names = {c: fresh(rows, f"_{c}") for c in ("key", "id", "there", *values)}
+    k, one, there = names["key"], names["id"], names["there"]
+    common = table.filter(hot).select(F.col("key").alias(k), F.lit(True).alias(there), *[F.col(v).alias(names[v]) for v in values])
+    others = table.filter(~hot).select(F.col("key").alias(one), *[F.col(v).alias(f"{names[v]}2") for v in values])
+    out = rows.withColumn(k, key).withColumn(one, F.monotonically_increasing_id()).join(F.broadcast(common), k, "left")
+    lone = F.concat(F.lit("~"), F.col(one).cast("string"))  # no key begins so
+    out = out.withColumn(one, F.when(F.col(k).isNull() | F.col(there).isNotNull(), lone).otherwise(F.col(k))).join(others, one, "left")
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(names[v], f"{names[v]}2").alias(v) for v in values])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64); works on a copy."""
     x = x.astype(_U64, copy=True)

@@ -28,11 +28,10 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, staged, staged_path, table
+from .common import file_system, prepare, staged, staged_path, table
 
 REVISIT_BYTES = 1000
 #: A package is closed once its archive has so many bytes.
@@ -45,12 +44,6 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
 
 
-def file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record, compressed by itself."""
     block = _HTTP if refers_to is not None else _HTTP + payload
