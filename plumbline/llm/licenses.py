@@ -10,7 +10,9 @@ All automata run over a text together: a state is entered by its word, and the f
 templates are looked up in one dictionary, so a text without any of them costs only the cutting.
 
 Defined results: null and empty texts have no words and no labels; overlapping matches of a template
-count each place it begins; repeated rows are treated alike; an empty table gives an empty table.
+count each place it begins; labels that several matches give stand once; repeated rows are treated
+alike; an empty table gives an empty table.  Templates without mandatory wording and phrases without
+words are errors.
 """
 
 from __future__ import annotations
@@ -27,15 +29,60 @@ from .common import prepare, table, texts_of, words_of
 #: Phrases of the base scan and their labels: the words stand consecutively.
 BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Wordings by which texts state their license, as (label, template).
+# Full wordings, as their licenses have them; whatever may vary is marked up.
+_MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+    "subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall <<any:8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<optional>>1<<end>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<optional>>2<<end>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+    "<<optional>> <<optional>>3<<end>> neither the name of <<any:8>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission <<end>> "
+    "this software is provided by <<any:8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall <<any:8>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_ISC = (
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+    "the software is provided as is and <<any:4>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+    "in no event shall <<any:4>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+    "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+_ZLIB = (
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+    "<<optional>>1<<end>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+    "<<optional>>2<<end>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software "
+    "<<optional>>3<<end>> this notice may not be removed or altered from any source distribution"
+)
+_UNLICENSE = (
+    "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
+    "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"
+)
+_APACHE = (
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<any:8>> "
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+    "see the license for the specific language governing permissions and limitations under the license"
+)
+_GPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {} of the license or <<optional>>at your option<<end>> any later version"
+
+#: Full wordings and the lines by which texts state their license, as (label, template).
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<optional>>the software<<end>> to deal in the software without restriction"),
+    ("mit", _MIT),
+    ("bsd", _BSD),
+    ("isc", _ISC),
+    ("zlib", _ZLIB),
+    ("unlicense", _UNLICENSE),
+    ("apache-2", _APACHE),
+    ("gpl-2", _GPL.format(2)),
+    ("gpl-3", _GPL.format(3)),
     ("mit", "<<optional>>this<<end>> <<any:6>> licensed under the <<optional>>terms of the<<end>> mit license"),
     ("apache-2", "licensed under the apache license <<optional>>version<<end>> 2 <<optional>>0<<end>>"),
-    ("apache-2", "licensed under the apache license <<optional>>version 2 0<<end>> the license you may not use this file except in compliance with the license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd", "licensed under <<optional>>the<<end>> <<any:2>> bsd <<optional>>2 clause<<end>> <<optional>>3 clause<<end>> license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("gpl-2", "gnu general public license <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>> version 2"),
     ("gpl-3", "gnu general public license <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>> version 3"),
     ("lgpl", "gnu <<optional>>lesser<<end>> <<optional>>library<<end>> general public license <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>> version 2 1"),
@@ -48,8 +95,6 @@ TEMPLATES = (
     ("cc-by-sa", "creative commons attribution sharealike <<any:1>> 0 international"),
     ("cc-by-nc", "creative commons attribution noncommercial <<any:1>> 0 international"),
     ("cc-by-nc", "licensed under <<optional>>a<<end>> cc by nc <<optional>>4 0<<end>>"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
     ("all-rights-reserved", "copyright <<optional>>c<<end>> <<any:6>> all rights reserved"),
 )
 
@@ -127,14 +172,34 @@ def compile_template(label: str, template: str) -> Automaton:
                 out.skips[s].append(end)
             at = end
     out.final = at
+    if not _mandatory_words(out):
+        raise ValueError(f"template of {label} has no wording that has to stand: {template}")
     return out
 
 
+def _mandatory_words(a: Automaton) -> set[bytes]:
+    """The words that every acceptance holds."""
+
+    def accepts_without(word: bytes) -> bool:
+        seen, todo = set(), [0]
+        while todo:
+            s = todo.pop()
+            if s in seen:
+                continue
+            seen.add(s)
+            todo += [*a.skips[s], *a.free[s], *(t for w, ts in a.edges[s].items() if w != word for t in ts)]
+        return a.final in seen
+
+    return {w for e in a.edges for w in e if not accepts_without(w)}
+
+
 class Scanner:
     """All templates and base phrases at once."""
 
     def __init__(self, templates=TEMPLATES, phrases=BASE_PHRASES):
         self.phrases = [(words_of(phrase), label) for phrase, label in phrases]
+        if not all(words for words, _ in self.phrases):
+            raise ValueError("a phrase without words stands everywhere")
         self.automata = [compile_template(*t) for t in templates]
         self.starts: dict[bytes, list[Automaton]] = {}
         for a in self.automata:
@@ -146,19 +211,7 @@ class Scanner:
     @staticmethod
     def _mandatory(a: Automaton) -> bytes:
         """The longest word that every acceptance holds."""
-        words = {w for e in a.edges for w in e}
-
-        def accepts_without(word: bytes) -> bool:
-            seen, todo = set(), [0]
-            while todo:
-                s = todo.pop()
-                if s in seen:
-                    continue
-                seen.add(s)
-                todo += [*a.skips[s], *a.free[s], *(t for w, ts in a.edges[s].items() if w != word for t in ts)]
-            return a.final in seen
-
-        return max((w for w in words if not accepts_without(w)), key=lambda w: (len(w), w))
+        return max(_mandatory_words(a), key=lambda w: (len(w), w))
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int, str]], list[tuple[int, int, str]]]:
         """Number of words; base places and template matches as (first word, word after, label)."""
