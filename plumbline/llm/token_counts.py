@@ -5,6 +5,9 @@ digests every text's normalised content (null: empty; otherwise the text as it i
 tell apart what stronger forms would merge), joins the digests with the cache, encodes one text of each
 digest that is missing, appends those counts, and joins all counts back to the rows.
 
+The query takes the cache that spark.plumbline.tokenCache names, a folder all machines see, and begins a
+new one where the session names none.
+
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows and equal texts share a
 cache entry and keep their rows; an empty table gives an empty table and appends nothing.
 """
@@ -20,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, staged_path, table, texts_of
+from .common import keyed_join, prepare, staged, staged_path, table, texts_of
 
 PIECE_TOKENIZER = "piece_bpe_32k.model"
 LIMIT = 4096
+CACHE_SETTING = "spark.plumbline.tokenCache"
 ENTRY = "content binary, tokenizer string, n_tokens long"
 
 
@@ -74,25 +78,28 @@ def token_counts(docs: DataFrame, path: str | None = None, cache_path: str | Non
     new cache is begun."""
     spark = docs.sparkSession
     prepare(spark)
-    path = path or public_tokenizers.path(PIECE_TOKENIZER)
     cache_path = cache_path or staged_path(spark, "token-counts")
-    version = tokenizer_digest(path)
+    version = tokenizer_digest(path or public_tokenizers.path(PIECE_TOKENIZER))
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array(count_tokens(path, texts.to_pylist()), pa.int64())
+        own = path or public_tokenizers.path(PIECE_TOKENIZER)  # each machine's own file
+        return pa.array(count_tokens(own, texts.to_pylist()), pa.int64())
 
     docs = texts_of(docs).withColumn("content", F.unhex(F.sha2("text", 256)))
+    rows = staged(docs.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     known = _stored(spark, cache_path).filter(F.col("tokenizer") == version).select("content", "n_tokens").dropDuplicates(["content"])
     # equal texts meet map-side first, so a large group of copies moves one text a task
     distinct = docs.select("content", "text").dropDuplicates(["content"])
     missing = distinct.join(known.select("content"), "content", "left_anti")
     missing.select("content", F.lit(version).alias("tokenizer"), count("text").alias("n_tokens")).write.mode("append").parquet(cache_path)
     counts = spark.read.schema(ENTRY).parquet(cache_path).filter(F.col("tokenizer") == version).select("content", "n_tokens").dropDuplicates(["content"])
-    rows = docs.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes"))
-    return rows.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    used = rows.groupBy("content").agg(F.count(F.lit(1)).alias("n")).join(counts, "content")
+    used = staged(used.select(F.hex("content").alias("key"), "n", "n_tokens"), "used-counts")
+    found = keyed_join(rows, F.hex("content"), used, ["n_tokens"])
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document, over a new cache."""
-    return token_counts(table(spark, sf_dir, "documents"))
+    """Token counts of every document, over the cache the session names or a new one."""
+    return token_counts(table(spark, sf_dir, "documents"), cache_path=spark.conf.get(CACHE_SETTING, None))
