@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, prepare, staged, staged_path, table
+from .common import file_system, keyed_join, prepare, staged, staged_path, table
 
 REVISIT_BYTES = 1000
 #: A package is closed once its archive has so many bytes.
 PACKAGE_BYTES = 64 << 20
-#: Bytes of an archive whose records are read by one group of rows.
-READ_BYTES = 4 << 20
+#: Bytes of an archive whose records are read by one group of rows, and of a reading task, about.
+READ_BYTES, TASK_BYTES = 4 << 20, 64 << 20
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -186,9 +186,9 @@ def write_packages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     large = F.octet_length("payload") >= REVISIT_BYTES
-    # written first, so that its size is known: few digests occur twice, and a small table is broadcast
-    shared = staged(rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1 and owner is not null").select("digest", "owner"), "owners")
-    rows = rows.join(shared, "digest", "left").withColumn("refers_to", F.when(large & ~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner")))
+    # written first, so that its size is known: few digests occur twice
+    shared = staged(rows.filter(large).groupBy(F.col("digest").alias("key")).agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1 and owner is not null"), "owners")
+    rows = keyed_join(rows, F.col("digest"), shared, ["owner"]).withColumn("refers_to", F.when(large & ~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner")))
 
     def write(batches):
         writer = PackageWriter(folder)
@@ -228,8 +228,13 @@ def read_packages(packages: DataFrame) -> DataFrame:
                     rows = []
             yield _batch(rows)
 
-    entries = packages.select("package").repartition("package").mapInArrow(locate, "package string, at long, length long")
-    spread = entries.repartition("package", F.floor(F.col("at") / READ_BYTES)).sortWithinPartitions("package", "at")
+    cores = spark.sparkContext.defaultParallelism
+    files = packages.select("package").repartition(max(1, min(packages.count(), 4 * cores)))
+    entries = staged(files.mapInArrow(locate, "package string, at long, length long"), "entries")
+    # numbers of tasks follow the bytes to be read, not the few bytes of index rows that are shuffled
+    size = entries.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(cores, size // READ_BYTES), -(-size // TASK_BYTES))
+    spread = entries.repartition(tasks, "package", F.floor(F.col("at") / READ_BYTES)).sortWithinPartitions("package", "at")
     return spread.mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
