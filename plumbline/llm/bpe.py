@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 import sys
 import unicodedata
@@ -110,7 +111,8 @@ class WordBpe:
         self.inner = [vocab[c] for c in byte_symbols()]
         self.final = [vocab[c + self.suffix] for c in byte_symbols()]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.added_pattern = re.compile("(" + "|".join(re.escape(t) for t in self.added) + ")")
+        self.added_pattern = re.compile("(" + "|".join(re.escape(t) for t in self.added) + ")") if self.added else None
+        self.added_hint = os.path.commonprefix(list(self.added))  # a text without it holds no added token
         # texts without code points from U+0250 on take a pattern of few ranges, which is much faster
         self.beyond = re.compile("[\u0250-\U0010ffff]")
         self.word_pattern, self.latin_pattern = (self._pattern(_ranges("L", top, more), _ranges("N", top, others)) for top, more, others in ((sys.maxunicode, _MORE_LETTERS, _MORE_NUMBERS), (0x24F, (), ())))
@@ -168,7 +170,7 @@ class WordBpe:
     def split(self, text: str) -> list[str]:
         """The words of a text; added tokens stand as words of their own."""
         out: list[str] = []
-        for piece in self.added_pattern.split(text) if "<|" in text else [text]:
+        for piece in self.added_pattern.split(text) if self.added and self.added_hint in text else [text]:
             if piece in self.added:
                 out.append(piece)
             elif piece:
@@ -223,10 +225,9 @@ def _slices(texts: pa.Array, most: int):
 def encode_documents(docs: DataFrame, path: str | None = None, decode: bool = True) -> DataFrame:
     """doc_id, ids, and decoded (what the ids decode to; null unless asked for)."""
     prepare(docs.sparkSession)
-    path = path or tokenizer_path(WORD_TOKENIZER)
 
     def encode(batches):
-        bpe = word_bpe(path)
+        bpe = word_bpe(path or tokenizer_path(WORD_TOKENIZER))  # each machine's own file
         for batch in batches:
             for at, to in _slices(batch["text"], SLICE_BYTES):
                 ids, ends = bpe.encode(batch["text"][at:to].to_pylist())
