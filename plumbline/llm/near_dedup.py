@@ -27,10 +27,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, prepare, staged, table, text_slices, texts_of, trim, windows_of, word_hashes
+from .common import fresh, keyed_join, mix, prepare, staged, table, text_slices, texts_of, trim, windows_of, word_hashes
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -41,6 +41,8 @@ BAND_ROWS = 5
 COMPONENTS = 288
 #: Pairs with a lower estimate are not verified.
 LEAST_ESTIMATE = 0.7
+#: Pairs of one document that are verified together; a document with more has its text in several tasks.
+LEAD_PAIRS = 10_000
 _PER_LONG = 16
 
 _U64 = np.uint64
@@ -160,7 +162,8 @@ def jaccard(left: pa.Array, right: pa.Array, k: int) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float, k: int) -> DataFrame:
-    """The (a, b) pairs whose texts are similar."""
+    """The (a, b) pairs whose texts are similar.  The pairs of a document that leads many are dealt over
+    pieces, each with a copy of its text."""
 
     @F.arrow_udf("double")
     def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -168,7 +171,12 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, k: int) -> Dat
         trim()
         return out
 
-    joined = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("_left")), "a").join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("_right")), "b")
+    # at most a row for LEAD_PAIRS pairs; written first, so that its size is known
+    many = staged(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEAD_PAIRS).cast("int").alias("pieces")).filter("pieces > 1"), "leads")
+    pairs = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("pieces", F.lit(1))).alias("piece"))
+    left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("_left")).join(many, "a", "left")
+    left = left.select("a", "_left", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1)).cast("long") - 1)).alias("piece"))
+    joined = pairs.join(left, ["a", "piece"]).join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("_right")), "b")
     return joined.filter(similarity("_left", "_right") >= threshold).select("a", "b").distinct()
 
 
@@ -196,8 +204,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     sketch = staged(sketches(docs, bands, rows, k), "sketches")
     keyed = sketch.filter("doc_id is not null and word_key is not null")
     # one document of each word sequence goes on; counted map-side first, so large groups are cheap
-    owners = keyed.groupBy("word_key").agg(F.min("doc_id").alias("owner"))
-    copies = staged(sketch.select("doc_id", "word_key").join(owners, "word_key", "left").select("doc_id", F.coalesce("owner", "doc_id").alias("owner")), "copies")
+    owners = staged(keyed.groupBy(F.hex("word_key").alias("key")).agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")), "owners")
+    owned = keyed_join(sketch.select("doc_id", "word_key"), F.when(F.col("doc_id").isNotNull(), F.hex("word_key")), owners, ["owner"])
+    copies = staged(owned.select("doc_id", F.coalesce("owner", "doc_id").alias("owner")), "copies")
     alone = copies.filter("doc_id = owner").select("doc_id").distinct()
     rows_of = keyed.filter("size(buckets) > 0").join(alone, "doc_id", "left_semi").select(F.explode("buckets").alias("bucket"), "doc_id")
     shared = rows_of.groupBy("bucket").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead <> last").select("bucket", "lead")
@@ -229,14 +238,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest doc_id of each class stays; of rows that repeat
-    a doc_id one stays; rows without doc_id stay."""
-    gone = staged(near_duplicates(docs).filter("doc_id <> class_id").select("doc_id").distinct(), "gone")
-    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    """Pipeline stage: one document of each class stays, that with the smallest doc_id; of rows that repeat
+    a doc_id and its text one stays; rows without doc_id stay.  A doc_id with several texts stands for
+    several documents, each of which is judged by its own text."""
+    number, text = fresh(docs, "_number"), F.coalesce("text", F.lit(""))
+    own = docs.select("doc_id", F.xxhash64(text).alias("h")).filter("doc_id is not null")
+    unclear = staged(own.groupBy("doc_id").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("doc_id"), "unclear")
+    numbered = docs.withColumn(number, F.col("doc_id").cast("long"))
+    if not unclear.isEmpty():
+        mark = fresh(docs, "_unclear")
+        marked = docs.join(unclear.select(F.col("doc_id").alias(number), F.lit(True).alias(mark)), F.col("doc_id") == F.col(number), "left").drop(number)
+        by_text = F.shiftrightunsigned(F.xxhash64("doc_id", text), 1).bitwiseOR(F.lit(1 << 62))  # beyond the doc_ids
+        numbered = marked.withColumn(number, F.when(F.col(mark), by_text).otherwise(F.col("doc_id"))).drop(mark)
+    classes = near_duplicates(numbered.select(F.col(number).alias("doc_id"), "text"))
+    gone = staged(classes.filter("doc_id <> class_id").select(F.col("doc_id").alias(number)).distinct(), "gone")
+    kept = numbered.filter(F.col(number).isNotNull()).join(gone, number, "left_anti").dropDuplicates([number])
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    one_each = kept.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*columns)
-    return one_each.unionByName(docs.filter("doc_id is null").select(*columns))
+    return kept.select(*columns).unionByName(docs.filter("doc_id is null").select(*columns))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
