@@ -1,7 +1,7 @@
 """Sharding by a k-d tree over document metadata.
 
 Documents are points in a few metadata dimensions.  A node that has to give k shards is cut along its
-widest dimension at the weighted quantile k_left / k of bytes (the median where k is even), until each
+widest dimension, measured against the dimension's width over all documents, at the weighted quantile k_left / k of bytes (the median where k is even), until each
 leaf is one shard of the target bytes.  Quantiles are found by histograms: each pass sums bytes by bin
 for all open nodes at once and narrows the interval that holds the cut, so the driver sees at most
 BINS rows a node, whatever the number of documents.
@@ -75,6 +75,7 @@ def build_tree(points: DataFrame, dimensions: int, shards: int, tolerance: float
     root = Node(0, shards)
     total = points.agg(F.sum("size")).first()[0] or 0
     slack = tolerance * total / shards
+    whole: list[int] = []  # the root's width in each dimension
     while total:
         leaves = _leaves(root)
         live = [n for n in leaves if n.shards > 1]
@@ -92,7 +93,9 @@ def build_tree(points: DataFrame, dimensions: int, shards: int, tolerance: float
                 n.dimension, n.cut = 0, 0
                 continue
             width = [(row[f"max{d}"] >> (_CRC_BITS + _ID_BITS)) - (row[f"min{d}"] >> (_CRC_BITS + _ID_BITS)) for d in range(dimensions)]
-            n.dimension = width.index(max(width))
+            whole = whole or [max(w, 1) for w in width]
+            relative = [w / all_ for w, all_ in zip(width, whole, strict=True)]
+            n.dimension = relative.index(max(relative))
             open_[i] = [row[f"min{n.dimension}"], row[f"max{n.dimension}"] + 1, 0]
             goal[i] = row["bytes"] * (n.shards // 2) / n.shards
         while open_:
@@ -125,17 +128,20 @@ def build_tree(points: DataFrame, dimensions: int, shards: int, tolerance: float
     return root
 
 
-def kd_shards(docs: DataFrame, shards: int = SHARDS, dimensions: list[Column] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot for every row of docs."""
+def points_of(docs: DataFrame, dimensions: list[Column] | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, and a key for each dimension."""
     text = F.coalesce(F.col("text"), F.lit(""))
     values = dimensions or metadata_dimensions(docs)
     crc, doc_id = F.crc32(F.encode(text, "UTF-8")), F.col("doc_id").cast("long")
-    points = staged(
-        docs.select(doc_id.alias("doc_id"), (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"), crc.alias("text_crc32"), *[v.alias(f"_v{i}") for i, v in enumerate(values)])
-        .select("doc_id", "size", "text_crc32", *[_key(F.col(f"_v{i}"), F.col("text_crc32"), F.col("doc_id")).alias(f"_key{i}") for i in range(len(values))]),
-        "points",
-    )
-    root = build_tree(points, len(values), shards)
+    rows = docs.select(doc_id.alias("doc_id"), (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"), crc.alias("text_crc32"), *[v.alias(f"_v{i}") for i, v in enumerate(values)])
+    return rows.select("doc_id", "size", "text_crc32", *[_key(F.col(f"_v{i}"), F.col("text_crc32"), F.col("doc_id")).alias(f"_key{i}") for i in range(len(values))])
+
+
+def kd_shards(docs: DataFrame, shards: int = SHARDS, dimensions: list[Column] | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot for every row of docs."""
+    points = staged(points_of(docs, dimensions), "points")
+    width = sum(c.startswith("_key") for c in points.columns)
+    root = build_tree(points, width, shards)
     leaves = _leaves(root)
     shard = _where(root, {id(n): n.first for n in leaves}).cast("int")
     rows = points.count()
