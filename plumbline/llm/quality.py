@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import WORD_BYTE, mix, power_tables, prepare, staged, table, text_slices, texts_of, trim, word_hashes, word_spans
+from .common import WORD_BYTE, fresh, keyed_join, mix, power_tables, prepare, staged, table, text_slices, texts_of, trim, word_hashes, word_spans
 
 #: Hashed word features; the shape measures follow them.
 BUCKETS = 1 << 17
@@ -236,9 +236,10 @@ def _strength(n: Column, total: Column, mean: Column) -> Column:
     rate show by chance.  1 to 10,000; with no spread the prior rules."""
     rate = total / n
     between = F.sum(n * (rate - mean) * (rate - mean)) / F.sum(n)
-    noise = F.first(mean) * (1 - F.first(mean)) * F.count(F.lit(1)) / F.sum(n)
+    # each site's own parent: a row of a site varies by mean (1 - mean), its rate by an n-th of that
+    noise = F.sum(mean * (1 - mean)) / F.sum(n)
     spread = F.greatest(between - noise, F.lit(1e-9))
-    return F.least(F.greatest(F.first(mean) * (1 - F.first(mean)) / spread - 1, F.lit(1.0)), F.lit(10_000.0))
+    return F.least(F.greatest(F.sum(n * mean * (1 - mean)) / F.sum(n) / spread - 1, F.lit(1.0)), F.lit(10_000.0))
 
 
 def site_posteriors(scored: DataFrame) -> DataFrame:
@@ -262,12 +263,12 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     joined = joined.join(F.broadcast(path_strength))
     posterior = {h: (F.col(f"s_{h}") + F.col(f"k_{h}") * F.col(f"host_{h}")) / (F.col("n") + F.col(f"k_{h}")) for h in heads}
     return joined.select(
-        "_host", "_path", *[posterior[h].alias(f"site_{h}") for h in heads], *[(_logit(posterior[h]) - _logit(F.col(f"mean_{h}"))).alias(f"shift_{h}") for h in heads]
+        "_host", "_path", F.col("n").cast("long").alias("n"), *[posterior[h].alias(f"site_{h}") for h in heads], *[(_logit(posterior[h]) - _logit(F.col(f"mean_{h}"))).alias(f"shift_{h}") for h in heads]
     )
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """Every row of docs, its columns first, with `_verdict`: struct<p_quality, p_toxic,
+    """Every row of docs, its columns first, with `_verdict` (underscores are added where docs has that): struct<p_quality, p_toxic,
     site_quality, site_toxic, keep>.  keep: good rather than bad, and not rather toxic.
 
     The texts are read twice and scored twice, once for the sites' rates and once for the verdicts;
@@ -276,21 +277,29 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     heads = train(docs, labels, max_train_rows)
     score = evidence(heads)
     site = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((host, "_host"), (path, "_path"))]
+
+    def key(a: Column, b: Column) -> Column:
+        return F.concat(F.length(a).cast("string"), F.lit(":"), a, b)
+
     first = docs.select(*site, score(F.coalesce("text", F.lit(""))).alias("_e")).select(
         "_host", "_path", _sigmoid(F.col("_e.quality")).alias("p_quality"), _sigmoid(F.col("_e.toxic")).alias("p_toxic")
     )
-    sites = staged(site_posteriors(first), "sites")  # its size is known once written: small ones are broadcast by Spark's own threshold
-    scored = docs.withColumns({"_host": site[0], "_path": site[1], "_e": score(F.coalesce("text", F.lit("")))})
-    p_quality = _sigmoid(F.col("_e.quality") + F.col("shift_quality"))
-    p_toxic = _sigmoid(F.col("_e.toxic") + F.col("shift_toxic"))
-    verdict = F.struct(p_quality.alias("p_quality"), p_toxic.alias("p_toxic"), "site_quality", "site_toxic", ((p_quality >= 0.5) & (p_toxic < 0.5)).alias("keep"))
-    return scored.join(sites, ["_host", "_path"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], verdict.alias("_verdict"))
+    sites = site_posteriors(first).withColumn("key", key(F.col("_host"), F.col("_path")))
+    # names that no column of docs has, whatever those are
+    name = {c: fresh(docs, f"_{c}") for c in ("e", "site_quality", "site_toxic", "shift_quality", "shift_toxic")}
+    sites = staged(sites.select("key", "n", *[F.col(c).alias(n) for c, n in name.items() if c != "e"]), "sites")  # its size is known once written
+    scored = docs.withColumn(name["e"], score(F.coalesce("text", F.lit(""))))
+    scored = keyed_join(scored, key(*site), sites, [n for c, n in name.items() if c != "e"])
+    p_quality = _sigmoid(F.col(f"{name['e']}.quality") + F.col(name["shift_quality"]))
+    p_toxic = _sigmoid(F.col(f"{name['e']}.toxic") + F.col(name["shift_toxic"]))
+    verdict = F.struct(p_quality.alias("p_quality"), p_toxic.alias("p_toxic"), F.col(name["site_quality"]).alias("site_quality"), F.col(name["site_toxic"]).alias("site_toxic"), ((p_quality >= 0.5) & (p_toxic < 0.5)).alias("keep"))
+    return scored.select(*[F.col(f"`{c}`") for c in docs.columns], verdict.alias(fresh(docs, "_verdict")))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go."""
     verdicts = classify(docs, table(spark, sf_dir, "labels"))
-    return verdicts.filter("_verdict.keep").drop("_verdict")
+    return verdicts.filter(F.col(f"{fresh(docs, '_verdict')}.keep")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
