@@ -171,12 +171,15 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, k: int) -> Dat
         trim()
         return out
 
-    # at most a row for LEAD_PAIRS pairs; written first, so that its size is known
-    many = staged(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEAD_PAIRS).cast("int").alias("pieces")).filter("pieces > 1"), "leads")
-    pairs = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("pieces", F.lit(1))).alias("piece"))
-    left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("_left")).join(many, "a", "left")
-    left = left.select("a", "_left", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1)).cast("long") - 1)).alias("piece"))
-    joined = pairs.join(left, ["a", "piece"]).join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("_right")), "b")
+    left, right = (docs.select(F.col("doc_id").alias(n), F.col("text").alias(t)) for n, t in (("a", "_left"), ("b", "_right")))
+    # at most a row for LEAD_PAIRS pairs; tables are written first, so that Spark knows how small they are
+    many = staged(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEAD_PAIRS).cast("long").alias("pieces")).filter("pieces > 1"), "leads")
+    on = ["a"]
+    if not many.isEmpty():
+        pairs = staged(pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("pieces", F.lit(1).cast("long"))).alias("piece")), "pairs")
+        left = left.join(many, "a", "left").select("a", "_left", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1).cast("long")) - 1)).alias("piece"))
+        on = ["a", "piece"]
+    joined = pairs.join(left, on).join(right, "b")
     return joined.filter(similarity("_left", "_right") >= threshold).select("a", "b").distinct()
 
 
