@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumbline.functions.urls import let
+
 # Fixed values.
 TYPOS = (
     (r"\bvechicle\w*", "vehicle"),
@@ -95,7 +97,7 @@ PLACEHOLDERS = (
 )
 MOJIBAKE = ("â€™", "â€œ", "â€", "â€“", "â€”", "â€¦", "Ã©", "Ã¡", "Ã±", "ï¿½", "�")
 ENTITY = r"&(?:nbsp|amp|quot|apos|lt|gt|ndash|mdash|hellip|#\d{2,5}|#x[0-9a-fA-F]{2,5});"
-DOUBLED = r"(?U)(?<![-'’\w])(\p{L}{2,})\s+\1(?![-'’\w])"
+DOUBLED = r"(?U)(?<![-'’\w])(\p{L}{2,}+)\s++\1(?![-'’\w])"
 DOUBLED_FINE = ("had", "that", "very", "no", "ha", "yes")
 SPACE_BEFORE = r"\S\s+[,.;:!?](?:\s|$)"
 MISSING_SPACE = r"[a-z]{2}[.,;!?][A-Z][a-zA-Z]*"
@@ -112,18 +114,38 @@ def _one(kind: str, found: Column, detail: str) -> Column:
     return F.when(found, F.array(F.struct(F.lit(kind).alias("kind"), F.lit(detail).alias("detail")))).otherwise(F.array().cast(SIGNAL))
 
 
+def _by_first_letter(patterns: list[str]) -> str:
+    """One search for patterns that begin at a word: at each word only those of its first letter are tried."""
+    letters: dict[str, list[str]] = {}
+    for p in patterns:
+        letters.setdefault(p[2], []).append(p[3:])
+    return r"\b(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(letters.items())) + ")"
+
+
 def misspellings(text: Column) -> Column:
     """One signal per pattern that is found, with its correction.  One alternation over all patterns
     goes first, so a text without any pays for a single search."""
-    low = F.lower(text)
-    any_of = "|".join(p for p, _ in TYPOS)
-    hits = F.filter(F.array(*[F.when(low.rlike(p), F.concat(F.regexp_extract(low, p, 0), F.lit(f" -> {fix}"))) for p, fix in TYPOS]), lambda x: x.isNotNull())
-    return F.when(low.rlike(any_of), _signals("misspelling", hits)).otherwise(F.array().cast(SIGNAL))
+
+    def hits(low: Column) -> Column:
+        found = F.filter(F.array(*[F.when(low.rlike(p), F.concat(F.regexp_extract(low, p, 0), F.lit(f" -> {fix}"))) for p, fix in TYPOS]), lambda x: x.isNotNull())
+        return F.when(low.rlike(_by_first_letter([p for p, _ in TYPOS])), _signals("misspelling", found)).otherwise(F.array().cast(SIGNAL))
+
+    return let(F.lower(text), hits)
+
+
+#: What a text holds, in any case, if a placeholder pattern is to match it.
+PLACEHOLDER_HINTS = ("lorem ipsum", "dolor sit amet", "add your heading", "click edit button", "this is the heading", "insert your", "your text", "your content", "sample ", "placeholder text", "tbd", "todo", "fixme", "coming soon", "xxx", "dummy ", "[your", "{{", "%", "undefined", "nan", "[object object]")
 
 
 def placeholders(text: Column) -> Column:
+    def worth(low: Column) -> Column:
+        out = F.lit(False)
+        for hint in PLACEHOLDER_HINTS:
+            out |= low.contains(hint)
+        return out
+
     hits = F.filter(F.array(*[F.when(text.rlike(p), F.lit(label)) for p, label in PLACEHOLDERS]), lambda x: x.isNotNull())
-    return _signals("placeholder", hits)
+    return F.when(let(F.lower(text), worth), _signals("placeholder", hits)).otherwise(F.array().cast(SIGNAL))
 
 
 def mojibake(raw: Column) -> Column:

@@ -6,6 +6,8 @@ not fit has empty parts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ SIZE_SUFFIX = r"-\d{2,5}x\d{2,5}(?=\.[A-Za-z0-9]+$)"
 _URL = r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _URL, 1))
 
@@ -56,6 +63,25 @@ def query(url: Column) -> Column:
     return F.regexp_extract(url, _URL, 4)
 
 
+def absolute(base: Column, ref: Column) -> Column:
+    """A reference against its base, without the fragment.  Dot segments stay; functions.resolve takes
+    those away."""
+    return let(F.regexp_replace(F.trim(ref), "#.*$", ""), lambda own: _joined(base, own))
+
+
+def _joined(base: Column, own: Column) -> Column:
+    origin = F.concat(scheme(base), F.lit("://"), host(base))
+    folder = F.when(path(base) == "", F.lit("/")).otherwise(F.regexp_replace(path(base), "[^/]*$", ""))
+    return (
+        F.when(own == "", F.regexp_replace(base, "#.*$", ""))
+        .when(own.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), own)
+        .when(own.startswith("//"), F.concat(scheme(base), F.lit(":"), own))
+        .when(own.startswith("/"), F.concat(origin, own))
+        .when(own.startswith("?"), F.concat(origin, F.when(path(base) == "", F.lit("/")).otherwise(path(base)), own))
+        .otherwise(F.concat(origin, folder, own))
+    )
+
+
 def bare_host(url: Column) -> Column:
     return F.regexp_replace(host(url), r"^www\.", "")
 
@@ -126,9 +152,11 @@ def image_identity(url: Column) -> Column:
 
         return F.when(optimised, absolute(inner)).when(options != "", absolute(options)).otherwise(u)
 
-    own = unwrapped(unwrapped(url))
-    rest = F.when(query(own) != "", F.concat(F.lit("?"), query(own))).otherwise(F.lit(""))
-    return F.concat(scheme(own), F.lit("://"), host(own), F.regexp_replace(path(own), SIZE_SUFFIX, ""), rest)
+    def named(own: Column) -> Column:
+        rest = F.when(query(own) != "", F.concat(F.lit("?"), query(own))).otherwise(F.lit(""))
+        return F.concat(scheme(own), F.lit("://"), host(own), F.regexp_replace(path(own), SIZE_SUFFIX, ""), rest)
+
+    return let(url, lambda u: let(unwrapped(u), lambda once: let(unwrapped(once), named)))
 
 
 def image_kind(url: Column, content_type: Column) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import spread
+
 # Fixed values.
 BLOCK_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li td th figcaption blockquote button label a span".split())
 HOLDING = frozenset("p li h1 h2 h3 h4 h5 h6".split())
@@ -92,7 +94,7 @@ def text_blocks(records: DataFrame) -> DataFrame:
             rows = [(site, url, n, b[2], b[3], b[4], b[5]) for site, url, html in zip(frame["site"], frame["url"], frame["html"], strict=True) for n, b in enumerate(blocks_of(html))]
             yield pd.DataFrame(rows, columns=["site", "url", "block_no", "region", "tag", "text", "runs"])
 
-    return records.select("site", "url", "html").mapInPandas(extract, BLOCK)
+    return spread(records.select("site", "url", "html")).mapInPandas(extract, BLOCK)
 
 
 def block_signals(blocks: DataFrame) -> DataFrame:

@@ -46,10 +46,14 @@ def canonical_hosts(records: DataFrame) -> DataFrame:
 
 
 def retried(records: DataFrame, again: DataFrame) -> DataFrame:
-    """Records whose page was throttled or failed are replaced by their retry where that was served."""
+    """Records whose page was throttled or failed are replaced by their retry where that was served; pages
+    are told apart by site where both tables have it."""
     throttled = F.col("o.status").isNull() | F.col("o.status").isin(408, 429, 500, 502, 503, 504)
     better = throttled & (F.col("r.status") == 200)
-    joined = records.alias("o").join(again.alias("r"), F.col("o.url") == F.col("r.url"), "left")
+    same = F.col("o.url") == F.col("r.url")
+    if "site" in records.columns and "site" in again.columns:
+        same &= F.col("o.site").eqNullSafe(F.col("r.site"))
+    joined = records.alias("o").join(again.alias("r"), same, "left")
     return joined.select(*[F.when(better, F.col(f"r.`{c}`")).otherwise(F.col(f"o.`{c}`")).alias(c) for c in records.columns])
 
 
@@ -71,4 +75,5 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str | Column]) -> Dat
 def round_robin(df: DataFrame, group: str, order: list[str], most: int) -> DataFrame:
     """Rows dealt out in turns over groups: the first of each group, then the second of each, ..."""
     nth = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("turn", nth).orderBy("turn", group).limit(most)
+    # no group gives more than `most` rows, and Spark stops each there before the rows are shuffled
+    return df.withColumn("turn", nth).filter(F.col("turn") <= most).orderBy("turn", group).limit(most)

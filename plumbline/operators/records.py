@@ -86,6 +86,7 @@ def page_records(pages: DataFrame) -> DataFrame:
     images, text = elements(html, "img"), plain_text(html)
     title, description = tag_text(html, "title"), meta(html, "description")
     h1, link = tag_texts(html, "h1"), F.filter(elements(html, "link"), lambda e: F.coalesce(F.lower(attribute(e, "rel")), F.lit("")).rlike(r"(^|\s)canonical(\s|$)"))
+    alternates = F.filter(elements(html, "link"), lambda e: F.coalesce(F.lower(attribute(e, "rel")), F.lit("")).rlike(r"(^|\s)alternate(\s|$)") & attribute(e, "hreflang").isNotNull() & attribute(e, "href").isNotNull())
     anchors = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*>.*?</a>"), F.lit(0)), lambda e: F.struct(attribute(e, "href").alias("href"), F.trim(F.regexp_replace(F.regexp_replace(e, r"(?s)<[^>]*>", ""), r"\s+", " ")).alias("anchor"), F.coalesce(attribute(e, "aria-label"), attribute(e, "title")).alias("label")))
     hrefs = F.transform(elements(html, "a"), lambda e: attribute(e, "href"))
     tel = F.filter(hrefs, lambda h: F.coalesce(h, F.lit("")).startswith("tel:"))
@@ -103,6 +104,8 @@ def page_records(pages: DataFrame) -> DataFrame:
         attribute(F.regexp_extract(html, r"(?is)<html(?:\s[^>]*)?>", 0), "lang").alias("lang"),
         *[meta(html, p).alias(c) for p, c in (("og:title", "og_title"), ("og:description", "og_description"), ("og:image", "og_image"), ("twitter:card", "twitter_card"))],
         attribute(F.try_element_at(link, F.lit(1)), "href").alias("canonical_href"),
+        F.coalesce(urls.absolute(F.col("url"), attribute(F.try_element_at(elements(html, "base"), F.lit(1)), "href")), F.col("url")).alias("base_url"),
+        F.transform(alternates, lambda e: F.struct(F.lower(attribute(e, "hreflang")).alias("lang"), attribute(e, "href").alias("href"))).alias("hreflang"),
         h1.alias("h1"),
         F.size(elements(html, "h2")).alias("h2_count"),
         anchors.alias("anchors"),
@@ -121,7 +124,8 @@ def page_records(pages: DataFrame) -> DataFrame:
             "title_len": F.length("title"),
             "desc_len": F.length("meta_description"),
             "h1_count": F.size("h1"),
-            "canonical": F.when(F.col("canonical_href").rlike("^https?://"), F.col("canonical_href")).when(F.col("canonical_href").startswith("/"), F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.host(F.col("url")), F.col("canonical_href"))).otherwise(F.col("canonical_href")),
+            "canonical": F.when(F.trim("canonical_href") == "", F.lit("")).otherwise(urls.absolute(F.col("base_url"), F.col("canonical_href"))),
+            "hreflang": F.transform("hreflang", lambda h: F.struct(h.lang.alias("lang"), urls.absolute(F.col("base_url"), h.href).alias("href"))),
             "links_no_anchor_text": F.size(F.filter("anchors", lambda a: (a.anchor == "") & (F.coalesce(a.label, F.lit("")) == ""))),
             "word_count": word_count(F.col("text")),
             "phones": F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(PHONE), F.lit(0)))),
@@ -134,14 +138,14 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 def page_links(records: DataFrame) -> DataFrame:
     """A row per link that leads somewhere, first anchor of a target first: site, src, href, target, anchor, pos,
-    internal, page.  Root-relative and absolute hrefs are resolved natively; others by the UDF in
-    functions.resolve."""
+    internal, page.  Hrefs are resolved against the document's base: root-relative and absolute ones
+    natively, others by the UDF in functions.resolve."""
     from plumbline.functions.resolve import resolve
 
     skip = r"(?i)^(tel:|mailto:|javascript:|data:|sms:|#)"
-    out = records.select("site", F.col("url").alias("src"), F.posexplode("anchors").alias("pos", "a")).select("site", "src", "pos", F.trim(F.col("a.href")).alias("href"), F.substring("a.anchor", 1, 80).alias("anchor"))
+    out = records.select("site", F.col("url").alias("src"), "base_url", F.posexplode("anchors").alias("pos", "a")).select("site", "src", "base_url", "pos", F.trim(F.col("a.href")).alias("href"), F.substring("a.anchor", 1, 80).alias("anchor"))
     out = out.filter(F.col("href").isNotNull() & (F.col("href") != "") & ~F.col("href").rlike(skip))
-    origin = F.concat(urls.scheme(F.col("src")), F.lit("://"), urls.host(F.col("src")))
-    target = F.when(F.col("href").rlike(r"(?i)^https?://"), F.regexp_replace("href", "#.*$", "")).when(F.col("href").rlike("^/(?!/)") & ~F.col("href").contains("/."), F.concat(origin, F.regexp_replace("href", "#.*$", ""))).otherwise(resolve("src", "href"))
-    out = out.withColumn("target", target).filter(F.col("target").rlike("^https?://"))
+    origin = F.concat(urls.scheme(F.col("base_url")), F.lit("://"), urls.host(F.col("base_url")))
+    target = F.when(F.col("href").rlike(r"(?i)^https?://"), F.regexp_replace("href", "#.*$", "")).when(F.col("href").rlike("^/(?!/)") & ~F.col("href").contains("/."), F.concat(origin, F.regexp_replace("href", "#.*$", ""))).otherwise(resolve("base_url", "href"))
+    out = out.withColumn("target", target).drop("base_url").filter(F.col("target").rlike("^https?://"))
     return out.withColumns({"internal": urls.same_site(F.col("target"), urls.host(F.col("src"))), "page": urls.is_page(F.col("target"))})

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import urls
-from plumbline.operators import blocks
+from plumbline.operators import blocks, media
 from plumbline.operators import links as L
 from plumbline.session import cut
 
@@ -98,11 +98,29 @@ def _blank(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")) == ""
 
 
+#: Rules that look at one page at a time: what they ask, and what they say.
+PAGE_RULES: dict[str, tuple[Callable[[], Column], Callable[[], Column] | str]] = {}
+
+
 def page_rule(id: str, severity: str, category: str, predicate: Callable[[], Column], detail: Callable[[], Column] | str = "") -> None:
     """A rule that looks at one page at a time."""
+    PAGE_RULES[id] = predicate, detail
     rule(id, severity, category)(lambda f: _hits(f.pages.filter(predicate()), detail if isinstance(detail, str) else detail()))
 
 
+def page_hits(frames: Frames, ids: list[str]) -> DataFrame:
+    """Hits of page rules, all of them in one pass over the pages."""
+
+    def judged(id: str) -> Column:
+        predicate, detail = PAGE_RULES[id]
+        text = F.lit(detail) if isinstance(detail, str) else detail()
+        own = RULES[id]
+        return F.when(predicate(), F.struct(F.lit(id).alias("finding"), F.lit(own.severity).alias("severity"), F.lit(own.category).alias("category"), F.substring(text.cast("string"), 1, 300).alias("detail")))
+
+    found = F.filter(F.array(*map(judged, ids)), lambda h: h.isNotNull())
+    return frames.pages.select("site", "url", F.explode(found).alias("h")).select("site", "h.finding", "h.severity", "h.category", "url", "h.detail")
+
+
 page_rule("MET-01", "high", "metadata", lambda: _blank("title"), "no title")
 page_rule("MET-02", "medium", "metadata", lambda: F.col("title_len") > TITLE_MAX, lambda: F.col("title_len"))
 page_rule("MET-03", "low", "metadata", lambda: F.col("title_len").between(1, TITLE_MIN - 1), lambda: F.col("title"))
@@ -273,11 +291,13 @@ chain_rule("ERR-13", "low", False, 2, None)
 chain_rule("ERR-12", "low", True, 1, 1)
 
 
-@rule("ERR-11", "low", "errors", "link_status")
+@rule("ERR-11", "low", "errors", "link_status", "links")
 def blocked_links(f: Frames) -> DataFrame:
+    """Links that refuse us, on the pages that carry them, where a site has three or more."""
     own = f.link_status.filter("verdict in ('blocked', 'unreachable')")
     many = own.groupBy("site").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
-    return _hits(own.join(many.select("site"), "site", "left_semi"), F.col("verdict"))
+    spread = L.fan_out(own.join(many.select("site"), "site", "left_semi"), f.links)
+    return spread.select("site", F.col("page").alias("url"), F.concat_ws(" ", "url", "verdict").alias("detail"))
 
 
 def runtime_rule(id: str, severity: str, category: str, array: str, keep: Callable[[Column], Column] | None = None) -> None:
@@ -336,9 +356,8 @@ for _id, _severity in (("SDV-01", "high"), ("SDV-02", "medium"), ("SDV-03", "med
 @rule("MED-01", "medium", "media")
 def image_alt(f: Frames) -> DataFrame:
     """Images, by identity, whose worst state on any page is missing or empty."""
-    each = f.pages.select("site", "url", F.explode("images").alias("i")).filter("i.src is not null").select("site", "url", urls.image_identity(F.col("i.src")).alias("image"), F.when(F.col("i.alt").isNull(), 2).when(F.trim("i.alt") == "", 1).otherwise(0).alias("rank"))
-    worst = each.groupBy("site", "image").agg(F.max("rank").alias("rank"), F.min("url").alias("url")).filter("rank > 0")
-    return _hits(worst, F.concat_ws(" ", F.when(F.col("rank") == 2, "missing").otherwise("empty"), "image"))
+    worst = media.alt_inventory(f.records).filter("rank > 0").withColumn("url", F.col("first_page"))
+    return _hits(worst, F.concat_ws(" ", "state", "image"))
 
 
 @rule("MED-06", "medium", "media", "images")
@@ -399,9 +418,10 @@ def page_signals(records: DataFrame) -> DataFrame:
 
 def run(frames: Frames, only: list[str] | None = None) -> DataFrame:
     """Hits of all rules whose frames were measured."""
-    parts = []
+    at_once = [id for id in PAGE_RULES if only is None or id in only]
+    parts = [page_hits(frames, at_once)] if at_once else []
     for r in RULES.values():
-        if (only is None or r.id in only) and all(getattr(frames, need) is not None for need in r.needs):
+        if r.id not in PAGE_RULES and (only is None or r.id in only) and all(getattr(frames, need) is not None for need in r.needs):
             found = r.find(frames)
             severity = F.col("severity") if "severity" in found.columns else F.lit(r.severity)
             parts.append(found.select("site", F.lit(r.id).alias("finding"), severity.alias("severity"), F.lit(r.category).alias("category"), "url", F.substring("detail", 1, 300).alias("detail")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scoring as S
 from plumbline.functions import urls
+from plumbline.operators import media
 from plumbline.operators.rules import DESC_MAX, DESC_MIN, THIN_WORDS, TITLE_MAX, TITLE_MIN
 
 # Fixed values: (worst tier, vendors at least, score).
@@ -106,8 +107,7 @@ def runtime_metrics(runtime: DataFrame) -> DataFrame:
 
 def image_metrics(records: DataFrame) -> DataFrame:
     """Share of distinct images whose worst state on any page is a text."""
-    each = records.filter("is_page").select("site", F.explode("images").alias("i")).filter("i.src is not null")
-    worst = each.groupBy("site", urls.image_identity(F.col("i.src")).alias("image")).agg(F.max(F.when(F.col("i.alt").isNull(), 2).when(F.trim("i.alt") == "", 1).otherwise(0)).alias("rank"))
+    worst = media.alt_inventory(records)
     return unpivot(worst.groupBy("site").agg(F.avg((F.col("rank") == 0).cast("double")).alias("img_alt")), ["img_alt"])
 
 
@@ -122,6 +122,39 @@ def schema_metrics(pages: DataFrame) -> DataFrame:
     return unpivot(out, ["schema_coverage", "schema_valid", "schema_complete"])
 
 
+def file_metrics(sitemaps: DataFrame, robots: DataFrame, staging: bool = False) -> DataFrame:
+    """What robots.txt and sitemaps tell, 0 to 1.  sitemaps: site, urls, host_urls; robots: site, status,
+    directives, has_sitemap.  A sitemap that lists another host alone is none of the site's."""
+    listed = sitemaps.groupBy("site").agg(F.sum("host_urls").alias("own"), F.sum(F.col("urls") - F.col("host_urls")).alias("foreign"))
+    out = listed.join(robots.select("site", "status", "directives", "has_sitemap"), "site", "full_outer")
+    named = F.when(F.col("has_sitemap"), 0.5).otherwise(0.0)
+    sitemap = F.when(F.col("own") > 0, 1.0).when(F.col("foreign") > 0, 0.0).otherwise(named)
+    served = F.col("status") == 200
+    lost = F.when(~served | F.col("status").isNull(), 0.4).when(F.size("directives") == 0, 0.3).otherwise(0.0) + F.when(served & ~F.col("has_sitemap") & F.lit(not staging), 0.3).otherwise(0.0)
+    return unpivot(out.select("site", sitemap.alias("sitemap"), F.when(F.col("has_sitemap").isNotNull(), F.greatest(1 - lost, F.lit(0.0))).alias("robots")), ["sitemap", "robots"])
+
+
+def probe_metrics(answers: DataFrame) -> DataFrame:
+    """answers: probes of suppressed_probes().  1 where no missing path is served, no file lies open, and no
+    account is named."""
+    bucket, status = F.col("bucket"), F.col("status")
+    named = ((bucket == "users") & (F.size("users") > 0)) | ((bucket == "author") & (F.col("verdict") == "confirmed"))
+    out = answers.groupBy("site").agg(
+        F.bool_and(F.when(bucket == "nonexistent", status != 200)).cast("double").alias("soft_404"),
+        (~F.bool_or(F.coalesce((bucket == "exposed") & (status == 200) & ~F.col("suppressed"), F.lit(False)))).cast("double").alias("exposed"),
+        (~F.bool_or(F.coalesce(named, F.lit(False)))).cast("double").alias("enumeration"),
+    )
+    return unpivot(out, ["soft_404", "exposed", "enumeration"])
+
+
+def points(metrics: DataFrame) -> DataFrame:
+    """What each metric gives and loses of its group's declared weight, most lost first: a site's worst
+    metrics."""
+    declared = F.create_map(*[F.lit(x) for p in S.DECLARED_WEIGHTS.items() for x in p])[F.col("group")]
+    share = 100 * F.col("weight") / declared
+    return metrics.filter("score is not null").withColumns({"points": F.col("score") * share, "lost": (1 - F.col("score")) * share}).orderBy("site", F.desc("lost"), "metric")
+
+
 def scored(values: DataFrame) -> DataFrame:
     """Values through their windows: site, metric, group, weight, value, score."""
     known = values.filter(F.col("metric").isin(*S.METRICS))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import cut, spread
+
 MAX_DEPTH = 8
 MAX_ISSUES, MAX_INFO = 80, 25
 NODE = "site string, url string, block_no int, path string, depth int, slot string, types array<string>, node_id string, props array<struct<prop: string, kind: string, value: string>>, code string"
@@ -154,7 +156,7 @@ def jsonld_nodes(records: DataFrame) -> DataFrame:
             rows = [(site, url, *node) for site, url, blocks in zip(frame["site"], frame["url"], frame["jsonld"], strict=True) for n, block in enumerate(blocks if blocks is not None else ()) for node in nodes_of(block, n)]
             yield pd.DataFrame(rows, columns=["site", "url", "block_no", "path", "depth", "slot", "types", "node_id", "props", "code"])
 
-    return records.select("site", "url", "jsonld").mapInPandas(extract, NODE)
+    return spread(records.select("site", "url", "jsonld")).mapInPandas(extract, NODE)
 
 
 def _satisfies(kind: Column, value: Column, range_: Column) -> Column:
@@ -172,7 +174,9 @@ def _satisfies(kind: Column, value: Column, range_: Column) -> Column:
 
 
 def schema_issues(nodes: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """All checks as joins; equal issues of a page and type are counted together."""
+    """All checks as joins; equal issues of a page and type are counted together.  Nodes are written once,
+    as every check reads them."""
+    nodes = cut(nodes, "nodes")
     key = ["site", "url", "path"]
     kinds = vocab.types.select("type").distinct()
     broken = nodes.filter("code is not null").select(*key, F.lit("").alias("type"), F.lit("").alias("prop"), "code")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scoring as S
@@ -29,20 +29,23 @@ def site_vitals(scored: DataFrame) -> DataFrame:
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """sorted[n // 2] a key, found by rank."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(order) - 1).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    return ranked.filter(F.col("_n") == F.floor(F.col("_all") / 2)).select(*keys, F.col(value).alias("upper_median"))
+    """sorted[n // 2] a key: the value at which half of the rows, from above, are reached.  Equal values
+    are counted map-side."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.expr(f"percentile_disc(0.5) within group (order by `{value}` desc)").alias("upper_median"))
 
 
-def opportunities(images: DataFrame, records: DataFrame) -> DataFrame:
-    """Bytes and time that could be saved, a site: sized images, formats, response."""
+def opportunities(images: DataFrame, records: DataFrame, runtime: DataFrame | None = None, limit_kb: int = 180) -> DataFrame:
+    """Bytes and time that could be saved, a site: sized images, formats, images over the limit, the median
+    page's weight (where pages were rendered), response."""
     ratio = F.col("displayed_width") / F.nullif(F.col("natural_width"), F.lit(0))
     sized = F.when((ratio < 0.5) & ~urls.is_vector(F.col("kind")), F.col("bytes") * (1 - ratio * ratio))
     legacy = F.when(~urls.is_modern(F.col("kind")) & (F.col("bytes") > LEGACY_LEAST), F.col("bytes") * LEGACY_SHARE)
-    saved = images.groupBy("site").agg(F.sum(sized).alias("sized_bytes"), F.sum(legacy).alias("format_bytes"))
+    saved = images.groupBy("site").agg(F.sum(sized).alias("sized_bytes"), F.sum(legacy).alias("format_bytes"), F.sum(F.when(F.col("bytes") > limit_kb * 1024, F.col("bytes") - limit_kb * 1024)).cast("double").alias("heavy_bytes"))
     slow = records.groupBy("site").agg(F.greatest(F.median("elapsed_ms") - RESPONSE_GOOD_MS, F.lit(0.0)).alias("response_ms"))
-    rows = saved.join(slow, "site", "full_outer").unpivot("site", ["sized_bytes", "format_bytes", "response_ms"], "opportunity", "amount")
+    rows = saved.join(slow, "site", "full_outer").unpivot("site", ["sized_bytes", "format_bytes", "heavy_bytes", "response_ms"], "opportunity", "amount")
+    if runtime is not None:
+        weight = runtime.filter("resource_bytes > 0").groupBy("site").agg((F.median("resource_bytes") - WEIGHT_GOOD).alias("amount"))
+        rows = rows.unionByName(weight.select("site", F.lit("page_bytes").alias("opportunity"), "amount"))
     return rows.filter("amount > 0").withColumn("rank_value", F.when(F.col("opportunity") == "response_ms", F.col("amount") * 1000).otherwise(F.col("amount")))
 
 

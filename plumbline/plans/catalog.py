@@ -15,7 +15,7 @@ from plumbline.operators import blocks, corpus, crawl, graph, links, mail, probe
 from plumbline.operators import vitals as lab
 from plumbline.operators.records import page_links
 from plumbline.plans import frames as X
-from plumbline.session import ship
+from plumbline.session import cut, ship, spread
 from plumbline.sources.sinks import slug
 from plumbline.sources.tables import parquet
 
@@ -53,16 +53,14 @@ FRAGMENTS = {
     "scheme": r"lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?', 1))",
     "text": _TEXT.replace('\\"', '"'),
     "title": _tag(r"regexp_extract(coalesce(html, ''), '(?is)<title(?:\s[^>]*)?>(.*?)</title>', 1)").replace('\\"', '"'),
-    "order": "ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice",
     "part_url": "'https://shop.example.com/' || CASE WHEN KEY % 10 = 0 THEN 'blog/' WHEN KEY % 10 = 1 THEN 'tag/' ELSE 'item/' END || KEY || '/'",
 }
 _EDGES = """nodes AS (SELECT {part_url_p} AS url FROM part),
-lines AS (SELECT l_orderkey, l_partkey, l_returnflag, lead(l_partkey) OVER (PARTITION BY l_orderkey {order}) AS nxt FROM lineitem),
-edges AS (SELECT {part_url_s} AS src, {part_url_d} AS dst, l_returnflag AS anchor, l_orderkey % 7 = 0 AS rendered FROM lines WHERE nxt IS NOT NULL AND l_orderkey % 5 = 0),
+edges AS (SELECT {part_url_s} AS src, {part_url_d} AS dst, l_returnflag AS anchor, l_orderkey % 7 = 0 AS rendered FROM lineitem),
 pairs AS (SELECT DISTINCT src, dst, rendered FROM edges WHERE src <> dst)"""
-for _name, _key in (("p", "p_partkey"), ("s", "l_partkey"), ("d", "nxt")):
+for _name, _key in (("p", "p_partkey"), ("s", "l_partkey"), ("d", "(CASE WHEN l_returnflag = 'A' THEN l_linenumber % 3 + 1 ELSE 3 * l_partkey + l_linenumber % 2 END)")):
     _EDGES = _EDGES.replace("{part_url_%s}" % _name, FRAGMENTS["part_url"].replace("KEY", _key))
-FRAGMENTS = {"edges": _EDGES.replace("{order}", FRAGMENTS["order"])} | FRAGMENTS
+FRAGMENTS = {"edges": _EDGES} | FRAGMENTS
 FRAGMENTS["links"] = """status AS (SELECT 'c' || (o_custkey % 100) || '.example.com' AS site, o_orderkey AS o, o_orderstatus <> 'F' AS internal,
   CASE WHEN o_orderkey % 17 = 0 THEN 404 WHEN o_orderkey % 23 = 0 THEN 403 WHEN o_orderkey % 29 = 0 THEN 500 WHEN o_orderkey % 31 = 0 THEN 418 WHEN o_orderkey % 37 = 0 THEN NULL ELSE 200 END AS status, CAST(o_orderkey % 4 AS INT) AS hops FROM orders),
 judged AS (SELECT *, CASE WHEN internal THEN site ELSE 'other.example.net' END AS host, CASE WHEN status IN (404, 410) THEN 'dead' WHEN status >= 500 OR status IN (401, 403, 405, 429, 999) THEN 'blocked' WHEN status >= 400 THEN 'error' WHEN status IS NOT NULL THEN 'ok' ELSE 'unreachable' END AS verdict FROM status)"""
@@ -135,12 +133,12 @@ def page_rule_findings(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def all_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Rule engine: every rule over every frame the tables give, a row a finding and site.  No table gives
-    probes, runtime or sitemaps, so their rules are silent."""
-    records = X.records(spark, d)
+    """Rule engine: every rule over every frame, a row a finding and site."""
+    records = cut(X.crawl_records(spark, d), "records")
     signals = rules.page_signals(records).unionByName(_document_signals(spark, d)).unionByName(_spelling_signals(spark, d, records))
     g = _classified(spark, d)
-    f = rules.Frames(records, signals=signals, links=X.link_pages(spark, d), graph=g, link_status=links.with_verdicts(X.link_status(spark, d)), vitals=X.vitals(spark, d), images=X.images(spark, d), mail=mail.mail_records(X.mail_domains(spark, d), X.dns_answers(spark, d)), reputation=probes.reputation_grade(X.listings(spark, d)))
+    f = rules.Frames(records, signals=signals, links=X.link_pages(spark, d), graph=g, link_status=links.with_verdicts(X.link_status(spark, d)), vitals=X.vitals(spark, d), images=X.images(spark, d), mail=mail.mail_records(X.mail_domains(spark, d), X.dns_answers(spark, d)), reputation=probes.reputation_grade(X.listings(spark, d)),
+        runtime=X.runtime(spark, d), probes=probes.suppressed_probes(X.probe_answers(spark, d), X.probe_baselines(spark, d)), sitemaps=X.sitemap_totals(spark, d), extra={"entry_point": X.entry_points(spark, d)})
     f.schema_issues = structured.schema_issues(structured.jsonld_nodes(X.jsonld_records(spark, d)), structured.vocabulary(spark))
     f.robots = probes.robots_summary(X.robots_bodies(spark, d))
     return rules.findings(rules.run(f.staged()))
@@ -151,7 +149,7 @@ def all_findings(spark: SparkSession, d: str) -> DataFrame:
 
 def _document_signals(spark: SparkSession, d: str) -> DataFrame:
     """Copy faults of each line of a document, once a document for each kind and detail."""
-    lines = X.documents_as_records(spark, d).select("site", "url", F.explode(F.split("text", r"\R")).alias("line"))
+    lines = spread(X.documents_as_records(spark, d)).select("site", "url", F.explode(F.split("text", r"\R")).alias("line"))
     return lines.select("site", "url", F.explode(copy_signals(F.col("line"))).alias("s")).select("site", "url", "s.kind", "s.detail").distinct()
 
 
@@ -243,7 +241,8 @@ def bfs_depth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges, home = X.graph_nodes(spark, d), X.graph_edges(spark, d), X.graph_home(spark, d)
+    nodes, edges = X.graph_nodes(spark, d), cut(X.graph_edges(spark, d).distinct(), "edges")  # read by each step
+    home = X.home_of(edges)
     return graph.classify(graph.inbound_counts(nodes, edges), graph.bfs_depth(nodes, edges, home), home)
 
 
@@ -330,7 +329,9 @@ def metric_scores(spark: SparkSession, d: str) -> DataFrame:
 def site_scores(spark: SparkSession, d: str) -> DataFrame:
     """Groups, category, gates and overall score of every site."""
     records = X.records(spark, d)
-    metrics = scores.scored(scores.page_metrics(records).unionByName(scores.signal_metrics(records, rules.page_signals(records))))
+    signals = rules.page_signals(records)
+    records = cut(records.drop("html", "text", "anchors", "images", "jsonld"), "records")  # read by each metric
+    metrics = scores.scored(scores.page_metrics(records).unionByName(scores.signal_metrics(records, signals)))
     seo = scores.seo_category(scores.group_scores(metrics))
     return scores.overall(seo, None, scores.gates(records)).select("site", F.round("raw", 6).alias("raw"), "overall", "cap", F.round("coverage", 6).alias("coverage"), "band")
 
@@ -433,7 +434,7 @@ def robots_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 11 = 0 THEN NULL WHEN s_suppkey % 5 = 0 THEN 0 WHEN s_suppkey % 9 = 0 THEN 2 ELSE 1 END AS n FROM supplier)
 SELECT 's' || k || '.example.com' AS domain, n > 0 AS spf_present, CAST(n AS BIGINT) AS spf_count, CASE WHEN n > 0 THEN CASE WHEN k % 6 = 0 THEN '~' ELSE ['-', '~', '?', '+'][k % 4 + 1] END END AS spf_all, CASE WHEN n > 0 THEN CASE WHEN k % 6 = 0 THEN 9 ELSE 5 END END::BIGINT AS spf_cost,
- CASE WHEN k % 4 <> 0 THEN ['reject', 'quarantine', 'none'][k % 3 + 1] END AS dmarc_policy, (CASE WHEN k % 3 <> 0 AND k % 8 <> 0 THEN 1 ELSE 0 END)::BIGINT AS dkim_live, (CASE WHEN k % 3 <> 0 AND k % 8 <> 0 AND k % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS dkim_weak, k % 10 <> 0 AND k % 13 <> 0 AS mx_present FROM s""")
+ CASE WHEN k % 4 <> 0 THEN ['reject', 'quarantine', 'none'][k % 3 + 1] ELSE '' END AS dmarc_policy, (CASE WHEN k % 3 <> 0 AND k % 8 <> 0 THEN 1 ELSE 0 END)::BIGINT AS dkim_live, (CASE WHEN k % 3 <> 0 AND k % 8 <> 0 AND k % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS dkim_weak, k % 10 <> 0 AND k % 13 <> 0 AS mx_present FROM s""")
 def mail_records(spark: SparkSession, d: str) -> DataFrame:
     """SPF with includes and redirects, DMARC, DKIM, MX from DNS answers."""
     out = mail.mail_records(X.mail_domains(spark, d), X.dns_answers(spark, d))
@@ -446,7 +447,7 @@ def posture_scores(spark: SparkSession, d: str) -> DataFrame:
     return scores.posture_scores(mail.mail_records(X.mail_domains(spark, d), X.dns_answers(spark, d)))
 
 
-@query("""WITH l AS (SELECT 'u' || user_id || '.example.com' AS host, ['browser', 'gateway', 'mail', 'endpoint', 'feed', 'unknown'][CAST(floor(value) AS BIGINT) % 6 + 1] AS tier, 'Vendor ' || event_type AS vendor FROM events WHERE user_id IS NOT NULL AND event_id % 26 = 0),
+@query("""WITH l AS (SELECT 'u' || user_id || '.example.com' AS host, ['browser', 'gateway', 'mail', 'endpoint', 'feed', 'unknown'][CAST(floor(value) AS BIGINT) % 6 + 1] AS tier, 'Vendor ' || event_type AS vendor FROM events WHERE user_id IS NOT NULL AND coalesce(CAST(floor(value) AS BIGINT) % 7 NOT IN (1, 2, 4, 5, 6), true)),
 r AS (SELECT host, coalesce(tier, 'unknown') AS tier, list_position(['browser', 'gateway', 'mail', 'endpoint', 'feed', 'unknown'], coalesce(tier, 'unknown')) AS rank FROM l), w AS (SELECT host, min(rank) AS rank FROM r GROUP BY ALL)
 SELECT host, tier AS worst_tier, count(*) AS agree, CASE WHEN tier = 'browser' THEN 'critical' WHEN tier IN ('gateway', 'mail') THEN CASE WHEN count(*) >= 2 THEN 'high' ELSE 'medium' END WHEN tier = 'endpoint' THEN CASE WHEN count(*) >= 2 THEN 'medium' ELSE 'low' END ELSE 'low' END AS grade FROM r JOIN w USING (host, rank) GROUP BY host, tier""")
 def reputation_grades(spark: SparkSession, d: str) -> DataFrame:
@@ -555,3 +556,6 @@ def author_verdicts(spark: SparkSession, d: str) -> DataFrame:
     final = F.when(e % 3 == 0, F.concat(F.lit("https://e.com/author/u"), e.cast("string"), F.lit("/"))).otherwise("https://e.com/")
     verdict = crawl.author_verdict(F.when(e % 5 == 0, 404).otherwise(200), final, F.coalesce("value", F.lit(0.0)) * 100, F.lit(""), F.lit(3000.0), F.lit("Home"))
     return parquet(spark, d, "events").select("event_id", verdict.alias("verdict"))
+
+
+from plumbline.plans import findings as _findings  # noqa: E402,F401  registers its queries

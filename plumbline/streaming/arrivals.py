@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import urls
 from plumbline.operators.records import page_records
-from plumbline.operators.rules import RULES, Frames
+from plumbline.operators.rules import Frames
+from plumbline.operators.rules import page_hits as one_pass
 
 
 def once(pages: DataFrame, time: str = "fetched_at", within: str = "1 hour") -> DataFrame:
@@ -17,12 +18,7 @@ def once(pages: DataFrame, time: str = "fetched_at", within: str = "1 hour") ->
 
 def page_hits(pages: DataFrame, rules: tuple[str, ...] = ("MET-01", "MET-02", "MET-03", "MET-11", "MET-12", "CNT-09", "IDX-04")) -> DataFrame:
     """Hits of rules that look at one page at a time; works on streams and on tables."""
-    frames = Frames(page_records(pages))
-    parts = [RULES[r].find(frames).select("site", F.lit(r).alias("finding"), "url", "detail") for r in rules]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return one_pass(Frames(page_records(pages)), list(rules)).select("site", "finding", "url", "detail")
 
 
 def hits_by_window(hits: DataFrame, time: str, size: str = "10 minutes") -> DataFrame:
