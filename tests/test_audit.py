@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import copy, images, scoring, urls
-from plumbline.operators import blocks, crawl, graph, links, mail, probes, rules, scores, structured, vitals
-from plumbline.operators.records import page_records
+from plumbline.operators import blocks, crawl, graph, links, mail, media, probes, rules, scores, structured, vitals
+from plumbline.operators.records import page_links, page_records
 from plumbline.plans import catalog
 from plumbline.sources import sinks, tables
 from plumbline.streaming import arrivals
@@ -200,6 +200,7 @@ def test_first_wins_and_round_robin(spark):
 def test_query_matches_sql(spark, name):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
+    con.execute("set threads to 2")
     for t in "region nation customer supplier part orders lineitem events documents pages".split():
         con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
     frame = catalog.QUERIES[name](spark, folder)
@@ -213,3 +214,57 @@ def test_query_matches_sql(spark, name):
 
     want = tidy(tuple(r[names.index(c)] for c in columns) for r in found.fetchall())
     assert tidy(tuple(r[c] for c in columns) for r in frame.collect()) == want
+
+
+def test_txt_answers_in_quoted_chunks(spark):
+    domains = spark.createDataFrame([("s", "a.com")], "site string, domain string")
+    answers = spark.createDataFrame([("a.com", "TXT", ['"x"', '"v=spf1 mx " "-all"'])], "name string, rtype string, values array<string>")
+    r = mail.mail_records(domains, answers).first()
+    assert (r.spf_present, r.spf_count, r.spf_all, r.spf_cost) == (True, 1, "-", 1)
+
+
+def test_references_against_a_base(spark):
+    base = "https://e.com/a/b?q"
+    for ref, want in (("c", "https://e.com/a/c"), ("/c#f", "https://e.com/c"), ("//x.com/", "https://x.com/"), ("?z", "https://e.com/a/b?z"), ("#f", base), ("mailto:x", "mailto:x")):
+        assert one(spark, urls.absolute(F.lit(base), F.lit(ref))) == want
+    html = "<html><head><base href='/sub/'><link rel='alternate' hreflang='DE' href='de/'><link rel=\"canonical\" href=\"x/\"></head><body><a href='y'>y</a></body></html>"
+    page = page_records(spark.createDataFrame([(1, "https://e.com/p", html)], "page_id long, url string, html string"))
+    r = page.first()
+    assert (r.base_url, r.canonical, [tuple(h) for h in r.hreflang]) == ("https://e.com/sub/", "https://e.com/sub/x/", [("de", "https://e.com/sub/de/")])
+    assert [x.target for x in page_links(page).collect()] == ["https://e.com/sub/y"]
+
+
+def test_picture_sources():
+    img, base = {"src": "/f.jpg", "srcset": "/i.jpg 2x"}, "https://e.com/p/"
+    assert media.choice(img, [], base) == ("https://e.com/i.jpg", "", "", "https://e.com/f.jpg", None, 1, "x")
+    sources = [{"srcset": "a.xyz", "type": "image/xyz"}, {"srcset": "m.webp", "media": "(max-width: 9px)"}, {"srcset": "s.webp 300w, l.webp 900w", "sizes": "200px", "type": "image/webp"}]
+    assert media.choice(img, sources, base) == ("https://e.com/p/s.webp", "https://e.com/p/l.webp", "", "https://e.com/f.jpg", 200.0, 2, "picture-w")
+    assert media.choice({"src": "data:image/png;base64,x"}, [], base) is None
+
+
+def test_blocked_links_stand_on_their_pages(spark):
+    status = spark.createDataFrame([("s", f"https://x/{i}", "blocked") for i in range(3)], "site string, url string, verdict string")
+    found = spark.createDataFrame([("s", "https://s/a/", "https://x/0", "x", 1)], "site string, src string, target string, href string, pos int")
+    frames = rules.Frames(status, links=found, link_status=status)
+    assert sorted(r.url for r in rules.RULES["ERR-11"].find(frames).collect()) == ["https://s/a/", "https://x/1", "https://x/2"]
+
+
+def test_retries_stay_within_their_site(spark):
+    old = spark.createDataFrame([("a", "u", 503), ("b", "u", 503)], "site string, url string, status int")
+    again = spark.createDataFrame([("a", "u", 200)], "site string, url string, status int")
+    assert sorted((r.site, r.status) for r in links.retried(old, again).collect()) == [("a", 200), ("b", 503)]
+
+
+def test_upper_median_and_points(spark):
+    rows = spark.createDataFrame([("a", v) for v in (1.0, 2.0, 3.0, 4.0)] + [("b", 5.0), ("b", None)], "k string, v double")
+    assert {r.k: r.upper_median for r in vitals.upper_median(rows, ["k"], "v").collect()} == {"a": 3.0, "b": 5.0}
+    metrics = spark.createDataFrame([("s", "h1", "metadata", 4.0, 0.5), ("s", "title_present", "metadata", 5.0, 1.0), ("s", "lang", "metadata", 1.0, None)], "site string, metric string, group string, weight double, score double")
+    got = scores.points(metrics).collect()
+    assert [r.metric for r in got] == ["h1", "title_present"] and got[0].points == pytest.approx(got[0].lost) and got[1].lost == 0
+
+
+def test_the_shared_folder_of_a_session(spark):
+    from plumbline import session as S
+
+    assert S.shared_dir(spark).startswith("file:/")
+    assert S.spread(spark.range(5).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
