@@ -3,6 +3,10 @@
 The vocabulary is a set of small tables (types with ancestors, properties with domains and ranges,
 superseded names); a short one is built in and may be replaced.  Issues: site, url, path, type, prop,
 code, level, layer (schema or google), n.
+
+Objects of a page that share an @id are one node: their types and properties combine before a property is
+called misplaced or missing.  What a rich result needs is asked only inside a search feature, of the type
+that the slot expects, and once a node.
 """
 
 from __future__ import annotations
@@ -11,14 +15,15 @@ import json
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import cut, spread
 
 MAX_DEPTH = 8
 MAX_ISSUES, MAX_INFO = 80, 25
-NODE = "site string, url string, block_no int, path string, depth int, slot string, types array<string>, node_id string, props array<struct<prop: string, kind: string, value: string>>, code string"
+NODE = """site string, url string, block_no int, path string, seq int, depth int, slot string, types array<string>, chain array<array<string>>, node_id string,
+ pointer boolean, advised boolean, miscounted boolean, props array<struct<prop: string, kind: string, value: string>>, code string"""
 # Fixed values: (required, recommended) properties of rich results; alternatives are separated by '|'.
 RICH_RESULTS = {
     "Article": ("headline", "image datePublished dateModified author publisher"),
@@ -51,6 +56,19 @@ RICH_RESULTS = {
     "GeoCoordinates": ("latitude longitude", ""),
     "ContactPoint": ("telephone|email|url", "contactType areaServed"),
 }
+#: A floor that belongs to some features alone.
+UNDER = {"Offer": ("Product", "Event")}
+#: Whose floor a type without one of its own takes, the first ancestor of these.
+FLOOR_ANCESTORS = ("LocalBusiness", "Organization", "Product", "Article", "Event", "Person", "Service")
+#: Slots composed into the parent's own result; types that begin a search feature.
+FEATURE_SLOTS = frozenset("mainEntity mainEntityOfPage about itemListElement acceptedAnswer suggestedAnswer step itemOffered offers aggregateRating review reviewRating address geo priceSpecification".split())
+FEATURE_HOSTS = tuple("Article Book BreadcrumbList Course Dataset Event FAQPage HowTo ItemList JobPosting LocalBusiness Movie Organization Person Product QAPage Recipe Service SoftwareApplication VideoObject WebPage WebSite".split())
+#: What a pointer to a node described elsewhere may carry; terms of consumers alone.
+POINTER_PROPS = frozenset("name url image logo description sameAs alternateName identifier".split())
+CONSUMER_TERMS = ("query-input",)
+TEXTUAL = ("Text", "PronounceableText", "XPathType", "CssSelectorType")
+DATATYPES = (*TEXTUAL, "DataType", "URL", "Date", "DateTime", "Time", "Duration", "Number", "Integer", "Float", "Boolean")
+ABSOLUTE = r"(?i)^https?://[^/?#]"
 DATE = r"^\d{4}-\d{2}(-\d{2})?([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 TIME = r"^\d{2}:\d{2}(:\d{2})?(Z|[+-]\d{2}:?\d{2})?$"
 DURATION = r"^-?P(?=.)(\d+Y)?(\d+M)?(\d+W)?(\d+D)?(T(?=.)(\d+H)?(\d+M)?(\d+(\.\d+)?S)?)?$"
@@ -80,9 +98,14 @@ SUPERSEDED = (("ingredients", "recipeIngredient"), ("branchOf", "parentOrganizat
 
 @dataclass(frozen=True)
 class Vocabulary:
+    """Tables of a vocabulary's own size, whatever the pages: Spark sees their sizes and broadcasts them while
+    they stay under its threshold."""
+
     types: DataFrame  # type, ancestor (itself included)
     props: DataFrame  # prop, domain, range
     superseded: DataFrame  # prop, by
+    about: DataFrame  # type, floor (whose rich-result rules it takes), host (the feature it begins), host_depth
+    slots: DataFrame  # slot, type, slot_floor: whose rules a node of a type takes in a slot
 
 
 def closure(types: tuple[tuple[str, str], ...]) -> list[tuple[str, str]]:
@@ -96,55 +119,111 @@ def closure(types: tuple[tuple[str, str], ...]) -> list[tuple[str, str]]:
 
 
 def vocabulary(spark: SparkSession, types=TYPES, properties=PROPERTIES, superseded=SUPERSEDED) -> Vocabulary:
+    pairs = closure(types)
+    lines: dict[str, set[str]] = {}
+    for t, a in pairs:
+        lines.setdefault(t, set()).add(a)
+    deep = {t: len(above) for t, above in lines.items()}
+
+    def floor(t: str) -> str | None:
+        return t if t in RICH_RESULTS else next((a for a in FLOOR_ANCESTORS if a in lines[t]), None)
+
+    def host(t: str) -> str | None:
+        return max((a for a in lines[t] if a in FEATURE_HOSTS), key=lambda a: (deep.get(a, 1), a), default=None)
+
+    about = [(t, floor(t), host(t), deep.get(host(t), 0)) for t in lines]
+    # the deepest range entry that the type is, of those with rules
+    ranges = [(p, [(deep[r], r) for r in rs.split() if r in lines and floor(r)]) for p, _, rs in properties]
+    slots = [(p, t, floor(max(fits)[1])) for p, entries in ranges for t in lines if (fits := [e for e in entries if e[1] in lines[t]])]
     props = [(p, d, r) for p, ds, rs in properties for d in ds.split() for r in rs.split()]
-    return Vocabulary(spark.createDataFrame(closure(types), "type string, ancestor string"), spark.createDataFrame(props, "prop string, domain string, range string"), spark.createDataFrame(list(superseded), "prop string, by string"))
+    return Vocabulary(
+        spark.createDataFrame(pairs, "type string, ancestor string"), spark.createDataFrame(props, "prop string, domain string, range string"), spark.createDataFrame(list(superseded), "prop string, by string"),
+        spark.createDataFrame(about, "type string, floor string, host string, host_depth int"), spark.createDataFrame(slots, "slot string, type string, slot_floor string"),
+    )
 
 
 def _term(name) -> str:
     return str(name).rstrip("/").rpartition("/")[2].rpartition("#")[2].rpartition(":")[2]
 
 
+def _blank(value) -> bool:
+    return value is None or (isinstance(value, str) and not value.strip()) or (isinstance(value, (list, dict)) and not value)
+
+
+def _types(node: dict) -> list[str]:
+    raw = node.get("@type")
+    return [_term(t) for t in (raw if isinstance(raw, list) else [raw]) if t]
+
+
+def _miscounted(node: dict) -> bool:
+    """Does numberOfItems differ from the list it counts?"""
+    said, items = node.get("numberOfItems"), node.get("itemListElement")
+    if isinstance(said, bool) or not isinstance(said, (int, float)):
+        return False
+    return said // 1 != (len(items) if isinstance(items, list) else 0 if _blank(items) else 1)
+
+
 def nodes_of(block: str, number: int) -> list[tuple]:
-    """(block, path, depth, slot, types, id, props, code) of one JSON-LD block; code names what breaks
-    the block as a whole."""
+    """The nodes of one JSON-LD block in the order of NODE, without site and url; code names what breaks
+    the block as a whole.  chain holds the types of the node's ancestors and its own, from the root;
+    advised tells whether every slot down to the node is composed into its parent's result."""
+
+    def broken(path: str, code: str) -> tuple:
+        return (number, path, 0, 0, None, [], [], None, False, False, False, [], code)
+
+    top = f"{number}:$"
     if not block.strip():
-        return [(number, "$", 0, None, [], None, [], "empty-block")]
+        return [broken(top, "empty-block")]
     try:
         data = json.loads(block)
     except ValueError:
-        return [(number, "$", 0, None, [], None, [], "json-parse")]
+        return [broken(top, "json-parse")]
     roots = data if isinstance(data, list) else [data]
     out: list[tuple] = []
 
-    def walk(node: dict, path: str, depth: int, slot: str | None, code: str | None) -> None:
-        types = [_term(t) for t in (node.get("@type") if isinstance(node.get("@type"), list) else [node.get("@type")]) if t]
-        props = []
-        inner = []
-        for key, value in node.items():
-            if key.startswith("@"):
-                continue
-            for v in value if isinstance(value, list) else [value]:
-                if isinstance(v, dict):
-                    props.append({"prop": _term(key), "kind": "object", "value": ",".join(_term(t) for t in ([v.get("@type")] if not isinstance(v.get("@type"), list) else v["@type"]) if t)})
-                    inner.append((key, v))
-                else:
-                    props.append({"prop": _term(key), "kind": "blank" if v is None or v == "" else "scalar", "value": json.dumps(v) if isinstance(v, bool) else "" if v is None else str(v)})
-        out.append((number, path, depth, slot, types, node.get("@id"), props, code))
+    def walk(node: dict, path: str, depth: int, slot: str | None, chain: list, advised: bool, code: str | None) -> None:
+        types, node_id = _types(node), node.get("@id")
+        node_id = node_id if isinstance(node_id, str) and node_id else None
+        chain = [*chain, types]
+        if types:
+            advised = advised and (slot is None or slot in FEATURE_SLOTS)
+        props, inner, own = [], [], [k for k in node if not k.startswith("@")]
+        for key in own:
+            name, value = _term(key), node[key]
+            foreign = ":" in key or key in CONSUMER_TERMS
+            for v in value if isinstance(value, list) and value else [value]:
+                kind, text = "scalar", v
+                if isinstance(v, dict) and "@value" in v and "@type" not in v:
+                    text = v["@value"]
+                elif isinstance(v, dict) and v:
+                    names = _types(v)
+                    kind, text = ("object", names[0]) if names else ("ref", v["@id"]) if "@id" in v else ("untyped", "")
+                    if kind != "ref":
+                        inner.append((name, v))
+                if _blank(text) and kind == "scalar":
+                    kind, text = "blank", ""
+                if not foreign or kind != "blank":
+                    props.append({"prop": name, "kind": "foreign" if foreign else kind, "value": json.dumps(text) if isinstance(text, (bool, list)) else str(text).strip()})
+        pointer = depth > 0 and node_id is not None and all(_term(k) in POINTER_PROPS for k in own)
+        out.append((number, path, len(out), depth, slot, types, chain, node_id, pointer, advised, _miscounted(node), props, code))
         if depth < MAX_DEPTH:
-            for i, (key, v) in enumerate(inner):
-                if set(v) - {"@id"}:
-                    walk(v, f"{path}.{_term(key)}[{i}]", depth + 1, _term(key), None)
+            for i, (name, v) in enumerate(inner):
+                walk(v, f"{path}.{name}[{i}]", depth + 1, name, chain, advised, None)
 
     for i, root in enumerate(roots):
         if not isinstance(root, dict):
-            out.append((number, f"$[{i}]", 0, None, [], None, [], "not-an-object"))
+            out.append(broken(f"{top}[{i}]", "not-an-object"))
             continue
         context = root.get("@context")
         code = "no-context" if context is None else "http-context" if str(context).startswith("http://schema.org") else "bad-context" if "schema.org" not in str(context) else None
         graph = root.get("@graph")
         members = (graph if isinstance(graph, list) else [graph]) if graph is not None else [root]
-        for j, member in enumerate(m for m in members if isinstance(m, dict)):
-            walk(member, f"$[{i}][{j}]", 0, None, code if j == 0 else None)
+        for j, member in enumerate(members):
+            if isinstance(member, dict):
+                walk(member, f"{top}[{i}][{j}]", 0, None, [], True, code)
+                code = None
+            else:
+                out.append(broken(f"{top}[{i}][{j}]", "not-an-object"))
     return out
 
 
@@ -154,66 +233,126 @@ def jsonld_nodes(records: DataFrame) -> DataFrame:
     def extract(batches):
         for frame in batches:
             rows = [(site, url, *node) for site, url, blocks in zip(frame["site"], frame["url"], frame["jsonld"], strict=True) for n, block in enumerate(blocks if blocks is not None else ()) for node in nodes_of(block, n)]
-            yield pd.DataFrame(rows, columns=["site", "url", "block_no", "path", "depth", "slot", "types", "node_id", "props", "code"])
+            yield pd.DataFrame(rows, columns=["site", "url", "block_no", "path", "seq", "depth", "slot", "types", "chain", "node_id", "pointer", "advised", "miscounted", "props", "code"])
 
     return spread(records.select("site", "url", "jsonld")).mapInPandas(extract, NODE)
 
 
-def _satisfies(kind: Column, value: Column, range_: Column) -> Column:
-    text = F.when(range_.isin("Text", "PronounceableText", "XPathType", "CssSelectorType"), True)
+KEY = ["site", "url", "path"]
+WARNINGS = ("bad-context", "untyped-object", "superseded-property", "property-not-on-type", "list-item-position", "value-type", "empty-wanted", "fractional-number", "relative-url", "money-format")
+
+
+def _satisfies(value: Column, range_: Column) -> Column:
+    """Does a literal fill one entry of a property's range?  An absolute URL names an object elsewhere."""
     return (
-        text.when(kind == "object", F.lit(None).cast("boolean"))
-        .when(range_ == "URL", value.rlike("^(https?:)?//|^/|^#"))
-        .when(range_ == "Date", value.rlike(DATE))
-        .when(range_ == "Time", value.rlike(TIME))
+        F.when(range_.isin(*TEXTUAL), True)
+        .when(range_.isin("Date", "DateTime"), value.rlike(DATE))
+        .when(range_ == "Time", value.rlike(TIME) | value.rlike(DATE))
         .when(range_ == "Duration", value.rlike(DURATION))
-        .when(range_.isin("Number", "Integer", "Float"), value.rlike(NUMBER))
+        .when(range_.isin("Number", "Float"), value.rlike(NUMBER))
+        .when(range_ == "Integer", value.rlike(r"^[+-]?\d+$"))
         .when(range_ == "Boolean", F.lower(value).rlike(BOOLEAN))
-        .otherwise(False)
+        .otherwise(value.rlike(ABSOLUTE))
     )
 
 
+def merged_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes with what all objects of the page that share their @id say together: types_all, filled (names of
+    properties that are not blank), places.  Nodes without @id stand for themselves."""
+    filled = F.array_distinct(F.transform(F.filter("props", lambda p: p.kind != "blank"), lambda p: p.prop))
+    nodes = nodes.withColumn("filled", filled)
+    same = ["site", "url", "node_id"]
+    named = nodes.filter("node_id is not null")
+    told = named.select(*same, F.col("path"), F.explode(F.concat(F.transform("types", lambda t: F.struct(F.lit("t").alias("of"), t.alias("name"))), F.transform("filled", lambda f: F.struct(F.lit("f").alias("of"), f.alias("name"))), F.array(F.struct(F.lit("p").alias("of"), F.col("path").alias("name"))))).alias("x"))
+
+    def names(of: str) -> Column:
+        return F.array_sort(F.collect_set(F.when(F.col("x.of") == of, F.col("x.name"))))
+
+    union = told.groupBy(*same).agg(names("t").alias("_types"), names("f").alias("_filled"), F.size(names("p")).alias("_places"))
+    out = nodes.join(union, same, "left")
+    return out.select(*nodes.columns, F.coalesce("_types", "types").alias("types_all"), F.coalesce("_filled", "filled").alias("filled_all"), F.coalesce("_places", F.lit(1)).alias("places"))
+
+
 def schema_issues(nodes: DataFrame, vocab: Vocabulary) -> DataFrame:
     """All checks as joins; equal issues of a page and type are counted together.  Nodes are written once,
     as every check reads them."""
-    nodes = cut(nodes, "nodes")
-    key = ["site", "url", "path"]
+    nodes = cut(merged_nodes(nodes), "nodes")
+    primary = F.element_at(F.concat("types", F.array(F.lit(""))), 1)
     kinds = vocab.types.select("type").distinct()
-    broken = nodes.filter("code is not null").select(*key, F.lit("").alias("type"), F.lit("").alias("prop"), "code")
-    no_type = nodes.filter("code is null and size(types) = 0 and size(props) > 0").select(*key, F.lit("").alias("type"), F.lit("").alias("prop"), F.when(F.col("depth") == 0, "no-type").otherwise("untyped-object").alias("code"))
-    typed = nodes.select(*key, F.explode("types").alias("type"))
-    unknown = typed.join(kinds, "type", "left_anti").select(*key, "type", F.lit("").alias("prop"), F.lit("unknown-type").alias("code"))
-    each = nodes.select(*key, F.element_at(F.concat("types", F.array(F.lit(""))), 1).alias("type"), "types", F.explode("props").alias("p")).select(*key, "type", "types", "p.prop", "p.kind", "p.value")
+    node = nodes.select(*KEY, primary.alias("type"), F.lit("").alias("prop"), "code", "depth", "node_id", "types", "types_all", "filled", "filled_all", "places", "miscounted", "slot", "props")
+    broken = node.filter("code is not null")
+    no_type = node.filter("code is null and size(types) = 0 and size(props) > 0").withColumn("code", F.when(F.col("depth") == 0, "no-type").otherwise("untyped-object"))
+    unknown = nodes.select(*KEY, F.explode("types").alias("type"), F.lit("").alias("prop"), F.lit("unknown-type").alias("code")).join(kinds, "type", "left_anti")
+    combined = node.filter((F.col("places") > 1) & (F.size(F.array_except("filled_all", "filled")) > 0)).groupBy("site", "url", "node_id").agg(F.min("path").alias("path"), F.min(F.array_join("types_all", "/")).alias("type")).withColumns({"prop": F.lit(""), "code": F.lit("id-merged")})
+
+    each = node.select(*KEY, "type", "types_all", "slot", F.explode("props").alias("p")).select(*KEY, "type", "types_all", "slot", "p.prop", "p.kind", "p.value").filter("kind <> 'foreign'")
     names = vocab.props.select("prop").distinct()
-    old = each.join(vocab.superseded.select("prop"), "prop", "left_semi").withColumn("code", F.lit("superseded-property"))
-    strange = each.join(names, "prop", "left_anti").join(vocab.superseded.select("prop"), "prop", "left_anti").withColumn("code", F.lit("unknown-property"))
-    lineage = each.filter("size(types) > 0").select(*key, "type", "prop", F.explode("types").alias("own")).distinct().join(vocab.types.select(F.col("type").alias("own"), "ancestor"), "own")
-    placed = lineage.join(vocab.props.select("prop", F.col("domain").alias("ancestor")).distinct(), ["prop", "ancestor"], "left_semi").select(*key, "prop").distinct()
-    known_types = lineage.select(*key, "type", "prop").distinct().join(names, "prop", "left_semi")
-    misplaced = known_types.join(placed, [*key, "prop"], "left_anti").withColumn("code", F.lit("property-not-on-type"))
-    blank = each.filter("kind = 'blank'").withColumn("code", F.lit("empty-value"))
-    ranges = each.filter("kind = 'scalar'").join(vocab.props.select("prop", "range").distinct(), "prop")
-    judged = ranges.groupBy(*key, "type", "prop", "value").agg(F.bool_or(_satisfies(F.lit("scalar"), F.col("value"), F.col("range"))).alias("ok"), F.collect_set("range").alias("r"))
+    written = each.select(*KEY, "type", "types_all", "slot", "prop").distinct()
+    old = written.join(vocab.superseded.select("prop"), "prop", "left_semi").withColumn("code", F.lit("superseded-property"))
+    strange = written.join(names, "prop", "left_anti").join(vocab.superseded.select("prop"), "prop", "left_anti").withColumn("code", F.lit("unknown-property"))
+    domains = vocab.props.select("prop", F.col("domain").alias("ancestor"), F.lit(True).alias("fits")).distinct()
+    lineage = written.join(names, "prop", "left_semi").select(*KEY, "type", "prop", "slot", F.explode("types_all").alias("own")).join(vocab.types.select(F.col("type").alias("own"), "ancestor"), "own").join(domains, ["prop", "ancestor"], "left")
+    unordered = (F.col("prop") == "position") & (F.coalesce("slot", F.lit("")) == "itemListElement")
+    misplaced = lineage.groupBy(*KEY, "type", "prop", "slot").agg(F.bool_or(F.coalesce("fits", F.lit(False))).alias("ok")).filter("not ok").withColumn("code", F.when(unordered, "list-item-position").otherwise("property-not-on-type"))
+
+    ranged = vocab.props.select("prop", "range").distinct()
+    judged = each.filter("kind = 'scalar'").join(ranged, "prop").groupBy(*KEY, "type", "prop", "value").agg(F.bool_or(_satisfies(F.col("value"), F.col("range"))).alias("ok"), F.collect_set("range").alias("r"))
     r = F.col("r")
-    wrong = judged.filter("not ok").withColumn("code", F.when(F.array_contains(r, "Date"), "invalid-date").when(F.array_contains(r, "Time"), "invalid-time").when(F.array_contains(r, "Duration"), "invalid-duration").when(F.array_contains(r, "Integer") | F.array_contains(r, "Number"), "invalid-number").when(F.array_contains(r, "Boolean"), "invalid-boolean").when(F.array_contains(r, "URL"), "relative-url").otherwise("value-type"))
+    wrong = judged.filter("not ok").withColumn(
+        "code",
+        F.when(F.size(F.array_intersect("r", F.array(*map(F.lit, DATATYPES)))) == 0, "value-type").when(F.arrays_overlap("r", F.array(F.lit("Date"), F.lit("DateTime"))), "invalid-date").when(F.array_contains(r, "Time"), "invalid-time").when(F.array_contains(r, "Duration"), "invalid-duration")
+        .when(F.arrays_overlap("r", F.array(F.lit("Number"), F.lit("Integer"), F.lit("Float"))), F.when(F.col("value").rlike(NUMBER), "fractional-number").otherwise("invalid-number")).when(F.array_contains(r, "Boolean"), "invalid-boolean").otherwise("relative-url"),
+    )
+    is_a = vocab.types.select(F.col("type").alias("value"), F.col("ancestor").alias("range"), F.lit(True).alias("is"))
+    objects = each.filter("kind = 'object'").join(ranged, "prop").join(is_a, ["value", "range"], "left").groupBy(*KEY, "type", "prop", "value").agg(F.bool_or(F.coalesce("is", F.lit(False))).alias("ok"), F.bool_and(F.col("range").isin(*DATATYPES)).alias("literal"))
+    unfit = objects.filter("not ok").withColumn("code", F.when(F.col("literal"), "object-value").otherwise("value-type"))
+    ids = nodes.select("site", "url", F.col("node_id").alias("value")).filter("value is not null").distinct()
+    lost = each.filter("kind = 'ref' and value like '#%'").join(ids, ["site", "url", "value"], "left_anti").withColumn("code", F.lit("unresolved-id"))
+    lists = vocab.types.filter("ancestor = 'ItemList'").select(F.col("type").alias("own"))
+    miscounted = node.filter("miscounted").select(*KEY, "type", F.explode("types").alias("own")).join(lists, "own", "left_semi").select(*KEY, "type").distinct().withColumns({"prop": F.lit("numberOfItems"), "code": F.lit("list-count")})
     money = each.filter(F.col("prop").isin("price", "lowPrice", "highPrice", "minPrice", "maxPrice") & (F.col("kind") == "scalar") & ~F.col("value").rlike(NUMBER)).withColumn("code", F.lit("money-format"))
-    floors = _floors(nodes, vocab)
-    parts = [d.select(*key, "type", "prop", "code") for d in (broken, no_type, unknown, old, strange, misplaced, blank, wrong, money, floors)]
+
+    floors = cut(live_floors(nodes, vocab), "floors")
+    missing = floors.filter("asked and not pointer and (code = 'missing-required' or advised)").filter(~F.arrays_overlap("need", "filled_all")).withColumn("prop", F.array_join("need", "|"))
+    wanted = floors.select(*KEY, F.explode("need").alias("prop")).distinct().withColumn("wanted", F.lit(True))
+    blank = each.filter("kind = 'blank'").join(wanted, [*KEY, "prop"], "left").withColumn("code", F.when(F.col("wanted"), "empty-wanted").otherwise("empty-value"))
+    parts = [d.select(*KEY, "type", "prop", "code") for d in (broken, no_type, unknown, combined, old, strange, misplaced, blank, wrong, unfit, lost, miscounted, money, missing)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
+    # three codes have two levels each
+    code = F.when(F.col("code") == "empty-wanted", "empty-value").when(F.col("code") == "fractional-number", "invalid-number").when(F.col("code") == "object-value", "value-type").otherwise(F.col("code"))
     layer = F.when(F.col("code").isin("missing-required", "missing-recommended", "money-format"), "google").otherwise("schema")
-    level = F.when(F.col("code").isin("missing-recommended", "money-format", "http-context", "superseded-property"), "info").when(F.col("code").isin("json-parse", "empty-block", "not-an-object", "no-context", "no-type", "missing-required"), "error").otherwise("warning")
-    return out.groupBy("site", "url", "type", "prop", "code").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n")).withColumns({"layer": layer, "level": level})
-
-
-def _floors(nodes: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Required and recommended properties that a node of a rich-result type does not fill."""
+    level = F.when(F.col("code").isin("missing-recommended", "http-context", "empty-value", "list-count", "unresolved-id", "id-merged"), "info").when(F.col("code").isin(*WARNINGS), "warning").otherwise("error")
+    return out.withColumns({"code": code, "level": level, "layer": layer}).groupBy("site", "url", "type", "prop", "code", "level", "layer").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n"))
+
+
+def live_floors(nodes: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """What rich results ask of each node: a row a node and property, need (any of these fills it), code,
+    asked (false for objects whose @id another object of the page answers for).
+
+    A node answers for the type its slot expects, or else for its own; the feature is that of the first
+    host from the root down, a root that hosts none names its own."""
+    typed = nodes.filter("size(types) > 0").drop("code", "props")
+    levels = typed.select(*KEY, "slot", (F.size("chain") - 1).alias("last"), F.posexplode("chain").alias("level", "at")).select(*KEY, "slot", "last", "level", F.posexplode("at").alias("nth", "type"))
+    mine = F.col("level") == F.col("last")
+    steps = levels.join(vocab.about, "type").join(vocab.slots, ["slot", "type"], "left")
+    told = steps.groupBy(*KEY).agg(
+        F.min_by("host", F.when(F.col("host").isNotNull(), F.struct("level", -F.col("host_depth"), "host"))).alias("host"), F.min(F.when(F.col("host").isNotNull(), F.col("level"))).alias("level"),
+        F.min_by("floor", F.when(mine & F.col("floor").isNotNull(), F.col("nth"))).alias("own_floor"), F.min_by("slot_floor", F.when(mine & F.col("slot_floor").isNotNull(), F.col("nth"))).alias("slot_floor"), F.bool_or(mine).alias("valid"),
+    )
+    root = F.get(F.get("chain", F.lit(0)), F.lit(0))
+    # a root of a type that hosts nothing is a feature of its own for all below it
+    feature = F.when(root.isNotNull() & (F.coalesce("level", F.lit(MAX_DEPTH)) > 0), root).otherwise(F.col("host"))
+    tasks = typed.join(told.filter("valid"), KEY).withColumns({"feature": feature, "floor": F.coalesce("slot_floor", "own_floor")})
+    # of the objects with one @id a subject answers, then the one that says most, then the first
+    turn = Window.partitionBy("site", "url", F.coalesce("node_id", "path")).orderBy(F.col("depth") > 0, -F.size("filled"), "block_no", "seq")
+    tasks = tasks.withColumn("asked", F.row_number().over(turn) == 1)
     rows = [(t, need.split("|"), code) for t, specs in RICH_RESULTS.items() for spec, code in zip(specs, ("missing-required", "missing-recommended"), strict=True) for need in spec.split()]
-    rules = nodes.sparkSession.createDataFrame(rows, "ancestor string, need array<string>, code string")
-    filled = F.transform(F.filter("props", lambda p: p.kind != "blank"), lambda p: p.prop)
-    own = nodes.filter("size(types) > 0").select("site", "url", "path", F.element_at("types", 1).alias("type"), filled.alias("filled"))
-    return own.join(vocab.types, "type").join(rules, "ancestor").filter(~F.arrays_overlap("need", "filled")).select("site", "url", "path", "type", F.array_join("need", "|").alias("prop"), "code")
+    live = F.lit(True)
+    for floor, features in UNDER.items():
+        live = live & ((F.col("floor") != floor) | F.col("feature").isin(*features))
+    return tasks.filter(F.col("feature").isNotNull() & live).join(nodes.sparkSession.createDataFrame(rows, "floor string, need array<string>, code string"), "floor").select(*KEY, F.col("types")[0].alias("type"), "need", "code", "asked", "pointer", "advised", "filled_all")
 
 
 def schema_pages(nodes: DataFrame, issues: DataFrame) -> DataFrame:

@@ -259,11 +259,14 @@ def depth_histogram(spark: SparkSession, d: str) -> DataFrame:
     return graph.depth_histogram(_classified(spark, d)).select("depth", "pages")
 
 
-@query()
+@query("""WITH c AS (SELECT c_nationkey AS n, c_custkey % 5 AS s, coalesce(c_acctbal < 0, false) AS orphan FROM customer WHERE c_nationkey IS NOT NULL),
+v AS (SELECT CASE WHEN (n + s) % 3 = 0 THEN 'n' || n || '/' || s || '/' WHEN n % 2 = 0 THEN 'n' || n || '/' ELSE '' END AS page FROM c WHERE orphan UNION ALL SELECT 'blog/'),
+t AS (SELECT page, count(*) AS votes FROM v GROUP BY ALL), h AS (SELECT * FROM t UNION ALL SELECT '', 1 WHERE '' NOT IN (SELECT page FROM t)), r AS (SELECT 'shop.example.com' AS site, 'https://shop.example.com/' || page AS url, votes, row_number() OVER (ORDER BY votes DESC, page) AS rank FROM h) SELECT * FROM r WHERE rank <= 8""")
 def hub_pages(spark: SparkSession, d: str) -> DataFrame:
     """Crawled pages most likely to explain the orphans."""
-    g = _classified(spark, d)
-    return graph.hub_candidates(g.select("site", "url"), g.filter("link_class like '%orphan'").select("site", "url"), X.graph_home(spark, d))
+    pages = X.shelves(spark, d)
+    home = pages.filter("url = 'https://shop.example.com/'").select("site", "url")
+    return graph.hub_candidates(pages.select("site", "url"), pages.filter("orphan").select("site", "url"), home).select("site", "url", "votes", F.col("rank").cast("long").alias("rank"))
 
 
 # --- links -----------------------------------------------------------------------------------------

@@ -52,6 +52,20 @@ def home_of(edges: DataFrame) -> DataFrame:
     return edges.groupBy("site").agg(F.min("src").alias("url"))
 
 
+def shelves(spark: SparkSession, d: str) -> DataFrame:
+    """A directory tree over customers, nation by nation and shelf by shelf: the customers' pages (those in
+    debt are orphans), every other nation's index, a third of the shelves' indexes, home and blog."""
+    n, k = F.col("c_nationkey"), F.col("c_custkey")
+    own = parquet(spark, d, "customer").filter("c_nationkey is not null").select(n.alias("n"), (k % 5).alias("s"), k.cast("string").alias("k"), (F.col("c_acctbal") < 0).alias("orphan"))
+    top, crawled = F.lit("https://shop.example.com/"), F.lit(False).alias("orphan")
+    nation = F.concat(top, F.lit("n"), F.col("n").cast("string"), F.lit("/"))
+    shelf = F.concat(nation, F.col("s").cast("string"), F.lit("/"))
+    pages = own.select(F.concat(shelf, "k", F.lit("/")).alias("url"), F.coalesce("orphan", F.lit(False)).alias("orphan"))
+    for extra in (own.filter("n % 2 = 0").select(nation.alias("url"), crawled), own.filter("(n + s) % 3 = 0").select(shelf.alias("url"), crawled), own.select(F.explode(F.array(top, F.concat(top, F.lit("blog/")))).alias("url"), crawled)):
+        pages = pages.union(extra.distinct())
+    return pages.withColumn("site", F.lit("shop.example.com"))
+
+
 def link_status(spark: SparkSession, d: str) -> DataFrame:
     """A checked link an order; its customer is the site."""
     o = F.col("o_orderkey")
@@ -136,6 +150,26 @@ def jsonld_records(spark: SparkSession, d: str) -> DataFrame:
     return parquet(spark, d, "part").select(F.lower("p_brand").alias("site"), F.concat(F.lit("/p/"), k.cast("string")).alias("url"), F.array(body).alias("jsonld"))
 
 
+def jsonld_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """A page an order with three blocks: an organisation and its catalogue, a second description of the
+    organisation (under another @id each fourth order), and an article that refers to it."""
+    o = F.col("o_orderkey")
+
+    def one(condition: Column, text: str, other: str = "") -> Column:
+        return F.when(condition, text).otherwise(other)
+
+    def block(*parts: str | Column) -> Column:
+        return F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
+
+    offers = '[{"@type":"Offer","position":1},{"@type":"Offer","position":2}]'
+    first = block('{"@context":"https://schema.org","@graph":[{"@type":"Organization","@id":"#org","name":"N"},{"@type":"OfferCatalog","name":"C","numberOfItems":', (o % 3).cast("string"), ',"itemListElement":', offers, "}]}")
+    second = block('{"@context":"https://schema.org","@type":"LocalBusiness","@id":"', one(o % 4 == 0, "#other", "#org"), '"', one(o % 5 == 0, ',"email":"a@example.com","sku":""', ',"address":{"@type":"PostalAddress","addressLocality":"L","addressRegion":"R","streetAddress":"S","postalCode":"P"}'), "}")
+    author = F.when(o % 7 == 0, '{"@type":"Offer"}').when(o % 7 == 1, '"A. Author"').otherwise('{"@type":"Person","name":"A. Author"}')
+    third = block('{"@context":"https://schema.org","@type":"Article","headline":"H","datePublished":"', one(o % 8 == 0, "soon", "2024-05-01"), '","author":', author, ',"publisher":{"@id":"', one(o % 6 == 0, "#nobody", "#org"), '"}}')
+    site = F.concat(F.lit("c"), (F.col("o_custkey") % 100).cast("string"))
+    return parquet(spark, d, "orders").select(site.alias("site"), F.concat(F.lit("/o/"), o.cast("string")).alias("url"), F.array(first, second, third).alias("jsonld"))
+
+
 def crawl_pages(spark: SparkSession, d: str) -> DataFrame:
     """The pages as a crawl measured them, with a head and a first paragraph that follow from page_id, so that
     what the extraction finds is known."""

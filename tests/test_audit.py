@@ -131,6 +131,50 @@ def test_structured_data(spark, page):
     assert broken[0][-1] == "json-parse"
 
 
+def ld(body):
+    return '{"@context":"https://schema.org",' + body + "}"
+
+
+# blocks of a page and its issues, recommendations left out: code, type, property, level, nodes
+SCHEMA_PAGES = [
+    # an offer is held to product prices inside a product alone
+    ([ld('"@type":"Product","name":"p","offers":{"@type":"Offer","price":1}')], {("missing-required", "Offer", "priceCurrency", "error", 1)}),
+    ([ld('"@type":"Service","name":"s","offers":{"@type":"Offer"}'), ld('"@type":"Offer"')], {("property-not-on-type", "Service", "offers", "warning", 1)}),
+    # one node told twice; the address of the one and the name of the other
+    ([ld('"@type":"LocalBusiness","@id":"#b","name":"n"'), ld('"@type":"LocalBusiness","@id":"#b","address":"a"')], {("id-merged", "LocalBusiness", "", "info", 1)}),
+    ([ld('"@type":"LocalBusiness","@id":"#b","name":"n"'), ld('"@type":"LocalBusiness","@id":"#c","address":"a"')], {("missing-required", "LocalBusiness", "address", "error", 1), ("missing-required", "LocalBusiness", "name", "error", 1)}),
+    ([ld('"@type":"Organization","@id":"#b","name":"n","priceRange":"x"'), ld('"@type":"LocalBusiness","@id":"#b","name":"n","address":"a"')], {("id-merged", "LocalBusiness/Organization", "", "info", 1)}),
+    # a slot asks for what it expects, a pointer for nothing
+    ([ld('"@type":"Service","name":"s","provider":{"@type":"LocalBusiness","name":"n","telephone":"1"}')], set()),
+    ([ld('"@type":"Service","name":"s","provider":{"@type":"Organization","@id":"#x","url":"https://e.com/"}')], set()),
+    ([ld('"@type":"Service","name":"s","provider":{"@type":"Organization","url":"https://e.com/"}')], {("missing-required", "Organization", "name", "error", 1)}),
+    # lists
+    ([ld('"@type":"OfferCatalog","name":"c","numberOfItems":3,"itemListElement":[{"@type":"Offer","position":1},{"@type":"Offer","position":2}]')], {("list-count", "OfferCatalog", "numberOfItems", "info", 1), ("list-item-position", "Offer", "position", "warning", 2)}),
+    ([ld('"@type":"ItemList","itemListElement":[{"@type":"ListItem","name":"i"}]')], {("missing-required", "ListItem", "position", "error", 1)}),
+    # values and references
+    ([ld('"@type":"Article","headline":"h","author":{"@type":"Offer"},"publisher":"Some name","mainEntity":{"@id":"#none"}')], {("value-type", "Article", "author", "warning", 1), ("value-type", "Article", "publisher", "warning", 1), ("unresolved-id", "Article", "mainEntity", "info", 1)}),
+    ([ld('"@type":"Article","headline":"h","publisher":"https://e.com/#org"')], set()),
+    ([ld('"@type":"ItemList","numberOfItems":1.5,"url":"/x"')], {("invalid-number", "ItemList", "numberOfItems", "warning", 1), ("list-count", "ItemList", "numberOfItems", "info", 1), ("relative-url", "ItemList", "url", "warning", 1)}),
+    ([ld('"@type":"WebSite","url":"https://e.com/","description":[]'), ld('"@type":"Product","name":"p","brand":{}')], {("empty-value", "WebSite", "description", "info", 1), ("empty-value", "Product", "brand", "warning", 1)}),
+    ([ld('"@type":"Product","name":{"@type":"Person","name":"n"}')], {("value-type", "Product", "name", "error", 1)}),
+    ([ld('"@type":"WebSite","url":"https://e.com/","potentialAction":{"@type":"SearchAction","target":"t","query-input":"q","x:y":1}')], set()),
+    ([ld('"@graph":[1,{"@type":"Person","name":"n"}]'), "", "{"], {("not-an-object", "", "", "error", 1), ("empty-block", "", "", "error", 1), ("json-parse", "", "", "error", 1)}),
+]
+
+
+def test_structured_data_of_a_page(spark):
+    pages = spark.createDataFrame([("s", str(i), blocks) for i, (blocks, _) in enumerate(SCHEMA_PAGES)], "site string, url string, jsonld array<string>")
+    issues = structured.schema_issues(structured.jsonld_nodes(pages), structured.vocabulary(spark)).filter("code <> 'missing-recommended'").collect()
+    for i, (_, want) in enumerate(SCHEMA_PAGES):
+        assert {(r.code, r.type, r.prop, r.level, r.n) for r in issues if r.url == str(i)} == want, i
+
+
+def test_structured_data_advice_follows_the_feature(spark):
+    pages = spark.createDataFrame([("s", "u", [ld('"@type":"Product","name":"p","offers":{"@type":"Offer","price":1,"priceCurrency":"EUR"},"author":{"@type":"Organization","name":"n"}')])], "site string, url string, jsonld array<string>")
+    asked = structured.schema_issues(structured.jsonld_nodes(pages), structured.vocabulary(spark)).filter("code = 'missing-recommended'").collect()
+    assert {(r.type, r.prop) for r in asked} == {("Product", p) for p in ("image", "description", "brand", "sku", "aggregateRating")} | {("Offer", "availability"), ("Offer", "url")}
+
+
 def test_spelling(spark):
     words = spark.createDataFrame([("s", "u", "teh", 1, True), ("s", "u", "qwzx", 1, True), ("s", "u", "the", 1, True), ("s", "u", "dogs's", 1, True)], "site string, url string, word string, n long, lower boolean")
     dictionary = spark.createDataFrame([("the", 100), ("ten", 10), ("dogs", 5)], "word string, frequency long")
