@@ -11,6 +11,9 @@ from plumbline.session import cut
 # Fixed values.
 SPF_DEPTH, REDIRECTS = 6, 3
 DKIM_BITS = ((300, 1024), (600, 2048))
+#: What a policy asks of receivers; the name whose SPF record proves that a resolver answers.
+DMARC_STATES = {"reject": "enforcing", "quarantine": "partial", "none": "monitor only"}
+CONTROL = "_spf.google.com"
 _SPF = r"(?i)^\s*v=spf1(\s|$)"
 _ALL = r"(?i)^([+\-~?]?)all$"
 
@@ -110,3 +113,50 @@ def mail_records(domains: DataFrame, answers: DataFrame, selectors: tuple[str, .
         "site", "domain", "spf_present", "spf_count", "spf_all", "spf_cost", "dmarc_present", "dmarc_policy", "dmarc_pct", "dmarc_rua",
         F.coalesce("live", F.lit(0)).alias("dkim_live"), F.coalesce("weak", F.lit(0)).alias("dkim_weak"), (F.col("has") & ~F.col("mx_null")).alias("mx_present"), F.coalesce("mx_null", F.lit(False)).alias("mx_null"),
     )
+
+
+def controlled(answers: DataFrame) -> DataFrame:
+    """Answers (with network) of the networks that see the control's SPF record: elsewhere a record that is
+    missing and a resolver that does not answer look alike."""
+    seen = answers.filter((F.lower("name") == CONTROL) & (F.col("rtype") == "TXT")).filter(F.exists(F.transform("values", unquoted), lambda v: F.lower(v).startswith("v=spf1")))
+    return answers.join(seen.select("network").distinct(), "network", "left_semi")
+
+
+def _tags(record: Column) -> Column:
+    """A record's tag=value parts; of a repeated tag the last counts."""
+    parts = F.filter(F.split(record, ";"), lambda p: p.contains("="))
+    pairs = F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("k"), F.trim(F.regexp_replace(p, "^[^=]*=", "")).alias("v")))
+    last = F.filter(pairs, lambda p, i: F.size(F.filter(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q.k == p.k)) == 0)
+    return F.map_from_entries(last)
+
+
+def mail_details(domains: DataFrame, answers: DataFrame) -> DataFrame:
+    """What the records say beyond presence, a row a domain: whether the SPF record takes effect and is
+    broad, the DMARC state, policy for subdomains, alignment and failure reports, DKIM selectors with a live
+    and with a revoked key, and the optional MTA-STS and BIMI.  Null: not asked or not read.
+
+    All answers of a domain meet in one aggregation by the name they belong to."""
+    txt = _txt(answers)
+    prefix = F.regexp_extract("name", r"^(_dmarc|_mta-sts|default\._bimi|[^.]+\._domainkey)\.", 1)
+    role = F.when(prefix == "", "spf").when(prefix.endswith("._domainkey"), "dkim").otherwise(F.regexp_replace(prefix, r"^default\.", ""))
+    own = txt.select("values", role.alias("role"), F.when(prefix == "", F.col("name")).otherwise(F.expr("substring(name, length(regexp_extract(name, '^(_dmarc|_mta-sts|default[.]_bimi|[^.]+[.]_domainkey)[.]', 0)) + 1)")).alias("name"))
+
+    def of(role: str, value: Column) -> Column:
+        return F.max(F.when(F.col("role") == role, value))
+
+    v = F.col("values")
+    spf, dmarc = _spf_of(v), F.filter(v, lambda x: F.lower(x).startswith("v=dmarc1"))
+    first, tags = F.get(spf, F.lit(0)), _tags(F.get(dmarc, F.lit(0)))
+    key = F.get(F.filter(v, lambda x: F.lower(x).contains("p=")), F.lit(0))
+    live = F.regexp_extract(key, "p=([A-Za-z0-9+/=]+)", 1) != ""
+    said = lambda tag, default: of("_dmarc", F.when(F.size(dmarc) > 0, F.coalesce(tags[tag], F.lit(default))))
+    policy = F.lower(F.coalesce(tags["p"], F.lit("")))
+    state = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in DMARC_STATES.items() for x in pair]), policy), F.lit("unrecognised"))
+    told = own.groupBy("name").agg(
+        of("spf", F.when(F.size(spf) > 0, F.size(spf) == 1)).alias("spf_effective"), of("spf", first.rlike(r"(?i)(^|\s)\+?(a|mx)(\s|$)")).alias("spf_broad"), of("_dmarc", F.when(F.size(dmarc) > 0, state)).alias("dmarc_state"),
+        F.lower(said("sp", "")).alias("dmarc_subdomains"), said("adkim", "r").alias("adkim"), said("aspf", "r").alias("aspf"), said("ruf", "").alias("dmarc_ruf"),
+        F.count_if((F.col("role") == "dkim") & key.isNotNull() & live).alias("dkim_live"), F.count_if((F.col("role") == "dkim") & key.isNotNull() & ~live).alias("dkim_revoked"),
+        of("_mta-sts", F.size(v) > 0).alias("mta_sts"), of("_bimi", F.size(v) > 0).alias("bimi"),
+    )
+    out = domains.select("site", "domain", F.lower("domain").alias("name")).join(told, "name", "left").drop("name")
+    return out.na.fill(0, ["dkim_live", "dkim_revoked"])

@@ -561,4 +561,4 @@ def author_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return parquet(spark, d, "events").select("event_id", verdict.alias("verdict"))
 
 
-from plumbline.plans import findings as _findings  # noqa: E402,F401  registers its queries
+from plumbline.plans import answers as _answers  # noqa: E402,F401  registers its queries and those of findings

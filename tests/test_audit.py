@@ -312,3 +312,65 @@ def test_the_shared_folder_of_a_session(spark):
 
     assert S.shared_dir(spark).startswith("file:/")
     assert S.spread(spark.range(5).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_reputation_sources(spark):
+    from plumbline.operators import reputation as R
+
+    def row(code, flag, host):
+        return f')]}}\'\n\n[["sb.ssr",{code},{flag},false,false,false,false,1,"{host}",false]]'
+
+    cases = [
+        ("a.example", row(1, "false", "a.example"), False), ("www.a.example", row(3, "false", "a.example"), True), ("a.example", row(1, "true", "A.example"), True), ("a.example", row(2, "false", "a.example"), None),
+        ("a.example", row(1, "false", "b.example"), None), ("a.example", "<html>", None), ("a.example", "[]", None), ("a.example", '[["sb.ssr",1]]', None), ("a.example", None, None),
+    ]
+    made = spark.createDataFrame([(i, h, b) for i, (h, b, _) in enumerate(cases)], "i int, host string, body string")
+    assert [r.v for r in made.select("i", R.browsing_listed(F.col("body"), F.col("host")).alias("v")).orderBy("i").collect()] == [v for *_, v in cases]
+
+    hidden = [(["0.0.0.0"], ["192.0.2.1"], True), (["0.0.0.0"], ["::"], False), (["0.0.0.0"], [], False), (["0.0.0.0"], None, None), (None, ["192.0.2.1"], None), (["192.0.2.1"], None, False), ([], [], False)]
+    made = spark.createDataFrame([(i, s, p) for i, (s, p, _) in enumerate(hidden)], "i int, s array<string>, p array<string>")
+    assert [r.v for r in made.select("i", R.resolver_listed(F.col("s"), F.col("p")).alias("v")).orderBy("i").collect()] == [v for *_, v in hidden]
+
+    threats = [(200, "{}", False), (200, '{"threat":{"threatTypes":["MALWARE"]}}', True), (200, "no", None), (403, "{}", None), (None, "{}", None)]
+    made = spark.createDataFrame([(i, s, b) for i, (s, b, _) in enumerate(threats)], "i int, s int, b string")
+    assert [r.v for r in made.select("i", R.threat_listed(F.col("s"), F.col("b")).alias("v")).orderBy("i").collect()] == [v for *_, v in threats]
+
+
+def test_reputation_needs_its_test_host(spark):
+    from plumbline.operators import reputation as R
+
+    test = dict(R.CONTROLS)["resolver"]
+    judged = spark.createDataFrame([("a", "resolver", test, True), ("a", "resolver", "x", True), ("b", "resolver", test, None), ("b", "resolver", "x", False), ("c", "resolver", "x", True), ("c", "web_risk", "x", False)], "run string, source string, host string, listed boolean")
+    held = R.believed(judged)
+    assert {(r.run, r.source): r.listed for r in held.collect()} == {("a", "resolver"): True, ("b", "resolver"): None, ("c", "resolver"): None, ("c", "web_risk"): False}
+    assert {r.run: r.web_risk_clean for r in R.browser_clean(held).collect()} == {"a": None, "b": None, "c": True}
+    vendors = spark.createDataFrame([("g-data",), ("DR WEB",), ("someone",), ("fortinet",)], "vendor string")
+    found = {r.vendor: (r.tier, r.review_url is not None) for r in R.consequences(vendors, R.vendor_tiers(spark)).collect()}
+    assert found == {"g-data": ("endpoint", False), "DR WEB": ("endpoint", False), "someone": ("unknown", False), "fortinet": ("gateway", True)}
+
+
+def test_mail_details(spark):
+    from plumbline.operators import mail
+
+    schema = "network string, name string, rtype string, values array<string>"
+    rows = [
+        ("n", "_spf.google.com", "TXT", ['"v=spf1 ~all"']), ("m", "_spf.google.com", "TXT", []), ("n", "A.example", "TXT", ['"v=spf1 A" " -all"']), ("m", "b.example", "TXT", ["v=spf1 mx -all"]),
+        ("n", "_dmarc.a.example", "TXT", ["v=DMARC1; p=Reject; p=none ; adkim=s"]), ("n", "x._domainkey.a.example", "TXT", ["p="]), ("n", "y._domainkey.a.example", "TXT", ["p=AA"]), ("n", "_mta-sts.a.example", "TXT", None), ("n", "default._bimi.a.example", "TXT", ["v=BIMI1"]),
+    ]
+    domains = spark.createDataFrame([("s", "a.example"), ("s", "b.example")], "site string, domain string")
+    a, b = sorted(mail.mail_details(domains, mail.controlled(spark.createDataFrame(rows, schema))).collect(), key=lambda r: r.domain)
+    assert (a.spf_effective, a.spf_broad, a.dmarc_state, a.adkim, a.aspf, a.dkim_live, a.dkim_revoked, a.mta_sts, a.bimi) == (True, True, "monitor only", "s", "r", 1, 1, None, True)
+    assert (b.spf_effective, b.dmarc_state, b.dkim_live, b.mta_sts) == (None, None, 0, None)
+
+
+def test_page_issues(spark):
+    from plumbline.operators import page_issues as P
+    from plumbline.operators.records import page_records
+
+    good = "<html><head><title>Same</title></head><body><h1>A</h1><script type='application/ld+json'>{\"@graph\":[{\"@type\":\"X\"}]}</script></body></html>"
+    rows = [(1, "https://a.example/", good, 200), (2, "https://a.example/b", good.replace("@type", "name"), 200), (3, "https://a.example/c", "<p>no title</p>", 200), (4, "https://a.example/d", None, None)]
+    found: dict[str, set] = {}
+    for r in P.page_issues(page_records(spark.createDataFrame(rows, "page_id long, url string, html string, status int"))).collect():
+        found.setdefault(r.issue, set()).add(r.url[-1])
+    assert found["duplicate-title"] == found["duplicate-h1"] == found["thin-content"] == {"/", "b"}
+    assert found["no-schema"] == {"b"} and found["fetch-failed"] == found["http-error"] == {"d"} and "missing-title" not in found
