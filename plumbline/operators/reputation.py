@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.probes import STALE_DAYS, vendor_key
+from plumbline.session import small
 
 # Markers and codes of the sources, and the hosts that each source lists as a test.
 GUARD, ROW, CLEAN, UNSAFE = r"^\)\]\}'", "sb.ssr", 1, 3
@@ -98,7 +99,7 @@ def report_ages(answers: DataFrame, now: Column) -> DataFrame:
 def vendor_tiers(spark: SparkSession) -> DataFrame:
     """vendor, tier, review_url of the vendors known by name."""
     tiers = {v: t for t, names in VENDORS.items() for v in names.split(", ")}
-    return spark.createDataFrame([(v, tiers.get(v), REVIEW.get(v)) for v in {**tiers, **REVIEW}], "vendor string, tier string, review_url string")
+    return small(spark, [(v, tiers.get(v), REVIEW.get(v)) for v in {**tiers, **REVIEW}], "vendor string, tier string, review_url string")
 
 
 def consequences(listings: DataFrame, vendors: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import urls
 from plumbline.operators import blocks, media
 from plumbline.operators import links as L
-from plumbline.session import cut
+from plumbline.session import cut, small
 
 # Fixed values.
 TITLE_MIN, TITLE_MAX, DESC_MIN, DESC_MAX, THIN_WORDS, SLOW_MS, IMAGE_MAX_KB, OVERSIZED = 15, 60, 70, 160, 300, 1500, 180, 2.0
@@ -441,5 +441,5 @@ def severity_counts(found: DataFrame) -> DataFrame:
 
 def clean_rules(spark, found: DataFrame) -> DataFrame:
     """Rules that no site's findings hold."""
-    registry = spark.createDataFrame([(r.id, r.category) for r in RULES.values()], "finding string, category string")
+    registry = small(spark, [(r.id, r.category) for r in RULES.values()], "finding string, category string")
     return registry.join(found.select("finding").distinct(), "finding", "left_anti")

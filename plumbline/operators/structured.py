@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import cut, spread
+from plumbline.session import cut, small, spread
 
 MAX_DEPTH = 8
 MAX_ISSUES, MAX_INFO = 80, 25
@@ -80,7 +80,7 @@ TYPES = (
     ("Article", "CreativeWork"), ("BlogPosting", "Article"), ("NewsArticle", "Article"), ("WebPage", "CreativeWork"), ("FAQPage", "WebPage"), ("WebSite", "CreativeWork"), ("HowTo", "CreativeWork"), ("Question", "CreativeWork"),
     ("Answer", "CreativeWork"), ("Recipe", "HowTo"), ("Review", "CreativeWork"), ("MediaObject", "CreativeWork"), ("ImageObject", "MediaObject"), ("VideoObject", "MediaObject"), ("LocalBusiness", "Organization Place"), ("ItemList", "Intangible"),
     ("BreadcrumbList", "ItemList"), ("OfferCatalog", "ItemList"), ("ListItem", "Intangible"), ("Offer", "Intangible"), ("Service", "Intangible"), ("Rating", "Intangible"), ("AggregateRating", "Rating"), ("JobPosting", "Intangible"), ("StructuredValue", "Intangible"),
-    ("ContactPoint", "StructuredValue"), ("PostalAddress", "ContactPoint"), ("GeoCoordinates", "StructuredValue"), ("OpeningHoursSpecification", "StructuredValue"), ("SearchAction", "Action"),
+    ("Enumeration", "Intangible"), ("ItemAvailability", "Enumeration"), ("DayOfWeek", "Enumeration"), ("ContactPoint", "StructuredValue"), ("PostalAddress", "ContactPoint"), ("GeoCoordinates", "StructuredValue"), ("OpeningHoursSpecification", "StructuredValue"), ("SearchAction", "Action"),
 )
 #: (property, domains, ranges).
 PROPERTIES = (
@@ -88,22 +88,31 @@ PROPERTIES = (
     ("dateModified", "CreativeWork", "Date"), ("author", "CreativeWork", "Person Organization"), ("publisher", "CreativeWork", "Person Organization"), ("text", "CreativeWork", "Text"), ("mainEntity", "CreativeWork", "Thing"), ("address", "Organization Place Person", "PostalAddress Text"),
     ("telephone", "Organization Place Person ContactPoint", "Text"), ("email", "Organization Person ContactPoint", "Text"), ("logo", "Organization Product Place", "URL ImageObject"), ("contactPoint", "Organization Person", "ContactPoint"), ("priceRange", "LocalBusiness", "Text"), ("openingHours", "LocalBusiness", "Text"),
     ("geo", "Place", "GeoCoordinates"), ("latitude", "Place GeoCoordinates", "Number Text"), ("longitude", "Place GeoCoordinates", "Number Text"), ("itemListElement", "ItemList", "ListItem Text Thing"), ("numberOfItems", "ItemList", "Integer"), ("position", "ListItem CreativeWork", "Integer Text"), ("item", "ListItem", "Thing"),
-    ("acceptedAnswer", "Question", "Answer"), ("price", "Offer", "Number Text"), ("priceCurrency", "Offer", "Text"), ("availability", "Offer", "Text"), ("offers", "Product Event CreativeWork Organization", "Offer"), ("brand", "Product Organization", "Organization"), ("sku", "Product Offer", "Text"),
+    ("acceptedAnswer", "Question", "Answer"), ("price", "Offer", "Number Text"), ("priceCurrency", "Offer", "Text"), ("availability", "Offer", "ItemAvailability"), ("offers", "Product Event CreativeWork Organization", "Offer"), ("brand", "Product Organization", "Organization"), ("sku", "Product Offer", "Text"),
     ("aggregateRating", "Product Organization Place CreativeWork Event", "AggregateRating"), ("ratingValue", "Rating", "Number Text"), ("reviewCount", "AggregateRating", "Integer"), ("ratingCount", "AggregateRating", "Integer"), ("bestRating", "Rating", "Number Text"), ("worstRating", "Rating", "Number Text"), ("reviewRating", "Review", "Rating"), ("reviewBody", "Review", "Text"),
     ("startDate", "Event", "Date"), ("endDate", "Event", "Date"), ("location", "Event Organization", "Place PostalAddress Text"), ("duration", "Event MediaObject", "Duration"), ("totalTime", "HowTo", "Duration"), ("step", "HowTo", "Text CreativeWork"), ("addressLocality", "PostalAddress", "Text"), ("addressCountry", "PostalAddress", "Text"), ("addressRegion", "PostalAddress", "Text"),
-    ("streetAddress", "PostalAddress", "Text"), ("postalCode", "PostalAddress", "Text"), ("opens", "OpeningHoursSpecification", "Time"), ("closes", "OpeningHoursSpecification", "Time"), ("dayOfWeek", "OpeningHoursSpecification", "Text"), ("isAccessibleForFree", "CreativeWork Event Place", "Boolean"), ("potentialAction", "Thing", "Action"), ("target", "Action", "Text URL"), ("provider", "Service CreativeWork", "Organization Person"),
+    ("streetAddress", "PostalAddress", "Text"), ("postalCode", "PostalAddress", "Text"), ("opens", "OpeningHoursSpecification", "Time"), ("closes", "OpeningHoursSpecification", "Time"), ("dayOfWeek", "OpeningHoursSpecification", "DayOfWeek"), ("isAccessibleForFree", "CreativeWork Event Place", "Boolean"), ("potentialAction", "Thing", "Action"), ("target", "Action", "Text URL"), ("provider", "Service CreativeWork", "Organization Person"),
 )
 SUPERSEDED = (("ingredients", "recipeIngredient"), ("branchOf", "parentOrganization"))
+#: Members of enumerations; (type, retired or pending).
+MEMBERS = {
+    "ItemAvailability": "BackOrder Discontinued InStock InStoreOnly LimitedAvailability MadeToOrder OnlineOnly OutOfStock PreOrder PreSale Reserved SoldOut",
+    "DayOfWeek": "Monday Tuesday Wednesday Thursday Friday Saturday Sunday PublicHolidays",
+}
+STATUS = ()
+SCHEMA_URL = r"(?i)^https?://(www\.)?schema\.org/"
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Tables of a vocabulary's own size, whatever the pages: Spark sees their sizes and broadcasts them while
+    """Tables of a vocabulary's own size, whatever the pages: Spark knows their sizes and broadcasts them while
     they stay under its threshold."""
 
     types: DataFrame  # type, ancestor (itself included)
-    props: DataFrame  # prop, domain, range
+    props: DataFrame  # prop, domain
+    ranges: DataFrame  # prop, range, members (of an enumeration and those below it, else null)
     superseded: DataFrame  # prop, by
+    status: DataFrame  # type, status: retired or pending
     about: DataFrame  # type, floor (whose rich-result rules it takes), host (the feature it begins), host_depth
     slots: DataFrame  # slot, type, slot_floor: whose rules a node of a type takes in a slot
 
@@ -118,7 +127,7 @@ def closure(types: tuple[tuple[str, str], ...]) -> list[tuple[str, str]]:
     return sorted((t, a) for t in parents for a in up(t))
 
 
-def vocabulary(spark: SparkSession, types=TYPES, properties=PROPERTIES, superseded=SUPERSEDED) -> Vocabulary:
+def vocabulary(spark: SparkSession, types=TYPES, properties=PROPERTIES, superseded=SUPERSEDED, members=MEMBERS, status=STATUS) -> Vocabulary:
     pairs = closure(types)
     lines: dict[str, set[str]] = {}
     for t, a in pairs:
@@ -135,10 +144,40 @@ def vocabulary(spark: SparkSession, types=TYPES, properties=PROPERTIES, supersed
     # the deepest range entry that the type is, of those with rules
     ranges = [(p, [(deep[r], r) for r in rs.split() if r in lines and floor(r)]) for p, _, rs in properties]
     slots = [(p, t, floor(max(fits)[1])) for p, entries in ranges for t in lines if (fits := [e for e in entries if e[1] in lines[t]])]
-    props = [(p, d, r) for p, ds, rs in properties for d in ds.split() for r in rs.split()]
+    props = sorted({(p, d) for p, ds, _ in properties for d in ds.split()})
+    below = {e: sorted({m for t in lines if e in lines[t] for m in members.get(t, "").split()}) for e in lines if e != "Enumeration" and "Enumeration" in lines[e]}
+    ranges = sorted({(p, r) for p, _, rs in properties for r in rs.split()})
     return Vocabulary(
-        spark.createDataFrame(pairs, "type string, ancestor string"), spark.createDataFrame(props, "prop string, domain string, range string"), spark.createDataFrame(list(superseded), "prop string, by string"),
-        spark.createDataFrame(about, "type string, floor string, host string, host_depth int"), spark.createDataFrame(slots, "slot string, type string, slot_floor string"),
+        small(spark, pairs, "type string, ancestor string"), small(spark, props, "prop string, domain string"), small(spark, [(p, r, below.get(r)) for p, r in ranges], "prop string, range string, members array<string>"),
+        small(spark, list(superseded), "prop string, by string"), small(spark, list(status), "type string, status string"),
+        small(spark, about, "type string, floor string, host string, host_depth int"), small(spark, slots, "slot string, type string, slot_floor string"),
+    )
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> Vocabulary:
+    """A vocabulary from its published JSON-LD file: classes, properties, members of enumerations, terms that
+    are superseded, retired or pending.  What is collected is the vocabulary, a few thousand terms whatever
+    the pages."""
+    raw = F.from_json("value", "`@graph` array<map<string,string>>")["@graph"]
+    term = spark.read.text(path, wholetext=True).select(F.explode(raw).alias("t")).filter(F.col("t")["@id"].startswith("schema:"))
+
+    def ids(key: str) -> Column:
+        found = F.regexp_extract_all(F.coalesce(F.col("t")[key], F.lit("")), F.lit(r'"@id"\s*:\s*"schema:([^"]+)"'), F.lit(1))
+        return F.array_join(F.array_sort(found), " ").alias(key.rpartition(":")[2])
+
+    kinds, part = F.coalesce(F.col("t")["@type"], F.lit("")), F.coalesce(F.col("t")["schema:isPartOf"], F.lit(""))
+    is_a = F.array_join(F.regexp_extract_all(kinds, F.lit(r"schema:(\w+)"), F.lit(1)), " ")
+    terms = term.select(
+        F.substring(F.col("t")["@id"], 8, 300).alias("name"), ids("rdfs:subClassOf"), ids("schema:domainIncludes"), ids("schema:rangeIncludes"), ids("schema:supersededBy"), is_a.alias("is_a"),
+        F.when(kinds.contains("rdf:Property"), "property").when(kinds.contains("rdfs:Class"), "class").otherwise("member").alias("what"), F.when(part.contains("attic.schema.org"), "retired").when(part.contains("pending.schema.org"), "pending").alias("status"),
+    ).orderBy("name").collect()
+    classes, members = [t for t in terms if t.what == "class"], {}
+    for t in terms:
+        if t.what == "member" and t.is_a:
+            members.setdefault(t.is_a.split()[-1], []).append(t.name)
+    return vocabulary(
+        spark, tuple((t.name, t.subClassOf) for t in classes), tuple((t.name, t.domainIncludes, t.rangeIncludes) for t in terms if t.what == "property"),
+        tuple((t.name, t.supersededBy.split()[0]) for t in terms if t.supersededBy), {e: " ".join(m) for e, m in members.items()}, tuple((t.name, t.status) for t in classes if t.status),
     )
 
 
@@ -239,11 +278,13 @@ def jsonld_nodes(records: DataFrame) -> DataFrame:
 
 
 KEY = ["site", "url", "path"]
-WARNINGS = ("bad-context", "untyped-object", "superseded-property", "property-not-on-type", "list-item-position", "value-type", "empty-wanted", "fractional-number", "relative-url", "money-format")
+WARNINGS = ("bad-context", "untyped-object", "superseded-property", "property-not-on-type", "list-item-position", "value-type", "empty-wanted", "fractional-number", "relative-url", "money-format", "retired-type")
 
 
-def _satisfies(value: Column, range_: Column) -> Column:
-    """Does a literal fill one entry of a property's range?  An absolute URL names an object elsewhere."""
+def _satisfies(value: Column, range_: Column, members: Column) -> Column:
+    """Does a literal fill one entry of a property's range?  An absolute URL names an object elsewhere; of an
+    enumeration, it has to name a member or stand on another's domain."""
+    member = F.regexp_extract(F.regexp_replace(value, "/+$", ""), r"[^/#:]*$", 0)
     return (
         F.when(range_.isin(*TEXTUAL), True)
         .when(range_.isin("Date", "DateTime"), value.rlike(DATE))
@@ -252,6 +293,7 @@ def _satisfies(value: Column, range_: Column) -> Column:
         .when(range_.isin("Number", "Float"), value.rlike(NUMBER))
         .when(range_ == "Integer", value.rlike(r"^[+-]?\d+$"))
         .when(range_ == "Boolean", F.lower(value).rlike(BOOLEAN))
+        .when(members.isNotNull(), F.array_contains(members, member) | (value.startswith("http") & ~value.rlike(SCHEMA_URL)))
         .otherwise(value.rlike(ABSOLUTE))
     )
 
@@ -283,6 +325,7 @@ def schema_issues(nodes: DataFrame, vocab: Vocabulary) -> DataFrame:
     broken = node.filter("code is not null")
     no_type = node.filter("code is null and size(types) = 0 and size(props) > 0").withColumn("code", F.when(F.col("depth") == 0, "no-type").otherwise("untyped-object"))
     unknown = nodes.select(*KEY, F.explode("types").alias("type"), F.lit("").alias("prop"), F.lit("unknown-type").alias("code")).join(kinds, "type", "left_anti")
+    dated = nodes.select(*KEY, F.explode("types").alias("type"), F.lit("").alias("prop")).join(vocab.status, "type").withColumn("code", F.concat("status", F.lit("-type")))
     combined = node.filter((F.col("places") > 1) & (F.size(F.array_except("filled_all", "filled")) > 0)).groupBy("site", "url", "node_id").agg(F.min("path").alias("path"), F.min(F.array_join("types_all", "/")).alias("type")).withColumns({"prop": F.lit(""), "code": F.lit("id-merged")})
 
     each = node.select(*KEY, "type", "types_all", "slot", F.explode("props").alias("p")).select(*KEY, "type", "types_all", "slot", "p.prop", "p.kind", "p.value").filter("kind <> 'foreign'")
@@ -290,21 +333,20 @@ def schema_issues(nodes: DataFrame, vocab: Vocabulary) -> DataFrame:
     written = each.select(*KEY, "type", "types_all", "slot", "prop").distinct()
     old = written.join(vocab.superseded.select("prop"), "prop", "left_semi").withColumn("code", F.lit("superseded-property"))
     strange = written.join(names, "prop", "left_anti").join(vocab.superseded.select("prop"), "prop", "left_anti").withColumn("code", F.lit("unknown-property"))
-    domains = vocab.props.select("prop", F.col("domain").alias("ancestor"), F.lit(True).alias("fits")).distinct()
+    domains = vocab.props.select("prop", F.col("domain").alias("ancestor"), F.lit(True).alias("fits"))
     lineage = written.join(names, "prop", "left_semi").select(*KEY, "type", "prop", "slot", F.explode("types_all").alias("own")).join(vocab.types.select(F.col("type").alias("own"), "ancestor"), "own").join(domains, ["prop", "ancestor"], "left")
     unordered = (F.col("prop") == "position") & (F.coalesce("slot", F.lit("")) == "itemListElement")
     misplaced = lineage.groupBy(*KEY, "type", "prop", "slot").agg(F.bool_or(F.coalesce("fits", F.lit(False))).alias("ok")).filter("not ok").withColumn("code", F.when(unordered, "list-item-position").otherwise("property-not-on-type"))
 
-    ranged = vocab.props.select("prop", "range").distinct()
-    judged = each.filter("kind = 'scalar'").join(ranged, "prop").groupBy(*KEY, "type", "prop", "value").agg(F.bool_or(_satisfies(F.col("value"), F.col("range"))).alias("ok"), F.collect_set("range").alias("r"))
+    judged = each.filter("kind = 'scalar'").join(vocab.ranges, "prop").groupBy(*KEY, "type", "prop", "value").agg(F.bool_or(_satisfies(F.col("value"), F.col("range"), F.col("members"))).alias("ok"), F.collect_set("range").alias("r"), F.bool_or(F.col("members").isNotNull()).alias("named"))
     r = F.col("r")
     wrong = judged.filter("not ok").withColumn(
         "code",
-        F.when(F.size(F.array_intersect("r", F.array(*map(F.lit, DATATYPES)))) == 0, "value-type").when(F.arrays_overlap("r", F.array(F.lit("Date"), F.lit("DateTime"))), "invalid-date").when(F.array_contains(r, "Time"), "invalid-time").when(F.array_contains(r, "Duration"), "invalid-duration")
+        F.when(F.col("named"), "invalid-enum").when(F.size(F.array_intersect("r", F.array(*map(F.lit, DATATYPES)))) == 0, "value-type").when(F.arrays_overlap("r", F.array(F.lit("Date"), F.lit("DateTime"))), "invalid-date").when(F.array_contains(r, "Time"), "invalid-time").when(F.array_contains(r, "Duration"), "invalid-duration")
         .when(F.arrays_overlap("r", F.array(F.lit("Number"), F.lit("Integer"), F.lit("Float"))), F.when(F.col("value").rlike(NUMBER), "fractional-number").otherwise("invalid-number")).when(F.array_contains(r, "Boolean"), "invalid-boolean").otherwise("relative-url"),
     )
     is_a = vocab.types.select(F.col("type").alias("value"), F.col("ancestor").alias("range"), F.lit(True).alias("is"))
-    objects = each.filter("kind = 'object'").join(ranged, "prop").join(is_a, ["value", "range"], "left").groupBy(*KEY, "type", "prop", "value").agg(F.bool_or(F.coalesce("is", F.lit(False))).alias("ok"), F.bool_and(F.col("range").isin(*DATATYPES)).alias("literal"))
+    objects = each.filter("kind = 'object'").join(vocab.ranges, "prop").join(is_a, ["value", "range"], "left").groupBy(*KEY, "type", "prop", "value").agg(F.bool_or(F.coalesce("is", F.lit(False))).alias("ok"), F.bool_and(F.col("range").isin(*DATATYPES)).alias("literal"))
     unfit = objects.filter("not ok").withColumn("code", F.when(F.col("literal"), "object-value").otherwise("value-type"))
     ids = nodes.select("site", "url", F.col("node_id").alias("value")).filter("value is not null").distinct()
     lost = each.filter("kind = 'ref' and value like '#%'").join(ids, ["site", "url", "value"], "left_anti").withColumn("code", F.lit("unresolved-id"))
@@ -316,14 +358,14 @@ def schema_issues(nodes: DataFrame, vocab: Vocabulary) -> DataFrame:
     missing = floors.filter("asked and not pointer and (code = 'missing-required' or advised)").filter(~F.arrays_overlap("need", "filled_all")).withColumn("prop", F.array_join("need", "|"))
     wanted = floors.select(*KEY, F.explode("need").alias("prop")).distinct().withColumn("wanted", F.lit(True))
     blank = each.filter("kind = 'blank'").join(wanted, [*KEY, "prop"], "left").withColumn("code", F.when(F.col("wanted"), "empty-wanted").otherwise("empty-value"))
-    parts = [d.select(*KEY, "type", "prop", "code") for d in (broken, no_type, unknown, combined, old, strange, misplaced, blank, wrong, unfit, lost, miscounted, money, missing)]
+    parts = [d.select(*KEY, "type", "prop", "code") for d in (broken, no_type, unknown, dated, combined, old, strange, misplaced, blank, wrong, unfit, lost, miscounted, money, missing)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     # three codes have two levels each
     code = F.when(F.col("code") == "empty-wanted", "empty-value").when(F.col("code") == "fractional-number", "invalid-number").when(F.col("code") == "object-value", "value-type").otherwise(F.col("code"))
     layer = F.when(F.col("code").isin("missing-required", "missing-recommended", "money-format"), "google").otherwise("schema")
-    level = F.when(F.col("code").isin("missing-recommended", "http-context", "empty-value", "list-count", "unresolved-id", "id-merged"), "info").when(F.col("code").isin(*WARNINGS), "warning").otherwise("error")
+    level = F.when(F.col("code").isin("missing-recommended", "http-context", "empty-value", "list-count", "unresolved-id", "id-merged", "pending-type"), "info").when(F.col("code").isin(*WARNINGS), "warning").otherwise("error")
     return out.withColumns({"code": code, "level": level, "layer": layer}).groupBy("site", "url", "type", "prop", "code", "level", "layer").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n"))
 
 
@@ -352,7 +394,7 @@ def live_floors(nodes: DataFrame, vocab: Vocabulary) -> DataFrame:
     live = F.lit(True)
     for floor, features in UNDER.items():
         live = live & ((F.col("floor") != floor) | F.col("feature").isin(*features))
-    return tasks.filter(F.col("feature").isNotNull() & live).join(nodes.sparkSession.createDataFrame(rows, "floor string, need array<string>, code string"), "floor").select(*KEY, F.col("types")[0].alias("type"), "need", "code", "asked", "pointer", "advised", "filled_all")
+    return tasks.filter(F.col("feature").isNotNull() & live).join(small(nodes.sparkSession, rows, "floor string, need array<string>, code string"), "floor").select(*KEY, F.col("types")[0].alias("type"), "need", "code", "asked", "pointer", "advised", "filled_all")
 
 
 def schema_pages(nodes: DataFrame, issues: DataFrame) -> DataFrame:

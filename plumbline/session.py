@@ -8,7 +8,9 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
 _local_dirs: dict[str, str] = {}
@@ -75,3 +77,12 @@ def spread(df: DataFrame) -> DataFrame:
     Tables of many files keep their partitions and pay no shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the code's or a vocabulary's own size.  By way of Arrow it is a local relation: Spark knows
+    its size and plans broadcasts for it, instead of shuffling what it is joined with."""
+    kind = StructType.fromDDL(schema)
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kind)
+    types = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    return spark.createDataFrame(pa.table([pa.array(c, types[f.dataType.simpleString()]) for c, f in zip(columns, kind, strict=True)], names=kind.names), kind)

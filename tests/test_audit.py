@@ -374,3 +374,27 @@ def test_page_issues(spark):
         found.setdefault(r.issue, set()).add(r.url[-1])
     assert found["duplicate-title"] == found["duplicate-h1"] == found["thin-content"] == {"/", "b"}
     assert found["no-schema"] == {"b"} and found["fetch-failed"] == found["http-error"] == {"d"} and "missing-title" not in found
+
+
+def test_vocabulary_file(spark, tmp_path):
+    import json
+
+    def term(name, kind, **more):
+        return {"@id": f"schema:{name}", "@type": kind, **{k.replace("_", ":"): v for k, v in more.items()}}
+
+    ref = lambda n: {"@id": f"schema:{n}"}
+    graph = [
+        {"@id": "other:X", "@type": "rdfs:Class"}, term("Thing", "rdfs:Class"), term("Enumeration", "rdfs:Class", rdfs_subClassOf=ref("Thing")), term("State", "rdfs:Class", rdfs_subClassOf=ref("Enumeration")), term("SubState", "rdfs:Class", rdfs_subClassOf=[ref("State"), ref("Thing")]),
+        term("Old", "rdfs:Class", rdfs_subClassOf=ref("Thing"), schema_isPartOf={"@id": "https://attic.schema.org"}), term("New", "rdfs:Class", rdfs_subClassOf=ref("Thing"), schema_isPartOf={"@id": "https://pending.schema.org"}),
+        term("state", "rdf:Property", schema_domainIncludes=ref("Thing"), schema_rangeIncludes=[ref("State"), ref("Number")]), term("stage", "rdf:Property", schema_domainIncludes=ref("Thing"), schema_rangeIncludes=ref("State"), schema_supersededBy=ref("state")),
+        term("On", "schema:State"), term("Off", ["schema:SubState"]),
+    ]
+    (tmp_path / "v.jsonld").write_text(json.dumps({"@context": {}, "@graph": graph}))
+    vocab = structured.read_vocabulary(spark, str(tmp_path / "v.jsonld"))
+    assert {r.range: r.members for r in vocab.ranges.filter("prop = 'state'").collect()} == {"State": ["Off", "On"], "Number": None}
+    assert ("SubState", "Enumeration") in {tuple(r) for r in vocab.types.collect()} and vocab.superseded.collect() == [("stage", "state")]
+    values = ["On", "https://schema.org/Off", "3", "Broken", "https://schema.org/Broken", "https://other.example/x"]
+    nodes = [{"@context": "https://schema.org", "@graph": [{"@type": "Thing", "state": v} for v in values] + [{"@type": "Old"}, {"@type": "New"}, {"@type": "Thing", "stage": "On"}]}]
+    pages = spark.createDataFrame([("s", "u", [json.dumps(nodes[0])])], "site string, url string, jsonld array<string>")
+    found = {(r.code, r.type): (r.level, r.n) for r in structured.schema_issues(structured.jsonld_nodes(pages), vocab).collect()}
+    assert found == {("invalid-enum", "Thing"): ("error", 2), ("retired-type", "Old"): ("warning", 1), ("pending-type", "New"): ("info", 1), ("superseded-property", "Thing"): ("warning", 1)}
