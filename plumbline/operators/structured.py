@@ -320,19 +320,19 @@ def schema_issues(nodes: DataFrame, vocab: Vocabulary) -> DataFrame:
     as every check reads them."""
     nodes = cut(merged_nodes(nodes), "nodes")
     primary = F.element_at(F.concat("types", F.array(F.lit(""))), 1)
-    kinds = vocab.types.select("type").distinct()
+    kinds = vocab.types.filter("type = ancestor").select("type", F.lit(True).alias("known"))
     node = nodes.select(*KEY, primary.alias("type"), F.lit("").alias("prop"), "code", "depth", "node_id", "types", "types_all", "filled", "filled_all", "places", "miscounted", "slot", "props")
-    broken = node.filter("code is not null")
-    no_type = node.filter("code is null and size(types) = 0 and size(props) > 0").withColumn("code", F.when(F.col("depth") == 0, "no-type").otherwise("untyped-object"))
-    unknown = nodes.select(*KEY, F.explode("types").alias("type"), F.lit("").alias("prop"), F.lit("unknown-type").alias("code")).join(kinds, "type", "left_anti")
-    dated = nodes.select(*KEY, F.explode("types").alias("type"), F.lit("").alias("prop")).join(vocab.status, "type").withColumn("code", F.concat("status", F.lit("-type")))
+    untyped = F.when(F.col("code").isNotNull(), F.col("code")).when((F.size("types") == 0) & (F.size("props") > 0), F.when(F.col("depth") == 0, "no-type").otherwise("untyped-object"))
+    whole = node.withColumn("code", untyped).filter("code is not null")
+    named = nodes.select(*KEY, F.explode("types").alias("type"), F.lit("").alias("prop")).join(kinds, "type", "left").join(vocab.status, "type", "left")
+    kind = named.withColumn("code", F.when(F.col("known").isNull(), "unknown-type").otherwise(F.concat("status", F.lit("-type")))).filter("code is not null")
     combined = node.filter((F.col("places") > 1) & (F.size(F.array_except("filled_all", "filled")) > 0)).groupBy("site", "url", "node_id").agg(F.min("path").alias("path"), F.min(F.array_join("types_all", "/")).alias("type")).withColumns({"prop": F.lit(""), "code": F.lit("id-merged")})
 
     each = node.select(*KEY, "type", "types_all", "slot", F.explode("props").alias("p")).select(*KEY, "type", "types_all", "slot", "p.prop", "p.kind", "p.value").filter("kind <> 'foreign'")
     names = vocab.props.select("prop").distinct()
     written = each.select(*KEY, "type", "types_all", "slot", "prop").distinct()
-    old = written.join(vocab.superseded.select("prop"), "prop", "left_semi").withColumn("code", F.lit("superseded-property"))
-    strange = written.join(names, "prop", "left_anti").join(vocab.superseded.select("prop"), "prop", "left_anti").withColumn("code", F.lit("unknown-property"))
+    term = written.join(vocab.superseded.select("prop", F.lit(True).alias("old")), "prop", "left").join(names.withColumn("known", F.lit(True)), "prop", "left")
+    term = term.withColumn("code", F.when(F.col("old"), "superseded-property").when(F.col("known").isNull(), "unknown-property")).filter("code is not null")
     domains = vocab.props.select("prop", F.col("domain").alias("ancestor"), F.lit(True).alias("fits"))
     lineage = written.join(names, "prop", "left_semi").select(*KEY, "type", "prop", "slot", F.explode("types_all").alias("own")).join(vocab.types.select(F.col("type").alias("own"), "ancestor"), "own").join(domains, ["prop", "ancestor"], "left")
     unordered = (F.col("prop") == "position") & (F.coalesce("slot", F.lit("")) == "itemListElement")
@@ -358,7 +358,7 @@ def schema_issues(nodes: DataFrame, vocab: Vocabulary) -> DataFrame:
     missing = floors.filter("asked and not pointer and (code = 'missing-required' or advised)").filter(~F.arrays_overlap("need", "filled_all")).withColumn("prop", F.array_join("need", "|"))
     wanted = floors.select(*KEY, F.explode("need").alias("prop")).distinct().withColumn("wanted", F.lit(True))
     blank = each.filter("kind = 'blank'").join(wanted, [*KEY, "prop"], "left").withColumn("code", F.when(F.col("wanted"), "empty-wanted").otherwise("empty-value"))
-    parts = [d.select(*KEY, "type", "prop", "code") for d in (broken, no_type, unknown, dated, combined, old, strange, misplaced, blank, wrong, unfit, lost, miscounted, money, missing)]
+    parts = [d.select(*KEY, "type", "prop", "code") for d in (whole, kind, combined, term, misplaced, blank, wrong, unfit, lost, miscounted, money, missing)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
