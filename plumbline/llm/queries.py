@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import topk_search, warc_zip
+from . import merkle, topk_search, warc_zip
 from .bpe import op7_bpe
 from .decontaminate import op5_decontaminate
 from .kd_shards import op9_kd_shards
@@ -27,9 +27,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_kd_shards": op9_kd_shards,
     "op10_quality_bayes": op10_quality_bayes,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": topk_search.SQL,
     "op6_warc_zip": warc_zip.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
