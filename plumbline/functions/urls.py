@@ -55,6 +55,11 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _URL, 2))
 
 
+def authority(url: Column) -> Column:
+    """Host and port as written."""
+    return F.regexp_extract(url, _URL, 2)
+
+
 def path(url: Column) -> Column:
     return F.regexp_extract(url, _URL, 3)
 
@@ -63,22 +68,37 @@ def query(url: Column) -> Column:
     return F.regexp_extract(url, _URL, 4)
 
 
+def without_dots(own: Column) -> Column:
+    """A path without its `.` and `..` segments (RFC 3986, 5.2.4); one that begins with a slash stays within
+    its root."""
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(part == ".", done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    def folded(parts: Column) -> Column:
+        rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+        ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.concat(F.aggregate(rest, F.slice(parts, F.lit(1), F.lit(1)), step), ends), "/")
+
+    return F.when(own.rlike(r"/\.\.?(/|$)"), let(F.split(own, "/"), folded)).otherwise(own)
+
+
 def absolute(base: Column, ref: Column) -> Column:
-    """A reference against its base, without the fragment.  Dot segments stay; functions.resolve takes
-    those away."""
-    return let(F.regexp_replace(F.trim(ref), "#.*$", ""), lambda own: _joined(base, own))
+    """A reference against its base, without the fragment; dot segments of relative references go."""
+    return let(F.regexp_replace(F.trim(ref), "(?s)#.*$", ""), lambda own: _joined(base, own))
 
 
 def _joined(base: Column, own: Column) -> Column:
-    origin = F.concat(scheme(base), F.lit("://"), host(base))
+    origin = F.concat(scheme(base), F.lit("://"), authority(base))
     folder = F.when(path(base) == "", F.lit("/")).otherwise(F.regexp_replace(path(base), "[^/]*$", ""))
+    own_path, own_query = F.regexp_extract(own, r"^[^?]*", 0), F.regexp_extract(own, r"(?s)\?.*$", 0)
     return (
-        F.when(own == "", F.regexp_replace(base, "#.*$", ""))
+        F.when(own == "", F.regexp_replace(base, "(?s)#.*$", ""))
         .when(own.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), own)
         .when(own.startswith("//"), F.concat(scheme(base), F.lit(":"), own))
-        .when(own.startswith("/"), F.concat(origin, own))
+        .when(own.startswith("/"), F.concat(origin, without_dots(own_path), own_query))
         .when(own.startswith("?"), F.concat(origin, F.when(path(base) == "", F.lit("/")).otherwise(path(base)), own))
-        .otherwise(F.concat(origin, folder, own))
+        .otherwise(F.concat(origin, without_dots(F.regexp_replace(F.concat(folder, own_path), "//+", "/")), own_query))
     )
 
 
