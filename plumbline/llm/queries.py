@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, topk_search, warc_zip
+from . import merkle, spelling_groups, topk_search, url_filter, warc_zip
 from .bpe import op7_bpe
 from .decontaminate import op5_decontaminate
 from .kd_shards import op9_kd_shards
@@ -27,11 +27,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_kd_shards": op9_kd_shards,
     "op10_quality_bayes": op10_quality_bayes,
+    "op11_url_filter": url_filter.op11_url_filter,
+    "op12_spelling_groups": spelling_groups.op12_spelling_groups,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": topk_search.SQL,
     "op6_warc_zip": warc_zip.SQL,
+    "op11_url_filter": url_filter.SQL,
+    "op12_spelling_groups": spelling_groups.SQL,
     "op13_merkle_manifest": merkle.SQL,
 }
