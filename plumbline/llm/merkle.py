@@ -32,7 +32,7 @@ ARITY = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Rows of a range that is numbered by itself, and of a file of inner nodes, about.
 RANGE_ROWS = 500_000
-FILE_ROWS = 200_000
+FILE_ROWS = 20_000
 _STEP = "struct<left:string,right:string>"
 
 
