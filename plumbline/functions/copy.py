@@ -1,6 +1,9 @@
-"""Copy-quality rules over blocks of text: array<struct<kind, detail>> of one block's faults.
+"""Copy-quality rules over blocks of text: array<struct<kind, detail, key, placed>> of one block's faults.
 
-Only rules with look-around or back-references differ between engines; all are Catalyst expressions.
+detail quotes the words around the fault; key tells faults of a kind apart on one page, within their place
+if placed.  All are Catalyst expressions.  Spark's regular expressions give the texts of matches and not
+their positions, so a match carries what stands before and behind it: a look-behind and a look-ahead of
+bounded length capture it, guarded by a look-ahead for the match itself, which fails fast elsewhere.
 """
 
 from __future__ import annotations
@@ -100,18 +103,45 @@ ENTITY = r"&(?:nbsp|amp|quot|apos|lt|gt|ndash|mdash|hellip|#\d{2,5}|#x[0-9a-fA-F
 DOUBLED = r"(?U)(?<![-'’\w])(\p{L}{2,}+)\s++\1(?![-'’\w])"
 DOUBLED_FINE = ("had", "that", "very", "no", "ha", "yes")
 SPACE_BEFORE = r"\S\s+[,.;:!?](?:\s|$)"
-MISSING_SPACE = r"[a-z]{2}[.,;!?][A-Z][a-zA-Z]*"
+MISSING_SPACE = rf"[a-z]{{2}}[.,;!?](?<!{ENTITY})[A-Z][a-zA-Z]*"
 NOT_A_SENTENCE = "com net org io co gov edu us uk ca info biz tv ai app dev png jpg jpeg webp svg gif pdf zip csv html php js css xml json mp4".split()
 
-SIGNAL = "array<struct<kind: string, detail: string>>"
+SIGNAL = "array<struct<kind: string, detail: string, key: string, placed: boolean>>"
+#: Characters that are quoted on either side of a fault.
+PAD = 34
+
+
+def _signal(kind: str, detail: Column, key: Column, placed: bool = True) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), detail.alias("detail"), key.alias("key"), F.lit(placed).alias("placed"))
 
 
 def _signals(kind: str, details: Column) -> Column:
-    return F.transform(F.array_distinct(details), lambda d: F.struct(F.lit(kind).alias("kind"), d.alias("detail")))
+    return F.transform(F.array_distinct(details), lambda d: _signal(kind, d, d))
+
+
+def _once(kind: str, found: Column, detail: Column, text: Column, rule: str) -> Column:
+    """One fault a block; blocks of a place that begin alike are one."""
+    return F.when(found, F.array(_signal(kind, detail, F.concat(F.lit(f"{rule}:"), F.substring(text, 1, 30))))).otherwise(F.array().cast(SIGNAL))
+
+
+def matches_around(text: Column, pattern: str, guard: str) -> Column:
+    """array<struct<match, around, first>> of a pattern without groups: what matched, with up to PAD characters
+    on either side and an ellipsis where the text goes on, and whether it begins the text.  guard: what a match
+    has to begin with, cheap to test."""
+    whole = rf"(?s)(?={guard})(?<=(^.{{0,{PAD}}}|.{{{PAD + 1}}}))({pattern})(?=(.{{0,{PAD + 1}}}))"
+    parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(whole), F.lit(i)).alias(c) for i, c in ((1, "before"), (2, "match"), (3, "behind"))])
+
+    def made(m: Column) -> Column:
+        lead = F.when(F.length(m.before) > PAD, F.substring(m.before, 2, PAD)).otherwise(m.before)
+        trail = F.when(F.length(m.behind) > PAD, F.substring(m.behind, 1, PAD)).otherwise(m.behind)
+        dots = [F.when(F.length(x) > PAD, F.lit("\u2026")).otherwise(F.lit("")) for x in (m.before, m.behind)]
+        return F.struct(m.match.alias("match"), F.concat(dots[0], F.trim(F.concat(lead, m.match, trail)), dots[1]).alias("around"), (m.before == "").alias("first"))
 
+    return F.when(text.rlike(guard), F.transform(parts, made)).otherwise(F.array().cast("array<struct<match: string, around: string, first: boolean>>"))
 
-def _one(kind: str, found: Column, detail: str) -> Column:
-    return F.when(found, F.array(F.struct(F.lit(kind).alias("kind"), F.lit(detail).alias("detail")))).otherwise(F.array().cast(SIGNAL))
+
+def _quoted(label: str, what: Column) -> Column:
+    return F.concat(F.lit(f"{label}\u201c"), what, F.lit("\u201d"))
 
 
 def _by_first_letter(patterns: list[str]) -> str:
@@ -137,15 +167,19 @@ def misspellings(text: Column) -> Column:
 PLACEHOLDER_HINTS = ("lorem ipsum", "dolor sit amet", "add your heading", "click edit button", "this is the heading", "insert your", "your text", "your content", "sample ", "placeholder text", "tbd", "todo", "fixme", "coming soon", "xxx", "dummy ", "[your", "{{", "%", "undefined", "nan", "[object object]")
 
 
-def placeholders(text: Column) -> Column:
+def placeholders(text: Column, runs: Column | None = None) -> Column:
+    """Markers, which have a case of their own, are looked for in the runs joined by blanks, so that neighbouring
+    elements make up none; filler of any case in the text as it shows."""
+    spaced = text if runs is None else F.trim(F.regexp_replace(F.array_join(runs, " "), r"\s+", " "))
+
     def worth(low: Column) -> Column:
         out = F.lit(False)
         for hint in PLACEHOLDER_HINTS:
             out |= low.contains(hint)
         return out
 
-    hits = F.filter(F.array(*[F.when(text.rlike(p), F.lit(label)) for p, label in PLACEHOLDERS]), lambda x: x.isNotNull())
-    return F.when(let(F.lower(text), worth), _signals("placeholder", hits)).otherwise(F.array().cast(SIGNAL))
+    hits = F.filter(F.array(*[F.when((text if p.startswith("(?i)") else spaced).rlike(p), F.lit(label)) for p, label in PLACEHOLDERS]), lambda x: x.isNotNull())
+    return F.when(let(F.lower(text), worth) | let(F.lower(spaced), worth), _signals("placeholder", hits)).otherwise(F.array().cast(SIGNAL))
 
 
 def mojibake(raw: Column) -> Column:
@@ -155,7 +189,8 @@ def mojibake(raw: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    return _one("entity", text.rlike(ENTITY), "HTML entity left in the text")
+    """The first entity that reached the text."""
+    return let(matches_around(text, ENTITY, "&"), lambda found: _once("entity", F.size(found) > 0, _quoted("HTML entity left in the text: ", F.try_element_at(found, F.lit(1)).around), text, "ent"))
 
 
 def doubled_words(text: Column) -> Column:
@@ -163,20 +198,38 @@ def doubled_words(text: Column) -> Column:
     return _signals("doubled-word", found)
 
 
-def punctuation(text: Column) -> Column:
-    before = _one("punctuation", text.rlike(SPACE_BEFORE), "Space before a punctuation mark")
-    missing = F.filter(F.regexp_extract_all(text, F.lit(MISSING_SPACE), F.lit(0)), lambda m: ~F.lower(F.substring(m, 4, 100)).isin(*NOT_A_SENTENCE))
-    missing = F.transform(F.array_distinct(missing), lambda m: F.struct(F.lit("punctuation").alias("kind"), F.concat(F.lit("Missing space after punctuation: "), m).alias("detail")))
-    double = _one("punctuation", F.trim(text).rlike(r"\S {2,}\S"), "Double space inside a sentence")
+def adjacency_slips(runs: Column) -> Column:
+    """Marks with a space before them and without one behind them, within one run: whether the boundary of two
+    runs shows as a space is up to the style sheet.  Hosts, file names and the end of a literal entity are no
+    ends of sentences."""
+
+    def of_run(run: Column) -> Column:
+        before = F.filter(matches_around(run, r"\s+[,.;:!?](?:\s|$)", r"\s[\s,.;:!?]"), lambda m: ~m.first)
+        missing = F.filter(matches_around(run, MISSING_SPACE, r"[a-z]{2}[.,;!?][A-Z]"), lambda m: ~F.lower(F.substring(m.match, 4, 100)).isin(*NOT_A_SENTENCE))
+        return F.concat(
+            F.transform(before, lambda m: _signal("punctuation", _quoted("Space before a punctuation mark: ", m.around), F.concat(F.lit("sp:"), m.around), False)),
+            F.transform(missing, lambda m: _signal("punctuation", _quoted("Missing space after punctuation: ", m.match), F.concat(F.lit("ns:"), m.match), False)),
+        )
+
+    worth = F.filter(runs, lambda r: r.rlike(r"\s[,.;:!?]|[a-z]{2}[.,;!?][A-Z]"))
+    return F.array_distinct(F.flatten(F.transform(worth, of_run)))
+
+
+def punctuation(text: Column, runs: Column | None = None) -> Column:
+    own = F.trim(text)
+    double = let(matches_around(own, r"(?<=\S) {2,}(?=\S)", "  "), lambda found: _once("punctuation", F.size(found) > 0, _quoted("Double space inside a sentence: ", F.try_element_at(found, F.lit(1)).around), text, "ds"))
     opened, closed = (F.regexp_count(text, F.lit(p)) for p in (r"\(", r"\)"))
-    return F.concat(before, missing, double, _one("punctuation", opened != closed, "Unbalanced parentheses"))
+    odd = F.when(opened > closed, F.try_element_at(matches_around(text, r"\(", r"\("), F.lit(1))).otherwise(F.try_element_at(matches_around(text, r"\)", r"\)"), F.lit(1)))
+    lopsided = _once("punctuation", opened != closed, _quoted("Unbalanced parentheses: ", odd.around), text, "par")
+    return F.concat(adjacency_slips(F.array(text) if runs is None else runs), double, lopsided)
 
 
 def capitals(text: Column) -> Column:
     letters = F.regexp_replace(text, "[^A-Za-z]", "")
-    return _one("style", (F.length(letters) > 25) & (F.upper(letters) == letters), "Sentence set entirely in capitals")
+    return _once("style", (F.length(letters) > 25) & (F.upper(letters) == letters), F.lit("Sentence set entirely in capitals"), text, "caps")
 
 
-def copy_signals(text: Column) -> Column:
-    """All faults of one block."""
-    return F.concat(misspellings(text), placeholders(text), mojibake(text), entities(text), doubled_words(text), punctuation(text), capitals(text))
+def copy_signals(text: Column, runs: Column | None = None) -> Column:
+    """All faults of one block.  runs: its text nodes, which bound some rules; the text is one run without them.
+    Damaged characters are looked for by itself, as a page's are in its source."""
+    return F.concat(misspellings(text), placeholders(text, runs), entities(text), doubled_words(text), punctuation(text, runs), capitals(text))

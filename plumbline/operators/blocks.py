@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -18,65 +19,95 @@ CHROME_TAGS = frozenset(("nav", "header", "footer"))
 CHROME_HINTS = ("menu", "navbar", "site-header", "site-footer", "breadcrumb", "sidebar")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(("script", "style", "template"))
+#: Block elements that may lie in each other.
+MAX_NESTED = 32
 BLOCK = "site string, url string, block_no int, region string, tag string, text string, runs array<string>"
 
 
 class _Blocks(HTMLParser):
-    """Keeps a stack of open elements; a block closes with its element unless a block-holding element
-    lay inside.  Blocks of the first main or article are kept apart, as they replace the page's."""
+    """Keeps a stack of open elements over one list of text runs (a run a text node), in which an element is a
+    range.  A block closes with its element unless a block-holding element lay inside.  Blocks of the first
+    main or article are kept apart, as they replace the page's.
+
+    Of block elements nested in each other only the outer MAX_NESTED are blocks, so the output is at most so
+    many times the page's text; a page that goes deeper says so in a row of its own."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[list] = []  # tag, chrome?, runs or None, holds?, in main?
-        self.hidden, self.order, self.main = 0, 0, 0
+        # tag, chrome above?, chrome within?, in main?, order, first run (None: no block), holders seen before
+        self.stack: list[tuple] = []
+        self.open: Counter = Counter()
+        self.runs: list[str] = []
+        self.hidden = self.order = self.main = self.holders = self.nested = 0
+        self.joins = self.too_deep = False
         self.done: list[tuple] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "br":
-            self.handle_data(" ")
+        self.joins = False
+        if tag == "br" and not self.hidden:
+            self.runs.append(" ")
         if tag in VOID:
             return
-        if tag in HIDDEN:
-            self.hidden += 1
+        self.hidden += tag in HIDDEN
         names = dict(attrs)
         ident = f"{names.get('class') or ''} {names.get('id') or ''}".lower()
-        above = self.stack[-1][5] if self.stack else False
+        above, root = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (False, 0)
         own = tag not in ("body", "html") and (tag in CHROME_TAGS or any(h in ident for h in CHROME_HINTS))
-        root = self.stack[-1][4] if self.stack else 0
         if tag in ("main", "article") and not root and not self.main:
             root = self.main = 1
-        if tag in HOLDING:
-            for element in self.stack:
-                element[3] = True
+        self.holders += tag in HOLDING
+        first = None
+        if tag in BLOCK_TAGS:
+            self.nested += 1
+            first = len(self.runs) if self.nested <= MAX_NESTED else None
+            self.too_deep |= first is None
         self.order += 1
-        self.stack.append([tag, above, [] if tag in BLOCK_TAGS else None, False, root, above or own, self.order])
+        self.open[tag] += 1
+        self.stack.append((tag, above, above or own, root, self.order, first, self.holders))
 
     def handle_endtag(self, tag: str) -> None:
-        if not any(e[0] == tag for e in self.stack):
+        self.joins = False
+        if not self.open[tag]:
             return
         while self.stack:
-            element = self.stack.pop()
-            self.hidden -= element[0] in HIDDEN
-            self._close(element)
-            if element[0] == tag:
+            if self._close(self.stack.pop()) == tag:
                 return
 
-    def _close(self, element: list) -> None:
-        if element[2] is not None and not element[3]:
-            text = re.sub(r"\s+", " ", "".join(element[2])).strip()
+    def _close(self, element: tuple) -> str:
+        tag, above, _, root, order, first, holders = element
+        self.open[tag] -= 1
+        self.hidden -= tag in HIDDEN
+        self.nested -= tag in BLOCK_TAGS
+        if first is not None and holders == self.holders:
+            runs = self.runs[first:]
+            text = collapsed("".join(runs)).strip()
             if len(text) >= 3:
-                self.done.append((element[6], element[4], "chrome" if element[1] else "body", element[0], text, [r for r in element[2] if r.strip()]))
+                self.done.append((order, root, "chrome" if above else "body", tag, text, runs))
+        return tag
+
+    def handle_comment(self, data: str) -> None:
+        self.joins = False
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            for element in self.stack:
-                if element[2] is not None:
-                    element[2].append(data)
+        if self.hidden:
+            return
+        if self.joins and self.runs:
+            self.runs[-1] = collapsed(self.runs[-1] + data)
+        else:
+            self.runs.append(collapsed(data))
+        self.joins = True
 
     def blocks(self) -> list[tuple]:
         while self.stack:
             self._close(self.stack.pop())
-        return sorted(b for b in self.done if b[1] or not self.main)
+        kept = sorted(b for b in self.done if b[1] or not self.main)
+        return kept + [(self.order + 1, 0, "error", "nesting", f"more than {MAX_NESTED} text elements lie in each other", [])] * self.too_deep
+
+
+def collapsed(text: str) -> str:
+    return re.sub(r"\s+", " ", text)
 
 
 def blocks_of(html: str | None) -> list[tuple]:
@@ -87,22 +118,34 @@ def blocks_of(html: str | None) -> list[tuple]:
 
 
 def text_blocks(records: DataFrame) -> DataFrame:
-    """site, url, block_no, region (body or chrome), tag, text, runs of every page."""
+    """site, url, block_no, region (body, chrome, meta; error: the page could not be read as a whole), tag, text,
+    runs of every page.  Title and description are blocks, behind those of the page."""
 
     def extract(batches):
         for frame in batches:
             rows = [(site, url, n, b[2], b[3], b[4], b[5]) for site, url, html in zip(frame["site"], frame["url"], frame["html"], strict=True) for n, b in enumerate(blocks_of(html))]
             yield pd.DataFrame(rows, columns=["site", "url", "block_no", "region", "tag", "text", "runs"])
 
-    return spread(records.select("site", "url", "html")).mapInPandas(extract, BLOCK)
+    found = spread(records.select("site", "url", "html")).mapInPandas(extract, BLOCK)
+    metas = [(n, tag, F.col(c)) for n, tag, c in ((-2, "title", "title"), (-1, "description", "meta_description")) if c in records.columns]
+    if not metas:
+        return found
+    parts = F.array(*[F.struct(F.lit(n).alias("block_no"), F.lit(tag).alias("tag"), text.alias("text")) for n, tag, text in metas])
+    rows = records.select("site", "url", F.explode(F.filter(parts, lambda m: F.coalesce(m.text, F.lit("")) != "")).alias("m"))
+    return found.unionByName(rows.select("site", "url", "m.block_no", F.lit("meta").alias("region"), "m.tag", "m.text", F.array("m.text").alias("runs")))
 
 
 def block_signals(blocks: DataFrame) -> DataFrame:
-    """Copy faults of blocks, once a page for each kind, detail and place: site, url, kind, detail, block."""
+    """Copy faults of blocks, once a page for each kind and key (what is quoted, and where a rule judges places):
+    site, url, kind, detail, block, block_no.  A paragraph and the span inside it are two blocks, so what is
+    quoted from a run counts once a page, wherever it stands."""
     from plumbline.functions.copy import copy_signals
 
-    each = blocks.select("site", "url", "block_no", F.concat_ws(":", "region", "tag").alias("block"), F.explode(copy_signals(F.col("text"))).alias("s"))
-    return each.groupBy("site", "url", "s.kind", "s.detail", "block").agg(F.min("block_no").alias("block_no"))
+    own = blocks.filter("region <> 'error'")
+    each = own.select("site", "url", "block_no", F.concat_ws(":", "region", "tag").alias("block"), F.explode(copy_signals(F.col("text"), F.col("runs"))).alias("s"))
+    key = F.concat(F.when(F.col("s.placed"), F.col("block")).otherwise(F.lit("")), F.lit("|"), "s.key")
+    first = F.min(F.struct(F.when(F.col("block_no") < 0, F.col("block_no") + (1 << 30)).otherwise(F.col("block_no")).alias("at"), F.col("block_no"), F.col("s.detail").alias("detail"), F.col("block")))
+    return each.groupBy("site", "url", "s.kind", key.alias("key")).agg(first.alias("f")).select("site", "url", "kind", "f.detail", "f.block", "f.block_no")
 
 
 def deletions(word: Column) -> Column:
@@ -122,12 +165,14 @@ def spelling(words: DataFrame, dictionary: DataFrame, most: int = 3) -> DataFram
     dictionary word one edit away: site, url, word, suggestions (by frequency).
 
     dictionary: word, frequency.  Candidates meet on shared deletions, so no pair of words is compared
-    that has none; distinct unknown words are judged once, whatever the number of pages."""
+    that has none; distinct unknown words are judged once, whatever the number of pages.  A word more than a
+    letter longer than the dictionary's longest is one edit from none of them and is not cut."""
     known = dictionary.select("word")
+    longest = dictionary.agg(F.max(F.length("word"))).first()[0] or 0  # one number
     asked = words.filter("lower and length(word) >= 2").join(known, "word", "left_anti")
     bare = F.regexp_replace("word", "'s$", "")
     asked = asked.withColumn("_bare", bare).join(known.select(F.col("word").alias("_bare")).withColumn("_known", F.lit(True)), "_bare", "left").filter("not (word like '%\\'s' and _known)").drop("_bare", "_known")
-    unknown = asked.select("word").distinct().select("word", F.explode(deletions(F.col("word"))).alias("form"))
+    unknown = asked.select("word").filter(F.length("word") <= longest + 1).distinct().select("word", F.explode(deletions(F.col("word"))).alias("form"))
     near = dictionary.select(F.col("word").alias("near"), "frequency", F.explode(deletions(F.col("word"))).alias("form"))
     pairs = unknown.join(near, "form").select("word", "near", "frequency").distinct().filter(within_one_edit(F.col("word"), F.col("near")))
     ranked = pairs.groupBy("word").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("frequency")).alias("f"), F.col("near")))), lambda x: x.near), 1, most).alias("suggestions"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import urls
+from plumbline.operators.graph import COMPACT_ROUNDS
 from plumbline.operators.probes import echoes
 from plumbline.session import cut
 
@@ -14,17 +17,18 @@ VERDICT = "map<string, struct<category: string, result: string>>"
 VENDOR = f"struct<data: struct<attributes: struct<last_analysis_stats: map<string, long>, last_analysis_results: {VERDICT}, reputation: long, last_analysis_date: long>>>"
 
 
-def expand_frontier(seeds: DataFrame, available: DataFrame, edges: DataFrame, max_pages: int = MAX_PAGES, most: int = 1_000) -> DataFrame:
+def expand_frontier(seeds: DataFrame, available: DataFrame, edges: DataFrame, max_pages: int = MAX_PAGES, most: int | None = None) -> DataFrame:
     """site, url, found (sitemap or link), round: pages crawled from the seeds by following links until
     none is new or the site's limit is reached.
 
     available: site, url of pages that can be fetched; edges: site, src, dst.  A round joins only the
-    pages of the one before, and its pages enter by URL up to the room that is left."""
+    pages of the one before, and its pages enter by URL up to the room that is left.  most: an error is raised
+    if it takes more rounds, as the result would not be whole."""
     room = Window.partitionBy("site").orderBy("url")
     links = cut(edges.select("site", "src", "dst").filter(urls.is_page(F.col("dst"))).distinct(), "links")
     known = cut(seeds.select("site", "url").distinct().withColumn("_n", F.row_number().over(room)).filter(F.col("_n") <= max_pages).select("site", "url", F.lit("sitemap").alias("found"), F.lit(0).alias("round")), "seeds")
     last = known
-    for step in range(1, most):
+    for step in count(1):
         reached = last.select("site", F.col("url").alias("src")).join(links, ["site", "src"]).select("site", F.col("dst").alias("url")).distinct()
         fresh = reached.join(known, ["site", "url"], "left_anti").join(available.select("site", "url"), ["site", "url"], "left_semi")
         used = known.groupBy("site").agg(F.count(F.lit(1)).alias("used"))
@@ -32,8 +36,11 @@ def expand_frontier(seeds: DataFrame, available: DataFrame, edges: DataFrame, ma
         last = cut(fresh.select("site", "url", F.lit("link").alias("found"), F.lit(step).alias("round")), f"round{step}")
         if last.isEmpty():
             return known
+        if most is not None and step > most:
+            raise RuntimeError(f"pages lie deeper than {most} links")
         known = known.unionByName(last)
-    return known
+        if step % COMPACT_ROUNDS == 0:
+            known = cut(known, f"known{step}")
 
 
 def staging_sites(records: DataFrame, least: int = 3) -> DataFrame:

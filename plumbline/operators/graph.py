@@ -7,6 +7,8 @@ round.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,20 +46,28 @@ def inbound_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return filled.withColumn("inbound", F.col("inbound_html") + F.col("inbound_rendered"))
 
 
-def bfs_depth(nodes: DataFrame, edges: DataFrame, homes: DataFrame, most: int = 1_000) -> DataFrame:
+#: Rounds of a search after which the tables of visited pages are written as one.
+COMPACT_ROUNDS = 16
+
+
+def bfs_depth(nodes: DataFrame, edges: DataFrame, homes: DataFrame, most: int | None = None) -> DataFrame:
     """site, url, depth of the nodes that can be reached from their site's home.  Edges lead between
-    nodes only.  Each round joins the frontier alone and is cut off in the shared folder."""
+    nodes only.  Each round joins the frontier alone and is cut off in the shared folder; the search ends when
+    a round finds nothing.  most: an error is raised if it takes more rounds, as the result would not be whole."""
     inside = edges.select("site", "src", "dst").distinct().join(nodes.select("site", F.col("url").alias("dst")), ["site", "dst"], "left_semi")
     inside = cut(inside, "edges")
     seen = cut(homes.select("site", "url").distinct().join(nodes.select("site", "url"), ["site", "url"], "left_semi").withColumn("depth", F.lit(0).cast("long")), "depth0")
     frontier = seen
-    for depth in range(1, most):
+    for depth in count(1):
         step = frontier.select("site", F.col("url").alias("src")).join(inside, ["site", "src"]).select("site", F.col("dst").alias("url")).distinct()
         frontier = cut(step.join(seen, ["site", "url"], "left_anti").withColumn("depth", F.lit(depth).cast("long")), f"depth{depth}")
         if frontier.isEmpty():
             return seen
+        if most is not None and depth > most:
+            raise RuntimeError(f"pages lie deeper than {most} links")
         seen = seen.unionByName(frontier)
-    return seen
+        if depth % COMPACT_ROUNDS == 0:
+            seen = cut(seen, f"seen{depth}")
 
 
 def classify(counts: DataFrame, depths: DataFrame, homes: DataFrame) -> DataFrame:

@@ -71,6 +71,14 @@ def elements(html: Column, tag: str) -> Column:
     return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>"), F.lit(0))
 
 
+def link_name(element: Column) -> Column:
+    """What names a link beside its text: a label or title of its own, else the text of an image in it."""
+    opening = F.regexp_extract(element, r"(?is)^<a\s[^>]*>", 0)
+    own = F.filter(F.array(attribute(opening, "aria-label"), attribute(opening, "title")), lambda v: F.coalesce(v, F.lit("")) != "")
+    alts = F.filter(F.transform(elements(element, "img"), lambda e: attribute(e, "alt")), lambda v: F.trim(F.coalesce(v, F.lit(""))) != "")
+    return F.try_element_at(F.concat(own, alts), F.lit(1))
+
+
 def insecure(html: Column, tag: str, name: str) -> Column:
     """Values of an attribute that load something by plain http."""
     return F.filter(F.transform(elements(html, tag), lambda e: attribute(e, name)), lambda v: F.coalesce(v, F.lit("")).startswith("http://"))
@@ -80,14 +88,23 @@ def word_count(text: Column) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, " ")))
 
 
+def document_base(html: Column, served: Column) -> Column:
+    """What a page's references resolve against: its first base element with an href, itself resolved against the
+    URL that answered, else that URL."""
+    based = F.filter(elements(html, "base"), lambda e: attribute(e, "href").isNotNull())
+    own = F.trim(attribute(F.try_element_at(based, F.lit(1)), "href"))
+    return F.when(F.coalesce(own, F.lit("")) != "", urls.absolute(served, own)).otherwise(F.regexp_replace(served, "(?s)#.*$", ""))
+
+
 def page_records(pages: DataFrame) -> DataFrame:
     """One record a page."""
     html = F.coalesce(F.col("html"), F.lit(""))
+    served = F.coalesce(F.col("final_url"), F.col("url")) if "final_url" in pages.columns else F.col("url")
     images, text = elements(html, "img"), plain_text(html)
     title, description = tag_text(html, "title"), meta(html, "description")
     h1, link = tag_texts(html, "h1"), F.filter(elements(html, "link"), lambda e: F.coalesce(F.lower(attribute(e, "rel")), F.lit("")).rlike(r"(^|\s)canonical(\s|$)"))
     alternates = F.filter(elements(html, "link"), lambda e: F.coalesce(F.lower(attribute(e, "rel")), F.lit("")).rlike(r"(^|\s)alternate(\s|$)") & attribute(e, "hreflang").isNotNull() & attribute(e, "href").isNotNull())
-    anchors = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*>.*?</a>"), F.lit(0)), lambda e: F.struct(attribute(e, "href").alias("href"), F.trim(F.regexp_replace(F.regexp_replace(e, r"(?s)<[^>]*>", ""), r"\s+", " ")).alias("anchor"), F.coalesce(attribute(e, "aria-label"), attribute(e, "title")).alias("label")))
+    anchors = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*>.*?</a>"), F.lit(0)), lambda e: F.struct(attribute(e, "href").alias("href"), F.trim(F.regexp_replace(F.regexp_replace(e, r"(?s)<[^>]*>", ""), r"\s+", " ")).alias("anchor"), link_name(e).alias("label")))
     hrefs = F.transform(elements(html, "a"), lambda e: attribute(e, "href"))
     tel = F.filter(hrefs, lambda h: F.coalesce(h, F.lit("")).startswith("tel:"))
     mixed = F.concat(*[insecure(html, t, a) for t, a in (("img", "src"), ("script", "src"), ("iframe", "src"), ("link", "href"))])
@@ -104,7 +121,7 @@ def page_records(pages: DataFrame) -> DataFrame:
         attribute(F.regexp_extract(html, r"(?is)<html(?:\s[^>]*)?>", 0), "lang").alias("lang"),
         *[meta(html, p).alias(c) for p, c in (("og:title", "og_title"), ("og:description", "og_description"), ("og:image", "og_image"), ("twitter:card", "twitter_card"))],
         attribute(F.try_element_at(link, F.lit(1)), "href").alias("canonical_href"),
-        F.coalesce(urls.absolute(F.col("url"), attribute(F.try_element_at(elements(html, "base"), F.lit(1)), "href")), F.col("url")).alias("base_url"),
+        document_base(html, served).alias("base_url"),
         F.transform(alternates, lambda e: F.struct(F.lower(attribute(e, "hreflang")).alias("lang"), attribute(e, "href").alias("href"))).alias("hreflang"),
         h1.alias("h1"),
         F.size(elements(html, "h2")).alias("h2_count"),
@@ -138,14 +155,9 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 def page_links(records: DataFrame) -> DataFrame:
     """A row per link that leads somewhere, first anchor of a target first: site, src, href, target, anchor, pos,
-    internal, page.  Hrefs are resolved against the document's base: root-relative and absolute ones
-    natively, others by the UDF in functions.resolve."""
-    from plumbline.functions.resolve import resolve
-
+    internal, page.  Hrefs are resolved against the document's base."""
     skip = r"(?i)^(tel:|mailto:|javascript:|data:|sms:|#)"
     out = records.select("site", F.col("url").alias("src"), "base_url", F.posexplode("anchors").alias("pos", "a")).select("site", "src", "base_url", "pos", F.trim(F.col("a.href")).alias("href"), F.substring("a.anchor", 1, 80).alias("anchor"))
     out = out.filter(F.col("href").isNotNull() & (F.col("href") != "") & ~F.col("href").rlike(skip))
-    origin = F.concat(urls.scheme(F.col("base_url")), F.lit("://"), urls.host(F.col("base_url")))
-    target = F.when(F.col("href").rlike(r"(?i)^https?://"), F.regexp_replace("href", "#.*$", "")).when(F.col("href").rlike("^/(?!/)") & ~F.col("href").contains("/."), F.concat(origin, F.regexp_replace("href", "#.*$", ""))).otherwise(resolve("base_url", "href"))
-    out = out.withColumn("target", target).drop("base_url").filter(F.col("target").rlike("^https?://"))
+    out = out.withColumn("target", urls.absolute(F.col("base_url"), F.col("href"))).drop("base_url").filter(F.col("target").rlike("(?i)^https?:"))
     return out.withColumns({"internal": urls.same_site(F.col("target"), urls.host(F.col("src"))), "page": urls.is_page(F.col("target"))})

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import urls
+from plumbline.functions.copy import mojibake
 from plumbline.operators import blocks, media
 from plumbline.operators import links as L
 from plumbline.session import cut, small
@@ -411,9 +412,11 @@ reputation_rule("REP-03", "low", ("feed", "unknown"))
 
 
 def page_signals(records: DataFrame) -> DataFrame:
-    """site, url, kind, detail of copy rules over each text block of a page and of mixed content."""
+    """site, url, kind, detail of copy rules over each text block of a page, of characters damaged anywhere in its
+    source, and of mixed content."""
     mixed = records.select("site", "url", F.lit("mixed-content").alias("kind"), F.explode("mixed_content").alias("detail"))
-    return blocks.block_signals(blocks.text_blocks(records)).select("site", "url", "kind", "detail").unionByName(mixed)
+    damaged = records.select("site", "url", F.explode(mojibake(F.coalesce("html", F.lit("")))).alias("s")).select("site", "url", "s.kind", "s.detail")
+    return blocks.block_signals(blocks.text_blocks(records)).select("site", "url", "kind", "detail").unionByName(mixed).unionByName(damaged)
 
 
 def run(frames: Frames, only: list[str] | None = None) -> DataFrame:

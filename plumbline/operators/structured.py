@@ -215,7 +215,9 @@ def nodes_of(block: str, number: int) -> list[tuple]:
         return [broken(top, "empty-block")]
     try:
         data = json.loads(block)
-    except ValueError:
+        if block.count("[") + block.count("{") > 500:
+            json.dumps(data)  # what is too deeply nested to be written again is no usable data either
+    except (ValueError, RecursionError):
         return [broken(top, "json-parse")]
     roots = data if isinstance(data, list) else [data]
     out: list[tuple] = []

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import images as I
 from plumbline.functions import scoring as S
 from plumbline.functions import urls as U
-from plumbline.functions.copy import copy_signals
+from plumbline.functions.copy import copy_signals, mojibake
 from plumbline.operators import blocks, corpus, crawl, graph, links, mail, probes, rules, scores, structured
 from plumbline.operators import vitals as lab
 from plumbline.operators.records import page_links
@@ -92,10 +92,10 @@ def url_identity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT page_id, regexp_replace({host}, '^www\\.', '') AS site, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) || '://' || {host} AS origin, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href="([^"]*)"[^>]*>.*?</a>', 1)) AS href FROM pages)
-SELECT site, origin || regexp_replace(href, '#.*$', '') AS target, count(*) AS links, count(DISTINCT page_id) AS pages FROM p WHERE href LIKE '/%' AND href NOT LIKE '//%' AND NOT contains(href, '/.') GROUP BY ALL""")
+SELECT site, origin || regexp_replace(regexp_replace(href, '#.*$', ''), '^/\\.{1,2}$', '/') AS target, count(*) AS links, count(DISTINCT page_id) AS pages FROM p WHERE href LIKE '/%' GROUP BY ALL""")
 def page_link_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Link extraction: root-relative targets of each site, how often and on how many pages."""
-    found = page_links(X.records(spark, d)).filter(F.col("href").rlike("^/(?!/)") & ~F.col("href").contains("/."))
+    """Link extraction: targets of each site, how often and on how many pages."""
+    found = page_links(X.records(spark, d))
     return found.groupBy("site", "target").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("src").alias("pages"))
 
 
@@ -150,7 +150,7 @@ def all_findings(spark: SparkSession, d: str) -> DataFrame:
 def _document_signals(spark: SparkSession, d: str) -> DataFrame:
     """Copy faults of each line of a document, once a document for each kind and detail."""
     lines = spread(X.documents_as_records(spark, d)).select("site", "url", F.explode(F.split("text", r"\R")).alias("line"))
-    return lines.select("site", "url", F.explode(copy_signals(F.col("line"))).alias("s")).select("site", "url", "s.kind", "s.detail").distinct()
+    return lines.select("site", "url", F.explode(F.concat(copy_signals(F.col("line")), mojibake(F.col("line")))).alias("s")).select("site", "url", "s.kind", "s.detail").distinct()
 
 
 def _spelling_signals(spark: SparkSession, d: str, records: DataFrame) -> DataFrame:
@@ -562,3 +562,4 @@ def author_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 from plumbline.plans import answers as _answers  # noqa: E402,F401  registers its queries and those of findings
+from plumbline.plans import copying as _copying  # noqa: E402,F401  registers its queries

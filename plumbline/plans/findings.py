@@ -32,10 +32,13 @@ def _union(*parts: str) -> str:
 
 _CRAWL = """p AS (SELECT page_id AS p, regexp_replace({host}, '^www\\.', '') AS site, url, {scheme} || '://' || {host} AS origin, {path} AS path, html, {title} AS title,
  CASE WHEN page_id % 11 = 0 THEN 404 WHEN page_id % 13 = 0 THEN 403 ELSE 200 END AS status, CASE WHEN page_id % 3 = 0 THEN 'link' ELSE 'sitemap' END AS via, page_id % 7 = 0 AS noindex,
- CASE WHEN page_id % 3 <> 0 THEN 'About' || (page_id % 40) || repeat('d', CAST(page_id % 180 AS INT)) END AS descr, CASE WHEN page_id % 4 <> 0 THEN CASE WHEN page_id % 8 = 1 THEN '/c/' || page_id || '/' ELSE url END END AS canon FROM pages),
-q AS (SELECT *, regexp_replace(CASE WHEN canon LIKE '/%' THEN origin || canon ELSE canon END, '#.*$', '') AS canonical FROM p), ok AS (SELECT * FROM q WHERE status = 200),
+ CASE WHEN page_id % 3 <> 0 THEN 'About' || (page_id % 40) || repeat('d', CAST(page_id % 180 AS INT)) END AS descr, CASE WHEN page_id % 4 <> 0 THEN CASE WHEN page_id % 24 = 1 THEN '../' WHEN page_id % 8 = 1 THEN '/c/' || page_id || '/' ELSE url END END AS canon FROM pages),
+moved AS (SELECT *, CASE WHEN p % 5 = 0 THEN '/moved' || CASE WHEN path = '' THEN '/' ELSE path END ELSE path END AS served FROM p), dirs AS (SELECT *, CASE WHEN p % 16 = 3 THEN '/b/' WHEN served = '' THEN '/' ELSE regexp_replace(served, '[^/]*$', '') END AS dir FROM moved),
+parents AS (SELECT *, CASE WHEN dir = '/' THEN '/' ELSE regexp_replace(dir, '[^/]+/$', '') END AS parent FROM dirs),
+q AS (SELECT *, regexp_replace(CASE WHEN canon = '../' THEN origin || parent || 'c/' || p || '/' WHEN canon LIKE '/%' THEN origin || canon ELSE canon END, '#.*$', '') AS canonical FROM parents), ok AS (SELECT * FROM q WHERE status = 200),
 refused AS (SELECT site, bool_and(status = 403) AS every FROM q GROUP BY ALL), titles AS (SELECT site, title FROM ok WHERE title <> '' GROUP BY ALL HAVING count(*) > 1), descrs AS (SELECT site, descr FROM ok WHERE descr <> '' GROUP BY ALL HAVING count(*) > 1),
-images AS (SELECT site, 'f' || p AS image, 0 AS rank, url FROM ok UNION ALL SELECT site, CAST(p % 20 AS VARCHAR) AS image, max(CASE p % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END) AS rank, min(url) AS url FROM ok GROUP BY site, origin, p % 20)"""
+marked AS (SELECT site, url, origin || dir || 'f/' || p AS image, 0 AS rank FROM ok UNION ALL SELECT site, url, origin || CASE WHEN p % 6 = 1 AND p % 5 <> 0 THEN parent ELSE '/' END || 'img/' || (p % 20), CASE p % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END FROM ok
+ UNION ALL SELECT site, url, origin || '/y', 0 FROM ok WHERE p % 6 = 5), images AS (SELECT site, image, max(rank) AS rank, count(DISTINCT CASE WHEN rank > 0 THEN url END) AS lacking, min(CASE WHEN rank > 0 THEN url END) AS url FROM marked GROUP BY ALL)"""
 _ARCHIVE = "regexp_matches(path, '(?i)/(page|tag|category|author|attachment|comment-page-\\d+)/')"
 _CRAWL_HITS = _union(
     "'ERR-01' AS finding, 'high' AS severity, url FROM q WHERE status = 404",
@@ -45,7 +48,7 @@ _CRAWL_HITS = _union(
     "'MED-04', 'medium', url FROM ok WHERE p * 37 % 3000 > 1500",
     "'IDX-01', 'critical', url FROM ok WHERE noindex",
     "'IDX-04', 'medium', url FROM ok WHERE canonical IS NULL",
-    "'IDX-05', 'medium', url FROM ok WHERE regexp_replace(canonical, '/+$', '') <> regexp_replace(url, '/+$', '')",
+    "'IDX-05', 'medium', url FROM ok WHERE regexp_replace(canonical, '/+$', '') <> CASE WHEN p % 5 = 0 THEN regexp_replace(origin || served, '/+$', '') ELSE regexp_replace(url, '/+$', '') END",
     "'SOC-01', 'medium', url FROM ok WHERE p % 5 = 0",
     "'SOC-02', 'low', url FROM ok WHERE p % 6 = 0",
     "'MET-04', 'medium', url FROM ok JOIN titles USING (site, title)",
@@ -99,15 +102,15 @@ def crawl_metrics(spark: SparkSession, d: str) -> DataFrame:
     return out.select("site", "metric", F.round("value", 6).alias("value"))
 
 
-@query("WITH " + _CRAWL + """, b AS (SELECT site, p, url, origin, CASE WHEN p % 16 = 3 THEN '/b/' WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END AS dir, {scheme} AS scheme FROM q),
-t AS (SELECT site, origin || dir || 'rel/' || (p % 7) AS target FROM b UNION ALL SELECT site, origin || CASE WHEN dir = '/' THEN '/' ELSE regexp_replace(dir, '[^/]+/$', '') END || 'up' FROM b UNION ALL SELECT site, scheme || '://cdn.example.com/c/' FROM b) SELECT site, target, count(*) AS links FROM t GROUP BY ALL""")
+@query("WITH " + _CRAWL + """, t AS (SELECT site, origin || dir || 'rel/' || (p % 7) AS target FROM q UNION ALL SELECT site, origin || parent || 'up' FROM q UNION ALL SELECT site, {scheme} || '://cdn.example.com/c/' FROM q UNION ALL SELECT site, origin || '/x' FROM q WHERE p % 6 = 0 UNION ALL SELECT site, origin || '/y' FROM q WHERE p % 6 = 5
+ UNION ALL SELECT site, origin || regexp_replace(regexp_replace(trim(href), '#.*$', ''), '^/\\.{1,2}$', '/') FROM (SELECT site, origin, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href="([^"]*)"[^>]*>.*?</a>', 1)) AS href FROM q) WHERE href LIKE '/%') SELECT site, target, count(*) AS links FROM t GROUP BY ALL""")
 def resolved_links(spark: SparkSession, d: str) -> DataFrame:
-    """Relative, dotted and protocol-relative hrefs against each document's base."""
-    found = page_links(X.crawl_records(spark, d)).filter(F.col("href").isin("../up#f", "//cdn.example.com/c/") | F.col("href").startswith("rel/"))
+    """Every href against its document's base, the served URL where nothing else is said."""
+    found = page_links(X.crawl_records(spark, d))
     return found.groupBy("site", "target").agg(F.count(F.lit(1)).alias("links"))
 
 
-_PICTURES = """b AS (SELECT site, p, url, origin, CASE WHEN p % 16 = 3 THEN '/b/' WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END AS dir, 300 + p % 400 AS slot FROM q)"""
+_PICTURES = """b AS (SELECT *, 300 + p % 400 AS slot FROM q)"""
 
 
 @query("WITH " + _CRAWL + ", " + _PICTURES + """ SELECT url, origin || '/w/' || p || CASE WHEN slot <= 480 THEN '-480.webp' ELSE '-960.webp' END AS typical, CASE WHEN slot <= 480 THEN origin || '/w/' || p || '-960.webp' ELSE '' END AS retina, origin || dir || 'f/' || p || '.jpg' AS fallback, CAST(slot AS DOUBLE) AS slot_px FROM b""")
@@ -116,12 +119,10 @@ def picture_choices(spark: SparkSession, d: str) -> DataFrame:
     return media.page_images(X.crawl_records(spark, d)).filter("how = 'picture-w'").select("url", "typical", "retina", "fallback", "slot_px")
 
 
-@query("WITH " + _CRAWL + """, each AS (SELECT site, origin, p % 20 AS image, p % 3 AS s, url FROM ok), seen AS (SELECT site, origin, image, max(CASE s WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END) AS rank, count(DISTINCT url) AS seen, count(DISTINCT CASE WHEN s <> 2 THEN url END) AS lacking FROM each GROUP BY ALL)
-SELECT site, ['text', 'empty', 'missing'][rank + 1] AS state, count(*) AS images, CAST(sum(lacking) AS BIGINT) AS lacking FROM seen GROUP BY ALL""")
+@query("WITH " + _CRAWL + " SELECT site, ['text', 'empty', 'missing'][rank + 1] AS state, count(*) AS images, CAST(sum(lacking) AS BIGINT) AS lacking FROM images GROUP BY ALL")
 def alt_states(spark: SparkSession, d: str) -> DataFrame:
     """Images of each site by their worst alt state."""
-    inventory = media.alt_inventory(X.crawl_records(spark, d)).filter("image like '%/img/%'")
-    return media.alt_groups(inventory).select("site", "state", "images", "lacking")
+    return media.alt_groups(media.alt_inventory(X.crawl_records(spark, d))).select("site", "state", "images", "lacking")
 
 
 # --- links ------------------------------------------------------------------------------------------

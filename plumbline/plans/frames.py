@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import urls
 from plumbline.operators.records import page_records
 from plumbline.session import ship, spread
 from plumbline.sources.tables import parquet
@@ -181,20 +182,21 @@ def crawl_pages(spark: SparkSession, d: str) -> DataFrame:
     always = F.lit(True)
     head = F.concat(
         tag(p % 16 == 3, "<base href='/b/'>"), tag(p % 3 != 0, '<meta name="description" content="About', (p % 40).cast("string"), F.repeat(F.lit("d"), (p % 180).cast("int")), '">'),
-        tag(p % 4 != 0, '<link rel="canonical" href="', F.when(p % 8 == 1, F.concat(F.lit("/c/"), p.cast("string"), F.lit("/"))).otherwise(F.col("url")), '">'),
+        tag(p % 4 != 0, '<link rel="canonical" href="', F.when(p % 8 == 1, F.concat(F.when(p % 24 == 1, "../c/./").otherwise("/c/"), p.cast("string"), F.lit("/"))).otherwise(F.col("url")), '">'),
         tag(p % 7 == 0, '<meta name="robots" content="NoIndex, follow">'), tag(p % 5 != 0, "<meta content='/i/1.png' property='og:image'>"), tag(p % 6 != 0, '<meta property="og:description" content="od">'),
         tag(always, '<meta property="og:title" content="T"><meta name="twitter:card" content="', F.when(p % 2 == 0, "summary_large_image").otherwise("summary"), '">'), tag(p % 9 != 0, '<meta name="viewport" content="width=device-width">'),
     )
     body = F.concat(
-        tag(always, '<img src="/img/', (p % 20).cast("string"), '-300x200.png"', F.when(p % 3 == 1, ' alt=" "').when(p % 3 == 2, " alt='a picture'").otherwise(""), F.when(p % 2 == 0, ' width="3" height="2"').otherwise(""), ">"),
+        tag(always, '<img src="', F.when((p % 6 == 1) & (p % 5 != 0), "../img/").otherwise("/img/"), (p % 20).cast("string"), '-300x200.png"', F.when(p % 3 == 1, ' alt=" "').when(p % 3 == 2, " alt='a picture'").otherwise(""), F.when(p % 2 == 0, ' width="3" height="2"').otherwise(""), ">"),
         tag(always, '<picture><source media="(max-width: 600px)" srcset="/m/1.webp"><source type="image/webp" srcset="/w/', p.cast("string"), "-480.webp 480w, /w/", p.cast("string"), '-960.webp 960w" sizes="', (300 + p % 400).cast("string"), 'px"><img src="f/', p.cast("string"), '.jpg" alt="x" width="1" height="1"></picture>'),
         tag(always, '<a href="rel/', (p % 7).cast("string"), '">Relative</a><a href="../up#f">Up</a><a href="//cdn.example.com/c/">Other</a>'),
-        tag(always, '<a href="tel:', F.when(p % 10 == 0, "+1-555-0100").otherwise("+15550100"), '">Call</a>'), tag(p % 6 == 0, '<a href="/x"> </a>'), tag(p % 12 == 0, '<script src="http://cdn.example.com/x.js"></script>'),
+        tag(always, '<a href="tel:', F.when(p % 10 == 0, "+1-555-0100").otherwise("+15550100"), '">Call</a>'), tag(p % 6 == 0, '<a href="/x"> </a>'), tag(p % 6 == 5, '<a href="/y"><img src="/y.png" alt="Why" width="1" height="1"></a>'), tag(p % 12 == 0, '<script src="http://cdn.example.com/x.js"></script>'),
     )
     html = F.replace(F.replace("html", F.lit("</head>"), F.concat(head, F.lit("</head>"))), F.lit("<body>"), F.concat(F.lit("<body>"), body))
     status = F.when(p % 11 == 0, 404).when(p % 13 == 0, 403).otherwise(200)
     via = F.when(p % 3 == 0, "link").otherwise("sitemap")
-    return spread(parquet(spark, d, "pages")).select("page_id", "url", html.alias("html"), status.alias("status"), F.lit(True).alias("is_html"), (p * 37 % 3000).alias("elapsed_ms"), (p % 5 == 0).alias("redirected"), F.col("url").alias("final_url"), (status == 403).alias("refused"), via.alias("discovered_via"))
+    moved = F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.host(F.col("url")), F.lit("/moved"), F.when(urls.path(F.col("url")) == "", "/").otherwise(urls.path(F.col("url"))))
+    return spread(parquet(spark, d, "pages")).select("page_id", "url", html.alias("html"), status.alias("status"), F.lit(True).alias("is_html"), (p * 37 % 3000).alias("elapsed_ms"), (p % 5 == 0).alias("redirected"), F.when(p % 5 == 0, moved).otherwise(F.col("url")).alias("final_url"), (status == 403).alias("refused"), via.alias("discovered_via"))
 
 
 def crawl_records(spark: SparkSession, d: str) -> DataFrame:
