@@ -62,16 +62,6 @@ def sitemap_urls(body: Column) -> Column:
     return F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<(?:\w+:)?loc[^>]*>(.*?)</(?:\w+:)?loc>"), F.lit(1)), lambda x: F.trim(x))
 
 
-def discovered(candidates: DataFrame) -> DataFrame:
-    """candidates: site, rank, sitemap, body -> the URLs of the first sitemap, in rank order, that lists
-    any of the site's own, one row each."""
-    from plumbline.functions import urls
-
-    each = candidates.select("site", "rank", "sitemap", F.explode(sitemap_urls(F.col("body"))).alias("url")).filter(urls.same_site(F.col("url"), F.col("site")))
-    first = each.groupBy("site").agg(F.min("rank").alias("rank"))
-    return each.join(first, ["site", "rank"]).groupBy("site", urls.normalise(F.col("url")).alias("identity")).agg(F.min("url").alias("url"))
-
-
 def platforms(body: Column, headers: Column | None = None) -> Column:
     own = F.substring(body, 1, 400_000)
     by_body = [F.when(own.rlike(p), F.lit(name)) for name, p in PLATFORMS]

@@ -562,4 +562,5 @@ def author_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 from plumbline.plans import answers as _answers  # noqa: E402,F401  registers its queries and those of findings
+from plumbline.plans import discovery as _discovery  # noqa: E402,F401  registers its queries
 from plumbline.plans import copying as _copying  # noqa: E402,F401  registers its queries
