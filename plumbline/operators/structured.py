@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from plumbline.session import cut, small, spread
 
 MAX_DEPTH = 8
-MAX_ISSUES, MAX_INFO = 80, 25
 NODE = """site string, url string, block_no int, path string, seq int, depth int, slot string, types array<string>, chain array<array<string>>, node_id string,
  pointer boolean, advised boolean, miscounted boolean, props array<struct<prop: string, kind: string, value: string>>, code string"""
+NODE_COLUMNS = ["site", "url", "block_no", "path", "seq", "depth", "slot", "types", "chain", "node_id", "pointer", "advised", "miscounted", "props", "code"]
 # Fixed values: (required, recommended) properties of rich results; alternatives are separated by '|'.
 RICH_RESULTS = {
     "Article": ("headline", "image datePublished dateModified author publisher"),
@@ -67,6 +67,7 @@ FEATURE_HOSTS = tuple("Article Book BreadcrumbList Course Dataset Event FAQPage
 POINTER_PROPS = frozenset("name url image logo description sameAs alternateName identifier".split())
 CONSUMER_TERMS = ("query-input",)
 TEXTUAL = ("Text", "PronounceableText", "XPathType", "CssSelectorType")
+#: Of the built-in vocabulary; a file names its own.
 DATATYPES = (*TEXTUAL, "DataType", "URL", "Date", "DateTime", "Time", "Duration", "Number", "Integer", "Float", "Boolean")
 ABSOLUTE = r"(?i)^https?://[^/?#]"
 DATE = r"^\d{4}-\d{2}(-\d{2})?([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
@@ -110,7 +111,7 @@ class Vocabulary:
 
     types: DataFrame  # type, ancestor (itself included)
     props: DataFrame  # prop, domain
-    ranges: DataFrame  # prop, range, members (of an enumeration and those below it, else null)
+    ranges: DataFrame  # prop, range, members (of an enumeration and those below it, else null), data ('y' for datatypes)
     superseded: DataFrame  # prop, by
     status: DataFrame  # type, status: retired or pending
     about: DataFrame  # type, floor (whose rich-result rules it takes), host (the feature it begins), host_depth
@@ -127,8 +128,10 @@ def closure(types: tuple[tuple[str, str], ...]) -> list[tuple[str, str]]:
     return sorted((t, a) for t in parents for a in up(t))
 
 
-def vocabulary(spark: SparkSession, types=TYPES, properties=PROPERTIES, superseded=SUPERSEDED, members=MEMBERS, status=STATUS) -> Vocabulary:
+def vocabulary(spark: SparkSession, types=TYPES, properties=PROPERTIES, superseded=SUPERSEDED, members=MEMBERS, status=STATUS, datatypes=DATATYPES) -> Vocabulary:
+    """datatypes: those that are declared; what descends from one is a datatype too."""
     pairs = closure(types)
+    data = {*datatypes, *(t for t, a in pairs if a in datatypes)}
     lines: dict[str, set[str]] = {}
     for t, a in pairs:
         lines.setdefault(t, set()).add(a)
@@ -148,7 +151,7 @@ def vocabulary(spark: SparkSession, types=TYPES, properties=PROPERTIES, supersed
     below = {e: sorted({m for t in lines if e in lines[t] for m in members.get(t, "").split()}) for e in lines if e != "Enumeration" and "Enumeration" in lines[e]}
     ranges = sorted({(p, r) for p, _, rs in properties for r in rs.split()})
     return Vocabulary(
-        small(spark, pairs, "type string, ancestor string"), small(spark, props, "prop string, domain string"), small(spark, [(p, r, below.get(r)) for p, r in ranges], "prop string, range string, members array<string>"),
+        small(spark, pairs, "type string, ancestor string"), small(spark, props, "prop string, domain string"), small(spark, [(p, r, below.get(r), "y" if r in data else None) for p, r in ranges], "prop string, range string, members array<string>, data string"),
         small(spark, list(superseded), "prop string, by string"), small(spark, list(status), "type string, status string"),
         small(spark, about, "type string, floor string, host string, host_depth int"), small(spark, slots, "slot string, type string, slot_floor string"),
     )
@@ -178,10 +181,11 @@ def read_vocabulary(spark: SparkSession, path: str) -> Vocabulary:
     return vocabulary(
         spark, tuple((t.name, t.subClassOf) for t in classes), tuple((t.name, t.domainIncludes, t.rangeIncludes) for t in terms if t.what == "property"),
         tuple((t.name, t.supersededBy.split()[0]) for t in terms if t.supersededBy), {e: " ".join(m) for e, m in members.items()}, tuple((t.name, t.status) for t in classes if t.status),
+        ("DataType", *(t.name for t in classes if "DataType" in t.is_a.split())),
     )
 
 
-def _term(name) -> str:
+def term_name(name) -> str:
     return str(name).rstrip("/").rpartition("/")[2].rpartition("#")[2].rpartition(":")[2]
 
 
@@ -191,7 +195,7 @@ def _blank(value) -> bool:
 
 def _types(node: dict) -> list[str]:
     raw = node.get("@type")
-    return [_term(t) for t in (raw if isinstance(raw, list) else [raw]) if t]
+    return [term_name(t) for t in (raw if isinstance(raw, list) else [raw]) if t]
 
 
 def _miscounted(node: dict) -> bool:
@@ -202,6 +206,37 @@ def _miscounted(node: dict) -> bool:
     return said // 1 != (len(items) if isinstance(items, list) else 0 if _blank(items) else 1)
 
 
+def walk_node(out: list[tuple], number: int, node: dict, path: str, depth: int, slot: str | None, chain: list, advised: bool, code: str | None) -> None:
+    """Append an object's row and those of the objects in it, in the order of NODE, without site and url."""
+    types, node_id = _types(node), node.get("@id")
+    node_id = node_id if isinstance(node_id, str) and node_id else None
+    chain = [*chain, types]
+    if types:
+        advised = advised and (slot is None or slot in FEATURE_SLOTS)
+    props, inner, own = [], [], [k for k in node if not k.startswith("@")]
+    for key in own:
+        name, value = term_name(key), node[key]
+        foreign = ":" in key or key in CONSUMER_TERMS
+        for v in value if isinstance(value, list) and value else [value]:
+            kind, text = "scalar", v
+            if isinstance(v, dict) and "@value" in v and "@type" not in v:
+                text = v["@value"]
+            elif isinstance(v, dict) and v:
+                names = _types(v)
+                kind, text = ("object", names[0]) if names else ("ref", v["@id"]) if "@id" in v else ("untyped", "")
+                if kind != "ref":
+                    inner.append((name, v))
+            if _blank(text) and kind == "scalar":
+                kind, text = "blank", ""
+            if not foreign or kind != "blank":
+                props.append({"prop": name, "kind": "foreign" if foreign else kind, "value": json.dumps(text) if isinstance(text, (bool, list)) else str(text).strip()})
+    pointer = depth > 0 and node_id is not None and all(term_name(k) in POINTER_PROPS for k in own)
+    out.append((number, path, len(out), depth, slot, types, chain, node_id, pointer, advised, _miscounted(node), props, code))
+    if depth < MAX_DEPTH:
+        for i, (name, v) in enumerate(inner):
+            walk_node(out, number, v, f"{path}.{name}[{i}]", depth + 1, name, chain, advised, None)
+
+
 def nodes_of(block: str, number: int) -> list[tuple]:
     """The nodes of one JSON-LD block in the order of NODE, without site and url; code names what breaks
     the block as a whole.  chain holds the types of the node's ancestors and its own, from the root;
@@ -222,35 +257,6 @@ def nodes_of(block: str, number: int) -> list[tuple]:
     roots = data if isinstance(data, list) else [data]
     out: list[tuple] = []
 
-    def walk(node: dict, path: str, depth: int, slot: str | None, chain: list, advised: bool, code: str | None) -> None:
-        types, node_id = _types(node), node.get("@id")
-        node_id = node_id if isinstance(node_id, str) and node_id else None
-        chain = [*chain, types]
-        if types:
-            advised = advised and (slot is None or slot in FEATURE_SLOTS)
-        props, inner, own = [], [], [k for k in node if not k.startswith("@")]
-        for key in own:
-            name, value = _term(key), node[key]
-            foreign = ":" in key or key in CONSUMER_TERMS
-            for v in value if isinstance(value, list) and value else [value]:
-                kind, text = "scalar", v
-                if isinstance(v, dict) and "@value" in v and "@type" not in v:
-                    text = v["@value"]
-                elif isinstance(v, dict) and v:
-                    names = _types(v)
-                    kind, text = ("object", names[0]) if names else ("ref", v["@id"]) if "@id" in v else ("untyped", "")
-                    if kind != "ref":
-                        inner.append((name, v))
-                if _blank(text) and kind == "scalar":
-                    kind, text = "blank", ""
-                if not foreign or kind != "blank":
-                    props.append({"prop": name, "kind": "foreign" if foreign else kind, "value": json.dumps(text) if isinstance(text, (bool, list)) else str(text).strip()})
-        pointer = depth > 0 and node_id is not None and all(_term(k) in POINTER_PROPS for k in own)
-        out.append((number, path, len(out), depth, slot, types, chain, node_id, pointer, advised, _miscounted(node), props, code))
-        if depth < MAX_DEPTH:
-            for i, (name, v) in enumerate(inner):
-                walk(v, f"{path}.{name}[{i}]", depth + 1, name, chain, advised, None)
-
     for i, root in enumerate(roots):
         if not isinstance(root, dict):
             out.append(broken(f"{top}[{i}]", "not-an-object"))
@@ -261,7 +267,7 @@ def nodes_of(block: str, number: int) -> list[tuple]:
         members = (graph if isinstance(graph, list) else [graph]) if graph is not None else [root]
         for j, member in enumerate(members):
             if isinstance(member, dict):
-                walk(member, f"{top}[{i}][{j}]", 0, None, [], True, code)
+                walk_node(out, number, member, f"{top}[{i}][{j}]", 0, None, [], True, code)
                 code = None
             else:
                 out.append(broken(f"{top}[{i}][{j}]", "not-an-object"))
@@ -274,7 +280,7 @@ def jsonld_nodes(records: DataFrame) -> DataFrame:
     def extract(batches):
         for frame in batches:
             rows = [(site, url, *node) for site, url, blocks in zip(frame["site"], frame["url"], frame["jsonld"], strict=True) for n, block in enumerate(blocks if blocks is not None else ()) for node in nodes_of(block, n)]
-            yield pd.DataFrame(rows, columns=["site", "url", "block_no", "path", "seq", "depth", "slot", "types", "chain", "node_id", "pointer", "advised", "miscounted", "props", "code"])
+            yield pd.DataFrame(rows, columns=NODE_COLUMNS)
 
     return spread(records.select("site", "url", "jsonld")).mapInPandas(extract, NODE)
 
@@ -283,9 +289,9 @@ KEY = ["site", "url", "path"]
 WARNINGS = ("bad-context", "untyped-object", "superseded-property", "property-not-on-type", "list-item-position", "value-type", "empty-wanted", "fractional-number", "relative-url", "money-format", "retired-type")
 
 
-def _satisfies(value: Column, range_: Column, members: Column) -> Column:
+def _satisfies(value: Column, range_: Column, members: Column, data: Column) -> Column:
     """Does a literal fill one entry of a property's range?  An absolute URL names an object elsewhere; of an
-    enumeration, it has to name a member or stand on another's domain."""
+    enumeration, it has to name a member or stand on another's domain.  A datatype without a rule here takes any."""
     member = F.regexp_extract(F.regexp_replace(value, "/+$", ""), r"[^/#:]*$", 0)
     return (
         F.when(range_.isin(*TEXTUAL), True)
@@ -296,6 +302,7 @@ def _satisfies(value: Column, range_: Column, members: Column) -> Column:
         .when(range_ == "Integer", value.rlike(r"^[+-]?\d+$"))
         .when(range_ == "Boolean", F.lower(value).rlike(BOOLEAN))
         .when(members.isNotNull(), F.array_contains(members, member) | (value.startswith("http") & ~value.rlike(SCHEMA_URL)))
+        .when(data.isNotNull() & (range_ != "URL"), True)
         .otherwise(value.rlike(ABSOLUTE))
     )
 
@@ -332,23 +339,24 @@ def schema_issues(nodes: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     each = node.select(*KEY, "type", "types_all", "slot", F.explode("props").alias("p")).select(*KEY, "type", "types_all", "slot", "p.prop", "p.kind", "p.value").filter("kind <> 'foreign'")
     names = vocab.props.select("prop").distinct()
-    written = each.select(*KEY, "type", "types_all", "slot", "prop").distinct()
-    term = written.join(vocab.superseded.select("prop", F.lit(True).alias("old")), "prop", "left").join(names.withColumn("known", F.lit(True)), "prop", "left")
-    term = term.withColumn("code", F.when(F.col("old"), "superseded-property").when(F.col("known").isNull(), "unknown-property")).filter("code is not null")
+    written = each.select(*KEY, "type", "types_all", "slot", "prop", (F.col("kind") == "name").alias("bare")).distinct()
+    # of RDFa, names alone are read, and those of an unknown type are not judged
+    term = written.join(kinds.withColumnRenamed("known", "typed"), "type", "left").filter("not bare or typed").join(vocab.superseded.select("prop", F.lit(True).alias("old")), "prop", "left").join(names.withColumn("known", F.lit(True)), "prop", "left")
+    term = term.withColumn("code", F.when(F.col("old") & ~F.col("bare"), "superseded-property").when(F.col("known").isNull() & F.col("old").isNull(), "unknown-property")).filter("code is not null")
     domains = vocab.props.select("prop", F.col("domain").alias("ancestor"), F.lit(True).alias("fits"))
     lineage = written.join(names, "prop", "left_semi").select(*KEY, "type", "prop", "slot", F.explode("types_all").alias("own")).join(vocab.types.select(F.col("type").alias("own"), "ancestor"), "own").join(domains, ["prop", "ancestor"], "left")
     unordered = (F.col("prop") == "position") & (F.coalesce("slot", F.lit("")) == "itemListElement")
     misplaced = lineage.groupBy(*KEY, "type", "prop", "slot").agg(F.bool_or(F.coalesce("fits", F.lit(False))).alias("ok")).filter("not ok").withColumn("code", F.when(unordered, "list-item-position").otherwise("property-not-on-type"))
 
-    judged = each.filter("kind = 'scalar'").join(vocab.ranges, "prop").groupBy(*KEY, "type", "prop", "value").agg(F.bool_or(_satisfies(F.col("value"), F.col("range"), F.col("members"))).alias("ok"), F.collect_set("range").alias("r"), F.bool_or(F.col("members").isNotNull()).alias("named"))
+    judged = each.filter("kind = 'scalar'").join(vocab.ranges, "prop").groupBy(*KEY, "type", "prop", "value").agg(F.bool_or(_satisfies(F.col("value"), F.col("range"), F.col("members"), F.col("data"))).alias("ok"), F.collect_set("range").alias("r"), F.bool_or(F.col("data").isNotNull()).alias("literal"), F.bool_or(F.col("members").isNotNull()).alias("named"))
     r = F.col("r")
     wrong = judged.filter("not ok").withColumn(
         "code",
-        F.when(F.col("named"), "invalid-enum").when(F.size(F.array_intersect("r", F.array(*map(F.lit, DATATYPES)))) == 0, "value-type").when(F.arrays_overlap("r", F.array(F.lit("Date"), F.lit("DateTime"))), "invalid-date").when(F.array_contains(r, "Time"), "invalid-time").when(F.array_contains(r, "Duration"), "invalid-duration")
+        F.when(F.col("named"), "invalid-enum").when(~F.col("literal"), "value-type").when(F.arrays_overlap("r", F.array(F.lit("Date"), F.lit("DateTime"))), "invalid-date").when(F.array_contains(r, "Time"), "invalid-time").when(F.array_contains(r, "Duration"), "invalid-duration")
         .when(F.arrays_overlap("r", F.array(F.lit("Number"), F.lit("Integer"), F.lit("Float"))), F.when(F.col("value").rlike(NUMBER), "fractional-number").otherwise("invalid-number")).when(F.array_contains(r, "Boolean"), "invalid-boolean").otherwise("relative-url"),
     )
     is_a = vocab.types.select(F.col("type").alias("value"), F.col("ancestor").alias("range"), F.lit(True).alias("is"))
-    objects = each.filter("kind = 'object'").join(vocab.ranges, "prop").join(is_a, ["value", "range"], "left").groupBy(*KEY, "type", "prop", "value").agg(F.bool_or(F.coalesce("is", F.lit(False))).alias("ok"), F.bool_and(F.col("range").isin(*DATATYPES)).alias("literal"))
+    objects = each.filter("kind = 'object'").join(vocab.ranges, "prop").join(is_a, ["value", "range"], "left").groupBy(*KEY, "type", "prop", "value").agg(F.bool_or(F.coalesce("is", F.lit(False))).alias("ok"), F.bool_and(F.col("data").isNotNull()).alias("literal"))
     unfit = objects.filter("not ok").withColumn("code", F.when(F.col("literal"), "object-value").otherwise("value-type"))
     ids = nodes.select("site", "url", F.col("node_id").alias("value")).filter("value is not null").distinct()
     lost = each.filter("kind = 'ref' and value like '#%'").join(ids, ["site", "url", "value"], "left_anti").withColumn("code", F.lit("unresolved-id"))
