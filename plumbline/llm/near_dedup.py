@@ -1,20 +1,23 @@
 """Near-duplicates by ProbMinHash.
 
-A document is the set of its shingles (five words).  A link is defined over sets, so every shingle weighs
-1 however often it is found: the probability Jaccard similarity that ProbMinHash estimates is then the
-Jaccard similarity itself, and copies that repeat passages unequally are candidates like any.  ProbMinHash
-lets every shingle arrive by a Poisson process of its weight, each arrival at a random component; a
-component keeps its earliest shingle, and a shingle is done once its next arrival comes after the
-latest kept one.  Two documents agree in a component with their probability Jaccard similarity.
+A document is the shingles (five words) of its text, each with a weight, how often it stands there.
+ProbMinHash lets every shingle arrive by a Poisson process of its weight, each arrival at a random component;
+a component keeps its earliest shingle, and a shingle is done once its next arrival comes after the latest
+kept one.  Two documents agree in a component with their probability Jaccard similarity.
+
+Two documents are linked if the probability Jaccard similarity of their weighted shingles is at least the
+threshold, or the Jaccard similarity of their sets of shingles is, which is the same where no shingle
+repeats: copies that repeat passages unequally are caught by the second, texts that consist of one repeated
+passage by the first.  A document with repeated shingles therefore has two signatures, one of its weights and
+one with all weights equal, and stands in the buckets of both; others have one, which serves as both.
 
 Documents of equal words are one class from the start, and only one of them goes on.  Bands of equal
 components make buckets.  Every member of a bucket is first verified against the bucket's smallest
 document, so a group of copies costs its size and not its square; connected components of these links
 are the first classes.  Pairs of a bucket that still lie in different classes are then compared by all
-components of their signatures (four bits each, within the join), and those whose estimate is not far
-below the threshold are verified one by one, each pair once.  A link is a Jaccard similarity of the
-sets of shingles of at least the threshold; at a similarity of 0.8 the estimate turns a pair away with
-a chance of 2e-5.
+components of their signatures (four bits each, within the join), and those whose estimate of either
+similarity is not far below the threshold are verified one by one, each pair once.  At a similarity of 0.8 the
+estimate turns a pair away with a chance of 2e-5.  Large buckets, and documents of many pairs, are split.
 
 Defined results: a text of one to four words is one shingle; texts without words are classes of equal
 texts; null and empty texts are each a class of their own; rows that share a doc_id share a class;
@@ -31,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, keyed_join, mix, prepare, staged, table, text_slices, texts_of, trim, windows_of, word_hashes
+from .components import components
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -43,17 +47,19 @@ COMPONENTS = 288
 LEAST_ESTIMATE = 0.7
 #: Pairs of one document that are verified together; a document with more has its text in several tasks.
 LEAD_PAIRS = 10_000
+#: Documents of a bucket that one task compares with all others of it.
+BUCKET_DOCS = 1_000
 _PER_LONG = 16
 
 _U64 = np.uint64
 _STEP = _U64(0xD1B54A32D192ED03)
 
 
-def distinct_shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles: hash, text."""
+def weighted_shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles: hash, text, how often the text has it."""
     shingle, doc = windows_of(hashes, first, k)
-    _, at = np.unique(mix(shingle + doc.astype(_U64) * _STEP), return_index=True)
-    return shingle[at], doc[at]
+    _, at, count = np.unique(mix(shingle + doc.astype(_U64) * _STEP), return_index=True, return_counts=True)
+    return shingle[at], doc[at], count.astype(float)
 
 
 def probminhash(element: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -112,94 +118,112 @@ def differing(left: str, right: str, longs: int) -> Column:
 
 
 def sketches(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
-    """doc_id, word_key (equal for equal words; null for empty texts), buckets and prints (none without
-    words)."""
+    """doc_id, word_key (equal for equal words; null for empty texts), buckets, prints (of the weights) and
+    set_prints (null where no shingle repeats, as they are the same); texts without words have empty lists."""
 
     def make(batches):
         for batch in batches:
             for at, to, raw, offsets in text_slices(batch["text"]):
                 hashes, first = word_hashes(raw, offsets)
-                element, doc = distinct_shingles(hashes, first, k)
-                signatures = probminhash(element, doc, np.ones(len(element)), to - at, COMPONENTS)
+                element, doc, weight = weighted_shingles(hashes, first, k)
                 n_words = np.diff(first)
-                signatures = signatures[n_words > 0]
+                n = to - at
+                signatures = probminhash(element, doc, weight, n, COMPONENTS)
+                repeats = np.zeros(n, bool)
+                repeats[doc[weight > 1]] = True
+                number = np.cumsum(repeats) - 1
+                some = repeats[doc]
+                plain = probminhash(element[some], number[doc[some]], np.ones(int(some.sum())), int(repeats.sum()), COMPONENTS)
                 keys: list[bytes | None] = []
-                for i in range(to - at):
+                for i in range(n):
                     if n_words[i]:
                         keys.append(hashlib.blake2b(hashes[first[i] : first[i + 1]].tobytes(), digest_size=16).digest())
                     elif offsets[i + 1] > offsets[i]:
                         keys.append(hashlib.blake2b(raw[offsets[i] : offsets[i + 1]].tobytes(), digest_size=15).digest())
                     else:
                         keys.append(None)
+                held = n_words > 0
+                own, other = bands_of(signatures, bands, rows), bands_of(plain, bands, rows)
+                both = [np.union1d(own[i], other[number[i]]) if repeats[i] else own[i] for i in range(n) if held[i]]
+                ends = np.zeros(n + 1, np.int64)
+                ends[1:][held] = [len(x) for x in both]
+                buckets = pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(np.concatenate([*both, np.zeros(0, _U64)]).view(np.int64)))
                 lists = []
-                for values in (bands_of(signatures, bands, rows), prints_of(signatures)):
-                    ends = np.concatenate([[0], np.cumsum(np.where(n_words > 0, values.shape[1], 0))])
-                    lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64).ravel())))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][at:to], pa.array(keys, pa.binary()), *lists], names=["doc_id", "word_key", "buckets", "prints"])
+                for values, there, null in ((prints_of(signatures)[held], held, None), (prints_of(plain), repeats, ~repeats)):
+                    ends = np.concatenate([[0], np.cumsum(np.where(there, values.shape[1], 0))])
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64).ravel()), mask=None if null is None else pa.array(null)))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][at:to], pa.array(keys, pa.binary()), buckets, *lists], names=["doc_id", "word_key", "buckets", "prints", "set_prints"])
             trim()
 
-    return docs.mapInArrow(make, "doc_id long, word_key binary, buckets array<long>, prints array<long>")
+    return docs.mapInArrow(make, "doc_id long, word_key binary, buckets array<long>, prints array<long>, set_prints array<long>")
+
+
+def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two rows of weights of the same elements, none of which is 0 in both.  Sorted by x / y, what an element
+    is compared with is x of those at least as high and y of the lower ones."""
+    with np.errstate(divide="ignore"):
+        ratio = x / y
+    order = np.argsort(-ratio, kind="stable")
+    x, y, ratio = x[order], y[order], ratio[order]
+    last = np.searchsorted(-ratio, -ratio, side="right")  # ties count as at least as high
+    high, low = np.concatenate([[0.0], np.cumsum(x)])[last], y.sum() - np.concatenate([[0.0], np.cumsum(y)])[last]
+    both = (x > 0) & (y > 0)
+    return float((1.0 / (high[both] / x[both] + low[both] / y[both])).sum())
 
 
-def jaccard(left: pa.Array, right: pa.Array, k: int) -> np.ndarray:
-    """Exact Jaccard similarity of the shingle sets of two columns of texts, row by row."""
-    sets: list[list[np.ndarray]] = []
+def similarities(left: pa.Array, right: pa.Array, k: int) -> np.ndarray:
+    """The greater of the exact Jaccard similarity of shingle sets and the probability Jaccard similarity of
+    weighted shingles, of two columns of texts, row by row."""
+    sets: list[list[tuple[np.ndarray, np.ndarray]]] = []
     for texts in (left, right):
-        own: list[np.ndarray] = []
+        own: list[tuple[np.ndarray, np.ndarray]] = []
         for at, to, raw, offsets in text_slices(texts):
-            shingle, doc = distinct_shingles(*word_hashes(raw, offsets), k)
+            shingle, doc, weight = weighted_shingles(*word_hashes(raw, offsets), k)
             order = np.lexsort((shingle, doc))
-            own += np.split(shingle[order], np.searchsorted(doc[order], np.arange(1, to - at)))
+            cuts = np.searchsorted(doc[order], np.arange(1, to - at))
+            own += list(zip(np.split(shingle[order], cuts), np.split(weight[order], cuts), strict=True))
         sets.append(own)
     out = np.zeros(len(left))
-    for i, (a, b) in enumerate(zip(*sets, strict=True)):
-        if len(a) and len(b):
-            both = np.concatenate([a, b])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            out[i] = common / (len(a) + len(b) - common)
+    for i, ((a, a_weight), (b, b_weight)) in enumerate(zip(*sets, strict=True)):
+        if not len(a) or not len(b):
+            continue
+        union, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        out[i] = (len(a) + len(b) - len(union)) / len(union)
+        if a_weight.max() > 1 or b_weight.max() > 1:
+            x, y = np.zeros(len(union)), np.zeros(len(union))
+            x[place[: len(a)]], y[place[len(a) :]] = a_weight, b_weight
+            out[i] = max(out[i], probability_jaccard(x, y))
     return out
 
 
+def with_texts(pairs: DataFrame, docs: DataFrame, side: str, text: str, label: str) -> DataFrame:
+    """pairs with the text of one of their documents.  The pairs of a document of many are dealt over pieces, each
+    with a copy of its text."""
+    texts = docs.select(F.col("doc_id").alias(side), F.col("text").alias(text))
+    # at most a row for LEAD_PAIRS pairs; tables are written first, so that Spark knows how small they are
+    many = staged(pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / LEAD_PAIRS).cast("long").alias("pieces")).filter("pieces > 1"), f"{label}-leads")
+    if many.isEmpty():
+        return pairs.join(texts, side)
+    one = F.coalesce("pieces", F.lit(1).cast("long"))
+    other = "b" if side == "a" else "a"
+    dealt = pairs.join(many, side, "left").withColumn("piece", F.pmod(F.xxhash64(other), one)).drop("pieces")
+    copies = texts.join(many, side, "left").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("pieces")
+    return dealt.join(copies, [side, "piece"]).drop("piece")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float, k: int) -> DataFrame:
-    """The (a, b) pairs whose texts are similar.  The pairs of a document that leads many are dealt over
-    pieces, each with a copy of its text."""
+    """The (a, b) pairs whose texts are similar."""
 
     @F.arrow_udf("double")
     def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = pa.array(jaccard(left, right, k))
+        out = pa.array(similarities(left, right, k))
         trim()
         return out
 
-    left, right = (docs.select(F.col("doc_id").alias(n), F.col("text").alias(t)) for n, t in (("a", "_left"), ("b", "_right")))
-    # at most a row for LEAD_PAIRS pairs; tables are written first, so that Spark knows how small they are
-    many = staged(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEAD_PAIRS).cast("long").alias("pieces")).filter("pieces > 1"), "leads")
-    on = ["a"]
-    if not many.isEmpty():
-        pairs = staged(pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("pieces", F.lit(1).cast("long"))).alias("piece")), "pairs")
-        left = left.join(many, "a", "left").select("a", "_left", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1).cast("long")) - 1)).alias("piece"))
-        on = ["a", "piece"]
-    joined = pairs.join(left, on).join(right, "b")
+    joined = with_texts(with_texts(pairs, docs, "a", "_left", "a"), docs, "b", "_right", "b")
     return joined.filter(similarity("_left", "_right") >= threshold).select("a", "b").distinct()
 
 
-def components(links: DataFrame, label: str) -> DataFrame:
-    """Connected components of (a, b) links: doc, class (the smallest doc).  Labels spread to
-    neighbours and then jump to their own label's label, so rounds grow with the logarithm of the
-    longest path."""
-    links = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{label}-links")
-    labels = staged(links.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.first("a")).alias("class")), label)
-    while True:
-        near = links.join(labels, links.b == labels.doc).groupBy(F.col("a").alias("doc")).agg(F.min("class").alias("near"))
-        spread = labels.join(near, "doc").select("doc", "class", F.least("class", "near").alias("new"))
-        spread = staged(spread, label)
-        jump = spread.select(F.col("doc").alias("new"), F.col("new").alias("further"))
-        after = staged(spread.join(jump, "new", "left").select("doc", F.col("class").alias("old"), F.coalesce("further", "new").alias("class")), label)
-        labels = after.select("doc", "class")
-        if after.filter("old <> class").isEmpty():
-            return labels
-
-
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), a row per row of docs."""
     prepare(docs.sparkSession)
@@ -222,13 +246,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
 
     placed = members.join(classes.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("class", "doc_id").alias("class"))
     split = placed.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most").select("bucket")
-    placed = staged(placed.join(split, "bucket", "left_semi").distinct().join(keyed.select("doc_id", "buckets", "prints"), "doc_id"), "placed")
-    left, right = (placed.select("bucket", F.col("doc_id").alias(n), F.col("class").alias(f"class_{n}"), F.col("buckets").alias(f"buckets_{n}"), F.col("prints").alias(f"prints_{n}")) for n in "ab")
+    signed = keyed.select("doc_id", "buckets", "prints", F.coalesce("set_prints", "prints").alias("set_prints"))
+    placed = staged(placed.join(split, "bucket", "left_semi").distinct().join(signed, "doc_id"), "placed")
+    # of a large bucket, each of several tasks compares a part of the documents with all
+    large = staged(placed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET_DOCS).cast("long").alias("pieces")).filter("pieces > 1"), "large")
+    parts = F.coalesce("pieces", F.lit(1).cast("long"))
+    placed = placed.join(large, "bucket", "left").withColumn("pieces", parts)
+    left, right = (placed.select("bucket", "pieces", *[F.col(c).alias(f"{c}_{n}") for c in ("class", "buckets", "prints", "set_prints")], F.col("doc_id").alias(n)) for n in "ab")
+    left = left.withColumn("piece", F.pmod(F.xxhash64("a"), F.col("pieces"))).drop("pieces")
+    right = right.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).drop("pieces")
     # 15 of 16 components that differ show it in their bits; of a pair's buckets the least one decides
     most = int(COMPONENTS * (1 - LEAST_ESTIMATE * threshold / THRESHOLD) * 15 / 16)
-    near = (F.col("class_a") != F.col("class_b")) & (F.col("a") < F.col("b")) & (differing("prints_a", "prints_b", COMPONENTS // _PER_LONG) <= most)
+    alike = F.lit(False)
+    for prints in ("prints", "set_prints"):
+        alike |= differing(f"{prints}_a", f"{prints}_b", COMPONENTS // _PER_LONG) <= most
+    near = (F.col("class_a") != F.col("class_b")) & (F.col("a") < F.col("b")) & alike
     first = left["bucket"] == F.array_min(F.array_intersect("buckets_a", "buckets_b"))
-    rest = left.join(right, (left["bucket"] == right["bucket"]) & near & first).select("a", "b").distinct()
+    rest = left.join(right, (left["bucket"] == right["bucket"]) & (left["piece"] == right["piece"]) & near & first).select("a", "b").distinct()
     rest = staged(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     more = staged(verified(rest, texts, threshold, k), "rest-links")
     if not more.isEmpty():

@@ -509,8 +509,18 @@ def test_bpe_odd(odd, empty):
 # --- 8 near-duplicates -----------------------------------------------------------------------------
 
 
+def shingle_weights(text):
+    w = common.words_of(text)
+    return Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def brute_probability_jaccard(a, b):
+    return sum(1 / sum(max(a[e] / a[d], b[e] / b[d]) for e in {*a, *b}) for d in a.keys() & b.keys())
+
+
 def brute_classes(rows):
-    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if (w := common.words_of(t)) else frozenset() for i, t in rows}
+    """Components of the links of sets or of weighted shingles."""
+    sets = {i: shingle_weights(t) for i, t in rows}
     owner = {i: i for i in sets}
 
     def root(x):
@@ -520,8 +530,11 @@ def brute_classes(rows):
 
     for a, b in itertools.combinations(sets, 2):
         x, y = sets[a], sets[b]
-        if x and y and len(x & y) >= 0.8 * len(x | y) and root(a) != root(b):
-            owner[max(root(a), root(b))] = min(root(a), root(b))
+        if x and y and root(a) != root(b):
+            shared = len(x.keys() & y.keys())
+            repeats = max(x.values()) > 1 or max(y.values()) > 1
+            if shared >= 0.8 * len({*x, *y}) or (repeats and shared and brute_probability_jaccard(x, y) >= 0.8):
+                owner[max(root(a), root(b))] = min(root(a), root(b))
     return {i: root(i) for i in sets}
 
 
@@ -550,6 +563,49 @@ def test_near_copies_that_repeat_a_passage_unequally(spark):
     assert got == want
 
 
+def test_links_of_weights_and_of_sets_are_both_found(spark):
+    """Recall of both kinds of link, each kind where the other does not hold."""
+    rows, weighted, plain = [], [], []
+    for n in range(80):
+        own = [f"d{n}x{j}" for j in range(60)]
+        lines = own[:20] * (30 + n % 5)  # most of what the text says, again and again
+        rows += [(4 * n, " ".join(lines + own[20:])), (4 * n + 1, " ".join(lines + [f"e{n}x{j}" for j in range(40)]))]
+        weighted.append((4 * n, 4 * n + 1))
+        base = [f"s{n}x{j}" for j in range(100)]
+        rows += [(4 * n + 2, " ".join(base)), (4 * n + 3, " ".join(base + [f"t{n}"] + base[:30] * 20))]
+        plain.append((4 * n + 2, 4 * n + 3))
+    texts = dict(rows)
+    law = {p: (len({*x} & {*y}) / len({*x, *y}), brute_probability_jaccard(x, y)) for p in weighted + plain for x, y in [(shingle_weights(texts[p[0]]), shingle_weights(texts[p[1]]))]}
+    assert all(law[p][0] < 0.75 and law[p][1] > 0.82 for p in weighted) and sum(law[p][0] >= 0.8 and law[p][1] < 0.7 for p in plain) == 80
+    wanted = {p for p, (j, w) in law.items() if max(j, w) >= 0.8}
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {p for p in law if got[p[0]] == got[p[1]]} == wanted >= set(weighted)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5)).filter(any), min_size=1, max_size=12))
+def test_probability_jaccard_is_its_definition(weights):
+    x, y = (np.array(v, float) for v in zip(*weights, strict=True))
+    a, b = (Counter({i: int(w) for i, w in enumerate(v) if w}) for v in (x, y))
+    want = brute_probability_jaccard(a, b) if a and b else 0
+    if a and b:
+        assert near_dedup.probability_jaccard(x, y) == pytest.approx(want)
+
+
+def test_a_large_bucket_is_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BUCKET_DOCS", 3)
+    monkeypatch.setattr(near_dedup, "LEAD_PAIRS", 2)
+    rng = np.random.default_rng(8)
+    base, rows = [f"w{j}" for j in range(150)], []
+    for n in range(60):
+        words = list(base)
+        for j in rng.choice(150, n % 6, replace=False):
+            words[j] = f"n{n}x{j}"
+        rows.append((n, " ".join(words)))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_a_hot_lead_and_hot_copies(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "LEAD_PAIRS", 7)
     monkeypatch.setattr(common, "HOT_PARTS", 4)
