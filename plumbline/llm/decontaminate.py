@@ -9,11 +9,14 @@ substitute two of 13 words leaves one placement of one mask whole (a test goes t
 Items of 8 to 12 words are one window of their own length and need the same share of equal words: one
 substitution for 8 and 9 words, two for 10 to 12.  Their masks cut the item into two blocks more than it
 may have substitutions and use two whole blocks, so some mask is always left whole.  Items of fewer than 8
-words have to stand as they are.  The query and the stage judge items so (short=True); leaks() by itself
-takes items of 8 to 12 words as they are and leaves shorter ones out.
+words have to stand as they are.  With short=False items of 8 to 12 words are looked for as they are, and
+shorter ones not at all.
 
 The seeds of a benchmark of at most BROADCAST_SEEDS go to all tasks (their number is counted first) and
-are looked up in one pass over the texts.  Beyond that both sides' seeds are shuffled and joined.
+are looked up in one pass over the texts.  Beyond that, a sieve of fixed size goes to all tasks: a bit for
+every value that the first bits of a benchmark seed have.  Seeds of documents that pass it carry the words
+around them, as every window that leaks has a seed of its own within it; so texts are read once and never
+shuffled, and a hit is judged by what its two rows carry.  Seeds that many documents share are split.
 
 Defined results: null and empty texts or items never match; rows without doc_id or item_id are left
 out; items that repeat an item_id are matched each and the best match counts; repeated rows of documents
@@ -26,10 +29,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, prepare, staged, table, text_slices, texts_of, trim, word_hashes
+from .common import fresh, keyed_join, mix, prepare, staged, table, text_slices, texts_of, trim, word_hashes
 
 MASKS = ("11110111", "11001001111", "11111101")
 WINDOW = 13
@@ -42,6 +45,10 @@ BROADCAST_SEEDS = 500_000
 _U64 = np.uint64
 _STEP = _U64(0xA24BAED4963EE407)
 _SIEVE_BITS = 22
+#: Bits of the sieve of a large benchmark: 16 MB, whatever its size.
+LARGE_SIEVE_BITS = 27
+#: Rows of one seed that one task joins.
+SEED_ROWS = 100_000
 
 
 def least_equal(n: int, short: bool = True) -> int:
@@ -171,18 +178,22 @@ def _lowered(docs: DataFrame) -> DataFrame:
 MATCH = "item_id long, n_equal int, doc_word int, item_word int, n_compared int"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS, short: bool = False) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS, short: bool = True) -> DataFrame:
     """A row for each document and item it leaks: doc_id, item_id, and the best window: n_equal of
-    n_compared words, from doc_word of the document and item_word of the item.  short: items of 8 to 12
-    words may differ by SIMILARITY too, and shorter ones are looked for as they are."""
+    n_compared words, from doc_word of the document and item_word of the item."""
     prepare(docs.sparkSession)
     items = staged(_item_hashes(benchmark, short), "items")
     docs = _lowered(docs)
     n_seeds = _seeds_at_most(items)
     if n_seeds > broadcast_seeds:
         # a match belongs to the text; every row of that text has it, whatever its doc_id
-        keyed = docs.select("doc_id", _text_key("text").alias("key"))
-        return keyed.join(_matches_by_join(docs.select("text"), items, short), "key").drop("key")
+        keyed = docs.select("doc_id", _text_key("text").alias("_text"))
+        found = _matches_by_join(docs.select("text"), items, short)
+        per_text = found.groupBy(F.col("key").alias("_text")).agg(F.collect_list(F.struct(*[c for c in found.columns if c != "key"])).alias("found"))
+        rows_of = keyed.join(per_text.select("_text"), "_text", "left_semi").groupBy("_text").agg(F.count(F.lit(1)).alias("n"))
+        table_ = staged(per_text.join(rows_of, "_text").select(F.hex("_text").alias("key"), "n", "found"), "leaks")
+        joined = keyed_join(keyed, F.hex("_text"), table_, ["found"])
+        return joined.select("doc_id", F.explode("found").alias("m")).select("doc_id", "m.*")
     index = _small_index(items, short)
 
     def find(batches):
@@ -208,50 +219,86 @@ def _text_key(text: str | Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def _sieve(seeds: DataFrame) -> np.ndarray:
+    """One bit for each value of the first LARGE_SIEVE_BITS bits of a seed.  What is collected has the sieve's
+    size at most."""
+    bit = F.shiftrightunsigned("seed", 64 - LARGE_SIEVE_BITS)
+    packed = seeds.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - LARGE_SIEVE_BITS}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(max(1, 1 << (LARGE_SIEVE_BITS - 6)), _U64)
+    out[packed["at"].to_numpy()] = packed["bits"].to_numpy().view(_U64)
+    return out
+
+
+def _around(words: np.ndarray, at: int, span: int, begin: int, end: int) -> tuple[int, np.ndarray]:
+    """How many words are carried before a seed, and all that are: those of the windows that hold it, within
+    [begin, end)."""
+    first = max(begin, at - (WINDOW - span))
+    return at - first, words[first : min(end, at + WINDOW)]
+
+
 def _matches_by_join(texts: DataFrame, items: DataFrame, short: bool = True) -> DataFrame:
-    """The same for benchmarks of any size, a row for each distinct text (by its digest, `key`) and item:
-    seeds of both sides are shuffled and joined."""
-    docs = texts.groupBy(_text_key("text").alias("key")).agg(F.first("text").alias("text"))
-    lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(WINDOW))).distinct().collect()]
+    """The same for benchmarks of any size, a row for each distinct text (by its digest, `key`) and item."""
+    spark = texts.sparkSession
+    lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(WINDOW))).distinct().collect()]  # WINDOW at most
     used = sorted({m for n in lengths for m in masks_for(n)})
+    names = ["mask", "seed", "word", "lead", "words"]
+
+    def carried(mask: list[int], seed: list[int], word: list[int], held: list[tuple[int, np.ndarray]]) -> list[pa.Array]:
+        ends = np.concatenate([[0], np.cumsum([len(w) for _, w in held], dtype=np.int64)])
+        flat = np.concatenate([*(w for _, w in held), np.zeros(0, _U64)]).view(np.int64)
+        return [pa.array(mask, pa.int32()), pa.array(np.array(seed, _U64).view(np.int64)), pa.array(word, pa.int32()), pa.array([a for a, _ in held], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+
+    def item_seeds(batches):
+        for batch in batches:
+            for item, words in zip(batch["item_id"].to_pylist(), batch["words"].to_pylist(), strict=True):
+                own = np.array(words, np.int64).view(_U64)
+                rows = _item_seeds(own)
+                whole = len(own) < WINDOW
+                held = [(a, own) if whole else _around(own, a, len(ALL_MASKS[m]), 0, len(own)) for m, _, a in rows]
+                columns = carried([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], held)
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(rows), pa.int64()), *columns], names=["item_id", *names])
+
+    shape = "mask int, seed long, word int, lead int, words array<long>"
+    right = staged(items.mapInArrow(item_seeds, f"item_id long, {shape}"), "item-seeds")
+    sieve = spark.sparkContext.broadcast(_sieve(right))
 
     def seeds(batches):
+        bits = sieve.value
         for batch in batches:
             for begin, _, raw, offsets in text_slices(batch["text"]):
                 hashes, first = word_hashes(raw, offsets)
                 for m in used:
                     value, place = seeds_of(hashes, first, ALL_MASKS[m])
+                    at = value >> _U64(64 - LARGE_SIEVE_BITS)
+                    passed = (bits[(at >> _U64(6)).astype(np.int64)] >> (at & _U64(63))) & _U64(1) != 0
+                    value, place = value[passed], place[passed]
                     doc = np.searchsorted(first, place, "right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [batch["key"].take(pa.array(begin + doc)), pa.array(np.full(len(value), m, np.int32)), pa.array(value.view(np.int64)), pa.array((place - first[doc]).astype(np.int32))],
-                        names=["key", "mask", "seed", "doc_word"],
-                    )
-
-    def item_seeds(batches):
-        for batch in batches:
-            rows = [(i, m, v, a) for i, words in zip(batch["item_id"].to_pylist(), batch["words"].to_pylist(), strict=True) for m, v, a in _item_seeds(np.array(words, np.int64).view(_U64))]
-            value = np.array([r[2] for r in rows], _U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(value), pa.array([r[3] for r in rows], pa.int32())], names=["item_id", "mask", "seed", "item_word"]
-            )
-
-    @F.arrow_udf("struct<n_equal: int, doc_word: int, item_word: int, n_compared: int>")
-    def compare(texts: pa.Array, words: pa.Array, shift: pa.Array) -> pa.Array:
+                    held = [_around(hashes, p, len(ALL_MASKS[m]), first[d], first[d + 1]) for p, d in zip(place.tolist(), doc.tolist(), strict=True)]
+                    columns = carried([m] * len(value), value, place - first[doc], held)
+                    yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(begin + doc)), *columns], names=["key", *names])
+            trim()
+
+    left = staged(texts.select(_text_key("text").alias("key"), "text").mapInArrow(seeds, f"key binary, {shape}").distinct(), "seeds")
+    # a seed of many documents meets copies of its items' rows; at most a row for SEED_ROWS seeds
+    many = staged(left.groupBy("mask", "seed").agg(F.ceil(F.count(F.lit(1)) / SEED_ROWS).cast("long").alias("pieces")).filter("pieces > 1"), "many-seeds")
+    one = F.coalesce("pieces", F.lit(1).cast("long"))
+    dealt = left.join(many, ["mask", "seed"], "left").withColumn("piece", F.pmod(F.xxhash64("key"), one)).drop("pieces")
+    copies = right.join(many, ["mask", "seed"], "left").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("pieces")
+
+    @F.arrow_udf("struct<n_equal: int, at: int, n_compared: int>")
+    def compare(doc: pa.Array, doc_lead: pa.Array, item: pa.Array, item_lead: pa.Array) -> pa.Array:
         out = []
-        for begin, to, raw, offsets in text_slices(texts):
-            hashes, first = word_hashes(raw, offsets)
-            for i in range(begin, to):
-                equal, at, width = overlap(hashes[first[i - begin] : first[i - begin + 1]], np.array(words[i].as_py(), np.int64).view(_U64), s := shift[i].as_py(), short)
-                out.append({"n_equal": equal, "doc_word": at + s, "item_word": at, "n_compared": width})
-        return pa.array(out, pa.struct([("n_equal", pa.int32()), ("doc_word", pa.int32()), ("item_word", pa.int32()), ("n_compared", pa.int32())]))
+        for d, dl, i, il in zip(doc, doc_lead.to_pylist(), item, item_lead.to_pylist(), strict=True):
+            equal, at, width = overlap(d.values.to_numpy(), i.values.to_numpy(), dl - il, short)
+            out.append({"n_equal": equal, "at": at, "n_compared": width})
+        return pa.array(out, pa.struct([("n_equal", pa.int32()), ("at", pa.int32()), ("n_compared", pa.int32())]))
 
-    left = docs.mapInArrow(seeds, "key binary, mask int, seed long, doc_word int")
-    right = items.mapInArrow(item_seeds, "item_id long, mask int, seed long, item_word int")
-    hits = left.join(right, ["mask", "seed"]).select("key", "item_id", (F.col("doc_word") - F.col("item_word")).alias("shift")).distinct()
-    rows = hits.join(docs, "key").join(items, "item_id").select("key", "item_id", compare("text", "words", "shift").alias("m")).filter("m.n_equal > 0")
-    order = Window.partitionBy("key", "item_id").orderBy(F.desc("m.n_equal"), "m.doc_word", "m.item_word")
-    best = rows.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
-    return best.select("key", "item_id", "m.n_equal", "m.doc_word", "m.item_word", "m.n_compared")
+    named = copies.select("mask", "seed", "piece", "item_id", F.col("word").alias("item_seed"), F.col("lead").alias("item_lead"), F.col("words").alias("item_words"))
+    met = dealt.join(named, ["mask", "seed", "piece"]).withColumn("m", compare("words", "lead", "item_words", "item_lead")).filter("m.n_equal > 0")
+    item_word = F.col("item_seed") - F.col("item_lead") + F.col("m.at")
+    found = F.struct((-F.col("m.n_equal")).alias("less"), (item_word + F.col("word") - F.col("item_seed")).alias("doc_word"), item_word.alias("item_word"), F.col("m.n_compared").alias("n_compared"))
+    best = met.select("key", "item_id", found.alias("f")).groupBy("key", "item_id").agg(F.min("f").alias("f"))
+    return best.select("key", "item_id", (-F.col("f.less")).alias("n_equal"), "f.doc_word", "f.item_word", "f.n_compared")
 
 
 def leaking(index: _Index) -> Column:
@@ -275,8 +322,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs.filter(~leaking(_small_index(items)))
     # by the text, not by doc_id: that may be null or stand for several texts
     text = F.lower("text")
-    gone = _matches_by_join(docs.filter("text is not null").select(text.alias("text")), items).select(F.col("key").alias("_leaking_key")).distinct()
-    return docs.join(gone, _text_key(text) == F.col("_leaking_key"), "left_anti")
+    gone = _matches_by_join(docs.filter("text is not null").select(text.alias("text")), items).select(F.hex("key").alias("key")).distinct()
+    counted = docs.filter("text is not null").select(F.hex(_text_key(text)).alias("key")).join(gone, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    flag = fresh(docs, "_leaks")
+    marked = keyed_join(docs, F.hex(_text_key(text)), staged(counted.withColumn(flag, F.lit(True)), "leaking"), [flag])
+    return marked.filter(F.col(flag).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

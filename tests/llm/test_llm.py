@@ -329,18 +329,18 @@ def test_masks_find_every_window():
         assert any(all(at + i not in pair for i, used in enumerate(mask) if used == "1") for mask in decontaminate.MASKS for at in range(decontaminate.WINDOW - len(mask) + 1)), pair
 
 
-def brute_leaks(docs, items):
+def brute_leaks(docs, items, short=True):
     out = set()
     for (d, text), (i, item) in itertools.product(docs, items):
         a, b = common.words_of((text or "").lower()), common.words_of((item or "").lower())
         width = min(13, len(b))
-        least = width if len(b) < 13 else 11
-        if len(b) >= 8 and any(sum(x == y for x, y in zip(a[p : p + width], b[q : q + width], strict=False)) >= least for q in range(len(b) - width + 1) for p in range(len(a) - width + 1)):
+        least = width if len(b) < (8 if short else 13) else -(-width * 4 // 5)
+        if len(b) >= (1 if short else 8) and any(sum(x == y for x, y in zip(a[p : p + width], b[q : q + width], strict=False)) >= least for q in range(len(b) - width + 1) for p in range(len(a) - width + 1)):
             out.add((d, i))
     return out
 
 
-def test_leaks_match_brute_force(spark, docs):
+def test_leaks_match_brute_force(spark, docs, monkeypatch):
     rng = np.random.default_rng(5)
     items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 400, n))) for i, n in enumerate((40, 25, 13, 9, 5))]
     rows = [(100 + i, f"before {t} after") for i, t in items]
@@ -349,11 +349,17 @@ def test_leaks_match_brute_force(spark, docs):
         for n, wrong in enumerate(rng.integers(0, len(words), (6, 3))):
             rows.append((1000 + 10 * i + n, "lead in " + " ".join("zzz" if j in wrong[: 1 + n % 3] else w for j, w in enumerate(words)) + " lead out"))
     frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    want = brute_leaks(rows, items)
-    for seeds in (10**6, 0):
-        got = decontaminate.leaks(frame, bench, seeds).collect()
-        assert {(r.doc_id, r.item_id) for r in got} == want
-    assert len(want) > 12
+    for short in (True, False):
+        want = brute_leaks(rows, items, short)
+        for seeds in (10**6, 0):
+            got = decontaminate.leaks(frame, bench, seeds, short=short).collect()
+            assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 12
+    want = Counter(map(tuple, decontaminate.leaks(frame, bench).collect()))
+    monkeypatch.setattr(decontaminate, "LARGE_SIEVE_BITS", 9)  # most seeds pass
+    monkeypatch.setattr(decontaminate, "SEED_ROWS", 2)  # and most are of many documents
+    copies = frame.crossJoin(spark.range(5)).select((F.col("doc_id") * 10 + F.col("id")).alias("doc_id"), F.concat("text", F.lit(" "), F.col("id").cast("string")).alias("text"))
+    got = Counter((r.doc_id // 10, *r[1:]) for r in decontaminate.leaks(copies, bench, 0).collect())
+    assert got == Counter({k: 5 * n for k, n in want.items()})
 
 
 def test_short_masks_find_every_window():
