@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -132,6 +133,25 @@ def weighted_mean(score: Column, weight: Column) -> Column:
     return F.sum(score * weight) / F.nullif(measured, F.lit(0.0))
 
 
+def erfc(x: np.ndarray) -> np.ndarray:
+    """The complementary error function of each entry, to 2e-15: near 0 by a series whose
+    terms are all positive, further out by its continued fraction."""
+    x = np.asarray(x, float)
+    far = np.abs(x) >= 2.5
+    near = np.where(far, 0.0, x)
+    term = total = near * 2 / math.sqrt(math.pi) * np.exp(-near * near)
+    for n in range(1, 70):
+        term = term * 2 * near * near / (2 * n + 1)
+        total = total + term
+    out = 1 - total
+    z = np.where(far, np.abs(x), 3.0)
+    fraction = z
+    for n in range(120, 0, -1):
+        fraction = z + n / 2 / fraction
+    tail = np.exp(-z * z) / (fraction * math.sqrt(math.pi))
+    return np.where(np.isnan(x), np.nan, np.where(far, np.where(x > 0, tail, 2 - tail), out))
+
+
 def lognormal_score(p10: float, median: float):
     """Arrow UDF of the log-normal cost curve: 0.9 at p10, 0.5 at the median."""
 
@@ -140,6 +160,7 @@ def lognormal_score(p10: float, median: float):
         if median <= 0 or p10 <= 0 or p10 >= median:
             return values.where(values.isna(), 0.0)
         scale = ERF_INVERSE_08 / math.log(median / p10)
-        return values.map(lambda v: None if v is None or math.isnan(v) else max(0.0, min(1.0, 0.5 * math.erfc(math.log(max(v, 1e-9) / median) * scale)))).astype("float64")
+        x = values.to_numpy(dtype=float, na_value=np.nan)
+        return pd.Series(np.clip(0.5 * erfc(np.log(np.maximum(x, 1e-9) / median) * scale), 0.0, 1.0))
 
     return curve

@@ -27,6 +27,14 @@ def window_verdict(metric: Column, low: Column, middle: Column, high: Column) ->
     )
 
 
+def run_ratios(pages: DataFrame) -> DataFrame:
+    """site, metric, value recomputed from the saved pages of runs (those that were read back, none collected),
+    as calibration() takes them: the shares that page records alone tell."""
+    from plumbline.operators.scores import page_metrics
+
+    return page_metrics(pages).select("site", "metric", "value")
+
+
 def calibration(values: DataFrame) -> DataFrame:
     """values: site, metric, value -> min, median, max over sites and the verdict."""
     own = values.filter(F.col("value").isNotNull() & F.col("metric").isin(*S.WINDOWS))

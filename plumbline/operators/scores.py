@@ -15,6 +15,7 @@ from plumbline.functions import scoring as S
 from plumbline.functions import urls
 from plumbline.operators import media
 from plumbline.operators.rules import DESC_MAX, DESC_MIN, THIN_WORDS, TITLE_MAX, TITLE_MIN
+from plumbline.session import small
 
 # Fixed values: (worst tier, vendors at least, score).
 REPUTATION_BANDS = (("browser", 1, 0), ("gateway", 2, 35), ("gateway", 1, 60), ("mail", 2, 35), ("mail", 1, 60), ("endpoint", 2, 70), ("endpoint", 1, 85), ("feed", 1, 92), ("unknown", 1, 92))
@@ -39,6 +40,15 @@ def unpivot(df: DataFrame, metrics: list[str]) -> DataFrame:
     return df.unpivot("site", metrics, "metric", "value")
 
 
+#: The findings that carry what a metric counts.
+CITED = {
+    "noindex_expected": "IDX-01", "indexable": "IDX-01", "sitemap": "IDX-02 IDX-06", "sitemap_coverage": "ORP-05", "robots": "IDX-02", "canonical": "IDX-04", "canonical_self": "IDX-05", "soft_404": "IDX-03",
+    "title_present": "MET-01", "title_unique": "MET-04", "title_length": "MET-02 MET-03", "desc_present": "MET-05", "desc_unique": "MET-08", "desc_length": "MET-06 MET-07", "h1": "MET-09 MET-10 MET-11 MET-12", "social": "SOC-01 SOC-02",
+    "no_placeholder": "CNT-01", "encoding": "CNT-04", "word_depth": "CNT-09", "spelling": "CNT-02", "img_alt": "MED-01", "hygiene": "CNT-03 CNT-05 CNT-06", "linked": "ORP-01 ORP-06", "links_in_html": "ORP-07", "reachable": "ORP-02", "click_depth": "ORP-04",
+    "inbound_depth": "ORP-03", "http_200": "ERR-01 ERR-03", "links_resolve": "ERR-02", "links_direct": "ERR-12 ERR-10", "js_errors": "ERR-04", "no_overflow": "ERR-08", "images_load": "MED-04", "mixed_content": "SEC-04", "schema_coverage": "SOC-03", "schema_valid": "SDV-01 SDV-02 SDV-03 SDV-04", "schema_complete": "SDV-04 SDV-05 SDV-06", "exposed": "SEC-01", "enumeration": "SEC-02",
+}
+
+
 def page_metrics(records: DataFrame) -> DataFrame:
     """Ratios that pages alone tell: site, metric, value (0 to 1, null if not measured)."""
     pages = records.filter("is_page")
@@ -182,6 +192,30 @@ def seo_category(groups: DataFrame) -> DataFrame:
     return out.withColumn("total", F.bround("score", 0))
 
 
+def effective_weights(groups: DataFrame) -> DataFrame:
+    """groups with weight and effective: each group's share of its category, in hundredths, over the groups that
+    were scored; 0 for one that was not, so a run without a browser is graded out of a hundred all the same."""
+    weight = F.create_map(*[F.lit(x) for p in S.GROUP_WEIGHTS.items() for x in p])[F.col("group")]
+    own = groups.withColumn("weight", weight).filter("weight is not null")
+    live = own.groupBy("site").agg(F.sum(F.when(F.col("score").isNotNull(), F.col("weight"))).alias("live"))
+    return own.join(live, "site").withColumn("effective", F.when(F.col("score").isNotNull(), 100 * F.col("weight") / F.col("live")).otherwise(0.0)).drop("live")
+
+
+def performance_category(vitals: DataFrame) -> DataFrame:
+    """site, score, total, coverage from site_vitals(): the median page, not the mean of the metrics' medians, and
+    the share of the declared weight that was measured.  A site none of whose pages was rendered has no row."""
+    return vitals.filter("score is not null").select("site", (100 * F.col("score")).alias("score"), F.bround(100 * F.col("score"), 0).alias("total"), "coverage")
+
+
+def explained(metrics: DataFrame, fired: DataFrame) -> DataFrame:
+    """metrics (site, metric, ...) with findings: which of the findings that a metric cites fired on its site.  A
+    rule that did not fire has nothing to show and is not cited.  fired: site, finding."""
+    cited = small(metrics.sparkSession, [(m, f) for m, fs in CITED.items() for f in fs.split()], "metric string, finding string")
+    hit = metrics.select("site", "metric").distinct().join(cited, "metric").join(fired.select("site", "finding").distinct(), ["site", "finding"], "left_semi")
+    found = hit.groupBy("site", "metric").agg(F.array_sort(F.collect_set("finding")).alias("findings"))  # at most those that are cited
+    return metrics.join(found, ["site", "metric"], "left").withColumn("findings", F.coalesce("findings", F.array().cast("array<string>")))
+
+
 def gates(records: DataFrame, robots: DataFrame | None = None, reputation: DataFrame | None = None, staging: bool = False) -> DataFrame:
     """site, gate, cap: faults that no mean expresses."""
     pages = records.filter("is_page").groupBy("site").agg(F.bool_and(F.col("url").startswith("https://")).alias("https"), F.count_if("noindex").alias("noindex"), F.count(F.lit(1)).alias("n"))
@@ -199,7 +233,8 @@ def gates(records: DataFrame, robots: DataFrame | None = None, reputation: DataF
 
 
 def overall(seo: DataFrame, performance: DataFrame | None, gated: DataFrame) -> DataFrame:
-    """site, raw, overall, band, coverage: unrounded categories by weight, then the lowest gate's cap."""
+    """site, raw, overall, band, coverage: unrounded categories by weight, then the lowest gate's cap.  A category
+    without a score does not count in the mean, but all its weight is missing from the coverage."""
     parts = seo.select("site", F.lit("seo").alias("category"), "score", "coverage")
     if performance is not None:
         parts = parts.unionByName(performance.select("site", F.lit("performance").alias("category"), "score", "coverage"))

@@ -18,6 +18,16 @@ def saved_runs(spark: SparkSession, path: str) -> DataFrame:
     return raw.filter("_broken is null").drop("_broken") if "_broken" in raw.columns else raw
 
 
+def run_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The pages of all saved runs, as write_documents() left them."""
+    return spark.read.parquet(f"{path}/parquet").drop("_slug")
+
+
+def run_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of all saved runs."""
+    return spark.read.json(f"{path}/json").drop("_slug")
+
+
 def text_feed(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a feed without comments and blank lines."""
     return spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> '' and line not like '#%'")
