@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scoring as S
+from plumbline.operators.few import smallest
 
 
 def history(runs: DataFrame) -> DataFrame:
@@ -44,4 +45,6 @@ def calibration(values: DataFrame) -> DataFrame:
 
 def word_report(words: DataFrame) -> DataFrame:
     """words: site, url, word, n -> count, pages and five example pages of each word, most frequent first."""
-    return words.groupBy("site", "word").agg(F.sum("n").alias("n"), F.count_distinct("url").alias("pages"), F.slice(F.array_sort(F.collect_set("url")), 1, 5).alias("examples")).orderBy(F.desc("n"), "word")
+    counted = words.groupBy("site", "word").agg(F.sum("n").alias("n"), F.count_distinct("url").alias("pages"))
+    examples = smallest(words.withColumnRenamed("url", "examples"), ["site", "word"], "examples", 5)
+    return counted.join(examples, ["site", "word"], "left").orderBy(F.desc("n"), "word")

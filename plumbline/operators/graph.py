@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import urls
+from plumbline.operators.few import smallest
 from plumbline.session import cut
 
 MAX_DEPTH = 3
@@ -30,15 +31,13 @@ def canonical_edges(edges: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def inbound_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per node: distinct HTML sources, distinct rendered sources, their sum (a source in both counts
-    twice), outbound targets, five sources, five anchors."""
+    twice), outbound targets.  What the links say is anchor_examples()."""
     edges = edges if "rendered" in edges.columns else edges.withColumn("rendered", F.lit(False))
-    edges = edges if "anchor" in edges.columns else edges.withColumn("anchor", F.lit(None).cast("string"))
     # a pair is counted once a kind; distinct first, so that a hub's sources are summed map-side
-    pairs = edges.filter("src <> dst").groupBy("site", "src", "dst", "rendered").agg(F.min("anchor").alias("anchor"))
+    pairs = edges.filter("src <> dst").select("site", "src", "dst", "rendered").distinct()
     into = pairs.groupBy("site", F.col("dst").alias("url")).agg(
         F.count_if(~F.col("rendered")).alias("inbound_html"),
         F.count_if(F.col("rendered")).alias("inbound_rendered"),
-        F.slice(F.array_sort(F.collect_set(F.when(F.col("anchor") != "", F.col("anchor")))), 1, 5).alias("anchors"),
     )
     out = pairs.select("site", F.col("src").alias("url"), "dst").distinct().groupBy("site", "url").agg(F.count(F.lit(1)).alias("outbound"))
     joined = nodes.join(into, ["site", "url"], "left").join(out, ["site", "url"], "left")
@@ -46,6 +45,12 @@ def inbound_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return filled.withColumn("inbound", F.col("inbound_html") + F.col("inbound_rendered"))
 
 
+def anchor_examples(edges: DataFrame, most: int = 5) -> DataFrame:
+    """site, url, anchors: some of the texts by which other pages link to a page."""
+    named = edges.filter("src <> dst and anchor <> ''").select("site", F.col("dst").alias("url"), F.col("anchor").alias("anchors"))
+    return smallest(named, ["site", "url"], "anchors", most)
+
+
 #: Rounds of a search after which the tables of visited pages are written as one.
 COMPACT_ROUNDS = 16
 

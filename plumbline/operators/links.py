@@ -9,13 +9,16 @@ from plumbline.functions import urls
 
 
 def link_sources(links: DataFrame) -> DataFrame:
-    """target -> the pages that link to it, and the href of the first of them."""
-    return links.groupBy("site", "target").agg(F.array_sort(F.collect_set("src")).alias("sources"), F.min_by("href", F.struct("src", "pos")).alias("href"))
+    """target -> on how many pages a link to it stands, and the href of the first of them.  The pages themselves
+    are the rows of fan_out()."""
+    return links.groupBy("site", "target").agg(F.count_distinct("src").alias("sources"), F.min_by("href", F.struct("src", "pos")).alias("href"))
 
 
 def fan_out(status: DataFrame, links: DataFrame) -> DataFrame:
     """Each link's status on each page that carries it; on the link itself where none is known."""
-    pairs = links.select("site", F.col("target").alias("url"), "src").distinct()
+    # of all links, only those to the targets in question are told apart
+    wanted = links.select("site", F.col("target").alias("url"), "src").join(status.select("site", "url").distinct(), ["site", "url"], "left_semi")
+    pairs = wanted.distinct()
     return status.join(pairs, ["site", "url"], "left").withColumn("page", F.coalesce("src", "url")).drop("src")
 
 

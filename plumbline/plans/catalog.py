@@ -231,7 +231,7 @@ def inbound_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BFS = """WITH RECURSIVE {edges}, home AS (SELECT min(src) AS url FROM edges), inside AS (SELECT DISTINCT src, dst FROM edges WHERE dst IN (SELECT url FROM nodes)),
-walk AS (SELECT url, 0 AS depth FROM home UNION SELECT dst, depth + 1 FROM walk JOIN inside ON src = url WHERE depth < 200), depths AS (SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY ALL)"""
+walk(url, depth) USING KEY (url) AS (SELECT url, 0 FROM home UNION SELECT dst, min(depth) + 1 FROM walk JOIN inside ON src = url WHERE dst NOT IN (SELECT url FROM recurring.walk) GROUP BY dst), depths AS (SELECT url, CAST(depth AS BIGINT) AS depth FROM walk)"""
 
 
 @query(_BFS + " SELECT url, depth FROM depths")

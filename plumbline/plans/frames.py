@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import urls
+from plumbline.operators.few import smallest
 from plumbline.operators.records import page_records
 from plumbline.session import ship, spread
 from plumbline.sources.tables import parquet
@@ -94,7 +95,7 @@ def vitals(spark: SparkSession, d: str) -> DataFrame:
 
 def images(spark: SparkSession, d: str) -> DataFrame:
     """Images of parts: weight, natural and displayed width, the pages that carry them."""
-    pages = parquet(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.slice(F.array_sort(F.collect_set(F.concat(F.lit("/p/"), (F.col("l_suppkey")).cast("string")))), 1, 60).alias("pages"))
+    pages = smallest(parquet(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.concat(F.lit("/p/"), F.col("l_suppkey").cast("string")).alias("pages")), ["k"], "pages", 60)
     part = parquet(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_size", "p_retailprice", "p_brand")
     kind = F.element_at(F.array(*map(F.lit, ("JPEG", "WebP", "SVG", "PNG"))), (F.col("k") % 4 + 1).cast("int"))
     return part.join(pages, "k").select(F.lower("p_brand").alias("site"), F.concat(F.lit("/i/"), F.col("k").cast("string")).alias("image"), kind.alias("kind"), (F.col("p_retailprice") * 200).cast("long").alias("bytes"), (F.col("p_size") * 40).alias("natural_width"), F.lit(400).alias("displayed_width"), "pages")
