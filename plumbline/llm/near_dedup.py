@@ -14,10 +14,12 @@ one with all weights equal, and stands in the buckets of both; others have one,
 Documents of equal words are one class from the start, and only one of them goes on.  Bands of equal
 components make buckets.  Every member of a bucket is first verified against the bucket's smallest
 document, so a group of copies costs its size and not its square; connected components of these links
-are the first classes.  Pairs of a bucket that still lie in different classes are then compared by all
-components of their signatures (four bits each, within the join), and those whose estimate of either
-similarity is not far below the threshold are verified one by one, each pair once.  At a similarity of 0.8 the
-estimate turns a pair away with a chance of 2e-5.  Large buckets, and documents of many pairs, are split.
+are the first classes.  In some more rounds, the members of a bucket that lie in another class than one
+document of it, another one each round, are verified against that one.  Pairs that still lie in different
+classes are then compared by all components of their signatures (four bits each, within the join), and those
+whose estimate of either similarity is not far below the threshold are verified one by one, each pair once.
+At a similarity of 0.8 the estimate turns a pair away with a chance of 5e-5.  Large buckets, and documents of
+many pairs, are split.
 
 Defined results: a text of one to four words is one shingle; texts without words are classes of equal
 texts; null and empty texts are each a class of their own; rows that share a doc_id share a class;
@@ -42,14 +44,18 @@ THRESHOLD = 0.8
 BANDS = 28
 BAND_ROWS = 5
 #: Components of a signature; the bands use the first of them, the estimate all.
-COMPONENTS = 288
+COMPONENTS = 384
 #: Pairs with a lower estimate are not verified.
-LEAST_ESTIMATE = 0.7
+LEAST_ESTIMATE = 0.72
+#: One bit of each component is compared first; below this estimate the other bits are not looked at.
+FIRST_ESTIMATE = 0.66
+#: Rounds in which the members of a bucket are verified against one document of it.
+STAR_ROUNDS = 4
 #: Pairs of one document that are verified together; a document with more has its text in several tasks.
 LEAD_PAIRS = 10_000
 #: Documents of a bucket that one task compares with all others of it.
 BUCKET_DOCS = 1_000
-_PER_LONG = 16
+_PER_LONG, _HEADS = 16, COMPONENTS // 64
 
 _U64 = np.uint64
 _STEP = _U64(0xD1B54A32D192ED03)
@@ -102,19 +108,30 @@ def bands_of(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def prints_of(signatures: np.ndarray) -> np.ndarray:
-    """Four bits of each component, sixteen components to a long."""
-    bits = (mix(signatures) >> _U64(60)).reshape(len(signatures), signatures.shape[1] // _PER_LONG, _PER_LONG)
-    return np.bitwise_or.reduce(bits << (_U64(4) * np.arange(_PER_LONG, dtype=_U64)), axis=2)
-
-
-def differing(left: str, right: str, longs: int) -> Column:
-    """How many components two arrays of prints tell apart."""
-    total = F.lit(0)
-    for i in range(longs):
-        x = F.col(left)[i].bitwiseXOR(F.col(right)[i])
+    """One bit of each component, 64 of them to a long, then four bits of each, 16 of them to a long."""
+    mixed = mix(signatures)
+    one = ((mixed >> _U64(32)) & _U64(1)).reshape(len(signatures), _HEADS, 64)
+    four = (mixed >> _U64(60)).reshape(len(signatures), signatures.shape[1] // _PER_LONG, _PER_LONG)
+    heads = np.bitwise_or.reduce(one << np.arange(64, dtype=_U64), axis=2)
+    return np.concatenate([heads, np.bitwise_or.reduce(four << (_U64(4) * np.arange(_PER_LONG, dtype=_U64)), axis=2)], axis=1)
+
+
+def alike(left: str, right: str, least: float, first_least: float) -> Column:
+    """Is the estimate by two arrays of prints at least so much?  The single bits go first, as most pairs need no
+    others; a component that differs shows it in every second of these, and in 15 of 16 cases in four bits."""
+    heads = F.lit(0)
+    for i in range(_HEADS):
+        heads += F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i]))
+
+    def differing(a: Column, b: Column) -> Column:
+        x = a.bitwiseXOR(b)
         y = x.bitwiseOR(F.shiftright(x, 1))
-        total += F.bit_count(y.bitwiseOR(F.shiftright(y, 2)).bitwiseAND(F.lit(0x1111111111111111)))
-    return total
+        return F.bit_count(y.bitwiseOR(F.shiftright(y, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    rest = [F.slice(c, _HEADS + 1, COMPONENTS // _PER_LONG) for c in (left, right)]
+    # a loop over the array: one long expression of all its entries would be too long for Java to compile well
+    fours = F.aggregate(F.zip_with(*rest, differing), F.lit(0), lambda done, n: done + n)
+    return (heads <= int(COMPONENTS * (1 - first_least) / 2)) & (fours <= int(COMPONENTS * (1 - least) * 15 / 16))
 
 
 def sketches(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
@@ -244,26 +261,39 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     links = staged(verified(stars, texts, threshold, k), "star-links")
     classes = components(links, "classes")
 
+    tried = stars
+    for turn in range(1, STAR_ROUNDS):
+        placed = members.join(classes.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("class", "doc_id").alias("class"))
+        one = F.min_by(F.struct("doc_id", "class"), F.xxhash64("doc_id", F.lit(turn)))
+        leads = placed.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most"), one.alias("one")).filter("least <> most").select("bucket", "one")
+        met = placed.join(leads, "bucket").filter(F.col("class") != F.col("one.class")).select(F.least("doc_id", "one.doc_id").alias("a"), F.greatest("doc_id", "one.doc_id").alias("b")).distinct()
+        pairs = staged(met.join(tried, ["a", "b"], "left_anti"), "stars")
+        found = staged(verified(pairs, texts, threshold, k), "star-links")
+        tried = tried.union(pairs)
+        if not found.isEmpty():
+            links = links.union(found)
+            classes = components(links, "classes")
+
     placed = members.join(classes.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("class", "doc_id").alias("class"))
     split = placed.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most").select("bucket")
-    signed = keyed.select("doc_id", "buckets", "prints", F.coalesce("set_prints", "prints").alias("set_prints"))
+    # a document of two signatures has a row for each; one of weights and one of sets are not compared
+    kinds = F.when(F.col("set_prints").isNull(), F.array(F.struct(F.lit(0).alias("kind"), F.col("prints")))).otherwise(F.array(F.struct(F.lit(1).alias("kind"), F.col("prints")), F.struct(F.lit(2).alias("kind"), F.col("set_prints").alias("prints"))))
+    signed = keyed.select("doc_id", "buckets", F.explode(kinds).alias("s")).select("doc_id", "buckets", "s.kind", "s.prints")
     placed = staged(placed.join(split, "bucket", "left_semi").distinct().join(signed, "doc_id"), "placed")
     # of a large bucket, each of several tasks compares a part of the documents with all
     large = staged(placed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET_DOCS).cast("long").alias("pieces")).filter("pieces > 1"), "large")
     parts = F.coalesce("pieces", F.lit(1).cast("long"))
     placed = placed.join(large, "bucket", "left").withColumn("pieces", parts)
-    left, right = (placed.select("bucket", "pieces", *[F.col(c).alias(f"{c}_{n}") for c in ("class", "buckets", "prints", "set_prints")], F.col("doc_id").alias(n)) for n in "ab")
+    left, right = (placed.select("bucket", "pieces", *[F.col(c).alias(f"{c}_{n}") for c in ("class", "buckets", "kind", "prints")], F.col("doc_id").alias(n)) for n in "ab")
     left = left.withColumn("piece", F.pmod(F.xxhash64("a"), F.col("pieces"))).drop("pieces")
     right = right.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).drop("pieces")
-    # 15 of 16 components that differ show it in their bits; of a pair's buckets the least one decides
-    most = int(COMPONENTS * (1 - LEAST_ESTIMATE * threshold / THRESHOLD) * 15 / 16)
-    alike = F.lit(False)
-    for prints in ("prints", "set_prints"):
-        alike |= differing(f"{prints}_a", f"{prints}_b", COMPONENTS // _PER_LONG) <= most
-    near = (F.col("class_a") != F.col("class_b")) & (F.col("a") < F.col("b")) & alike
+    # of a pair's buckets the least one decides
+    least, first_least = (e * threshold / THRESHOLD for e in (LEAST_ESTIMATE, FIRST_ESTIMATE))
+    close = (F.col("kind_a") + F.col("kind_b") != 3) & alike("prints_a", "prints_b", least, first_least)
+    near = (F.col("class_a") != F.col("class_b")) & (F.col("a") < F.col("b")) & close
     first = left["bucket"] == F.array_min(F.array_intersect("buckets_a", "buckets_b"))
     rest = left.join(right, (left["bucket"] == right["bucket"]) & (left["piece"] == right["piece"]) & near & first).select("a", "b").distinct()
-    rest = staged(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    rest = staged(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     more = staged(verified(rest, texts, threshold, k), "rest-links")
     if not more.isEmpty():
         classes = components(links.union(more), "classes")
