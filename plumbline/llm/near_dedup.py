@@ -56,6 +56,8 @@ LEAD_PAIRS = 10_000
 #: Documents of a bucket that one task compares with all others of it.
 BUCKET_DOCS = 1_000
 _PER_LONG, _HEADS = 16, COMPONENTS // 64
+#: Texts whose prints are made at once, and bytes of texts whose signatures are.
+_TOGETHER, _SKETCH_BYTES = 500, 1 << 18
 
 _U64 = np.uint64
 _STEP = _U64(0xD1B54A32D192ED03)
@@ -108,7 +110,13 @@ def bands_of(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def prints_of(signatures: np.ndarray) -> np.ndarray:
-    """One bit of each component, 64 of them to a long, then four bits of each, 16 of them to a long."""
+    """One bit of each component, 64 of them to a long, then four bits of each, 16 of them to a long.  Made for
+    some texts at a time, as the arrays on the way are several times the signatures' size."""
+    parts = [_prints(signatures[at : at + _TOGETHER]) for at in range(0, len(signatures), _TOGETHER)]
+    return np.concatenate(parts) if parts else np.zeros((0, _HEADS + COMPONENTS // _PER_LONG), _U64)
+
+
+def _prints(signatures: np.ndarray) -> np.ndarray:
     mixed = mix(signatures)
     one = ((mixed >> _U64(32)) & _U64(1)).reshape(len(signatures), _HEADS, 64)
     four = (mixed >> _U64(60)).reshape(len(signatures), signatures.shape[1] // _PER_LONG, _PER_LONG)
@@ -140,7 +148,7 @@ def sketches(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
 
     def make(batches):
         for batch in batches:
-            for at, to, raw, offsets in text_slices(batch["text"]):
+            for at, to, raw, offsets in text_slices(batch["text"], _SKETCH_BYTES):
                 hashes, first = word_hashes(raw, offsets)
                 element, doc, weight = weighted_shingles(hashes, first, k)
                 n_words = np.diff(first)
