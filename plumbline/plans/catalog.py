@@ -562,6 +562,7 @@ def author_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 from plumbline.plans import answers as _answers  # noqa: E402,F401  registers its queries and those of findings
+from plumbline.plans import heads as _heads  # noqa: E402,F401  registers its queries
 from plumbline.plans import sizing as _sizing  # noqa: E402,F401  registers its queries
 from plumbline.plans import markups as _markups  # noqa: E402,F401  registers its queries
 from plumbline.plans import discovery as _discovery  # noqa: E402,F401  registers its queries
