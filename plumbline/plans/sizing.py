@@ -131,20 +131,20 @@ perf AS (SELECT site, 100 * median((10 * fcp + coalesce(25 * lcp, 0) + 30 * tbt
 
 
 @query("WITH " + _CATEGORIES + """, totals AS (SELECT s.site, s.score AS seo, p.score AS performance, (60 * s.score + coalesce(40 * p.score, 0)) / (60 + CASE WHEN p.score IS NULL THEN 0 ELSE 40 END) AS raw, (60 * s.coverage + coalesce(40 * p.coverage, 0)) / 100 AS coverage, CASE WHEN CAST(substr(s.site, 2) AS INT) % 9 = 0 THEN 40 END AS cap FROM seo s LEFT JOIN perf p USING (site))
-SELECT site, round(seo, 4) AS seo, round(performance, 4) AS performance, round(raw, 4) AS raw, round_even(least(raw, coalesce(cap, 100)), 0) AS overall, cap, round(coverage, 6) AS coverage, CASE WHEN coverage >= 0.9 THEN 'high' WHEN coverage >= 0.7 THEN 'medium' ELSE 'low' END AS confidence FROM totals""")
+SELECT site, round(seo, 2) AS seo, round(performance, 2) AS performance, round(raw, 2) AS raw, round_even(least(raw, coalesce(cap, 100)), 0) AS overall, cap, round(coverage, 6) AS coverage, CASE WHEN coverage >= 0.9 THEN 'high' WHEN coverage >= 0.7 THEN 'medium' ELSE 'low' END AS confidence FROM totals""")
 def overall_scores(spark: SparkSession, d: str) -> DataFrame:
     """Both categories, the overall score under the lowest cap, how much of the model was measured."""
     groups, performance, capped = _both(spark, d)
     seo = scores.seo_category(groups)
-    out = scores.overall(seo, performance, capped).join(seo.select("site", F.round("score", 4).alias("seo")), "site").join(performance.select("site", F.round("score", 4).alias("performance")), "site", "left")
-    return out.select("site", "seo", "performance", F.round("raw", 4).alias("raw"), "overall", "cap", F.round("coverage", 6).alias("coverage"), scores.confidence(F.col("coverage"), F.lit(1.0)).alias("confidence"))
+    out = scores.overall(seo, performance, capped).join(seo.select("site", F.round("score", 2).alias("seo")), "site").join(performance.select("site", F.round("score", 2).alias("performance")), "site", "left")
+    return out.select("site", "seo", "performance", F.round("raw", 2).alias("raw"), "overall", "cap", F.round("coverage", 6).alias("coverage"), scores.confidence(F.col("coverage"), F.lit(1.0)).alias("confidence"))
 
 
-@query("WITH " + _CATEGORIES + """ SELECT site, grp AS "group", round(score, 4) AS score, round(CASE WHEN score IS NULL THEN 0 ELSE 100 * weight / sum(CASE WHEN score IS NOT NULL THEN weight END) OVER (PARTITION BY site) END, 6) AS effective FROM groups""")
+@query("WITH " + _CATEGORIES + """ SELECT site, grp AS "group", round(score, 2) AS score, round(CASE WHEN score IS NULL THEN 0 ELSE 100 * weight / sum(CASE WHEN score IS NOT NULL THEN weight END) OVER (PARTITION BY site) END, 6) AS effective FROM groups""")
 def effective_weights(spark: SparkSession, d: str) -> DataFrame:
     """What each group counts for once the groups that were not scored are left out."""
     out = scores.effective_weights(scores.group_scores(site_metrics(spark, d)))
-    return out.select("site", "group", F.round("score", 4).alias("score"), F.round("effective", 6).alias("effective"))
+    return out.select("site", "group", F.round("score", 2).alias("score"), F.round("effective", 6).alias("effective"))
 
 
 _FIRED = ("IDX-01", "IDX-06", "ORP-05", "MET-03", "MET-09", "MET-12", "CNT-05", "ERR-03", "SDV-04", "SEC-01", "REP-01")
