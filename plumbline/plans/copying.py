@@ -18,13 +18,13 @@ from plumbline.sources.tables import parquet
 
 #: doc_id is divisible by the number -> a paragraph in runs, joined without blanks.
 PLANTED = {
-    4: ["The fee is due , and the plates arrive later"],
-    5: ["These registrations expire.", "Submitting a renewal is required.If not, see Authorize.Net today"],
-    6: ["Who needs to&nbsp;Register under the program"],
-    7: ["Apportioned plates cost more more than a permit"],
+    4: ["The tax is set , and the wheels arrive later"],
+    5: ["Those subscriptions lapse.", "Returning a contract is required.If not, see Contoso.Net today"],
+    6: ["Who wants to&nbsp;Register with the office"],
+    7: ["Distributed wheels cost more more than a permit"],
     9: ["TO", "DO nothing here"],
     11: ["TODO write this paragraph"],
-    12: ["Plates are sent (within a week"],
+    12: ["Wheels are sent (within a week"],
     13: ["EVERYTHING ABOUT OUR DELIVERY SERVICE"],
     16: ["Dispatched", ". New carriers follow"],
 }
@@ -53,7 +53,7 @@ def copy_pages(spark: SparkSession, d: str) -> DataFrame:
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), paragraph)
     planted = F.concat(*[F.when(k % n == 0, element([F.lit(r) for r in runs])).otherwise("") for n, runs in PLANTED.items()], F.when(k % 3 != 0, f"<p>Call {_PHONE} today</p>").otherwise(""))
     title = F.when(k % _TITLE == 0, "We recieve parcels").otherwise("Parcels")
-    description = F.when(k % _DESCRIPTION == 0, "Plates  sent today").otherwise("Plates sent today")
+    description = F.when(k % _DESCRIPTION == 0, "Wheels  sent today").otherwise("Wheels sent today")
     damaged = F.when(k % _DAMAGED == 0, f"<!-- {MOJIBAKE[0]} -->").otherwise("")
     html = F.concat(F.lit("<html><head><title>"), title, F.lit('</title><meta name="description" content="'), description, F.lit('"></head><body>'), damaged, F.lit("<main>"), F.array_join(lines, ""), planted, F.lit("</main></body></html>"))
     return spread(parquet(spark, d, "documents")).select(k.alias("page_id"), F.concat(F.lit("https://"), "source", F.lit("/"), k.cast("string")).alias("url"), html.alias("html"))
@@ -78,7 +78,7 @@ halves AS (SELECT k, source, block, 0 AS run, CASE WHEN contains(line, '. ') THE
 runs AS (SELECT k, source, block, run, regexp_replace(raw, '\s+', ' ', 'g') AS run_text FROM halves),
 blocks AS (SELECT k, source, trim(regexp_replace(string_agg(run_text, '' ORDER BY run), '\s+', ' ', 'g')) AS text, trim(regexp_replace(string_agg(run_text, ' ' ORDER BY run), '\s+', ' ', 'g')) AS spaced FROM runs GROUP BY k, source, block
  UNION ALL SELECT k, source, trim(run_text), trim(run_text) FROM runs SEMI JOIN (SELECT k, block FROM runs WHERE run = 1) USING (k, block)
- UNION ALL SELECT k, source, t, t FROM (SELECT k, source, CASE WHEN k % {_TITLE} = 0 THEN 'We recieve parcels' ELSE 'Parcels' END AS t FROM src) UNION ALL SELECT k, source, t, t FROM (SELECT k, source, CASE WHEN k % {_DESCRIPTION} = 0 THEN 'Plates  sent today' ELSE 'Plates sent today' END AS t FROM src)),
+ UNION ALL SELECT k, source, t, t FROM (SELECT k, source, CASE WHEN k % {_TITLE} = 0 THEN 'We recieve parcels' ELSE 'Parcels' END AS t FROM src) UNION ALL SELECT k, source, t, t FROM (SELECT k, source, CASE WHEN k % {_DESCRIPTION} = 0 THEN 'Wheels  sent today' ELSE 'Wheels sent today' END AS t FROM src)),
 long AS (SELECT * FROM blocks WHERE length(text) >= 3),
 judged AS (SELECT r.* FROM runs r JOIN (SELECT k, block FROM runs GROUP BY k, block HAVING length(trim(regexp_replace(string_agg(run_text, '' ORDER BY run), '\s+', ' ', 'g'))) >= 3) USING (k, block)),
 slips AS (SELECT k, source, unnest(regexp_extract_all(regexp_replace(run_text, '{ENTITY}', '', 'g'), '[a-z]{{2}}[.,;!?][A-Z][a-zA-Z]*')) AS slip FROM judged),

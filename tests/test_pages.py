@@ -23,19 +23,19 @@ def details(spark, html, prefix, kind="punctuation"):
     return [r.detail.split("“", 1)[1].rstrip("”") for r in found if r.detail.startswith(prefix)]
 
 
-CARD = "<a href='/blog/x'><span><span>The credential</span><strong>What a card is</strong><span>The plate is what everyone photographs.</span></span><span>August 7, 2026<!-- --> · <!-- -->5<!-- --> min</span></a>"
+CARD = "<a href='/blog/x'><span><span>The cover page</span><strong>How to read it</strong><span>The label is what anybody remembers.</span></span><span>March 3, 2031<!-- --> · <!-- -->5<!-- --> min</span></a>"
 CLEAN = [
     "<p>a list <a href='#'>before it is sent</a>. New carriers follow</p>",
-    "<p><strong>Plates</strong>, formally known as plates</p>",
+    "<p><strong>Wheels</strong>, formally known as wheels</p>",
     "<p>Sun<span>day</span>. Monday follows it</p>",
-    "<p>Somebody rings back within<!-- --> <!-- -->one hour<!-- -->.</p>",
-    "<li>Burbank<!-- -->, <!-- -->CA<!-- --> <!-- -->91506</li>",
+    "<p>Everyone is called within<!-- --> <!-- -->one hour<!-- -->.</p>",
+    "<li>Hamburg<!-- -->, <!-- -->DE<!-- --> <!-- -->20095</li>",
     CARD,
-    "<p>our processor, Authorize.Net. Our servers get a token</p>",
-    "<p>published at transport.Com for every route, inspection.PDF and image.PNG</p>",
-    "<p><span>plates.</span><span>Renewal is annual</span></p>",
-    "<p>Who Needs to&amp;nbsp;Register Under the Program</p>",
-    "<p><span>..clears it.</span><span>August 7</span></p>",
+    "<p>our processor, Contoso.Net. Our servers get a token</p>",
+    "<p>published at haulage.Com for every route, inspection.PDF and image.PNG</p>",
+    "<p><span>wheels.</span><span>Contract is yearly</span></p>",
+    "<p>Who Wants to&amp;nbsp;Register With the Office</p>",
+    "<p><span>..clears it.</span><span>March 3</span></p>",
 ]
 
 
@@ -47,13 +47,13 @@ def test_boundaries_hosts_and_entities_are_no_slips(spark):
 @pytest.mark.parametrize(
     "html, rule, quoted",
     [
-        ("<p>The fee is due , and the plates arrive later that week</p>", "Space before", ["The fee is due , and the plates arrive later that w…"]),
-        ("<p>The <b>fee</b> is due , and the plates</p>", "Space before", ["is due , and the plates"]),
-        ("<p><a href='#'>The fee is due , always</a> for all</p>", "Space before", ["The fee is due , always"]),
-        ("<p>Each state apportioned fee equals 25% of its full fee . And so on</p>", "Space before", ["…ned fee equals 25% of its full fee . And so on"]),
-        ("<p>These registrations expire.Submitting a renewal</p>", "Missing space", ["re.Submitting"]),
-        ("<p>subject to availability and pricing.If the vehicle</p><p>your vehicle.Standard cars and email.Contact us.AMPM</p>", "Missing space", ["il.Contact", "le.Standard", "ng.If", "us.AMPM"]),
-        ("<p><span>plates.Renewal is annual</span></p>", "Missing space", ["es.Renewal"]),
+        ("<p>The tax is set , and the wheels arrive later that week</p>", "Space before", ["The tax is set , and the wheels arrive later that w…"]),
+        ("<p>The <b>tax</b> is set , and the wheels</p>", "Space before", ["is set , and the wheels"]),
+        ("<p><a href='#'>The tax is set , always</a> for all</p>", "Space before", ["The tax is set , always"]),
+        ("<p>Each coast distributed tax equals 25% of its full tax . And so on</p>", "Space before", ["…ted tax equals 25% of its full tax . And so on"]),
+        ("<p>Those subscriptions lapse.Returning a contract</p>", "Missing space", ["se.Returning"]),
+        ("<p>depends on the season and routing.If the tractor</p><p>your tractor.Ordinary vans and email.Contact us.AMPM</p>", "Missing space", ["il.Contact", "ng.If", "or.Ordinary", "us.AMPM"]),
+        ("<p><span>wheels.Contract is yearly</span></p>", "Missing space", ["ls.Contract"]),
         ("<p>open (bracket</p>", "Unbalanced", ["open (bracket"]),
     ],
 )
@@ -61,13 +61,13 @@ def test_slips_within_a_run_are_quoted(spark, html, rule, quoted):
     assert sorted(details(spark, html, rule)) == quoted
 
 
-@pytest.mark.parametrize("html, shown", [("<p>Needs to&amp;nbsp;Register here</p>", "&nbsp;"), ("<p>Fees &amp;amp; charges</p>", "&amp;"), ("<p>The code is &amp;#8212; and so</p>", "&#8212;"), ("<p>to&nbsp;Register, Fees &amp; charges, Rates & fees</p>", None)])
+@pytest.mark.parametrize("html, shown", [("<p>Wants to&amp;nbsp;Register here</p>", "&nbsp;"), ("<p>Fees &amp;amp; charges</p>", "&amp;"), ("<p>The code is &amp;#8212; and so</p>", "&#8212;"), ("<p>to&nbsp;Register, Fees &amp; charges, Rates & fees</p>", None)])
 def test_entities_that_reached_the_text(spark, html, shown):
     found = details(spark, html, "HTML entity", "entity")
     assert (not found) if shown is None else shown in found[0]
 
 
-@pytest.mark.parametrize("text, want", [("you’re re-issuing a credential", []), ("and you're re-filing", []), ("the co-op op", []), ("the the plate", ["the"]), ("cost more more than", ["more"]), ("that that is fine", [])])
+@pytest.mark.parametrize("text, want", [("you’re re-opening a document", []), ("and you're re-sorting", []), ("the co-op op", []), ("the the plate", ["the"]), ("cost more more than", ["more"]), ("that that is fine", [])])
 def test_a_repeated_word_is_a_whole_word(spark, text, want):
     assert [r.s.detail for r in spark.range(1).select(F.explode(copy.doubled_words(F.lit(text))).alias("s")).collect()] == want
 
