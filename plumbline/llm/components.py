@@ -3,7 +3,8 @@
 Labels spread to neighbours and then jump to their own label's label, so rounds grow with the logarithm of
 the longest path.  A node that more than a HUB_SHARE-th of all links reach is a hub; there are fewer than
 twice that many hubs, so their labels are broadcast, and so are the labels that more than such a share of
-all nodes carry.  All other joins are on keys with few rows.  Every round is written to the shared folder.
+all nodes carry.  All other joins are on keys with few rows.  Of a graph of at most FEW_NODES nodes all labels are
+broadcast.  Every round is written to the shared folder; the last is one in which no neighbour has a lower label.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 HUB_SHARE = 2_000
+#: A graph of so many nodes has its labels broadcast.
+FEW_NODES = 10_000
 
 
 def split_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
@@ -32,20 +35,24 @@ def hot_keys(rows: DataFrame, key: str, total: int, label: str) -> DataFrame | N
     return None if found.isEmpty() else found
 
 
-def components(links: DataFrame, label: str) -> DataFrame:
-    """doc, class (the smallest doc of its component) for every doc that (a, b) links name."""
+def components(links: DataFrame, label: str, known: DataFrame | None = None) -> DataFrame:
+    """doc, class (the smallest doc of its component) for every doc that (a, b) links name.  known: the result
+    for some of these links, to begin with."""
     both = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{label}-links")
-    total = both.count()
-    hubs = hot_keys(both, "b", total, label)
-    labels = staged(both.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.first("a")).alias("class")), label)
+    labels = both.groupBy(F.col("a").alias("doc")).agg(F.least(F.min("b"), F.first("a")).alias("class"))
+    if known is not None:
+        labels = labels.join(known.select("doc", F.col("class").alias("known")), "doc", "left").select("doc", F.least("class", "known").alias("class"))
+    labels = staged(labels, label)
     nodes = labels.count()
+    few = nodes <= FEW_NODES
+    hubs = None if few else hot_keys(both, "b", both.count(), label)
+    held = F.broadcast if few else (lambda table: table)
     while True:
-        seen = split_join(both, labels.select(F.col("doc").alias("b"), "class"), "b", hubs)
+        seen = split_join(both, held(labels.select(F.col("doc").alias("b"), "class")), "b", hubs)
         near = seen.groupBy(F.col("a").alias("doc")).agg(F.min("class").alias("near"))
-        spread = staged(labels.join(near, "doc").select("doc", "class", F.least("class", "near").alias("new")), label)
-        jump = spread.select(F.col("doc").alias("new"), F.col("new").alias("further"))
-        moved = split_join(spread, jump, "new", hot_keys(spread, "new", nodes, label))
-        after = staged(moved.select("doc", F.col("class").alias("old"), F.coalesce("further", "new").alias("class")), label)
-        labels = after.select("doc", "class")
-        if after.filter("old <> class").isEmpty():
+        spread = staged(near.join(held(labels), "doc").select("doc", "class", F.least("class", "near").alias("new")), label)
+        if spread.filter("new <> class").isEmpty():
             return labels
+        jump = held(spread.select(F.col("doc").alias("new"), F.col("new").alias("further")))
+        moved = split_join(spread, jump, "new", None if few else hot_keys(spread, "new", nodes, label))
+        labels = staged(moved.select("doc", F.coalesce("further", "new").alias("class")), label)

@@ -14,12 +14,12 @@ one with all weights equal, and stands in the buckets of both; others have one,
 Documents of equal words are one class from the start, and only one of them goes on.  Bands of equal
 components make buckets.  Every member of a bucket is first verified against the bucket's smallest
 document, so a group of copies costs its size and not its square; connected components of these links
-are the first classes.  In some more rounds, the members of a bucket that lie in another class than one
-document of it, another one each round, are verified against that one.  Pairs that still lie in different
-classes are then compared by all components of their signatures (four bits each, within the join), and those
-whose estimate of either similarity is not far below the threshold are verified one by one, each pair once.
-At a similarity of 0.8 the estimate turns a pair away with a chance of 5e-5.  Large buckets, and documents of
-many pairs, are split.
+are the first classes.  Documents of buckets that hold several classes get a second, longer signature.  Pairs
+that lie in different classes are compared by all components of both signatures (four bits each, within the
+join), and those whose estimates of either similarity are not far below the threshold are verified one by one,
+each pair once: first the members of a bucket with some documents of it, so that most of a group that its
+smallest document missed is one class, then all that are left.  At a similarity of 0.8 the estimates turn a
+pair away with a chance of 5e-5.  Large buckets, and documents of many pairs, are split.
 
 Defined results: a text of one to four words is one shingle; texts without words are classes of equal
 texts; null and empty texts are each a class of their own; rows that share a doc_id share a class;
@@ -46,11 +46,15 @@ BAND_ROWS = 5
 #: Components of a signature; the bands use the first of them, the estimate all.
 COMPONENTS = 384
 #: Pairs with a lower estimate are not verified.
-LEAST_ESTIMATE = 0.72
+LEAST_ESTIMATE = 0.71
 #: One bit of each component is compared first; below this estimate the other bits are not looked at.
 FIRST_ESTIMATE = 0.66
-#: Rounds in which the members of a bucket are verified against one document of it.
-STAR_ROUNDS = 4
+#: Components of the longer signature, which only documents of buckets of several classes get, and the least
+#: estimate by it.
+FINE_COMPONENTS = 1024
+LEAST_FINE = 0.745
+#: Documents of a bucket of several classes with which its other members are compared before all others.
+STARS = 3
 #: Pairs of one document that are verified together; a document with more has its text in several tasks.
 LEAD_PAIRS = 10_000
 #: Documents of a bucket that one task compares with all others of it.
@@ -61,6 +65,7 @@ _TOGETHER, _SKETCH_BYTES = 500, 1 << 18
 
 _U64 = np.uint64
 _STEP = _U64(0xD1B54A32D192ED03)
+_FINE = _U64(0x8CB92BA72F3D8DD7)
 
 
 def weighted_shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,9 +124,27 @@ def prints_of(signatures: np.ndarray) -> np.ndarray:
 def _prints(signatures: np.ndarray) -> np.ndarray:
     mixed = mix(signatures)
     one = ((mixed >> _U64(32)) & _U64(1)).reshape(len(signatures), _HEADS, 64)
-    four = (mixed >> _U64(60)).reshape(len(signatures), signatures.shape[1] // _PER_LONG, _PER_LONG)
     heads = np.bitwise_or.reduce(one << np.arange(64, dtype=_U64), axis=2)
-    return np.concatenate([heads, np.bitwise_or.reduce(four << (_U64(4) * np.arange(_PER_LONG, dtype=_U64)), axis=2)], axis=1)
+    return np.concatenate([heads, fours_of(mixed)], axis=1)
+
+
+def fours_of(mixed: np.ndarray) -> np.ndarray:
+    """Four bits of each mixed component, 16 of them to a long."""
+    four = (mixed >> _U64(60)).reshape(len(mixed), mixed.shape[1] // _PER_LONG, _PER_LONG)
+    return np.bitwise_or.reduce(four << (_U64(4) * np.arange(_PER_LONG, dtype=_U64)), axis=2)
+
+
+def few_differ(left: Column, right: Column, components: int, least: float) -> Column:
+    """Is the estimate by two arrays of four bits a component at least so much?"""
+
+    def differing(a: Column, b: Column) -> Column:
+        x = a.bitwiseXOR(b)
+        y = x.bitwiseOR(F.shiftright(x, 1))
+        return F.bit_count(y.bitwiseOR(F.shiftright(y, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    # a loop over the array: one long expression of all its entries would be too long for Java to compile well
+    differ = F.aggregate(F.zip_with(left, right, differing), F.lit(0), lambda done, n: done + n)
+    return differ <= int(components * (1 - least) * 15 / 16)
 
 
 def alike(left: str, right: str, least: float, first_least: float) -> Column:
@@ -131,15 +154,37 @@ def alike(left: str, right: str, least: float, first_least: float) -> Column:
     for i in range(_HEADS):
         heads += F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i]))
 
-    def differing(a: Column, b: Column) -> Column:
-        x = a.bitwiseXOR(b)
-        y = x.bitwiseOR(F.shiftright(x, 1))
-        return F.bit_count(y.bitwiseOR(F.shiftright(y, 2)).bitwiseAND(F.lit(0x1111111111111111)))
-
     rest = [F.slice(c, _HEADS + 1, COMPONENTS // _PER_LONG) for c in (left, right)]
-    # a loop over the array: one long expression of all its entries would be too long for Java to compile well
-    fours = F.aggregate(F.zip_with(*rest, differing), F.lit(0), lambda done, n: done + n)
-    return (heads <= int(COMPONENTS * (1 - first_least) / 2)) & (fours <= int(COMPONENTS * (1 - least) * 15 / 16))
+    return (heads <= int(COMPONENTS * (1 - first_least) / 2)) & few_differ(*rest, COMPONENTS, least)
+
+
+def word_keys(raw: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> list[bytes | None]:
+    """Of each text of a slice, a key of its words, or of its bytes if it has none; null for empty texts."""
+    keys: list[bytes | None] = []
+    for i in range(len(offsets) - 1):
+        if first[i + 1] > first[i]:
+            keys.append(hashlib.blake2b(hashes[first[i] : first[i + 1]].tobytes(), digest_size=16).digest())
+        elif offsets[i + 1] > offsets[i]:
+            keys.append(hashlib.blake2b(raw[offsets[i] : offsets[i + 1]].tobytes(), digest_size=15).digest())
+        else:
+            keys.append(None)
+    return keys
+
+
+def both_signatures(element: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the weights of n texts, those of the sets of texts that repeat shingles, and which do."""
+    repeats = np.zeros(n, bool)
+    repeats[doc[weight > 1]] = True
+    number = np.cumsum(repeats) - 1
+    some = repeats[doc]
+    plain = probminhash(element[some], number[doc[some]], np.ones(int(some.sum())), int(repeats.sum()), m)
+    return probminhash(element, doc, weight, n, m), plain, repeats
+
+
+def lists_of(values: np.ndarray, there: np.ndarray, null: np.ndarray | None = None) -> pa.ListArray:
+    """A list of longs for each text: the next row of values if it is there, else an empty one or null."""
+    ends = np.concatenate([[0], np.cumsum(np.where(there, values.shape[1], 0))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64).ravel()), mask=None if null is None else pa.array(null))
 
 
 def sketches(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
@@ -151,38 +196,42 @@ def sketches(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
             for at, to, raw, offsets in text_slices(batch["text"], _SKETCH_BYTES):
                 hashes, first = word_hashes(raw, offsets)
                 element, doc, weight = weighted_shingles(hashes, first, k)
-                n_words = np.diff(first)
                 n = to - at
-                signatures = probminhash(element, doc, weight, n, COMPONENTS)
-                repeats = np.zeros(n, bool)
-                repeats[doc[weight > 1]] = True
+                signatures, plain, repeats = both_signatures(element, doc, weight, n, COMPONENTS)
                 number = np.cumsum(repeats) - 1
-                some = repeats[doc]
-                plain = probminhash(element[some], number[doc[some]], np.ones(int(some.sum())), int(repeats.sum()), COMPONENTS)
-                keys: list[bytes | None] = []
-                for i in range(n):
-                    if n_words[i]:
-                        keys.append(hashlib.blake2b(hashes[first[i] : first[i + 1]].tobytes(), digest_size=16).digest())
-                    elif offsets[i + 1] > offsets[i]:
-                        keys.append(hashlib.blake2b(raw[offsets[i] : offsets[i + 1]].tobytes(), digest_size=15).digest())
-                    else:
-                        keys.append(None)
-                held = n_words > 0
+                keys = word_keys(raw, offsets, hashes, first)
+                held = np.diff(first) > 0
                 own, other = bands_of(signatures, bands, rows), bands_of(plain, bands, rows)
                 both = [np.union1d(own[i], other[number[i]]) if repeats[i] else own[i] for i in range(n) if held[i]]
                 ends = np.zeros(n + 1, np.int64)
                 ends[1:][held] = [len(x) for x in both]
                 buckets = pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(np.concatenate([*both, np.zeros(0, _U64)]).view(np.int64)))
-                lists = []
-                for values, there, null in ((prints_of(signatures)[held], held, None), (prints_of(plain), repeats, ~repeats)):
-                    ends = np.concatenate([[0], np.cumsum(np.where(there, values.shape[1], 0))])
-                    lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64).ravel()), mask=None if null is None else pa.array(null)))
+                lists = lists_of(prints_of(signatures)[held], held), lists_of(prints_of(plain), repeats, ~repeats)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][at:to], pa.array(keys, pa.binary()), buckets, *lists], names=["doc_id", "word_key", "buckets", "prints", "set_prints"])
             trim()
 
     return docs.mapInArrow(make, "doc_id long, word_key binary, buckets array<long>, prints array<long>, set_prints array<long>")
 
 
+def fine_sketches(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, word_key, fine (of the weights) and set_fine (null where no shingle repeats): longer signatures,
+    independent of those of sketches()."""
+
+    def make(batches):
+        for batch in batches:
+            for at, to, raw, offsets in text_slices(batch["text"], _SKETCH_BYTES):
+                hashes, first = word_hashes(raw, offsets)
+                element, doc, weight = weighted_shingles(hashes, first, k)
+                signatures, plain, repeats = both_signatures(mix(element ^ _FINE), doc, weight, to - at, FINE_COMPONENTS)
+                keys = word_keys(raw, offsets, hashes, first)
+                every = np.ones(to - at, bool)
+                lists = lists_of(fours_of(mix(signatures)), every), lists_of(fours_of(mix(plain)), repeats, ~repeats)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][at:to], pa.array(keys, pa.binary()), *lists], names=["doc_id", "word_key", "fine", "set_fine"])
+            trim()
+
+    return docs.mapInArrow(make, "doc_id long, word_key binary, fine array<long>, set_fine array<long>")
+
+
 def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
     """Of two rows of weights of the same elements, none of which is 0 in both.  Sorted by x / y, what an element
     is compared with is x of those at least as high and y of the lower ones."""
@@ -221,14 +270,13 @@ def similarities(left: pa.Array, right: pa.Array, k: int) -> np.ndarray:
     return out
 
 
-def with_texts(pairs: DataFrame, docs: DataFrame, side: str, text: str, label: str) -> DataFrame:
-    """pairs with the text of one of their documents.  The pairs of a document of many are dealt over pieces, each
-    with a copy of its text."""
+def with_texts(pairs: DataFrame, docs: DataFrame, side: str, text: str, many: DataFrame | None) -> DataFrame:
+    """pairs with the text of one of their documents.  many: documents of that side with so many pairs that they are
+    dealt over pieces, each with a copy of the text; None if there are none."""
     texts = docs.select(F.col("doc_id").alias(side), F.col("text").alias(text))
-    # at most a row for LEAD_PAIRS pairs; tables are written first, so that Spark knows how small they are
-    many = staged(pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / LEAD_PAIRS).cast("long").alias("pieces")).filter("pieces > 1"), f"{label}-leads")
-    if many.isEmpty():
+    if many is None:
         return pairs.join(texts, side)
+    many = many.filter(F.col("side") == side).select(F.col("doc").alias(side), "pieces")
     one = F.coalesce("pieces", F.lit(1).cast("long"))
     other = "b" if side == "a" else "a"
     dealt = pairs.join(many, side, "left").withColumn("piece", F.pmod(F.xxhash64(other), one)).drop("pieces")
@@ -245,10 +293,22 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float, k: int) -> Dat
         trim()
         return out
 
-    joined = with_texts(with_texts(pairs, docs, "a", "_left", "a"), docs, "b", "_right", "b")
+    # at most two rows for LEAD_PAIRS pairs; written first, so that Spark knows how small the table is
+    ends = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("doc")) for side in "ab"]))
+    counts = pairs.select(ends.alias("end")).groupBy("end.side", "end.doc").agg(F.ceil(F.count(F.lit(1)) / LEAD_PAIRS).cast("long").alias("pieces"))
+    leads = staged(counts.filter("pieces > 1"), "leads")
+    many = None if leads.isEmpty() else leads
+    joined = with_texts(with_texts(pairs, docs, "a", "_left", many), docs, "b", "_right", many)
     return joined.filter(similarity("_left", "_right") >= threshold).select("a", "b").distinct()
 
 
+def split_buckets(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members, with their classes, of buckets that hold several classes."""
+    placed = members.join(classes.withColumnRenamed("doc", "doc_id"), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
+    split = placed.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most").select("bucket")
+    return placed.join(split, "bucket", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), a row per row of docs."""
     prepare(docs.sparkSession)
@@ -269,46 +329,50 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     links = staged(verified(stars, texts, threshold, k), "star-links")
     classes = components(links, "classes")
 
-    tried = stars
-    for turn in range(1, STAR_ROUNDS):
-        placed = members.join(classes.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("class", "doc_id").alias("class"))
-        one = F.min_by(F.struct("doc_id", "class"), F.xxhash64("doc_id", F.lit(turn)))
-        leads = placed.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most"), one.alias("one")).filter("least <> most").select("bucket", "one")
-        met = placed.join(leads, "bucket").filter(F.col("class") != F.col("one.class")).select(F.least("doc_id", "one.doc_id").alias("a"), F.greatest("doc_id", "one.doc_id").alias("b")).distinct()
-        pairs = staged(met.join(tried, ["a", "b"], "left_anti"), "stars")
-        found = staged(verified(pairs, texts, threshold, k), "star-links")
-        tried = tried.union(pairs)
-        if not found.isEmpty():
-            links = links.union(found)
-            classes = components(links, "classes")
-
-    placed = members.join(classes.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("class", "doc_id").alias("class"))
-    split = placed.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most").select("bucket")
+    placed = split_buckets(members.drop("lead"), classes).distinct()
+    fine = fine_sketches(texts.join(placed.select("doc_id").distinct(), "doc_id", "left_semi"), k)
+    # rows that repeat a doc_id and its words have the same signatures
+    signed = staged(keyed.join(fine, ["doc_id", "word_key"]).dropDuplicates(["doc_id", "word_key"]), "signed")
     # a document of two signatures has a row for each; one of weights and one of sets are not compared
-    kinds = F.when(F.col("set_prints").isNull(), F.array(F.struct(F.lit(0).alias("kind"), F.col("prints")))).otherwise(F.array(F.struct(F.lit(1).alias("kind"), F.col("prints")), F.struct(F.lit(2).alias("kind"), F.col("set_prints").alias("prints"))))
-    signed = keyed.select("doc_id", "buckets", F.explode(kinds).alias("s")).select("doc_id", "buckets", "s.kind", "s.prints")
-    placed = staged(placed.join(split, "bucket", "left_semi").distinct().join(signed, "doc_id"), "placed")
+    kind = lambda n, *names: F.struct(F.lit(n).alias("kind"), *[F.col(c).alias(a) for c, a in zip(names, ("prints", "fine"), strict=True)])
+    kinds = F.when(F.col("set_prints").isNull(), F.array(kind(0, "prints", "fine"))).otherwise(F.array(kind(1, "prints", "fine"), kind(2, "set_prints", "set_fine")))
+    signed = signed.select("doc_id", "buckets", F.explode(kinds).alias("s")).select("doc_id", "buckets", "s.*")
+    placed = staged(placed.join(signed, "doc_id"), "placed")
+    least, first_least, least_fine = (e * threshold / THRESHOLD for e in (LEAST_ESTIMATE, FIRST_ESTIMATE, LEAST_FINE))
+    apart = (F.col("class_a") != F.col("class_b")) & (F.col("kind_a") + F.col("kind_b") != 3)
+    close, closer = alike("prints_a", "prints_b", least, first_least), few_differ(F.col("fine_a"), F.col("fine_b"), FINE_COMPONENTS, least_fine)
+
+    def sides(rows: DataFrame, n: str) -> DataFrame:
+        return rows.select("bucket", *[F.col(c).alias(f"{c}_{n}") for c in ("class", "buckets", "kind", "prints", "fine")], F.col("doc_id").alias(n), *([] if "pieces" not in rows.columns else ["pieces"]))
+
+    some = F.array_distinct(F.array(*[F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn))) for turn in range(STARS)]))
+    some = placed.groupBy("bucket").agg(some.alias("some")).select("bucket", F.explode("some").alias("doc_id"))
+    centres = placed.join(some, ["bucket", "doc_id"], "left_semi")
+    met = sides(placed, "a").join(sides(centres, "b"), "bucket").filter(apart & close & closer).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = staged(met.join(stars, ["a", "b"], "left_anti"), "stars")
+    found = staged(verified(pairs, texts, threshold, k), "star-links")
+    tried = stars.union(pairs)
+    if not found.isEmpty():
+        links = links.union(found)
+        classes = components(links, "classes", classes)
+        placed = split_buckets(placed.drop("class"), classes)
+
     # of a large bucket, each of several tasks compares a part of the documents with all
     large = staged(placed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET_DOCS).cast("long").alias("pieces")).filter("pieces > 1"), "large")
-    parts = F.coalesce("pieces", F.lit(1).cast("long"))
-    placed = placed.join(large, "bucket", "left").withColumn("pieces", parts)
-    left, right = (placed.select("bucket", "pieces", *[F.col(c).alias(f"{c}_{n}") for c in ("class", "buckets", "kind", "prints")], F.col("doc_id").alias(n)) for n in "ab")
-    left = left.withColumn("piece", F.pmod(F.xxhash64("a"), F.col("pieces"))).drop("pieces")
-    right = right.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).drop("pieces")
+    placed = placed.join(large, "bucket", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1).cast("long")))
+    left = sides(placed, "a").withColumn("piece", F.pmod(F.xxhash64("a"), F.col("pieces"))).drop("pieces")
+    right = sides(placed, "b").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).drop("pieces")
     # of a pair's buckets the least one decides
-    least, first_least = (e * threshold / THRESHOLD for e in (LEAST_ESTIMATE, FIRST_ESTIMATE))
-    close = (F.col("kind_a") + F.col("kind_b") != 3) & alike("prints_a", "prints_b", least, first_least)
-    near = (F.col("class_a") != F.col("class_b")) & (F.col("a") < F.col("b")) & close
     first = left["bucket"] == F.array_min(F.array_intersect("buckets_a", "buckets_b"))
-    rest = left.join(right, (left["bucket"] == right["bucket"]) & (left["piece"] == right["piece"]) & near & first).select("a", "b").distinct()
+    rest = left.join(right, (left["bucket"] == right["bucket"]) & (left["piece"] == right["piece"]) & (F.col("a") < F.col("b")) & apart & close & first & closer).select("a", "b").distinct()
     rest = staged(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     more = staged(verified(rest, texts, threshold, k), "rest-links")
     if not more.isEmpty():
-        classes = components(links.union(more), "classes")
+        classes = components(links.union(more), "classes", classes)
     same_id = copies.filter("doc_id is not null").groupBy("doc_id").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).filter("least <> most")
     if not same_id.isEmpty():  # one doc_id with several texts
         one = links.union(more).union(copies.filter("doc_id <> owner").select("owner", "doc_id"))
-        classes = components(one, "classes")
+        classes = components(one, "classes", classes)
     return copies.join(classes.withColumnRenamed("doc", "owner"), "owner", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "owner")).alias("class_id"))
 
 

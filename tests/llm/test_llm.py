@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, common, decontaminate, kd_shards, licenses, near_dedup, pii, quality, token_counts, topk_search, warc_zip
+from plumbline.llm import bpe, common, components, decontaminate, kd_shards, licenses, near_dedup, pii, quality, token_counts, topk_search, warc_zip
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -612,6 +612,58 @@ def test_a_large_bucket_is_compared_in_parts(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def unlike_copies(n, changes):
+    """Texts around one text with so many words changed in each; every fifth has a copy with one more word."""
+    rng = np.random.default_rng(4)
+    base, rows = [f"w{j}" for j in range(300)], []
+    for i in range(n):
+        words = list(base)
+        for j in rng.choice(30, changes, replace=False):
+            words[10 * j] = f"n{i}x{j}"
+        rows.append((2 * i, " ".join(words)))
+        if i % 5 == 0:
+            rows.append((2 * i + 1, " ".join([*words, "more"])))
+    return rows
+
+
+def test_pairs_under_the_threshold_are_rarely_verified(spark, monkeypatch):
+    """A large group of texts that are nearly near copies: the square of its size must not be verified."""
+    rows, seen, real = unlike_copies(150, 5), [], near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, *rest: seen.append(pairs.count()) or real(pairs, *rest))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) and len(set(got.values())) > 20
+    sets = [set(shingle_weights(text)) for _, text in rows]
+    close = sum(len(x & y) >= 0.7 * len(x | y) for x, y in itertools.combinations(sets, 2))
+    assert close > 10_000 and sum(seen) < 0.5 * close, (close, seen)
+
+
+def test_a_group_takes_few_written_tables(spark, monkeypatch):
+    """Each written table is a job of its own, which costs the same however small the table is."""
+    rows, labels, real = unlike_copies(30, 5), [], near_dedup.staged
+    for module in (near_dedup, components):
+        monkeypatch.setattr(module, "staged", lambda df, label, *by: labels.append(label) or real(df, label, *by))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+    assert len(labels) < 28, labels
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components_go_on_from_known_classes(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_NODES", few)
+    monkeypatch.setattr(components, "HUB_SHARE", 10)
+    rng = np.random.default_rng(few)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2)) if a != b] + [(i, i + 1) for i in range(500, 540)] + [(900, i) for i in range(600, 650)]
+    want = {x: x for pair in pairs for x in pair}
+    for _ in want:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    links = [spark.createDataFrame(x, "a long, b long") for x in (pairs[::2], pairs)]
+    known = components.components(links[0], "test")
+    for got in (components.components(links[1], "test", known), components.components(links[1], "test")):
+        assert {r.doc: r["class"] for r in got.collect()} == want
+    assert components.components(links[1].limit(0), "test").count() == 0
+
+
 def test_a_hot_lead_and_hot_copies(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "LEAD_PAIRS", 7)
     monkeypatch.setattr(common, "HOT_PARTS", 4)
