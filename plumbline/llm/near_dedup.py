@@ -338,6 +338,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     kinds = F.when(F.col("set_prints").isNull(), F.array(kind(0, "prints", "fine"))).otherwise(F.array(kind(1, "prints", "fine"), kind(2, "set_prints", "set_fine")))
     signed = signed.select("doc_id", "buckets", F.explode(kinds).alias("s")).select("doc_id", "buckets", "s.*")
     placed = staged(placed.join(signed, "doc_id"), "placed")
+    # of a large bucket, each of several tasks compares a part of the documents with all; counted here, where partial
+    # counts are made before rows of a bucket meet
+    large = staged(placed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET_DOCS).cast("long").alias("pieces")).filter("pieces > 1"), "large")
     least, first_least, least_fine = (e * threshold / THRESHOLD for e in (LEAST_ESTIMATE, FIRST_ESTIMATE, LEAST_FINE))
     apart = (F.col("class_a") != F.col("class_b")) & (F.col("kind_a") + F.col("kind_b") != 3)
     close, closer = alike("prints_a", "prints_b", least, first_least), few_differ(F.col("fine_a"), F.col("fine_b"), FINE_COMPONENTS, least_fine)
@@ -357,8 +360,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
         classes = components(links, "classes", classes)
         placed = split_buckets(placed.drop("class"), classes)
 
-    # of a large bucket, each of several tasks compares a part of the documents with all
-    large = staged(placed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET_DOCS).cast("long").alias("pieces")).filter("pieces > 1"), "large")
     placed = placed.join(large, "bucket", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1).cast("long")))
     left = sides(placed, "a").withColumn("piece", F.pmod(F.xxhash64("a"), F.col("pieces"))).drop("pieces")
     right = sides(placed, "b").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).drop("pieces")
