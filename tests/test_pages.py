@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import copy, urls
 from plumbline.operators import blocks, crawl, graph, media, rules, structured
 from plumbline.operators.records import page_links, page_records
+from plumbline.plans import catalog
 
 PAGES = "page_id long, url string, html string"
 
@@ -146,6 +147,12 @@ def test_the_base_is_the_served_url(spark):
     assert [r.target for r in page_links(page).orderBy("target").collect()] == sorted(["https://www.e.com/start/x/", "https://www.e.com/b/x/", "https://o.com/x/"])
 
 
+def test_pages_that_share_a_url_are_counted_each(spark, tmp_path):
+    html = '<a href="/x">x</a><a href="/x">again</a>'
+    spark.createDataFrame([(1, "https://e.com/p", html), (2, "https://e.com/p", html), (3, "https://e.com/q", html)], PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in catalog.QUERIES["page_link_targets"](spark, str(tmp_path)).collect()] == [("e.com", "https://e.com/x", 6, 3)]
+
+
 def test_a_link_may_be_named_by_its_picture(spark):
     html = "<a href='/a'><img src='x' alt='Home'></a><a href='/b'><img src='x' alt=' '></a><a href='/c' aria-label='C'></a><a href='/d' title=''> </a>"
     assert records(spark, html).first().links_no_anchor_text == 2
