@@ -297,7 +297,7 @@ SELECT finding, severity, count(*) AS urls, CAST(sum(n) AS BIGINT) AS hits FROM
 def schema_findings(spark: SparkSession, d: str) -> DataFrame:
     """Rules over structured data."""
     ship(spark)
-    issues = structured.schema_issues(structured.jsonld_nodes(X.jsonld_records(spark, d)), structured.vocabulary(spark))
+    issues = structured.record_issues(X.jsonld_records(spark, d), structured.vocabulary(spark))
     return _family(rules.Frames(X.records(spark, d), schema_issues=issues), *rules.SCHEMA_CODES)
 
 
@@ -309,7 +309,7 @@ SELECT site, code, prop, count(*) AS issues FROM i GROUP BY ALL""")
 def schema_graph_issues(spark: SparkSession, d: str) -> DataFrame:
     """Structured data of several blocks: nodes that share an @id, references, lists and features."""
     ship(spark)
-    found = structured.schema_issues(structured.jsonld_nodes(X.jsonld_graphs(spark, d)), structured.vocabulary(spark))
+    found = structured.record_issues(X.jsonld_graphs(spark, d), structured.vocabulary(spark))
     return found.groupBy("site", "code", "prop").agg(F.sum("n").alias("issues"))
 
 

@@ -169,6 +169,20 @@ def test_structured_data_of_a_page(spark):
         assert {(r.code, r.type, r.prop, r.level, r.n) for r in issues if r.url == str(i)} == want, i
 
 
+def test_records_are_judged_where_they_are_read(spark):
+    blocks = [list(b) for b, _ in SCHEMA_PAGES]
+    pages = spark.createDataFrame([("s", str(i), b) for i, b in enumerate([*blocks, None, [*blocks[0], None]])], "site string, url string, jsonld array<string>")
+    found = structured.record_issues(pages, structured.vocabulary(spark))
+    columns = ["site", "url", "type", "prop", "code", "level", "layer", "path", "n"]
+    want = structured.schema_issues(structured.jsonld_nodes(pages.filter(F.col("url") < len(blocks))), structured.vocabulary(spark)).select(*columns).collect()
+    assert sorted(found.filter(F.col("url") < len(blocks)).select(*columns).collect()) == sorted(want)
+    assert {r[2:] for r in found.filter(F.col("url") == str(len(blocks) + 1)).collect()} == {r[2:] for r in found.filter("url = '0'").collect()}
+    # nothing meets in a shuffle, and two records of one URL are two pages
+    assert "Join" not in found.groupBy("code").count()._jdf.queryExecution().executedPlan().toString()
+    twice = structured.record_issues(pages.filter("url = '1'").withColumn("i", F.explode(F.array(F.lit(1), F.lit(2)))), structured.vocabulary(spark))
+    assert twice.filter("code = 'property-not-on-type'").agg(F.sum("n")).first()[0] == 2
+
+
 def test_structured_data_advice_follows_the_feature(spark):
     pages = spark.createDataFrame([("s", "u", [ld('"@type":"Product","name":"p","offers":{"@type":"Offer","price":1,"priceCurrency":"EUR"},"author":{"@type":"Organization","name":"n"}')])], "site string, url string, jsonld array<string>")
     asked = structured.schema_issues(structured.jsonld_nodes(pages), structured.vocabulary(spark)).filter("code = 'missing-recommended'").collect()
