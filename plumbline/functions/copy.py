@@ -127,8 +127,8 @@ def _once(kind: str, found: Column, detail: Column, text: Column, rule: str) ->
 def matches_around(text: Column, pattern: str, guard: str) -> Column:
     """array<struct<match, around, first>> of a pattern without groups: what matched, with up to PAD characters
     on either side and an ellipsis where the text goes on, and whether it begins the text.  guard: what a match
-    has to begin with, cheap to test."""
-    whole = rf"(?s)(?={guard})(?<=(^.{{0,{PAD}}}|.{{{PAD + 1}}}))({pattern})(?=(.{{0,{PAD + 1}}}))"
+    has to begin with, cheap to test.  What stands before is looked up last, behind the match itself."""
+    whole = rf"(?s)(?={guard})(?={pattern})(?<=(^.{{0,{PAD}}}|.{{{PAD + 1}}}))({pattern})(?=(.{{0,{PAD + 1}}}))"
     parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(whole), F.lit(i)).alias(c) for i, c in ((1, "before"), (2, "match"), (3, "behind"))])
 
     def made(m: Column) -> Column:
@@ -163,23 +163,24 @@ def misspellings(text: Column) -> Column:
     return let(F.lower(text), hits)
 
 
-#: What a text holds, in any case, if a placeholder pattern is to match it.
-PLACEHOLDER_HINTS = ("lorem ipsum", "dolor sit amet", "add your heading", "click edit button", "this is the heading", "insert your", "your text", "your content", "sample ", "placeholder text", "tbd", "todo", "fixme", "coming soon", "xxx", "dummy ", "[your", "{{", "%", "undefined", "nan", "[object object]")
+#: What a text holds if a placeholder pattern is to match it: in lower case for patterns of any case, as written for
+#: the others.
+PLACEHOLDER_HINTS = ("lorem ipsum", "dolor sit amet", "add your heading", "click edit button", "this is the heading", "insert your ", "your ", "sample ", "placeholder text", "TBD", "TODO", "FIXME", "coming soon", "XXX", "dummy ", "[your ", "{{", "%", "undefined", "NaN", "[object Object]", "error")
 
 
 def placeholders(text: Column, runs: Column | None = None) -> Column:
     """Markers, which have a case of their own, are looked for in the runs joined by blanks, so that neighbouring
-    elements make up none; filler of any case in the text as it shows."""
-    spaced = text if runs is None else F.trim(F.regexp_replace(F.array_join(runs, " "), r"\s+", " "))
+    elements make up none; filler of any case in the text as it shows.  A pattern is tried where its hint stands."""
+    spaced = text if runs is None else F.when((F.size(runs) == 1) & ~text.rlike(r"\s\s|[^\S ]"), text).otherwise(F.trim(F.regexp_replace(F.array_join(runs, " "), r"\s+", " ")))
 
-    def worth(low: Column) -> Column:
-        out = F.lit(False)
-        for hint in PLACEHOLDER_HINTS:
-            out |= low.contains(hint)
-        return out
+    def hit(t: Column, pattern: str, hint: str, label: str) -> Column:
+        prose = pattern.startswith("(?i)")
+        return F.when((t.low if prose else t.spaced).contains(hint), F.when((t.text if prose else t.spaced).rlike(pattern), F.lit(label)))
 
-    hits = F.filter(F.array(*[F.when((text if p.startswith("(?i)") else spaced).rlike(p), F.lit(label)) for p, label in PLACEHOLDERS]), lambda x: x.isNotNull())
-    return F.when(let(F.lower(text), worth) | let(F.lower(spaced), worth), _signals("placeholder", hits)).otherwise(F.array().cast(SIGNAL))
+    def hits(t: Column) -> Column:
+        return F.filter(F.array(*[hit(t, p, hint, label) for (p, label), hint in zip(PLACEHOLDERS, PLACEHOLDER_HINTS, strict=True)]), lambda x: x.isNotNull())
+
+    return _signals("placeholder", let(F.struct(text.alias("text"), F.lower(text).alias("low"), spaced.alias("spaced")), hits))
 
 
 def mojibake(raw: Column) -> Column:
@@ -225,8 +226,7 @@ def punctuation(text: Column, runs: Column | None = None) -> Column:
 
 
 def capitals(text: Column) -> Column:
-    letters = F.regexp_replace(text, "[^A-Za-z]", "")
-    return _once("style", (F.length(letters) > 25) & (F.upper(letters) == letters), F.lit("Sentence set entirely in capitals"), text, "caps")
+    return _once("style", ~text.rlike("[a-z]") & (F.length(F.regexp_replace(text, "[^A-Z]", "")) > 25), F.lit("Sentence set entirely in capitals"), text, "caps")
 
 
 def copy_signals(text: Column, runs: Column | None = None) -> Column:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import spread
+from plumbline.session import spread, unnest
 
 # Fixed values.
 BLOCK_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li td th figcaption blockquote button label a span".split())
@@ -49,10 +51,12 @@ class _Blocks(HTMLParser):
         if tag in VOID:
             return
         self.hidden += tag in HIDDEN
-        names = dict(attrs)
-        ident = f"{names.get('class') or ''} {names.get('id') or ''}".lower()
+        own = tag in CHROME_TAGS
+        if attrs and not own and tag not in ("body", "html"):
+            names = dict(attrs)
+            ident = f"{names.get('class') or ''} {names.get('id') or ''}".lower()
+            own = any(h in ident for h in CHROME_HINTS)
         above, root = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (False, 0)
-        own = tag not in ("body", "html") and (tag in CHROME_TAGS or any(h in ident for h in CHROME_HINTS))
         if tag in ("main", "article") and not root and not self.main:
             root = self.main = 1
         self.holders += tag in HOLDING
@@ -80,7 +84,7 @@ class _Blocks(HTMLParser):
         self.nested -= tag in BLOCK_TAGS
         if first is not None and holders == self.holders:
             runs = self.runs[first:]
-            text = collapsed("".join(runs)).strip()
+            text = " ".join("".join(runs).split())
             if len(text) >= 3:
                 self.done.append((order, root, "chrome" if above else "body", tag, text, runs))
         return tag
@@ -107,13 +111,60 @@ class _Blocks(HTMLParser):
 
 
 def collapsed(text: str) -> str:
-    return re.sub(r"\s+", " ", text)
+    """White space as single blanks."""
+    inner = " ".join(text.split())
+    if not inner:
+        return " " if text else ""
+    return (" " if text[0].isspace() else "") + inner + (" " if text[-1].isspace() else "")
+
+
+#: Text and the tag behind it, both of a kind that reads the same to any parser.
+_PLAIN = re.compile(r"""([^<]*)<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[A-Za-z][A-Za-z-]*="[^"<>&]*")*)\s*>""", re.ASCII)
+_ATTRIBUTE = re.compile(r"""([A-Za-z-]+)="([^"]*)\"""", re.ASCII)
+#: Elements whose text a parser reads by other rules.
+_RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript plaintext svg math".split())
+
+
+def _read_plain(parser: _Blocks, html: str) -> bool:
+    """Hand a page that is made of plain tags and text to the parser's handlers; false, and a parser to be thrown
+    away, if any part of it is not."""
+    at, end, step = 0, len(html), _PLAIN.match
+    raw = ""
+    while at < end:
+        found = step(html, at)
+        if not found:
+            break
+        text, closing, tag, attributes = found.groups()
+        tag = tag.lower()
+        if raw and not (closing and tag == raw):
+            return False
+        if text:
+            parser.handle_data(unescape(text) if "&" in text else text)
+        if closing:
+            if attributes:
+                return False
+            raw = ""
+            parser.handle_endtag(tag)
+        else:
+            if tag in _RAW:
+                if tag != "title":
+                    return False
+                raw = tag
+            parser.handle_starttag(tag, [(k.lower(), v) for k, v in _ATTRIBUTE.findall(attributes)] if attributes else ())
+        at = found.end()
+    if raw or html.find("<", at) >= 0:
+        return False
+    if at < end:
+        parser.handle_data(unescape(html[at:]))
+    return True
 
 
 def blocks_of(html: str | None) -> list[tuple]:
     parser = _Blocks()
-    parser.feed(html or "")
-    parser.close()
+    if not _read_plain(parser, html or ""):
+        parser = _Blocks()
+        parser.feed(html or "")
+        parser.close()
     return parser.blocks()
 
 
@@ -122,11 +173,14 @@ def text_blocks(records: DataFrame) -> DataFrame:
     runs of every page.  Title and description are blocks, behind those of the page."""
 
     def extract(batches):
-        for frame in batches:
-            rows = [(site, url, n, b[2], b[3], b[4], b[5]) for site, url, html in zip(frame["site"], frame["url"], frame["html"], strict=True) for n, b in enumerate(blocks_of(html))]
-            yield pd.DataFrame(rows, columns=["site", "url", "block_no", "region", "tag", "text", "runs"])
-
-    found = spread(records.select("site", "url", "html")).mapInPandas(extract, BLOCK)
+        for batch in batches:
+            found = [blocks_of(html) for html in batch["html"].to_pylist()]
+            page = pa.array(np.repeat(np.arange(len(found)), [len(own) for own in found]))
+            numbers = pa.array([n for own in found for n in range(len(own))], pa.int32())
+            columns = [pa.array([b[i] for own in found for b in own], kind) for i, kind in ((2, pa.string()), (3, pa.string()), (4, pa.string()), (5, pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays([batch["site"].take(page), batch["url"].take(page), numbers, *columns], names=["site", "url", "block_no", "region", "tag", "text", "runs"])
+
+    found = spread(records.select("site", "url", "html")).mapInArrow(extract, BLOCK)
     metas = [(n, tag, F.col(c)) for n, tag, c in ((-2, "title", "title"), (-1, "description", "meta_description")) if c in records.columns]
     if not metas:
         return found
@@ -142,7 +196,7 @@ def block_signals(blocks: DataFrame) -> DataFrame:
     from plumbline.functions.copy import copy_signals
 
     own = blocks.filter("region <> 'error'")
-    each = own.select("site", "url", "block_no", F.concat_ws(":", "region", "tag").alias("block"), F.explode(copy_signals(F.col("text"), F.col("runs"))).alias("s"))
+    each = unnest(own, "s", copy_signals(F.col("text"), F.col("runs")), "site", "url", "block_no", F.concat_ws(":", "region", "tag").alias("block"))
     key = F.concat(F.when(F.col("s.placed"), F.col("block")).otherwise(F.lit("")), F.lit("|"), "s.key")
     first = F.min(F.struct(F.when(F.col("block_no") < 0, F.col("block_no") + (1 << 30)).otherwise(F.col("block_no")).alias("at"), F.col("block_no"), F.col("s.detail").alias("detail"), F.col("block")))
     return each.groupBy("site", "url", "s.kind", key.alias("key")).agg(first.alias("f")).select("site", "url", "kind", "f.detail", "f.block", "f.block_no")

@@ -18,7 +18,7 @@ from plumbline.functions import urls
 from plumbline.functions.copy import mojibake
 from plumbline.operators import blocks, media
 from plumbline.operators import links as L
-from plumbline.session import cut, small
+from plumbline.session import cut, small, unnest
 
 # Fixed values.
 TITLE_MIN, TITLE_MAX, DESC_MIN, DESC_MAX, THIN_WORDS, SLOW_MS, IMAGE_MAX_KB, OVERSIZED = 15, 60, 70, 160, 300, 1500, 180, 2.0
@@ -414,8 +414,8 @@ reputation_rule("REP-03", "low", ("feed", "unknown"))
 def page_signals(records: DataFrame) -> DataFrame:
     """site, url, kind, detail of copy rules over each text block of a page, of characters damaged anywhere in its
     source, and of mixed content."""
-    mixed = records.select("site", "url", F.lit("mixed-content").alias("kind"), F.explode("mixed_content").alias("detail"))
-    damaged = records.select("site", "url", F.explode(mojibake(F.coalesce("html", F.lit("")))).alias("s")).select("site", "url", "s.kind", "s.detail")
+    mixed = unnest(records, "detail", F.col("mixed_content"), "site", "url", F.lit("mixed-content").alias("kind"))
+    damaged = unnest(records, "s", mojibake(F.coalesce("html", F.lit(""))), "site", "url").select("site", "url", "s.kind", "s.detail")
     return blocks.block_signals(blocks.text_blocks(records)).select("site", "url", "kind", "detail").unionByName(mixed).unionByName(damaged)
 
 

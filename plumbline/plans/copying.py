@@ -13,7 +13,7 @@ from plumbline.functions.copy import DOUBLED_FINE, ENTITY, MOJIBAKE, NOT_A_SENTE
 from plumbline.operators import blocks, rules
 from plumbline.operators.records import page_records
 from plumbline.plans.catalog import query
-from plumbline.session import ship, spread
+from plumbline.session import cut, ship, spread
 from plumbline.sources.tables import parquet
 
 #: doc_id is divisible by the number -> a paragraph in runs, joined without blanks.
@@ -109,7 +109,8 @@ _HITS = rf"""hits AS (
 def copy_findings(spark: SparkSession, d: str) -> DataFrame:
     """Copy rules over the text blocks of pages, over their runs where a rule asks what stands side by side."""
     records = page_records(copy_pages(spark, d))
-    hits = rules.run(rules.Frames(records, signals=rules.page_signals(records)), ["CNT-01", "CNT-02", "CNT-03", "CNT-04", "CNT-05", "CNT-06", "CNT-10"])
+    signals = cut(rules.page_signals(records), "signals")  # read by each rule
+    hits = rules.run(rules.Frames(records, signals=signals), ["CNT-01", "CNT-02", "CNT-03", "CNT-04", "CNT-05", "CNT-06", "CNT-10"])
     what = F.regexp_replace(F.regexp_replace("detail", "(?s): “.*", ""), " x [0-9]+$", "")
     return hits.groupBy("finding", what.alias("what")).agg(F.count_distinct("url").alias("urls"))
 

@@ -162,3 +162,24 @@ def test_one_image_by_many_references(spark):
     page = records(spark, "<img src='../i/x.png' alt='a'><img src='/i/./x.png'><img src='/i/y/../x-300x200.png'>")
     found = media.alt_inventory(page).collect()
     assert [(r.image, r.state, r.seen) for r in found] == [("https://e.com/i/x.png", "missing", 1)]
+
+
+def test_plain_pages_are_read_like_any_other():
+    plain = '<html><head><title>A &amp; b</title><meta name="description" content="x"></head><body class="menu"><nav><p>in  chrome</p></nav><main><p><span>one.</span> two<br>three</p><div class="Sidebar"><p>side text</p></div></main>&nbsp;</body></html>'
+    for html in (plain, plain.replace("<br>", "<br/>"), plain.replace("<p>", "<p title='a>b'>"), plain + "<!-- x --><script>if (a<b) {}</script>", plain.replace("<body ", "<BODY\n"), "a < b", "<p>open", "", "<title><b>bold</b></title>", "<p>a</p x>"):
+        slow = blocks._Blocks()
+        slow.feed(html)
+        slow.close()
+        assert blocks.blocks_of(html) == slow.blocks()
+    assert blocks._read_plain(blocks._Blocks(), plain) and not blocks._read_plain(blocks._Blocks(), plain + "<!-- x -->")
+    assert [blocks.collapsed(t) for t in ("", " \n", " a\t b\u00a0", "a\x1c\x85b")] == ["", " ", " a b ", "a b"]
+
+
+def test_copy_signals_are_made_once(spark, tmp_path):
+    """One write of signals; no filter works a rule out a second time."""
+    spark.createDataFrame([(30, "We recieve it , and TODO", "a")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["copy_findings"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and {("CNT-01", "'TODO' left in copy", 1), ("CNT-02", "recieve -> receive", 1), ("CNT-05", "Space before a punctuation mark", 1)} <= {tuple(r) for r in found.collect()}
+    signals = rules.page_signals(records(spark, "<p>We recieve it</p>"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in signals and "size(concat(" not in signals
