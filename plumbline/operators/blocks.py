@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import spread, unnest
+from plumbline.session import cut, spread, unnest
 
 # Fixed values.
 BLOCK_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p li td th figcaption blockquote button label a span".split())
@@ -221,13 +221,16 @@ def spelling(words: DataFrame, dictionary: DataFrame, most: int = 3) -> DataFram
     dictionary: word, frequency.  Candidates meet on shared deletions, so no pair of words is compared
     that has none; distinct unknown words are judged once, whatever the number of pages.  A word more than a
     letter longer than the dictionary's longest is one edit from none of them and is not cut."""
+    # written once: Spark knows the dictionary's size, and no word is cut out of a text again
+    dictionary = cut(dictionary.select("word", "frequency"), "dictionary")
     known = dictionary.select("word")
     longest = dictionary.agg(F.max(F.length("word"))).first()[0] or 0  # one number
     asked = words.filter("lower and length(word) >= 2").join(known, "word", "left_anti")
     bare = F.regexp_replace("word", "'s$", "")
     asked = asked.withColumn("_bare", bare).join(known.select(F.col("word").alias("_bare")).withColumn("_known", F.lit(True)), "_bare", "left").filter("not (word like '%\\'s' and _known)").drop("_bare", "_known")
-    unknown = asked.select("word").filter(F.length("word") <= longest + 1).distinct().select("word", F.explode(deletions(F.col("word"))).alias("form"))
-    near = dictionary.select(F.col("word").alias("near"), "frequency", F.explode(deletions(F.col("word"))).alias("form"))
+    asked = cut(asked.select("site", "url", "word", "n"), "asked")
+    unknown = unnest(asked.select("word").filter(F.length("word") <= longest + 1).distinct(), "form", deletions(F.col("word")), "word")
+    near = cut(unnest(dictionary, "form", deletions(F.col("word")), F.col("word").alias("near"), "frequency"), "near")
     pairs = unknown.join(near, "form").select("word", "near", "frequency").distinct().filter(within_one_edit(F.col("word"), F.col("near")))
     ranked = pairs.groupBy("word").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("frequency")).alias("f"), F.col("near")))), lambda x: x.near), 1, most).alias("suggestions"))
     return asked.join(ranked, "word").select("site", "url", "word", "n", "suggestions")
@@ -235,6 +238,6 @@ def spelling(words: DataFrame, dictionary: DataFrame, most: int = 3) -> DataFram
 
 def page_words(blocks: DataFrame) -> DataFrame:
     """Candidate words of the body copy, a row a page and word: site, url, word, n, lower."""
-    tokens = blocks.filter("region = 'body'").select("site", "url", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z'’-]*[A-Za-z]"), F.lit(0))).alias("w"))
+    tokens = unnest(blocks.filter("region = 'body'"), "w", F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z'’-]*[A-Za-z]"), F.lit(0)), "site", "url")
     each = tokens.select("site", "url", F.lower(F.translate("w", "’", "'")).alias("word"), F.substring("w", 1, 1).rlike("[a-z]").alias("low"), F.expr("substring(w, 2)").rlike("[A-Z]").alias("camel"))
     return each.groupBy("site", "url", "word").agg(F.count(F.lit(1)).alias("n"), (F.bool_or("low") & ~F.bool_or("camel")).alias("lower"))

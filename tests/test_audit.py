@@ -189,6 +189,15 @@ def test_structured_data_advice_follows_the_feature(spark):
     assert {(r.type, r.prop) for r in asked} == {("Product", p) for p in ("image", "description", "brand", "sku", "aggregateRating")} | {("Offer", "availability"), ("Offer", "url")}
 
 
+def test_words_are_cut_out_of_texts_once(spark, tmp_path):
+    rows = [(i, "the wheels of the town", "a", "en", 22) for i in range(150)] + [(150, "teh wheel of Teh town's wheels's wHeels", "b", "en", 30), (151, None, "b", "en", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["spelling_suggestions"](spark, str(tmp_path))
+    assert {(r.site, r.url, r.word, r.n, tuple(r.suggestions)) for r in found.collect()} == {("b", "150", "teh", 2, ("the",)), ("b", "150", "wheel", 1, ("wheels",))}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("Relation [") <= 3
+
+
 def test_spelling(spark):
     words = spark.createDataFrame([("s", "u", "teh", 1, True), ("s", "u", "qwzx", 1, True), ("s", "u", "the", 1, True), ("s", "u", "dogs's", 1, True)], "site string, url string, word string, n long, lower boolean")
     dictionary = spark.createDataFrame([("the", 100), ("ten", 10), ("dogs", 5)], "word string, frequency long")
