@@ -411,12 +411,12 @@ reputation_rule("REP-02", "medium", ("gateway", "mail", "endpoint"))
 reputation_rule("REP-03", "low", ("feed", "unknown"))
 
 
-def page_signals(records: DataFrame) -> DataFrame:
+def page_signals(records: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """site, url, kind, detail of copy rules over each text block of a page, of characters damaged anywhere in its
-    source, and of mixed content."""
+    source, and of mixed content.  found: the records' text blocks, where they are at hand."""
     mixed = unnest(records, "detail", F.col("mixed_content"), "site", "url", F.lit("mixed-content").alias("kind"))
     damaged = unnest(records, "s", mojibake(F.coalesce("html", F.lit(""))), "site", "url").select("site", "url", "s.kind", "s.detail")
-    return blocks.block_signals(blocks.text_blocks(records)).select("site", "url", "kind", "detail").unionByName(mixed).unionByName(damaged)
+    return blocks.block_signals(blocks.text_blocks(records) if found is None else found).select("site", "url", "kind", "detail").unionByName(mixed).unionByName(damaged)
 
 
 def run(frames: Frames, only: list[str] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from plumbline.functions import copy, urls
 from plumbline.operators import blocks, crawl, graph, media, rules, structured
 from plumbline.operators.records import page_links, page_records
 from plumbline.plans import catalog
+from plumbline.session import cut
 
 PAGES = "page_id long, url string, html string"
 
@@ -183,3 +184,11 @@ def test_copy_signals_are_made_once(spark, tmp_path):
     assert "Generate" not in plan and {("CNT-01", "'TODO' left in copy", 1), ("CNT-02", "recieve -> receive", 1), ("CNT-05", "Space before a punctuation mark", 1)} <= {tuple(r) for r in found.collect()}
     signals = rules.page_signals(records(spark, "<p>We recieve it</p>"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" in signals and "size(concat(" not in signals
+
+
+def test_text_blocks_at_hand_are_not_read_again(spark):
+    page = records(spark, "<p>We recieve it , and more</p>", "<p>fine</p>")
+    text = cut(blocks.text_blocks(page))
+    found = rules.page_signals(page, text)
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(found.collect()) == sorted(rules.page_signals(page).collect()) != []
